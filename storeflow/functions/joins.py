@@ -1,0 +1,27 @@
+"""Joins against small tables, broadcast only behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A side is broadcast only if it is proven to hold at most this many rows.
+DEFAULT_BROADCAST_ROWS = 100_000
+
+
+def has_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows.
+
+    Reads no more than ``max_rows + 1`` rows, so the check itself is
+    bounded however large ``df`` is.
+    """
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(df)`` if its row count is within the bound, else ``df``.
+
+    Beyond the bound the join is left to the planner (shuffle join, or a
+    broadcast chosen by AQE from the actual runtime size).
+    """
+    return F.broadcast(df) if has_at_most(df, max_rows) else df
