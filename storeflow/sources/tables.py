@@ -38,6 +38,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over ``min_partitions`` tasks only when its scan
+    yields fewer splits (e.g. one unsplittable row group).
+
+    The split count comes from planning the file scan (file listing, no
+    job).  A large table already has more splits than cores, so at scale
+    this adds no shuffle.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def _sales(extended_price: Column) -> Column:
     price = extended_price.cast("decimal(12,2)")
     return F.round(price * F.lit(SALES_FACTOR).cast("decimal(4,3)"), 2).cast("decimal(12,2)")
@@ -60,10 +72,10 @@ def joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     to the planner, which shuffles them on their keys.
     """
     t = lambda name: read_table(spark, sf_dir, name)
-    lines = t("lineitem").select(
+    lines = spread(t("lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         "l_quantity", "l_extendedprice", "l_discount", "l_shipdate",
-    )
+    ))
     orders = t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     customers = t("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     nations = t("nation").select("n_nationkey", "n_name", "n_regionkey")
