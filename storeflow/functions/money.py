@@ -9,6 +9,8 @@ division so that Spark keeps 20 fractional digits in the quotient.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,9 +32,17 @@ def count_out(x: Column) -> Column:
     return x.cast(COUNT_OUT)
 
 
-def total(x: Column | str) -> Column:
-    """Sum of a money column, as exact decimal."""
-    return F.sum(_c(x))
+def sum_money(x: Column | str, scale: int = 2) -> Column:
+    """Exact sum of a decimal column with ``scale`` places.
+
+    Summed as integer units of the last place (a fixed-width ``long``
+    buffer, which the hash aggregate keeps in its fast path), then scaled
+    back to a decimal.  ANSI mode raises on ``long`` overflow (above 9.2e16
+    in money), so the result is exact or an error, never wrong.
+    """
+    units = (_c(x) * F.lit(10**scale)).cast("long")
+    back = F.lit(Decimal(1).scaleb(-scale))
+    return F.sum(units).cast("decimal(20,0)") * back
 
 
 def ratio(num: Column, den: Column, factor: int = 1, guard: bool = True) -> Column:
@@ -56,7 +66,7 @@ def mean(x: Column | str) -> Column:
     ``sum / count`` on decimals, one rounding; NULL when no value.
     """
     c = _c(x)
-    return F.round(F.sum(c).cast(_DEC) / F.nullif(F.count(c), F.lit(0)), 2).cast(RATIO_OUT)
+    return F.round(sum_money(c).cast(_DEC) / F.nullif(F.count(c), F.lit(0)), 2).cast(RATIO_OUT)
 
 
 def margin_pct(profit: Column, sales: Column, guard: bool = True) -> Column:

@@ -58,11 +58,11 @@ def asc(name: str) -> Column:
 
 
 def total_sales(alias: str = "total_sales") -> Column:
-    return M.money(F.sum("sales")).alias(alias)
+    return M.money(M.sum_money("sales")).alias(alias)
 
 
 def total_profit(alias: str = "total_profit") -> Column:
-    return M.money(F.sum("profit")).alias(alias)
+    return M.money(M.sum_money("profit")).alias(alias)
 
 
 def line_count(alias: str = "orders_count") -> Column:
@@ -75,7 +75,7 @@ def distinct_count(col: str, alias: str) -> Column:
 
 
 def margin(alias: str = "profit_margin_pct", guard: bool = True) -> Column:
-    return M.margin_pct(F.sum("profit"), F.sum("sales"), guard=guard).alias(alias)
+    return M.margin_pct(M.sum_money("profit"), M.sum_money("sales"), guard=guard).alias(alias)
 
 
 def shipping_days() -> Column:
@@ -103,7 +103,7 @@ def business_overview(sl: DataFrame) -> DataFrame:
 
 def average_order_value(sl: DataFrame, strict: bool = False) -> DataFrame:
     """Sales per distinct order, rounded to cents."""
-    value = M.ratio(F.sum("sales"), F.count_distinct("order_id"), guard=not strict)
+    value = M.ratio(M.sum_money("sales"), F.count_distinct("order_id"), guard=not strict)
     return summarize(sl, [], [value.alias("average_order_value")])
 
 
@@ -148,8 +148,8 @@ def region_performance(sl: DataFrame, strict: bool = True) -> DataFrame:
         sl,
         ["region"],
         [
-            M.money(F.sum("sales")).alias("sales"),
-            M.money(F.sum("profit")).alias("profit"),
+            M.money(M.sum_money("sales")).alias("sales"),
+            M.money(M.sum_money("profit")).alias("profit"),
             margin(guard=not strict),
         ],
         order=[desc("profit_margin_pct")],
@@ -193,8 +193,8 @@ def revenue_share(sl: DataFrame, dim: str = "category") -> DataFrame:
 
     The grand total is a scalar subquery (one value, computed once).
     """
-    grand = sl.select(F.sum("sales")).scalar()
-    per = sl.groupBy(dim).agg(F.sum("sales").alias("_s"))
+    grand = sl.select(M.sum_money("sales")).scalar()
+    per = sl.groupBy(dim).agg(M.sum_money("sales").alias("_s"))
     return per.select(
         dim,
         M.money(F.col("_s")).alias("total_sales"),

@@ -36,16 +36,16 @@ RFM_SEGMENTS = ("Champions", "Loyal Customers", "Potential Loyalists", "At Risk"
 
 
 def top_customers_by_sales(sl: DataFrame, n: int = 10) -> DataFrame:
-    return top_by(sl, CUSTOMER, M.money(F.sum("sales")), "total_sales", n)
+    return top_by(sl, CUSTOMER, M.money(M.sum_money("sales")), "total_sales", n)
 
 
 def top_customers_by_profit(sl: DataFrame, n: int = 10) -> DataFrame:
-    return top_by(sl, CUSTOMER, M.money(F.sum("profit")), "total_profit", n)
+    return top_by(sl, CUSTOMER, M.money(M.sum_money("profit")), "total_profit", n)
 
 
 def customer_totals(sl: DataFrame) -> DataFrame:
     """Unrounded sales per customer (one shuffle of partial sums)."""
-    return sl.groupBy(*CUSTOMER).agg(F.sum("sales").alias("total_sales"))
+    return sl.groupBy(*CUSTOMER).agg(M.sum_money("sales").alias("total_sales"))
 
 
 def customer_sales_rank(sl: DataFrame, **kw) -> DataFrame:
@@ -72,8 +72,8 @@ def segment_performance(sl: DataFrame) -> DataFrame:
 def customer_lifetime_value(sl: DataFrame) -> DataFrame:
     return summarize(sl, CUSTOMER, [
         distinct_count("order_id", "total_orders"),
-        M.money(F.sum("sales")).alias("lifetime_sales"),
-        M.money(F.sum("profit")).alias("lifetime_profit"),
+        M.money(M.sum_money("sales")).alias("lifetime_sales"),
+        M.money(M.sum_money("profit")).alias("lifetime_profit"),
     ], order=[desc("lifetime_sales")])
 
 
@@ -99,7 +99,7 @@ def rfm_base(sl: DataFrame) -> DataFrame:
         F.max("order_date").alias("last_order_date"),
         F.datediff(last_date, F.max("order_date")).cast("bigint").alias("recency_days"),
         distinct_count("order_id", "frequency"),
-        F.sum("sales").alias("monetary"),
+        M.sum_money("sales").alias("monetary"),
     )
 
 

@@ -40,11 +40,11 @@ PARETO_REST = "Remaining Products"
 
 
 def top_products_by_sales(sl: DataFrame, n: int = 10, key: Sequence[str] = PRODUCT) -> DataFrame:
-    return top_by(sl, key, M.money(F.sum("sales")), "total_sales", n)
+    return top_by(sl, key, M.money(M.sum_money("sales")), "total_sales", n)
 
 
 def top_products_by_profit(sl: DataFrame, n: int = 10, key: Sequence[str] = PRODUCT) -> DataFrame:
-    return top_by(sl, key, M.money(F.sum("profit")), "total_profit", n)
+    return top_by(sl, key, M.money(M.sum_money("profit")), "total_profit", n)
 
 
 def loss_products(sl: DataFrame, n: int = 10, key: Sequence[str] = PRODUCT) -> DataFrame:
@@ -61,7 +61,7 @@ def sub_category_performance(sl: DataFrame) -> DataFrame:
 
 
 def product_totals(sl: DataFrame, key: Sequence[str] = PRODUCT) -> DataFrame:
-    return sl.groupBy(*key).agg(F.sum("sales").alias("total_sales"))
+    return sl.groupBy(*key).agg(M.sum_money("sales").alias("total_sales"))
 
 
 def product_sales_rank(sl: DataFrame, key: Sequence[str] = PRODUCT, **kw) -> DataFrame:
@@ -78,7 +78,7 @@ def top_product_per_category(sl: DataFrame, group: str = "category",
     the shuffle, so a category holding most products still moves one row
     per task.
     """
-    totals = sl.groupBy(group, *key).agg(F.sum("sales").alias("_s"))
+    totals = sl.groupBy(group, *key).agg(M.sum_money("sales").alias("_s"))
     w = Window.partitionBy(group).orderBy(F.col("_s").desc_nulls_first(),
                                           *[F.col(k).asc_nulls_last() for k in key])
     best = totals.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
@@ -108,6 +108,12 @@ def products_above_average(sl: DataFrame, key: Sequence[str] = PRODUCT_NAME) ->
 # ------------------------------------------------------------ ABC / Pareto
 
 
+def grand_total(sl: DataFrame) -> Column:
+    """All sales as a scalar subquery: one scan with a partial sum per task
+    (equal to the sum of the product totals, whose NULLs add nothing)."""
+    return sl.select(M.sum_money("sales")).scalar()
+
+
 def _share_class(cum: Column, overall: Column, bounds, default: str, strict: bool) -> Column:
     expr = None
     for share, label in bounds:
@@ -124,9 +130,8 @@ def _ranked_peers(sl: DataFrame, key: Sequence[str], **kw) -> tuple[DataFrame, C
     """Peer groups of product totals (descending) with their cumulative
     sales, and the grand total as a scalar subquery."""
     totals = product_totals(sl, key)
-    overall = totals.select(F.sum("total_sales")).scalar()
     p = O.peers(totals, [O.desc("total_sales")], "total_sales", **kw)
-    return p, overall
+    return p, grand_total(sl)
 
 
 def abc_summary(sl: DataFrame, key: Sequence[str] = PRODUCT_NAME, bounds=ABC_BOUNDS,
@@ -145,7 +150,7 @@ def abc_classes(sl: DataFrame, key: Sequence[str] = PRODUCT_NAME, bounds=ABC_BOU
                 default: str = ABC_DEFAULT, strict: bool = False, **kw) -> DataFrame:
     """ABC class of every product."""
     totals = product_totals(sl, key)
-    overall = totals.select(F.sum("total_sales")).scalar()
+    overall = grand_total(sl)
     cum = O.cumulative_sum(totals, "total_sales", [O.desc("total_sales")], out="_cum", **kw)
     return cum.select(
         *key, M.money("total_sales").alias("total_sales"),
@@ -156,7 +161,7 @@ def abc_classes(sl: DataFrame, key: Sequence[str] = PRODUCT_NAME, bounds=ABC_BOU
 def pareto_table(sl: DataFrame, key: Sequence[str] = PRODUCT, **kw) -> DataFrame:
     """Every product with its cumulative share of sales, in percent."""
     totals = product_totals(sl, key)
-    overall = totals.select(F.sum("total_sales")).scalar()
+    overall = grand_total(sl)
     cum = O.cumulative_sum(totals, "total_sales", [O.desc("total_sales")], out="_cum", **kw)
     return cum.select(
         *key, M.money("total_sales").alias("total_sales"),

@@ -77,7 +77,7 @@ def profitability_matrix(sl: DataFrame, key: Sequence[str] = PRODUCT_NAME,
     tests and lands in the last quadrant.
     """
     hh, hl, lh, ll = labels
-    totals = sl.groupBy(*key).agg(F.sum("sales").alias("_s"), F.sum("profit").alias("_p"))
+    totals = sl.groupBy(*key).agg(M.sum_money("sales").alias("_s"), M.sum_money("profit").alias("_p"))
     s_parts = _mean_parts(totals, "_s")
     p_parts = _mean_parts(totals, "_p")
     hi_s = at_or_above_mean(F.col("_s"), s_parts, strict=False)

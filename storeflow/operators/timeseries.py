@@ -31,7 +31,7 @@ def yoy_growth(sl: DataFrame) -> DataFrame:
     The window runs over one row per year, so its single partition holds
     only as many rows as there are years.
     """
-    yearly = sl.groupBy(order_year().alias("year")).agg(F.sum("sales").alias("_s"))
+    yearly = sl.groupBy(order_year().alias("year")).agg(M.sum_money("sales").alias("_s"))
     w = Window.orderBy(F.col("year").asc_nulls_last())
     return yearly.select(
         "year",
