@@ -53,7 +53,8 @@ def customer_sales_rank(sl: DataFrame, **kw) -> DataFrame:
 
     Runs as the distributed ordered scan: no single-partition window.
     """
-    ranked = O.rank(customer_totals(sl), [O.desc("total_sales")], out="sales_rank", **kw)
+    ranked = O.rank(customer_totals(sl), [O.desc("total_sales")], out="sales_rank",
+                    **O.bounded(sl, kw))
     return ranked.select(*CUSTOMER, M.money("total_sales").alias("total_sales"), "sales_rank")
 
 
@@ -114,7 +115,11 @@ def rfm_metrics(sl: DataFrame) -> DataFrame:
 def _scored(sl: DataFrame, tiles: int, orientation: str, **kw) -> DataFrame:
     """RFM base with r/f/m scores: NTILE over recency ascending, frequency
     and monetary descending, ties broken by the customer key."""
-    base = materialize(rfm_base(sl), "rfm")
+    kw = O.bounded(sl, kw)
+    base = rfm_base(sl)
+    small = O.fits_one_bucket(kw["max_rows"], kw.get("rows_per_bucket", O.ROWS_PER_BUCKET))
+    if not small:
+        base = materialize(base, "rfm")
     specs = [
         ("r_score", tiles, [O.asc("recency_days")]),
         ("f_score", tiles, [O.desc("frequency")]),
@@ -182,7 +187,11 @@ def rfm_segment_rank(sl: DataFrame, tiles: int = RFM_TILES, orientation: str = "
     The segment is the prefix of the distributed rank: a segment holding a
     third of all customers is still spread over many tasks.
     """
-    s = materialize(_segmented(sl, tiles, orientation, **kw), "rfm_segments")
+    kw = O.bounded(sl, kw)
+    s = _segmented(sl, tiles, orientation, **kw)
+    small = O.fits_one_bucket(kw["max_rows"], kw.get("rows_per_bucket", O.ROWS_PER_BUCKET))
+    if not small:
+        s = materialize(s, "rfm_segments")
     ranked = O.rank(s, [O.desc("monetary")], prefix=["customer_segment"], out="segment_rank",
                     materialized=True, **kw)
     return ranked.select(

@@ -153,6 +153,20 @@ def _choose_splits(df: DataFrame, key: Column, n: int, buckets: int) -> tuple[li
 # ---------------------------------------------------------------- the scan
 
 
+def bounded(lines: DataFrame, kw: dict) -> dict:
+    """``kw`` with ``max_rows`` set to the known row count of ``lines``:
+    any grouping of ``lines`` has at most that many rows."""
+    from ..sources.storage import known_rows
+
+    out = dict(kw)
+    out.setdefault("max_rows", known_rows(lines))
+    return out
+
+
+def fits_one_bucket(max_rows: int | None, rows_per_bucket: int = ROWS_PER_BUCKET) -> bool:
+    return max_rows is not None and max_rows <= rows_per_bucket
+
+
 def _plan_buckets(n: int, rows_per_bucket: int, max_buckets: int) -> int:
     return max(1, min(max_buckets, math.ceil(n / max(rows_per_bucket, 1))))
 
@@ -178,6 +192,7 @@ def scan(
     materialized: bool = False,
     source: DataFrame | None = None,
     n: int | None = None,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Add ``_rn`` (1-based position in the order within ``prefix``), for
     every column c in ``sums`` the inclusive running sum ``_run_<c>`` and
@@ -191,16 +206,23 @@ def scan(
     ``df``: splits and bucket statistics are taken from it, the windows
     run over ``df``.  Chained scans over one table pass it so that they
     never recompute what earlier windows computed.
+
+    ``max_rows`` is a proven upper bound on the rows of ``df`` (e.g. the
+    row count of the table it aggregates).  Within ``rows_per_bucket`` the
+    input is known to fit one bucket: it is neither written nor counted.
     """
     keys = _keys(order) + [asc(c) for c in tie_break]
     prefix = list(prefix)
-    if source is None:
-        df = df if materialized else materialize(df, "ordered")
-        source = df
-    base = source
-    if n is None:
-        n = base.count()
-    buckets = _plan_buckets(n, rows_per_bucket, max_buckets)
+    if fits_one_bucket(max_rows, rows_per_bucket):
+        buckets = 1
+    else:
+        if source is None:
+            df = df if materialized else materialize(df, "ordered")
+            source = df
+        base = source
+        if n is None:
+            n = base.count()
+        buckets = _plan_buckets(n, rows_per_bucket, max_buckets)
     sort_cols = [k.sort_col() for k in keys]
 
     if buckets == 1:
@@ -279,15 +301,20 @@ def ntile(df: DataFrame, k: int, order, tie_break=(), prefix=(), out="ntile", **
 
 
 def ntiles(df: DataFrame, specs, tie_break=(), prefix=(), materialized: bool = False,
-           **kw) -> DataFrame:
+           max_rows: int | None = None, **kw) -> DataFrame:
     """Several NTILEs over one table: ``specs`` is a list of
-    ``(out, k, order)``.  The table is written and counted once; each
-    NTILE adds one bucketed window pass."""
-    base = df if materialized else materialize(df, "ntiles")
-    n = base.count()
+    ``(out, k, order)``.  The table is written and counted once (unless
+    ``max_rows`` proves it fits one bucket); each NTILE adds one window
+    pass."""
+    if fits_one_bucket(max_rows, kw.get("rows_per_bucket", ROWS_PER_BUCKET)):
+        base, n = df, None
+    else:
+        base = df if materialized else materialize(df, "ntiles")
+        n = base.count()
     out = base
     for name, k, order in specs:
-        res = scan(out, order, tie_break, prefix, with_total=True, source=base, n=n, **kw)
+        res = scan(out, order, tie_break, prefix, with_total=True, source=None if n is None else base,
+                   n=n, max_rows=max_rows, **kw)
         out = res.withColumn(name, ntile_expr(F.col("_rn"), F.col("_n"), k)).drop("_rn", "_n")
     return out
 
@@ -318,7 +345,16 @@ def peers(
 
 
 def _joined_back(df, keys, prefix, value, col, out, materialized, kw) -> DataFrame:
-    # The input is read twice (peer table, join back): write it once.
+    # The input is read twice (peer table, join back): write it once,
+    # unless it is proven small.
+    small = fits_one_bucket(kw.get("max_rows"), kw.get("rows_per_bucket", ROWS_PER_BUCKET))
+    if small:
+        # Proven to fit one bucket: the plain window, one pass (default
+        # RANGE frame, so peers share the running sum).
+        w = Window.partitionBy(*prefix).orderBy(*[k.sort_col() for k in keys])
+        if value is None:
+            return df.withColumn(out, F.rank().over(w).cast("bigint"))
+        return df.withColumn(out, F.sum(value).over(w))
     base = df if materialized else materialize(df, "peers_in")
     p = peers(base, keys, value, prefix, **kw).select(*prefix, *[k.col for k in keys], col)
     joined = _null_safe_join(base, p, [*prefix, *[k.col for k in keys]])

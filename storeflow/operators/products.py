@@ -66,7 +66,8 @@ def product_totals(sl: DataFrame, key: Sequence[str] = PRODUCT) -> DataFrame:
 
 def product_sales_rank(sl: DataFrame, key: Sequence[str] = PRODUCT, **kw) -> DataFrame:
     """Every product with ``RANK() OVER (ORDER BY total_sales DESC)``."""
-    ranked = O.rank(product_totals(sl, key), [O.desc("total_sales")], out="sales_rank", **kw)
+    ranked = O.rank(product_totals(sl, key), [O.desc("total_sales")], out="sales_rank",
+                    **O.bounded(sl, kw))
     return ranked.select(*key, M.money("total_sales").alias("total_sales"), "sales_rank")
 
 
@@ -130,7 +131,7 @@ def _ranked_peers(sl: DataFrame, key: Sequence[str], **kw) -> tuple[DataFrame, C
     """Peer groups of product totals (descending) with their cumulative
     sales, and the grand total as a scalar subquery."""
     totals = product_totals(sl, key)
-    p = O.peers(totals, [O.desc("total_sales")], "total_sales", **kw)
+    p = O.peers(totals, [O.desc("total_sales")], "total_sales", **O.bounded(sl, kw))
     return p, grand_total(sl)
 
 
@@ -151,7 +152,8 @@ def abc_classes(sl: DataFrame, key: Sequence[str] = PRODUCT_NAME, bounds=ABC_BOU
     """ABC class of every product."""
     totals = product_totals(sl, key)
     overall = grand_total(sl)
-    cum = O.cumulative_sum(totals, "total_sales", [O.desc("total_sales")], out="_cum", **kw)
+    cum = O.cumulative_sum(totals, "total_sales", [O.desc("total_sales")], out="_cum",
+                           **O.bounded(sl, kw))
     return cum.select(
         *key, M.money("total_sales").alias("total_sales"),
         _share_class(F.col("_cum"), overall, bounds, default, strict).alias("abc_category"),
@@ -162,7 +164,8 @@ def pareto_table(sl: DataFrame, key: Sequence[str] = PRODUCT, **kw) -> DataFrame
     """Every product with its cumulative share of sales, in percent."""
     totals = product_totals(sl, key)
     overall = grand_total(sl)
-    cum = O.cumulative_sum(totals, "total_sales", [O.desc("total_sales")], out="_cum", **kw)
+    cum = O.cumulative_sum(totals, "total_sales", [O.desc("total_sales")], out="_cum",
+                           **O.bounded(sl, kw))
     return cum.select(
         *key, M.money("total_sales").alias("total_sales"),
         M.ratio(F.col("_cum"), overall, factor=100).alias("cumulative_sales_pct"),

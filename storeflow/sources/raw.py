@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.text import REPLACEMENT_CHAR
 from ..schema import RAW_TO_CLEAN
 from ..session import scratch_path
-from .storage import write_table
+from .storage import read_counted, write_table
 from .tables import (
     CITY, COUNTRY, POSTAL_CODE, _discount, _profit, _sales, joined_lines, read_table,
 )
@@ -91,7 +91,7 @@ def bronze_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         tag = hashlib.sha1(folder.encode()).hexdigest()[:12]
         path = scratch_path(spark, "bronze", f"raw_lines-{tag}")
         write_table(raw_lines(spark, sf_dir), path)
-        _BRONZE[key] = spark.read.parquet(path)
+        _BRONZE[key] = read_counted(spark, path)
     return _BRONZE[key]
 
 

@@ -10,11 +10,30 @@ readers column pruning and filter push-down.
 from __future__ import annotations
 
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame
 
 from ..session import scratch_path
 
+# Exact row counts of written tables, by DataFrame object.  An aggregate
+# of such a table has at most that many rows: a proven bound that lets
+# ordered scans skip counting small inputs.
+_ROWS: "weakref.WeakKeyDictionary[DataFrame, int]" = weakref.WeakKeyDictionary()
+
+
+def known_rows(df: DataFrame) -> int | None:
+    """Row count of ``df`` if it is a written table counted earlier."""
+    return _ROWS.get(df)
+
+
+def read_counted(spark, path: str) -> DataFrame:
+    """Read a written Parquet table and record its row count (a cheap
+    count: Parquet footers hold the row counts)."""
+    df = spark.read.parquet(path)
+    _ROWS[df] = df.count()
+    return df
+
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write ``df`` as Parquet (``mode("overwrite")`` = drop-if-exists)."""

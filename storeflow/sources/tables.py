@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.joins import maybe_broadcast
 from ..session import scratch_path
-from .storage import write_table
+from .storage import read_counted, write_table
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -139,6 +139,6 @@ def silver_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = hashlib.sha1(folder.encode()).hexdigest()[:12]
     path = scratch_path(spark, "silver", f"sales_lines-{tag}")
     write_table(sales_lines(spark, sf_dir), path)
-    df = spark.read.parquet(path)
+    df = read_counted(spark, path)
     _SILVER[key] = df
     return df
