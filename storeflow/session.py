@@ -58,18 +58,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     read.  When it is unset (a bare local session, as in some tests) a
     fresh scratch folder is created and set.
     """
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
+        try:
+            configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        except Exception:  # noqa: BLE001 - no SparkContext on Spark Connect
+            configured = None
     if not configured:
         configured = tempfile.mkdtemp(prefix="storeflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(configured)
     return configured
 
 
+def app_id(spark: SparkSession) -> str:
+    return spark.conf.get("spark.app.id", None) or "app"
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Cores the session schedules on (default parallelism)."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no SparkContext on Spark Connect
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path for written intermediate tables, under the checkpoint folder.
 
@@ -77,5 +89,4 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     sharing one folder never overwrite each other.
     """
     base = ensure_checkpoint_dir(spark)
-    app = spark.sparkContext.applicationId
-    return os.path.join(base, "storeflow", app, *parts)
+    return os.path.join(base, "storeflow", app_id(spark), *parts)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import REPLACEMENT_CHAR
 from ..schema import RAW_TO_CLEAN
-from ..session import scratch_path
+from ..session import app_id, scratch_path
 from .storage import read_counted, write_table
 from .tables import (
     CITY, COUNTRY, POSTAL_CODE, _discount, _profit, _sales, joined_lines, read_table,
@@ -86,7 +86,7 @@ def bronze_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``raw_lines`` written once per application and folder (the raw
     snapshot every cleaning query reads)."""
     folder = os.path.abspath(sf_dir)
-    key = (spark.sparkContext.applicationId, folder)
+    key = (app_id(spark), folder)
     if key not in _BRONZE:
         tag = hashlib.sha1(folder.encode()).hexdigest()[:12]
         path = scratch_path(spark, "bronze", f"raw_lines-{tag}")

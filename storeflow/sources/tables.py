@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.joins import maybe_broadcast
-from ..session import scratch_path
+from ..session import app_id, parallelism, scratch_path
 from .storage import read_counted, write_table
 
 TABLES = (
@@ -46,8 +46,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     job).  A large table already has more splits than cores, so at scale
     this adds no shuffle.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    target = min_partitions or parallelism(df.sparkSession)
+    try:
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD API on Spark Connect: leave as is
+        return df
+    return df.repartition(target) if splits < target else df
 
 
 def _sales(extended_price: Column) -> Column:
@@ -132,7 +136,7 @@ _SILVER: dict[tuple[str, str], DataFrame] = {}
 def silver_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``sales_lines`` written once per application and folder, read back."""
     folder = os.path.abspath(sf_dir)
-    key = (spark.sparkContext.applicationId, folder)
+    key = (app_id(spark), folder)
     cached = _SILVER.get(key)
     if cached is not None:
         return cached
