@@ -7,25 +7,30 @@ Here the same results come from range buckets:
 1. The input (one row per entity, e.g. per customer) is written once and
    counted.  Bucket count B = ceil(n / rows_per_bucket), at most
    ``max_buckets``.
-2. For B > 1 a Bernoulli sample of about 32 * B sort keys is collected and
-   B - 1 split keys are taken from it.  The splits only affect balance,
-   never the result.
-3. ``bucket`` = number of splits <= the row's key: a pure expression of the
-   row (a binary search of nested CASE WHENs), so task retries and AQE
-   cannot move a row to another bucket.  The key includes the tie-break,
-   so a value shared by a third of all rows is still spread over buckets.
-4. Per (prefix, bucket): count and sums, turned into exclusive offsets by a
-   window over at most ``B`` rows per prefix, joined back (broadcast when
-   the table is proven small).
-5. Inside a bucket: an ordinary window partitioned by (prefix, bucket).
+2. For B > 1 the table is range-partitioned into B partitions on
+   (prefix, order, tie-break) -- Spark samples the keys and assigns each
+   row by binary search over the bounds -- and written once together with
+   its partition id as the bucket.  From then on the bucket is data:
+   retries, AQE and later reads cannot move a row.  The key includes the
+   tie-break, so a value shared by a third of all rows is still spread
+   over many buckets.
+3. Per (prefix, bucket): count and sums, turned into exclusive offsets by
+   a window over at most B rows per prefix, joined back (broadcast: at
+   most ``max_buckets`` rows per prefix value, checked when a prefix is
+   present).
+4. Inside a bucket: an ordinary window partitioned by (prefix, bucket);
+   global position = bucket offset + local position.
 
 ``rank`` and the RANGE running sum depend on peers (rows with equal sort
 values).  They first aggregate to one row per distinct (prefix, value) --
 hot values collapse to one row in the map-side partial aggregate -- scan
 that peer table, and join the result back on the value.
 
+When the input is proven to have at most ``rows_per_bucket`` rows (see
+``bounded``) it is one bucket: the plain window, nothing written.
+
 Sums are exact (decimal), so every path returns exactly what the plain
-single-partition window returns; the tests hold both to equality.
+single-partition window returns; the tests hold them to equality.
 """
 
 from __future__ import annotations
@@ -36,15 +41,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.joins import maybe_broadcast
 from ..sources.storage import materialize
 
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 10_000
-SAMPLES_PER_BUCKET = 32
-SEED = 17
 
 
 @dataclass(frozen=True)
@@ -79,78 +81,7 @@ def _keys(order: Sequence[SortKey | str]) -> list[SortKey]:
     return [k if isinstance(k, SortKey) else asc(k) for k in order]
 
 
-# ----------------------------------------------------------------- encoding
-
-
-def _negate(c: Column, dtype: T.DataType) -> Column:
-    if isinstance(dtype, (T.DecimalType, T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
-        return -c
-    if isinstance(dtype, T.DateType):
-        return -F.unix_date(c)
-    if isinstance(dtype, T.BooleanType):
-        return ~c
-    raise TypeError(f"descending distributed order on {dtype.simpleString()} is not supported")
-
-
-def _encoded(df: DataFrame, keys: Sequence[SortKey]) -> Column:
-    """A struct whose ascending order is the requested order of ``keys``.
-
-    Each key contributes (null flag, value), the value negated when the key
-    is descending, so the struct order equals the window's order.
-    """
-    types = {f.name: f.dataType for f in df.schema.fields}
-    fields: list[Column] = []
-    for i, k in enumerate(keys):
-        c = F.col(k.col)
-        dtype = types[k.col]
-        if isinstance(dtype, (T.FloatType, T.DoubleType)):
-            raise TypeError("floating point sort keys are not supported (NaN order)")
-        flag = F.when(c.isNull(), 0 if k.nf else 1).otherwise(1 if k.nf else 0)
-        value = _negate(c, dtype) if k.descending else c
-        fields += [flag.alias(f"f{i}"), value.alias(f"v{i}")]
-    return F.struct(*fields)
-
-
-def _py_key(row) -> tuple:
-    # Equal flags imply both values null or both non-null, so a None never
-    # meets a value; strings compare by code point = Spark's UTF-8 order.
-    return tuple((0,) if v is None else (1, v) for v in row)
-
-
-def _lit_struct(values, dtypes: Sequence[T.DataType], names: Sequence[str]) -> Column:
-    return F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(values, dtypes, names)])
-
-
-def _bucket_expr(key: Column, splits: list, dtypes, names) -> Column:
-    """Number of ``splits`` (sorted, distinct) that are <= ``key``."""
-
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        bound = _lit_struct(splits[mid], dtypes, names)
-        return F.when(key < bound, build(lo, mid)).otherwise(build(mid + 1, hi))
-
-    return build(0, len(splits))
-
-
-def _choose_splits(df: DataFrame, key: Column, n: int, buckets: int) -> tuple[list, list, list]:
-    enc = df.select(key.alias("k"))
-    struct_type = enc.schema["k"].dataType
-    dtypes = [f.dataType for f in struct_type.fields]
-    names = [f.name for f in struct_type.fields]
-    fraction = min(1.0, SAMPLES_PER_BUCKET * buckets / max(n, 1))
-    rows = [tuple(r["k"]) for r in enc.sample(False, fraction, SEED).collect()]
-    rows.sort(key=_py_key)
-    splits: list = []
-    for i in range(1, buckets):
-        cand = rows[i * len(rows) // buckets] if rows else None
-        if cand is not None and (not splits or _py_key(cand) > _py_key(splits[-1])):
-            splits.append(cand)
-    return splits, dtypes, names
-
-
-# ---------------------------------------------------------------- the scan
+# ------------------------------------------------------------------ sizing
 
 
 def bounded(lines: DataFrame, kw: dict) -> dict:
@@ -180,6 +111,16 @@ def _null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> D
     return joined.drop(*[f"__r_{c}" for c in cols])
 
 
+def range_buckets(df: DataFrame, sort_cols: Sequence[Column], buckets: int) -> DataFrame:
+    """``df`` range-partitioned into ``buckets`` on ``sort_cols``, written
+    with the partition id as column ``_b`` (bucket order = sort order)."""
+    ranged = df.repartitionByRange(buckets, *sort_cols)
+    return materialize(ranged.withColumn("_b", F.spark_partition_id()), "buckets")
+
+
+# ---------------------------------------------------------------- the scan
+
+
 def scan(
     df: DataFrame,
     order: Sequence[SortKey | str],
@@ -190,7 +131,6 @@ def scan(
     rows_per_bucket: int = ROWS_PER_BUCKET,
     max_buckets: int = MAX_BUCKETS,
     materialized: bool = False,
-    source: DataFrame | None = None,
     n: int | None = None,
     max_rows: int | None = None,
 ) -> DataFrame:
@@ -202,28 +142,19 @@ def scan(
     The order is ``order`` then ``tie_break`` (ascending); rows equal on
     both are numbered in an arbitrary but consistent way.
 
-    ``source`` is a written table holding the same rows (key values) as
-    ``df``: splits and bucket statistics are taken from it, the windows
-    run over ``df``.  Chained scans over one table pass it so that they
-    never recompute what earlier windows computed.
-
     ``max_rows`` is a proven upper bound on the rows of ``df`` (e.g. the
-    row count of the table it aggregates).  Within ``rows_per_bucket`` the
-    input is known to fit one bucket: it is neither written nor counted.
+    row count of the table it aggregates); ``n`` its exact row count when
+    already known.  Within ``rows_per_bucket`` the input is one bucket.
     """
     keys = _keys(order) + [asc(c) for c in tie_break]
     prefix = list(prefix)
-    if fits_one_bucket(max_rows, rows_per_bucket):
-        buckets = 1
-    else:
-        if source is None:
-            df = df if materialized else materialize(df, "ordered")
-            source = df
-        base = source
+    sort_cols = [k.sort_col() for k in keys]
+    buckets = 1
+    if not fits_one_bucket(max_rows, rows_per_bucket):
         if n is None:
-            n = base.count()
+            df = df if materialized else materialize(df, "ordered")
+            n = df.count()
         buckets = _plan_buckets(n, rows_per_bucket, max_buckets)
-    sort_cols = [k.sort_col() for k in keys]
 
     if buckets == 1:
         # At most rows_per_bucket rows: one window partition is bounded.
@@ -237,14 +168,12 @@ def scan(
             out = out.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*prefix)))
         return out
 
-    key = _encoded(base, keys)
-    splits, dtypes, names = _choose_splits(base, key, n, buckets)
-    bucket = _bucket_expr(key, splits, dtypes, names)
+    rows = range_buckets(df, [F.col(p).asc_nulls_first() for p in prefix] + sort_cols, buckets)
 
     stat_aggs = [F.count(F.lit(1)).alias("_bn")]
     for c in sums:
         stat_aggs += [F.sum(c).alias(f"_bs_{c}"), F.count(c).alias(f"_bc_{c}")]
-    stats = base.withColumn("_b", bucket).groupBy(*prefix, "_b").agg(*stat_aggs)
+    stats = rows.groupBy(*prefix, "_b").agg(*stat_aggs)
     wb = Window.partitionBy(*prefix).orderBy("_b")
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
     offs = [F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off_n")]
@@ -256,10 +185,10 @@ def scan(
     if with_total:
         offs.append(F.sum("_bn").over(Window.partitionBy(*prefix)).alias("_n"))
     stats = stats.select(*prefix, "_b", *offs)
-    # Without a prefix the table has at most len(splits) + 1 <= max_buckets
-    # rows; with one, broadcast only after a bounded row-count check.
+    # Without a prefix the table has at most B <= max_buckets rows; with
+    # one, broadcast only after a bounded row-count check.
     small = F.broadcast(stats) if not prefix else maybe_broadcast(stats)
-    rows = _null_safe_join(df.withColumn("_b", bucket), small, [*prefix, "_b"])
+    rows = _null_safe_join(rows, small, [*prefix, "_b"])
 
     w = Window.partitionBy(*prefix, "_b").orderBy(*sort_cols)
     w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -304,17 +233,15 @@ def ntiles(df: DataFrame, specs, tie_break=(), prefix=(), materialized: bool = F
            max_rows: int | None = None, **kw) -> DataFrame:
     """Several NTILEs over one table: ``specs`` is a list of
     ``(out, k, order)``.  The table is written and counted once (unless
-    ``max_rows`` proves it fits one bucket); each NTILE adds one window
-    pass."""
-    if fits_one_bucket(max_rows, kw.get("rows_per_bucket", ROWS_PER_BUCKET)):
-        base, n = df, None
-    else:
-        base = df if materialized else materialize(df, "ntiles")
-        n = base.count()
-    out = base
+    ``max_rows`` proves it fits one bucket); each NTILE then adds one
+    range-bucketed window pass."""
+    n = None
+    if not fits_one_bucket(max_rows, kw.get("rows_per_bucket", ROWS_PER_BUCKET)):
+        df = df if materialized else materialize(df, "ntiles")
+        n = df.count()
+    out = df
     for name, k, order in specs:
-        res = scan(out, order, tie_break, prefix, with_total=True, source=None if n is None else base,
-                   n=n, max_rows=max_rows, **kw)
+        res = scan(out, order, tie_break, prefix, with_total=True, n=n, max_rows=max_rows, **kw)
         out = res.withColumn(name, ntile_expr(F.col("_rn"), F.col("_n"), k)).drop("_rn", "_n")
     return out
 
@@ -345,8 +272,6 @@ def peers(
 
 
 def _joined_back(df, keys, prefix, value, col, out, materialized, kw) -> DataFrame:
-    # The input is read twice (peer table, join back): write it once,
-    # unless it is proven small.
     small = fits_one_bucket(kw.get("max_rows"), kw.get("rows_per_bucket", ROWS_PER_BUCKET))
     if small:
         # Proven to fit one bucket: the plain window, one pass (default
@@ -355,6 +280,7 @@ def _joined_back(df, keys, prefix, value, col, out, materialized, kw) -> DataFra
         if value is None:
             return df.withColumn(out, F.rank().over(w).cast("bigint"))
         return df.withColumn(out, F.sum(value).over(w))
+    # The input is read twice (peer table, join back): write it once.
     base = df if materialized else materialize(df, "peers_in")
     p = peers(base, keys, value, prefix, **kw).select(*prefix, *[k.col for k in keys], col)
     joined = _null_safe_join(base, p, [*prefix, *[k.col for k in keys]])

@@ -62,11 +62,13 @@ def test_hot_value_is_spread_over_buckets(spark):
     # A third of all rows share one value: the tie-break still splits them.
     rows = [(i, "a", Decimal("1.00"), 7 if i % 3 == 0 else i) for i in range(300)]
     df = _df(spark, rows)
-    base = df.select("id", "f")
-    key = O._encoded(base, [O.desc("f"), O.asc("id")])
-    splits, dtypes, names = O._choose_splits(base, key, 300, 10)
-    counts = base.withColumn("b", O._bucket_expr(key, splits, dtypes, names)).groupBy("b").count()
-    assert max(r["count"] for r in counts.collect()) < 100
+    tagged = O.range_buckets(df, [F.col("f").desc_nulls_first(), F.col("id").asc_nulls_last()], 10)
+    sizes = [r["count"] for r in tagged.groupBy("_b").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 100
+    # buckets follow the order: every key of bucket b sorts before bucket b+1
+    edges = tagged.groupBy("_b").agg(F.max("f").alias("hi"), F.min("f").alias("lo")).collect()
+    edges = sorted(edges, key=lambda r: r["_b"])
+    assert all(a["lo"] >= b["hi"] for a, b in zip(edges, edges[1:]))
     got = O.ntile(df, 5, [O.desc("f")], ["id"], out="t", rows_per_bucket=30)
     want = df.withColumn("t", F.ntile(5).over(O.plain_window([O.desc("f")], ["id"])))
     assert _same(got, want, ["id", "t"])
