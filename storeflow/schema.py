@@ -38,6 +38,20 @@ RAW_TO_CLEAN = {
 }
 
 RAW_COLUMNS = list(RAW_TO_CLEAN)
+
+# Types of the raw source: dates are text, money is floating point, the
+# postal code is an integer (it loses leading zeros on load).
+RAW_TYPES: dict[str, T.DataType] = {
+    c: T.StringType() for c in RAW_COLUMNS
+} | {
+    "Row ID": T.StringType(),
+    "Postal Code": T.IntegerType(),
+    "Sales": T.DoubleType(),
+    "Quantity": T.IntegerType(),
+    "Discount": T.DoubleType(),
+    "Profit": T.DoubleType(),
+}
+RAW_SCHEMA = T.StructType([T.StructField(c, RAW_TYPES[c], True) for c in RAW_COLUMNS])
 CLEAN_COLUMNS = list(RAW_TO_CLEAN.values())
 
 MONEY = T.DecimalType(12, 2)
