@@ -175,7 +175,7 @@ def rfm_segment_summary(sl: DataFrame, tiles: int = RFM_TILES, orientation: str
     s = _segmented(sl, tiles, orientation, **kw)
     return summarize(s, ["customer_segment"], [
         F.count(F.lit(1)).cast("bigint").alias("customers_count"),
-        M.money(F.sum("monetary")).alias("total_sales"),
+        M.money(M.sum_money("monetary")).alias("total_sales"),
         M.mean("monetary").alias("avg_customer_sales"),
     ], order=[desc("total_sales")])
 

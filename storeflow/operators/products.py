@@ -143,7 +143,7 @@ def abc_summary(sl: DataFrame, key: Sequence[str] = PRODUCT_NAME, bounds=ABC_BOU
     classed = p.withColumn("abc_category", _share_class(F.col("_cum"), overall, bounds, default, strict))
     return classed.groupBy("abc_category").agg(
         F.sum("_cnt").cast("bigint").alias("products_count"),
-        M.money(F.sum("_sum")).alias("total_sales"),
+        M.money(M.sum_money("_sum")).alias("total_sales"),
     ).orderBy(asc("abc_category"))
 
 
@@ -189,7 +189,7 @@ def pareto_groups(sl: DataFrame, key: Sequence[str] = PRODUCT, bound: str = PARE
     label = _share_class(F.col("_cum"), overall, ((bound, PARETO_TOP),), PARETO_REST, strict)
     return p.groupBy(label.alias("pareto_group")).agg(
         F.sum("_cnt").cast("bigint").alias("products_count"),
-        M.money(F.sum("_sum")).alias("total_sales"),
+        M.money(M.sum_money("_sum")).alias("total_sales"),
     )
 
 
