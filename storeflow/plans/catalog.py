@@ -91,6 +91,11 @@ def _parse(col: str) -> str:
     return f"CAST(try_strptime({col}, '%m/%d/%Y') AS DATE)"
 
 
+_OD, _SD = _parse('"Order Date"'), _parse('"Ship Date"')
+_BAD_DATE = (f'("Order Date" IS NOT NULL AND {_OD} IS NULL) OR '
+             f'("Ship Date" IS NOT NULL AND {_SD} IS NULL)')
+
+
 reg("raw_snapshot", _on_raw(lambda raw: raw), with_raw(f"SELECT {RAW_COLS} FROM raw"))
 reg("row_count_raw", _on_raw(Qy.row_count), with_raw("SELECT CAST(COUNT(*) AS BIGINT) AS total_rows FROM raw"))
 reg("null_audit", _on_raw(Qy.null_audit), with_raw(
@@ -124,10 +129,7 @@ reg("corrupt_name_report", _on_raw(lambda raw: Qy.corrupt_name_report(C.rename(r
 reg("fix_customer_names",
     lambda spark, sf: C.fixed_customer_names(bronze_lines(spark, sf), name_corrections(spark, sf)),
     with_sl(f"SELECT DISTINCT {CUST} FROM sl"))
-reg("invalid_dates", _on_raw(Qy.invalid_dates), with_raw(
-    f"SELECT {RAW_COLS} FROM raw WHERE "
-    f"(\"Order Date\" IS NOT NULL AND {_parse(chr(34) + 'Order Date' + chr(34))} IS NULL) OR "
-    f"(\"Ship Date\" IS NOT NULL AND {_parse(chr(34) + 'Ship Date' + chr(34))} IS NULL)"))
+reg("invalid_dates", _on_raw(Qy.invalid_dates), with_raw(f"SELECT {RAW_COLS} FROM raw WHERE {_BAD_DATE}"))
 reg("bad_ship_dates", _on_sl(Qy.bad_ship_dates), with_sl("SELECT * FROM sl WHERE ship_date < order_date"))
 reg("negative_sales", _on_sl(Qy.negative_sales), with_sl("SELECT * FROM sl WHERE sales < 0"))
 reg("bad_quantity", _on_sl(Qy.bad_quantity), with_sl("SELECT * FROM sl WHERE quantity <= 0"))
@@ -146,7 +148,6 @@ reg("entity_counts", _on_sl(Qy.entity_counts), with_sl(
     f"{cnt('COUNT(DISTINCT customer_id)')} AS total_customers, "
     f"{cnt('COUNT(DISTINCT product_id)')} AS total_products FROM sl"))
 
-_OD, _SD = _parse('"Order Date"'), _parse('"Ship Date"')
 _NULLS = " OR ".join(f'"{c}" IS NULL' for c in
                      ["Order ID", "Order Date", "Customer ID", "Product ID", "Sales", "Quantity", "Profit"])
 reg("quality_summary", _on_raw(Qy.quality_summary), with_raw(
@@ -155,9 +156,7 @@ reg("quality_summary", _on_raw(Qy.quality_summary), with_raw(
         f"SELECT 'missing_values', CAST(COUNT(*) FILTER (WHERE {_NULLS}) AS BIGINT) FROM raw",
         "SELECT 'duplicate_rows', CAST(COALESCE(SUM(c - 1), 0) AS BIGINT) FROM "
         f"(SELECT COUNT(*) AS c FROM raw GROUP BY {RAW_COLS} HAVING COUNT(*) > 1) d",
-        "SELECT 'invalid_dates', CAST(COUNT(*) FILTER (WHERE "
-        f"(\"Order Date\" IS NOT NULL AND {_OD} IS NULL) OR (\"Ship Date\" IS NOT NULL AND {_SD} IS NULL)"
-        ") AS BIGINT) FROM raw",
+        f"SELECT 'invalid_dates', CAST(COUNT(*) FILTER (WHERE {_BAD_DATE}) AS BIGINT) FROM raw",
         f"SELECT 'shipped_before_ordered', CAST(COUNT(*) FILTER (WHERE {_SD} < {_OD}) AS BIGINT) FROM raw",
         "SELECT 'negative_sales', CAST(COUNT(*) FILTER (WHERE CAST(\"Sales\" AS DECIMAL(12,2)) < 0) "
         "AS BIGINT) FROM raw",
