@@ -145,3 +145,17 @@ def test_empty_table(lines, spark):
     assert _rows(A.business_overview(empty))[0]["total_orders"] == 0
     assert _rows(P.abc_summary(empty)) == []
     assert _rows(U.rfm_segment_summary(empty)) == []
+
+
+def test_null_totals_sort_first_descending(lines):
+    # PostgreSQL order: NULLs first for DESC, last for ASC
+    rows = [line(1, state="A", sales="5.00", profit="1.00"),
+            line(2, state="N", sales=None, profit=None),
+            line(3, state="B", sales="9.00", profit="-1.00")]
+    top = [r["state"] for r in A.top_by(lines(rows), ["state"], A.M.money(F.sum("sales")),
+                                      "total_sales", n=3).collect()]
+    assert top == ["N", "B", "A"]
+    worst = [r["state"] for r in A.loss_groups(lines(rows), ["state"]).collect()]
+    assert worst == ["B"]  # NULL profit is not < 0
+    ranked = {r["customer_id"]: r["sales_rank"] for r in U.customer_sales_rank(lines(rows)).collect()}
+    assert ranked == {"C2": 1, "C3": 2, "C1": 3}
