@@ -14,7 +14,7 @@ from ..functions.bands import band
 from .aggregates import (
     asc, desc, line_count, loss_groups, performance_by, summarize, total_profit, total_sales,
 )
-from .products import PRODUCT_NAME, _mean_parts, at_or_above_mean, product_totals
+from .products import PRODUCT_NAME, _mean_parts, at_or_above_mean
 
 # Discount bands (first match wins) and the default band.
 DISCOUNT_BANDS = [

@@ -24,7 +24,6 @@ from ..operators import quality as Qy
 from ..operators import timeseries as TS
 from ..sources.raw import bronze_lines, name_corrections
 from ..sources.tables import silver_lines
-from . import sqltext as S
 from .sqltext import cnt, mean, money, round_ratio, with_sl
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -385,4 +384,4 @@ def oracle_sql() -> dict[str, str]:
     return {k: s for k, (_, s) in REGISTRY.items() if s is not None}
 
 
-__all__ = ["REGISTRY", "queries", "oracle_sql", "S"]
+__all__ = ["REGISTRY", "queries", "oracle_sql"]

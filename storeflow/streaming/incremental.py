@@ -11,7 +11,6 @@ Exact distinct counts are not available on streams and are not offered.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import money as M
