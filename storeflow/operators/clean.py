@@ -62,9 +62,11 @@ def fix_names(df: DataFrame, corrections: DataFrame, col: str = "customer_name")
     """Replace exact matches of ``corrections.wrong`` in ``col`` by ``right``.
 
     A left join on the name: the dictionary is broadcast when its row count
-    is proven small, shuffled otherwise.
+    is proven small, shuffled otherwise.  It is first reduced to one rule
+    per wrong spelling (the smallest replacement), so the join can never
+    duplicate a line.
     """
-    d = corrections.select(F.col("wrong").alias("_wrong"), F.col("right").alias("_right"))
+    d = corrections.groupBy(F.col("wrong").alias("_wrong")).agg(F.min("right").alias("_right"))
     joined = df.join(maybe_broadcast(d), F.col(col) == F.col("_wrong"), "left")
     return joined.select(
         *[F.coalesce(F.col("_right"), F.col(c)).alias(c) if c == col else F.col(c)

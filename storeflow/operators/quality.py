@@ -153,21 +153,29 @@ def quality_summary(raw: DataFrame, pattern: str = DATE_PATTERN) -> DataFrame:
     rows, missing_values (a critical column NULL), duplicate_rows,
     invalid_dates, shipped_before_ordered, negative_sales, invalid_quantity.
     """
-    od = parse_date(_q("Order Date"), pattern)
-    sd = parse_date(_q("Ship Date"), pattern)
     any_null = None
     for c in CRITICAL_RAW_COLUMNS:
         cond = _q(c).isNull()
         any_null = cond if any_null is None else (any_null | cond)
-    bad_date = ((_q("Order Date").isNotNull() & od.isNull())
-                | (_q("Ship Date").isNotNull() & sd.isNull()))
-    one = raw.agg(
+    # Parse each date once per row, then count every rule in one pass.
+    parsed = raw.select(
+        any_null.alias("_null"),
+        _q("Order Date").isNotNull().alias("_has_od"),
+        _q("Ship Date").isNotNull().alias("_has_sd"),
+        parse_date(_q("Order Date"), pattern).alias("_od"),
+        parse_date(_q("Ship Date"), pattern).alias("_sd"),
+        _q("Sales").cast("decimal(12,2)").alias("_sales"),
+        _q("Quantity").alias("_qty"),
+    )
+    od, sd = F.col("_od"), F.col("_sd")
+    bad_date = (F.col("_has_od") & od.isNull()) | (F.col("_has_sd") & sd.isNull())
+    one = parsed.agg(
         F.count(F.lit(1)).cast("bigint").alias("rows"),
-        F.count_if(any_null).cast("bigint").alias("missing_values"),
+        F.count_if(F.col("_null")).cast("bigint").alias("missing_values"),
         F.count_if(bad_date).cast("bigint").alias("invalid_dates"),
         F.count_if(sd < od).cast("bigint").alias("shipped_before_ordered"),
-        F.count_if(_q("Sales").cast("decimal(12,2)") < 0).cast("bigint").alias("negative_sales"),
-        F.count_if(_q("Quantity") <= 0).cast("bigint").alias("invalid_quantity"),
+        F.count_if(F.col("_sales") < 0).cast("bigint").alias("negative_sales"),
+        F.count_if(F.col("_qty") <= 0).cast("bigint").alias("invalid_quantity"),
     )
     # The duplicate count is one value: a scalar subquery, not a join.
     wide = one.withColumn("duplicate_rows", full_duplicate_count(raw).scalar())

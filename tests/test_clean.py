@@ -99,3 +99,11 @@ def test_corrupt_name_report_and_unicode_spaces(raw, spark):
 def test_schema_report(raw):
     rep = {r["column_name"]: r["data_type"] for r in Q.schema_report(raw([raw_row(1)])).collect()}
     assert rep["Postal Code"] == "int" and rep["Sales"] == "double" and len(rep) == 21
+
+
+def test_conflicting_corrections_never_duplicate_lines(raw, spark):
+    rows = [raw_row(1, **{"Customer Name": f"Jo{FFFD}l"}), raw_row(2)]
+    d = C.corrections_frame(spark, [(f"Jo{FFFD}l", "Joël"), (f"Jo{FFFD}l", "Joel")])
+    out = C.clean(raw(rows), d).collect()
+    assert len(out) == 2
+    assert {r["customer_name"] for r in out} == {"Joel", "Anna"}
