@@ -103,11 +103,14 @@ def _plan_buckets(n: int, rows_per_bucket: int, max_buckets: int) -> int:
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Join on ``cols`` treating NULL = NULL; keeps the left copies."""
+    """Equi-join on ``cols`` treating NULL = NULL; keeps the left copies.
+    Never a cross join: at least one key is required."""
+    if not cols:
+        raise ValueError("a join key is required")
     ren = right.select(*[F.col(c).alias(f"__r_{c}") if c in cols else F.col(c)
                          for c in right.columns])
     cond = [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in cols]
-    joined = left.join(ren, cond) if cond else left.join(ren)
+    joined = left.join(ren, cond)
     return joined.drop(*[f"__r_{c}" for c in cols])
 
 
