@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from ..functions import money as M
 from ..functions.bands import band
-from ..sources.storage import materialize
 from . import ordered as O
 from .aggregates import asc, desc, distinct_count, summarize, top_by, total_profit, total_sales
 
@@ -115,17 +114,13 @@ def rfm_metrics(sl: DataFrame) -> DataFrame:
 def _scored(sl: DataFrame, tiles: int, orientation: str, **kw) -> DataFrame:
     """RFM base with r/f/m scores: NTILE over recency ascending, frequency
     and monetary descending, ties broken by the customer key."""
-    kw = O.bounded(sl, kw)
-    base = rfm_base(sl)
-    small = O.fits_one_bucket(kw["max_rows"], kw.get("rows_per_bucket", O.ROWS_PER_BUCKET))
-    if not small:
-        base = materialize(base, "rfm")
     specs = [
         ("r_score", tiles, [O.asc("recency_days")]),
         ("f_score", tiles, [O.desc("frequency")]),
         ("m_score", tiles, [O.desc("monetary")]),
     ]
-    scored = O.ntiles(base, specs, tie_break=CUSTOMER, materialized=True, **kw)
+    # Written once and counted unless the line count proves it small.
+    scored = O.ntiles(rfm_base(sl), specs, tie_break=CUSTOMER, **O.bounded(sl, kw))
     if orientation == "high_is_best":
         scored = scored.select(
             *[c for c in scored.columns if not c.endswith("_score")],
@@ -189,11 +184,7 @@ def rfm_segment_rank(sl: DataFrame, tiles: int = RFM_TILES, orientation: str = "
     """
     kw = O.bounded(sl, kw)
     s = _segmented(sl, tiles, orientation, **kw)
-    small = O.fits_one_bucket(kw["max_rows"], kw.get("rows_per_bucket", O.ROWS_PER_BUCKET))
-    if not small:
-        s = materialize(s, "rfm_segments")
-    ranked = O.rank(s, [O.desc("monetary")], prefix=["customer_segment"], out="segment_rank",
-                    materialized=True, **kw)
+    ranked = O.rank(s, [O.desc("monetary")], prefix=["customer_segment"], out="segment_rank", **kw)
     return ranked.select(
         "customer_segment", "customer_name", M.money("monetary").alias("total_sales"), "segment_rank",
     ).orderBy(asc("customer_segment"), asc("segment_rank"))
