@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.text import REPLACEMENT_CHAR
 from ..schema import RAW_TO_CLEAN
 from ..session import app_id, scratch_path
-from .storage import read_counted, write_table
+from .storage import materialize, read_counted, write_table
 from .tables import (
     CITY, COUNTRY, POSTAL_CODE, _discount, _profit, _sales, joined_lines, read_table,
 )
@@ -104,4 +104,6 @@ def name_corrections(spark: SparkSession, sf_dir: str, raw: DataFrame | None = N
            .distinct())
     cust = read_table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("_id"), F.col("c_name").alias("right"))
-    return bad.join(cust, "_id").select("wrong", "right").distinct()
+    # Derived by a pass over all raw names: written once, so the size check
+    # before the broadcast and the join itself read the small result.
+    return materialize(bad.join(cust, "_id").select("wrong", "right").distinct(), "corrections")
