@@ -70,8 +70,12 @@ def line_count(alias: str = "orders_count") -> Column:
     return F.count(F.lit(1)).cast("bigint").alias(alias)
 
 
-def distinct_count(col: str, alias: str) -> Column:
-    return F.count_distinct(F.col(col)).cast("bigint").alias(alias)
+def distinct_count(col: str, alias: str, exact: bool = True, rsd: float = 0.01) -> Column:
+    """``COUNT(DISTINCT col)``.  ``exact=False`` opts into HyperLogLog++
+    (relative standard deviation ``rsd``): no shuffle of distinct values,
+    for dashboards over very large tables.  The analyses are exact."""
+    c = F.count_distinct(F.col(col)) if exact else F.approx_count_distinct(F.col(col), rsd)
+    return c.cast("bigint").alias(alias)
 
 
 def margin(alias: str = "profit_margin_pct", guard: bool = True) -> Column:
@@ -89,7 +93,7 @@ def mean_shipping_days(alias: str = "avg_shipping_days") -> Column:
 # ---------------------------------------------------------------- overviews
 
 
-def business_overview(sl: DataFrame) -> DataFrame:
+def business_overview(sl: DataFrame, exact: bool = True) -> DataFrame:
     """Sales, profit, order / customer / product counts, margin (1 row).
 
     The three exact distinct counts plan as one scan with an ``Expand``
@@ -102,9 +106,9 @@ def business_overview(sl: DataFrame) -> DataFrame:
     return summarize(sl, [], [
         total_sales(),
         total_profit(),
-        distinct_count("order_id", "total_orders"),
-        distinct_count("customer_id", "total_customers"),
-        distinct_count("product_id", "total_products"),
+        distinct_count("order_id", "total_orders", exact),
+        distinct_count("customer_id", "total_customers", exact),
+        distinct_count("product_id", "total_products", exact),
         margin(),
     ])
 
@@ -115,15 +119,15 @@ def average_order_value(sl: DataFrame, strict: bool = False) -> DataFrame:
     return summarize(sl, [], [value.alias("average_order_value")])
 
 
-def customer_overview(sl: DataFrame) -> DataFrame:
+def customer_overview(sl: DataFrame, exact: bool = True) -> DataFrame:
     return summarize(sl, [], [
-        distinct_count("customer_id", "total_customers"), total_sales(), total_profit(),
+        distinct_count("customer_id", "total_customers", exact), total_sales(), total_profit(),
     ])
 
 
-def product_overview(sl: DataFrame) -> DataFrame:
+def product_overview(sl: DataFrame, exact: bool = True) -> DataFrame:
     return summarize(sl, [], [
-        distinct_count("product_id", "total_products"), total_sales(), total_profit(),
+        distinct_count("product_id", "total_products", exact), total_sales(), total_profit(),
     ])
 
 

@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 
 from ..functions import money as M
 from . import ordered as O
-from .aggregates import (
-    asc, desc, distinct_count, loss_groups, performance_by, sales_by, summarize, top_by,
-    total_profit, total_sales,
+from .aggregates import (  # noqa: F401  (product_overview is re-exported)
+    asc, desc, loss_groups, performance_by, product_overview, sales_by, top_by,
 )
 
 PRODUCT = ["product_id", "product_name"]
@@ -191,8 +190,3 @@ def pareto_groups(sl: DataFrame, key: Sequence[str] = PRODUCT, bound: str = PARE
         F.sum("_cnt").cast("bigint").alias("products_count"),
         M.money(M.sum_money("_sum")).alias("total_sales"),
     )
-
-
-def product_overview(sl: DataFrame) -> DataFrame:
-    return summarize(sl, [], [distinct_count("product_id", "total_products"), total_sales(),
-                              total_profit()])

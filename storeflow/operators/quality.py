@@ -128,11 +128,11 @@ def date_span(sl: DataFrame) -> DataFrame:
                   F.max("order_date").alias("last_order_date"))
 
 
-def entity_counts(sl: DataFrame) -> DataFrame:
+def entity_counts(sl: DataFrame, exact: bool = True) -> DataFrame:
     return summarize(sl, [], [
-        distinct_count("order_id", "total_orders"),
-        distinct_count("customer_id", "total_customers"),
-        distinct_count("product_id", "total_products"),
+        distinct_count("order_id", "total_orders", exact),
+        distinct_count("customer_id", "total_customers", exact),
+        distinct_count("product_id", "total_products", exact),
     ])
 
 

@@ -104,3 +104,11 @@ def test_money_sum_is_exact(spark):
     from storeflow.functions import money as M
     got = df.agg(M.sum_money("x").alias("s")).collect()[0]["s"]
     assert got == Decimal("4995.00")
+
+
+def test_approximate_distinct_counts_are_close(sl):
+    exact = A.business_overview(sl).collect()[0]
+    approx = A.business_overview(sl, exact=False).collect()[0]
+    for c in ("total_orders", "total_customers", "total_products"):
+        assert abs(approx[c] - exact[c]) <= 0.05 * exact[c]
+    assert approx["total_sales"] == exact["total_sales"]
