@@ -55,8 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names reliable shared storage and is only
-    read.  When it is unset (a bare local session, as in some tests) a
-    fresh scratch folder is created and set.
+    read; a cluster session without it is an error.  In a local session
+    without it (as in some tests) a fresh scratch folder is created and
+    set.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
@@ -65,6 +66,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - no SparkContext on Spark Connect
             configured = None
     if not configured:
+        master = spark.conf.get("spark.master", "") or ""
+        if not master.startswith("local"):
+            # A machine-local folder is not visible to executors elsewhere.
+            raise ValueError("set spark.checkpoint.dir to a shared folder (HDFS, object store)")
         configured = tempfile.mkdtemp(prefix="storeflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured
