@@ -95,3 +95,10 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     """
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "storeflow", app_id(spark), *parts)
+
+
+def stable_path(spark: SparkSession, *parts: str) -> str:
+    """A path under the checkpoint folder that does not depend on the
+    application (e.g. a streaming query's progress, which a restarted
+    driver must find again)."""
+    return os.path.join(ensure_checkpoint_dir(spark), "storeflow", "stable", *parts)

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import money as M
 from ..operators.aggregates import line_count
-from ..session import scratch_path
+from ..session import stable_path
 
 
 def read_lines(spark: SparkSession, folder: str, like: DataFrame,
@@ -38,10 +38,11 @@ def running_totals(lines: DataFrame, dim: str) -> DataFrame:
 
 def start(totals: DataFrame, name: str, sink: str = "memory", output_mode: str = "complete",
           checkpoint: str | None = None, **options) -> StreamingQuery:
-    """Start the query; its progress is kept in the shared checkpoint folder
-    so a restarted driver resumes where it stopped."""
+    """Start the query.  Its progress is kept in the shared checkpoint
+    folder under the query name (not the application), so a restarted
+    driver resumes where it stopped."""
     spark = totals.sparkSession
-    location = checkpoint or scratch_path(spark, "streams", name)
+    location = checkpoint or stable_path(spark, "streams", name)
     writer = (totals.writeStream.queryName(name).outputMode(output_mode)
               .format(sink).option("checkpointLocation", location))
     for k, v in options.items():
