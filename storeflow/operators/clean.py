@@ -40,13 +40,21 @@ def rename(raw: DataFrame) -> DataFrame:
     return raw.select(*[F.col(f"`{src}`").alias(dst) for src, dst in RAW_TO_CLEAN.items()])
 
 
-def parse_date(c: Column, pattern: str = DATE_PATTERN) -> Column:
-    return F.try_to_date(c.cast("string"), pattern)
-
-
-def _typed(name: str, c: Column, dtype, pattern: str, pad_postal_code: int | None) -> Column:
+def parse_date(c: Column, pattern: str = DATE_PATTERN, strict: bool = False) -> Column:
+    """Date text -> date.  Unparseable text gives NULL, or with ``strict``
+    fails the job on the first such row (no extra pass either way)."""
+    parsed = F.try_to_date(c.cast("string"), pattern)
+    if not strict:
+        return parsed
+    bad = c.isNotNull() & parsed.isNull()
+    return F.when(bad, F.raise_error(F.concat(F.lit("unparseable date: "), c.cast("string")))
+                  .cast("date")).otherwise(parsed)
+
+
+def _typed(name: str, c: Column, dtype, pattern: str, pad_postal_code: int | None,
+           strict_dates: bool = False) -> Column:
     if name in ("order_date", "ship_date"):
-        return parse_date(c, pattern)
+        return parse_date(c, pattern, strict_dates)
     if name == "postal_code":
         text = c.cast("string")
         return F.lpad(text, pad_postal_code, "0") if pad_postal_code else text
@@ -75,14 +83,18 @@ def fix_names(df: DataFrame, corrections: DataFrame, col: str = "customer_name")
 
 
 def clean(raw: DataFrame, corrections: DataFrame | None = None, pattern: str = DATE_PATTERN,
-          pad_postal_code: int | None = None, unicode_spaces: bool = False) -> DataFrame:
-    """Raw order lines -> clean order lines (same rows, same order)."""
+          pad_postal_code: int | None = None, unicode_spaces: bool = False,
+          strict_dates: bool = False) -> DataFrame:
+    """Raw order lines -> clean order lines (same rows, same order).
+
+    ``strict_dates`` fails on date text that does not parse; by default it
+    becomes NULL and ``quality.invalid_dates`` lists those rows."""
     renamed = rename(raw)
     cols = []
     for name in renamed.columns:
         c = F.col(name)
         if name in CLEAN_TYPES:
-            c = _typed(name, c, CLEAN_TYPES[name], pattern, pad_postal_code)
+            c = _typed(name, c, CLEAN_TYPES[name], pattern, pad_postal_code, strict_dates)
         if name == "product_name":
             c = repair_text(c, unicode_spaces=unicode_spaces)
         cols.append(c.alias(name))

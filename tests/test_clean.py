@@ -107,3 +107,12 @@ def test_conflicting_corrections_never_duplicate_lines(raw, spark):
     out = C.clean(raw(rows), d).collect()
     assert len(out) == 2
     assert {r["customer_name"] for r in out} == {"Joel", "Anna"}
+
+
+def test_strict_dates_raise(raw):
+    ok = raw([raw_row(1)])
+    assert C.clean(ok, strict_dates=True).count() == 1
+    bad = raw([raw_row(1), raw_row(2, **{"Order Date": "13/40/2016"})])
+    with pytest.raises(Exception, match="unparseable date"):
+        C.clean(bad, strict_dates=True).collect()
+    assert C.clean(bad).where("order_date IS NULL").count() == 1
