@@ -14,7 +14,7 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import COUNT_OUT, MONEY_OUT, RATIO_OUT
+from ..schema import MONEY_OUT, RATIO_OUT
 
 _DEC = "decimal(18,2)"
 
@@ -28,10 +28,6 @@ def money(x: Column | str) -> Column:
     return F.round(_c(x), 2).cast(MONEY_OUT)
 
 
-def count_out(x: Column) -> Column:
-    return x.cast(COUNT_OUT)
-
-
 def sum_money(x: Column | str, scale: int = 2) -> Column:
     """Exact sum of a decimal column with ``scale`` places.
 
