@@ -60,3 +60,14 @@ def test_no_python_udfs_anywhere(spark):
                A.business_overview(sl)):
         plan = physical_plan(df)
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_spread_only_when_the_scan_has_too_few_splits(spark):
+    from storeflow.sources.tables import read_table, spread
+    one_group = read_table(spark, SF_SMALL, "lineitem")  # one row group: one split
+    assert one_group.rdd.getNumPartitions() == 1
+    spread_out = spread(one_group, 4)
+    assert spread_out.rdd.getNumPartitions() == 4
+    assert "RoundRobinPartitioning" in physical_plan(spread_out)
+    many = read_table(spark, SF_SMALL, "lineitem").repartition(6)
+    assert spread(many, 4) is many  # enough splits: nothing added
