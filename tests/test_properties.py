@@ -112,3 +112,15 @@ def test_approximate_distinct_counts_are_close(sl):
     for c in ("total_orders", "total_customers", "total_products"):
         assert abs(approx[c] - exact[c]) <= 0.05 * exact[c]
     assert approx["total_sales"] == exact["total_sales"]
+
+
+def test_revenue_shares_add_up_to_100(sl):
+    from decimal import Decimal as D
+    rows = A.revenue_share(sl, "region").collect()
+    assert abs(sum(D(str(r["share_pct"])) for r in rows) - 100) <= D("0.01") * len(rows)
+
+
+def test_value_tier_thresholds_are_arguments(sl):
+    tiers = [(">=", 20000, "Gold"), (">=", 1, "Silver")]
+    got = {r["customer_segment"] for r in U.customer_value_tier(sl, tiers, "None").collect()}
+    assert got <= {"Gold", "Silver", "None"} and "Silver" in got
