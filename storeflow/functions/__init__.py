@@ -1,0 +1,2 @@
+"""Column expressions: exact money, threshold bands, text repair, and
+size-checked broadcasts."""

@@ -1,0 +1 @@
+"""The same breakdowns kept current over arriving order-line files."""
