@@ -75,6 +75,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def share_package(spark: SparkSession, root: str) -> None:
+    """Let Python workers import this package from ``root`` (a folder that
+    they see, as in local sessions; elsewhere ship it with ``--py-files``)."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def app_id(spark: SparkSession) -> str:
     return spark.conf.get("spark.app.id", None) or "app"
 
