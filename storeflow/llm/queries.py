@@ -1,17 +1,61 @@
-"""The registered ``opN_<name>`` queries and their DuckDB SQL."""
+"""The registered ``opN_<name>`` queries and their DuckDB SQL.
+
+Each query applies its operator to its whole table.  ``TOKENIZER_DIR``
+(environment) may name another folder with the public tokenizer files.
+"""
 
 from __future__ import annotations
 
+import os
+
+from pyspark.sql import functions as F
+
 from .common import table
 from .exact_dedup import exact_dedup
+from .packing import pack_documents
+from .pieces import encode_decode
+from .token_files import encode_documents, read_token_files
+from .warc import locate_records, read_records, record_types, write_packages
+
+
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer file lies."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op2_token_files(spark, sf_dir):
+    stored = encode_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
+    return read_token_files(spark, stored, with_ids=False)
+
+
+def op3_warc_packages(spark, sf_dir):
+    packages = write_packages(record_types(table(spark, sf_dir, "pages")))
+    return read_records(locate_records(packages), with_payload=False).drop("url")
+
+
+def op6_sentence_pieces(spark, sf_dir):
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), digests_only=True)
+
+
+def op10_best_fit_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_token_files": op2_token_files,
+    "op3_warc_packages": op3_warc_packages,
+    "op6_sentence_pieces": op6_sentence_pieces,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 _NORM = ("SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
@@ -24,4 +68,13 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept,
                sha256(t) AS text_sha256
         FROM ({_NORM})""",
+    "op3_warc_packages": """
+        WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest,
+                          strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+        f AS (SELECT *, CASE WHEN payload_bytes >= 100
+                             THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+        FROM f""",
 }
