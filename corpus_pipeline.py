@@ -1,16 +1,93 @@
-"""The corpus pipeline: STAGES applied to the documents table in turn."""
+"""The corpus pipeline: STAGES applied to the documents table in turn.
+
+Stages decide about rows, not ids: a row is named by its id and a hash of
+all its columns, so rows without an id and ids that occur twice are judged
+apart.  A stage drops rows by an anti-join with the names of what goes;
+all stages but the last return the columns of their input.
+
+Defined results: null and empty texts are rejected by the quality rules;
+of equal texts and of a group of near copies one row stays (repeated rows
+included); an empty table gives an empty result; columns beyond those of
+``documents`` are carried along.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from storeflow.llm.common import table, write_table
+from storeflow.llm.exact_dedup import exact_dedup
+from storeflow.llm.ngram_join import ngram_jaccard_join
+from storeflow.llm.packing import pack_documents
+from storeflow.llm.pii import pseudonymise
+from storeflow.llm.quality import quality_rules
+from storeflow.llm.queries import tokenizer
+
+NAME = "__name"
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """``docs`` with a row name: its id, then 128 bits of all columns."""
+    every = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    return docs.withColumn(NAME, F.struct(F.col("doc_id").alias("id"), F.unhex(F.md5(every)).alias("row")))
+
+
+def _without(named: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows whose name is not among ``gone`` (one column)."""
+    keys = write_table(gone.toDF(NAME).distinct(), "pipeline-gone")
+    return named.join(keys, NAME, "left_anti").drop(NAME)
+
+
+def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    named = _named(docs)
+    return _without(named, quality_rules(named, id_col=NAME).where(~F.col("kept")).select("doc_id"))
+
+
+def exact_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    named = _named(docs)
+    verdict = exact_dedup(named, id_col=NAME, keep="largest")
+    kept = _without(named, verdict.where(~F.col("kept")).select("doc_id"))
+    # Rows that repeat in full share their name and verdict: one of them stays.
+    again = _named(kept)
+    repeated = write_table(
+        again.groupBy(NAME).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(NAME), "pipeline-repeated")
+    if repeated.isEmpty():
+        return kept
+    once = again.join(repeated, NAME, "left_semi").dropDuplicates([NAME])
+    return again.join(repeated, NAME, "left_anti").unionByName(once).drop(NAME)
+
+
+def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    named = _named(docs)
+    groups = ngram_jaccard_join(named, k=5, percent=80, id_col=NAME)
+    return _without(named, groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+
+
+def pii_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = pseudonymise(docs, found_col=None)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, tokenizer("byte_bpe_50k.json"), end_id=0)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("exact_dedup", exact_dedup_stage),
+    ("near_dedup", near_dedup_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
+]
 
+# The quality rules' estimates, the near copies' components over large
+# tables, the permutation and the packing cannot be put in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = write_table(stage(spark, docs, sf_dir), name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

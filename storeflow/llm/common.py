@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Sequence
 
@@ -89,3 +90,11 @@ def class_offsets(positioned: DataFrame, cls: str) -> list[tuple]:
         .collect()
     )
     return sorted((r[cls], r["_part"], r["first"], r["n"]) for r in rows)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner see at once which shuffles nothing refers to any
+    more (it removes their files), instead of at the driver's next
+    collection."""
+    gc.collect()
+    spark._jvm.System.gc()

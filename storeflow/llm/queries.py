@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_extract import extract_main_text
+from .ngram_join import ngram_jaccard_join
 from .packing import pack_documents
 from .pieces import encode_decode
+from .pii import pseudonymise
+from .quality import quality_rules
+from .sharding import shard_documents
 from .token_files import encode_documents, read_token_files
 from .warc import locate_records, read_records, record_types, write_packages
 
@@ -42,10 +47,31 @@ def op3_warc_packages(spark, sf_dir):
     return read_records(locate_records(packages), with_payload=False).drop("url")
 
 
+def op4_ngram_join(spark, sf_dir):
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+def op5_quality_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op6_sentence_pieces(spark, sf_dir):
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), digests_only=True)
 
 
+def op7_sharding(spark, sf_dir):
+    return shard_documents(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op8_html_extract(spark, sf_dir):
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op9_pii_pseudonyms(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs).select("doc_id", "text", F.size("pii_found").cast("long").alias("n_replaced"), "pii_found")
+
+
 def op10_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0)
 
@@ -54,7 +80,12 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_files": op2_token_files,
     "op3_warc_packages": op3_warc_packages,
+    "op4_ngram_join": op4_ngram_join,
+    "op5_quality_rules": op5_quality_rules,
     "op6_sentence_pieces": op6_sentence_pieces,
+    "op7_sharding": op7_sharding,
+    "op8_html_extract": op8_html_extract,
+    "op9_pii_pseudonyms": op9_pii_pseudonyms,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
@@ -77,4 +108,22 @@ ORACLE_SQL = {
                CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN first_id <> page_id THEN first_id END AS refers_to
         FROM f""",
+    "op4_ngram_join": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM ({_NORM})),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                END AS g FROM d),
+        t AS (SELECT doc_id, len(g) AS n, unnest(g) AS tok FROM s),
+        links AS (
+            SELECT a.doc_id AS x, b.doc_id AS y
+            FROM t AS a JOIN t AS b ON a.tok = b.tok AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n
+            HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+        reach AS (
+            SELECT doc_id AS x, doc_id AS y FROM d
+            UNION SELECT r.x, l.y FROM reach AS r JOIN links AS l ON r.y = l.x)
+        SELECT s.doc_id, len(s.g) AS n_shingles, min(reach.y) AS component_id
+        FROM s JOIN reach ON reach.x = s.doc_id GROUP BY s.doc_id, len(s.g)""",
 }
