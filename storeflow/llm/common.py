@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +30,12 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, also where the
+    body is a lambda that runs many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder."""
     return scratch_path(spark, "llm", f"{name}-{uuid.uuid4().hex}")

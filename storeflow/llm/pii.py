@@ -35,6 +35,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 DEFAULT_KEY = "storeflow-demo-key"  # give your own secret in production
 STEPS = 10  # even: the halves are back in their places
 
@@ -75,22 +77,24 @@ def _number(digest: Column) -> Column:
 def permute(values: Column, radices: Column, key: Column) -> Column:
     """The Feistel permutation of ``values`` (array<long>), each below its
     entry of ``radices``."""
-    half = F.floor(F.size(values) / 2).cast("int")
-    rest = F.size(values) - half
-
     def step(acc: Column, i: Column) -> Column:
         seed = F.concat_ws("|", key, i.cast("string"), F.array_join(acc["b"].cast("array<string>"), ","))
-        shifted = F.transform(
+        shifted = let(seed, lambda s: F.transform(
             F.arrays_zip(acc["a"].alias("v"), acc["ma"].alias("m")),
-            lambda x, k: F.pmod(x["v"] + _number(F.sha2(F.concat_ws("|", seed, k.cast("string")), 256)), x["m"]))
+            lambda x, k: F.pmod(x["v"] + _number(F.sha2(F.concat_ws("|", s, k.cast("string")), 256)), x["m"])))
         return F.struct(
             acc["b"].alias("a"), acc["mb"].alias("ma"), shifted.alias("b"), acc["ma"].alias("mb"))
 
-    start = F.struct(
-        F.slice(values, 1, half).alias("a"), F.slice(radices, 1, half).alias("ma"),
-        F.slice(values, half + 1, rest).alias("b"), F.slice(radices, half + 1, rest).alias("mb"))
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step)
-    return F.concat(end["a"], end["b"])
+    def run(both: Column) -> Column:
+        v, m = both["v"], both["m"]
+        half = F.floor(F.size(v) / 2).cast("int")
+        start = F.struct(
+            F.slice(v, 1, half).alias("a"), F.slice(m, 1, half).alias("ma"),
+            F.slice(v, half + 1, F.size(v) - half).alias("b"), F.slice(m, half + 1, F.size(v) - half).alias("mb"))
+        return F.aggregate(
+            F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda acc: F.concat(acc["a"], acc["b"]))
+
+    return let(F.struct(values.alias("v"), radices.alias("m")), run)
 
 
 def _longs(*cols: Column) -> Column:
@@ -99,29 +103,24 @@ def _longs(*cols: Column) -> Column:
 
 def permute_text(text: Column, key: Column, alphabets: list[str]) -> Column:
     """Every character of an alphabet stays in it; others stay in place."""
-    chars = F.split(text, "")
-
-    def value(c: Column) -> Column:
-        out = F.lit(0)
-        for a in reversed(alphabets):
-            out = F.when(F.instr(F.lit(a), c) > 0, F.instr(F.lit(a), c) - 1).otherwise(out)
-        return out.cast("long")
+    tables = F.array(*[F.lit(a) for a in alphabets], F.lit(""))
 
-    def radix(c: Column) -> Column:
-        out = F.lit(1)
-        for a in reversed(alphabets):
-            out = F.when(F.instr(F.lit(a), c) > 0, F.lit(len(a))).otherwise(out)
-        return out.cast("long")
+    def code(c: Column) -> Column:
+        which = F.lit(len(alphabets))
+        for k in reversed(range(len(alphabets))):
+            which = F.when(F.instr(F.lit(alphabets[k]), c) > 0, k).otherwise(which)
+        return F.struct(c.alias("c"), F.get(tables, which).alias("a"))
 
-    def shown(c: Column, v: Column) -> Column:
-        out = c
-        for a in reversed(alphabets):
-            out = F.when(F.instr(F.lit(a), c) > 0, F.substring(F.lit(a), (v + 1).cast("int"), F.lit(1))).otherwise(out)
-        return out
+    def run(coded: Column) -> Column:
+        moved = permute(
+            F.transform(coded, lambda x: F.when(x["a"] == "", 0).otherwise(F.instr(x["a"], x["c"]) - 1).cast("long")),
+            F.transform(coded, lambda x: F.greatest(F.length(x["a"]), F.lit(1)).cast("long")), key)
+        return F.array_join(F.zip_with(
+            coded, moved,
+            lambda x, v: F.when(x["a"] == "", x["c"]).otherwise(
+                F.substring(x["a"], (v + 1).cast("int"), F.lit(1)))), "")
 
-    moved = permute(F.transform(chars, value), F.transform(chars, radix), key)
-    return F.when(F.length(text) == 0, text).otherwise(
-        F.array_join(F.zip_with(chars, moved, shown), ""))
+    return F.when(F.length(text) == 0, text).otherwise(let(F.transform(F.split(text, ""), code), run))
 
 
 # ----------------------------------------------------------------- formats
@@ -134,11 +133,12 @@ def _digits(m: Column) -> Column:
 def _fill(m: Column, new: Column, what: str = "[^0-9]") -> Column:
     """``m`` with its value characters (those not in ``what``) replaced by
     those of ``new`` in turn."""
-    def at(c: Column, k: Column) -> Column:
-        place = F.length(F.regexp_replace(F.substring(m, F.lit(1), k + 1), what, ""))
-        return F.when(F.length(F.regexp_replace(c, what, "")) == 0, c).otherwise(
-            F.substring(new, place, F.lit(1)))
-    return F.array_join(F.transform(F.split(m, ""), at), "")
+    def walk(n: Column) -> Column:
+        def at(c: Column, k: Column) -> Column:
+            place = F.length(F.regexp_replace(F.substring(m, F.lit(1), k + 1), what, ""))
+            return F.when(c.rlike(what), c).otherwise(F.substring(n, place, F.lit(1)))
+        return F.array_join(F.transform(F.split(m, ""), at), "")
+    return let(new, walk)
 
 
 def _luhn(digits: Column) -> Column:
@@ -152,9 +152,10 @@ def _luhn(digits: Column) -> Column:
 
 
 def _card(m: Column, key: Column) -> Column:
-    body = permute_text(_drop_last(_digits(m)), key, [DIGITS])
-    check = F.pmod(10 - F.pmod(_luhn(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
-    return _fill(m, F.concat(body, check.cast("string")))
+    def checked(body: Column) -> Column:
+        check = F.pmod(10 - F.pmod(_luhn(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
+        return F.concat(body, check.cast("string"))
+    return _fill(m, let(permute_text(_drop_last(_digits(m)), key, [DIGITS]), checked))
 
 
 def _drop_last(s: Column) -> Column:
@@ -177,9 +178,13 @@ def _plain(m: Column) -> Column:
 def _iban(m: Column, key: Column) -> Column:
     plain = _plain(m)
     country = F.substring(plain, 1, 2)
+
+    def checked(account: Column) -> Column:
+        check = F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+        return F.concat(country, check, account)
+
     account = permute_text(F.substring(plain, F.lit(5), F.length(plain)), key, [DIGITS, UPPER])
-    check = F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
-    return _fill(m, F.concat(country, check, account), "[^A-Z0-9]")
+    return _fill(m, let(account, checked), "[^A-Z0-9]")
 
 
 def _iban_valid(m: Column) -> Column:
@@ -210,21 +215,24 @@ def _date_valid(m: Column, ymd: bool) -> Column:
 def _date(m: Column, key: Column, ymd: bool) -> Column:
     y, mo, d, month_first = _fields(m, ymd)
     begin = F.lit("1800-01-01").cast("date")
-    n = F.date_diff(F.make_date(y, mo, d), begin)
-    moved = permute(_longs(F.floor(n / 233), n % 233), _longs(F.lit(627), F.lit(233)), key)
-    new = F.date_add(begin, (F.element_at(moved, 1) * 233 + F.element_at(moved, 2)).cast("int"))
     part = F.split(m, "[-./]")
     sep = F.regexp_extract(m, "[-./]", 0)
 
     def shown(value: Column, old: Column) -> Column:
         return F.when(F.length(old) == 2, F.lpad(value.cast("string"), 2, "0")).otherwise(value.cast("string"))
 
-    year, month, day = F.lpad(F.year(new).cast("string"), 4, "0"), F.month(new), F.dayofmonth(new)
-    if ymd:
-        return F.concat(year, sep, shown(month, F.element_at(part, 2)), sep, shown(day, F.element_at(part, 3)))
-    return F.concat(
-        shown(F.when(month_first, month).otherwise(day), F.element_at(part, 1)), sep,
-        shown(F.when(month_first, day).otherwise(month), F.element_at(part, 2)), sep, year)
+    def text(new: Column) -> Column:
+        year, month, day = F.lpad(F.year(new).cast("string"), 4, "0"), F.month(new), F.dayofmonth(new)
+        if ymd:
+            return F.concat(year, sep, shown(month, F.element_at(part, 2)), sep, shown(day, F.element_at(part, 3)))
+        return F.concat(
+            shown(F.when(month_first, month).otherwise(day), F.element_at(part, 1)), sep,
+            shown(F.when(month_first, day).otherwise(month), F.element_at(part, 2)), sep, year)
+
+    n = F.date_diff(F.make_date(y, mo, d), begin)
+    moved = permute(_longs(F.floor(n / 233), n % 233), _longs(F.lit(627), F.lit(233)), key)
+    new = let(moved, lambda v: F.date_add(begin, (F.get(v, F.lit(0)) * 233 + F.get(v, F.lit(1))).cast("int")))
+    return let(new, text)
 
 
 def _ssn_parts(m: Column) -> tuple[Column, Column, Column]:
@@ -240,11 +248,14 @@ def _ssn(m: Column, key: Column) -> Column:
     area, group, serial = _ssn_parts(m)
     at = F.when(area > 666, area - 2).otherwise(area - 1)  # areas without 666, from 0
     moved = permute(_longs(at, group - 1, serial - 1), _longs(F.lit(898), F.lit(99), F.lit(9999)), key)
-    a = F.element_at(moved, 1)
-    return F.concat_ws(
-        "-", F.lpad(F.when(a >= 665, a + 2).otherwise(a + 1).cast("string"), 3, "0"),
-        F.lpad((F.element_at(moved, 2) + 1).cast("string"), 2, "0"),
-        F.lpad((F.element_at(moved, 3) + 1).cast("string"), 4, "0"))
+
+    def text(v: Column) -> Column:
+        a, g, n = (F.get(v, F.lit(k)) for k in range(3))
+        return F.concat_ws(
+            "-", F.lpad(F.when(a >= 665, a + 2).otherwise(a + 1).cast("string"), 3, "0"),
+            F.lpad((g + 1).cast("string"), 2, "0"), F.lpad((n + 1).cast("string"), 4, "0"))
+
+    return let(moved, text)
 
 
 def _ip_valid(m: Column) -> Column:
@@ -315,21 +326,26 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY
     """``docs`` with pseudonyms in ``text_col`` and, with ``found_col``, the
     replaced values' kinds (array<string>, in the order of the text)."""
     text = F.col(f"`{text_col}`")
-    hinted = text.rlike(HINT)
-    values = F.when(hinted, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    found = docs.withColumn("__values", values)
     secret = F.lit(key)
-    found = found.withColumn(
-        "__made", F.when(F.size("__values") > 0, F.transform("__values", lambda m: F.struct(
-            m.alias("value"), kind_of(m).alias("kind")))))
-    found = found.withColumn(
-        "__new", F.transform("__made", lambda x: pseudonym(x["value"], x["kind"], secret)))
-    between = F.split(text, ANY, -1)
-    joined = F.array_join(
-        F.zip_with(between, F.concat("__new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    out = [F.when(F.col("__new").isNotNull(), joined).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`")
-           for c in docs.columns]
+
+    def judged(values: Column) -> Column:
+        return F.transform(values, lambda m: F.struct(m.alias("value"), kind_of(m).alias("kind")))
+
+    def replaced(made: Column) -> Column:
+        new = F.transform(made, lambda x: pseudonym(x["value"], x["kind"], secret))
+        between = F.split(text, ANY, -1)
+        joined = F.array_join(
+            F.zip_with(between, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+        kinds = F.filter(F.transform(made, lambda x: x["kind"]), lambda k: k.isNotNull())
+        return F.struct(joined.alias("text"), kinds.alias("kinds"))
+
+    # One expression: texts without a hint are never searched, and what is
+    # found is judged and replaced once.
+    found = let(
+        F.regexp_extract_all(text, F.lit(ANY), F.lit(0)),
+        lambda values: F.when(F.size(values) > 0, let(judged(values), replaced)))
+    rows = docs.withColumn("__found", F.when(text.rlike(HINT), found))
+    out = [F.coalesce(F.col("__found.text"), text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if found_col:
-        kinds = F.filter(F.transform("__made", lambda x: x["kind"]), lambda k: k.isNotNull())
-        out.append(F.coalesce(kinds, F.array().cast("array<string>")).alias(found_col))
-    return found.select(*out)
+        out.append(F.coalesce(F.col("__found.kinds"), F.array().cast("array<string>")).alias(found_col))
+    return rows.select(*out)

@@ -7,7 +7,7 @@ task), lets the members in a smaller shard wish for the largest one before
 it that has room, and joins the granted wishes back.  Room is the shard's
 quota less its linked members; if more wish for a shard than it has room
 for, a hash of the document grants that share.  Rounds end when no wish is
-granted.
+left.
 
 Quotas are exact: counts differ by one at most.  All documents are
 range-sorted once by (shard, linked first, hub); what stands beyond a
@@ -46,7 +46,9 @@ def propagate(linked: DataFrame, quotas: list[int], max_rounds: int = MAX_ROUNDS
         tally = linked.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("c"))
         tally = write_table(tally, "shard-tally")
         load = {r["shard"]: r["n"] for r in tally.groupBy("shard").agg(F.sum("c").alias("n")).collect()}
-        room = [max(0, q - load.get(s, 0)) for s, q in enumerate(quotas)]
+        # A shard that is full but for a sixteenth takes no more.
+        left = [q - load.get(s, 0) for s, q in enumerate(quotas)]
+        room = [r if r * 16 > q else 0 for r, q in zip(left, quotas)]
         # One window partition holds at most one row per shard.
         before = (
             Window.partitionBy("hub").orderBy(F.desc("c"), "shard").rowsBetween(Window.unboundedPreceding, -1))
