@@ -29,16 +29,21 @@ def money(x: Column | str) -> Column:
 
 
 def sum_money(x: Column | str, scale: int = 2) -> Column:
-    """Exact sum of a decimal column with ``scale`` places.
+    """Exact sum of a column whose values have at most ``scale`` places.
 
     Summed as integer units of the last place (a fixed-width ``long``
     buffer, which the hash aggregate keeps in its fast path), then scaled
-    back to a decimal.  ANSI mode raises on ``long`` overflow (above 9.2e16
-    in money), so the result is exact or an error, never wrong.
+    back to a decimal.  A value with more places raises (round it first, or
+    give a larger ``scale``); a double counts as the decimal it prints as.
+    ANSI mode raises on ``long`` overflow (above 9.2e16 in money), so the
+    result is exact or an error, never wrong.
     """
-    units = (_c(x) * F.lit(10**scale)).cast("long")
+    value = _c(x)
+    exact = value.cast(f"decimal(18,{scale})")
+    units = (exact * F.lit(10**scale)).cast("long")
+    more = F.raise_error(F.concat(F.lit(f"more than {scale} decimal places: "), value.cast("string"))).cast("long")
     back = F.lit(Decimal(1).scaleb(-scale))
-    return F.sum(units).cast("decimal(20,0)") * back
+    return F.sum(F.when(exact != value, more).otherwise(units)).cast("decimal(20,0)") * back
 
 
 def ratio(num: Column, den: Column, factor: int = 1, guard: bool = True) -> Column:

@@ -113,8 +113,9 @@ def business_overview(sl: DataFrame, exact: bool = True) -> DataFrame:
     ])
 
 
-def average_order_value(sl: DataFrame, strict: bool = False) -> DataFrame:
-    """Sales per distinct order, rounded to cents."""
+def average_order_value(sl: DataFrame, strict: bool = True) -> DataFrame:
+    """Sales per distinct order, rounded to cents; no orders at all raise
+    unless ``strict=False`` (then NULL)."""
     value = M.ratio(M.sum_money("sales"), F.count_distinct("order_id"), guard=not strict)
     return summarize(sl, [], [value.alias("average_order_value")])
 

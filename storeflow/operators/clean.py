@@ -5,13 +5,16 @@ in-place statements; here they are one lazy ``select`` (written once by
 the caller), so the table is read and written a single time.
 
 * names: the 21 display names become snake_case;
-* dates: ``M/d/yyyy`` text -> date (``try_to_date``: unparseable text
-  becomes NULL and is counted by ``quality.invalid_dates``);
+* dates: ``M/d/yyyy`` text -> date; unparseable text fails the step, or
+  with ``strict_dates=False`` becomes NULL (``quality.invalid_dates`` lists
+  those rows, to be set aside first);
 * money: ``decimal(12,2)``, discount ``decimal(4,2)``; the cast rounds
   half away from zero and raises on overflow (ANSI);
-* postal code: text (no zero padding unless ``pad_postal_code``);
+* postal code: text of at most 10 characters, longer codes fail (no zero
+  padding unless ``pad_postal_code``);
 * product names: U+FFFD -> space, whitespace runs -> one space, trim;
-* customer names: exact-match corrections from a dictionary.
+* customer names: exact-match corrections from a dictionary; two
+  replacements for one spelling fail.
 """
 
 from __future__ import annotations
@@ -19,9 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import maybe_broadcast
 from ..functions.text import repair_text
-from ..schema import CLEAN_TYPES, RAW_TO_CLEAN
+from ..schema import CLEAN_TYPES, POSTAL_CODE_MAX_LEN, RAW_TO_CLEAN
 
 DATE_PATTERN = "M/d/yyyy"
 
@@ -40,9 +42,9 @@ def rename(raw: DataFrame) -> DataFrame:
     return raw.select(*[F.col(f"`{src}`").alias(dst) for src, dst in RAW_TO_CLEAN.items()])
 
 
-def parse_date(c: Column, pattern: str = DATE_PATTERN, strict: bool = False) -> Column:
-    """Date text -> date.  Unparseable text gives NULL, or with ``strict``
-    fails the job on the first such row (no extra pass either way)."""
+def parse_date(c: Column, pattern: str = DATE_PATTERN, strict: bool = True) -> Column:
+    """Date text -> date.  Unparseable text fails the job on the first such
+    row, or without ``strict`` gives NULL (no extra pass either way)."""
     parsed = F.try_to_date(c.cast("string"), pattern)
     if not strict:
         return parsed
@@ -52,12 +54,14 @@ def parse_date(c: Column, pattern: str = DATE_PATTERN, strict: bool = False) ->
 
 
 def _typed(name: str, c: Column, dtype, pattern: str, pad_postal_code: int | None,
-           strict_dates: bool = False) -> Column:
+           strict_dates: bool = True) -> Column:
     if name in ("order_date", "ship_date"):
         return parse_date(c, pattern, strict_dates)
     if name == "postal_code":
         text = c.cast("string")
-        return F.lpad(text, pad_postal_code, "0") if pad_postal_code else text
+        text = F.lpad(text, pad_postal_code, "0") if pad_postal_code else text
+        long = F.raise_error(F.concat(F.lit("postal code too long: "), text)).cast("string")
+        return F.when(F.length(text) > POSTAL_CODE_MAX_LEN, long).otherwise(text)
     return c.cast(dtype)
 
 
@@ -69,13 +73,16 @@ def corrections_frame(spark, pairs=None) -> DataFrame:
 def fix_names(df: DataFrame, corrections: DataFrame, col: str = "customer_name") -> DataFrame:
     """Replace exact matches of ``corrections.wrong`` in ``col`` by ``right``.
 
-    A left join on the name: the dictionary is broadcast when its row count
-    is proven small, shuffled otherwise.  It is first reduced to one rule
-    per wrong spelling (the smallest replacement), so the join can never
-    duplicate a line.
+    A left join on the name, its kind left to the planner.  The dictionary
+    is reduced to one rule per wrong spelling first, so the join can never
+    duplicate a line; two different replacements for one spelling raise.
     """
-    d = corrections.groupBy(F.col("wrong").alias("_wrong")).agg(F.min("right").alias("_right"))
-    joined = df.join(maybe_broadcast(d), F.col(col) == F.col("_wrong"), "left")
+    d = corrections.groupBy(F.col("wrong").alias("_wrong")).agg(
+        F.min("right").alias("_right"), F.max("right").alias("_other"))
+    clash = F.raise_error(F.concat(F.lit("two replacements for: "), F.col("_wrong"))).cast("string")
+    d = d.select("_wrong", F.when(F.col("_right") != F.col("_other"), clash)
+                 .otherwise(F.col("_right")).alias("_right"))
+    joined = df.join(d, F.col(col) == F.col("_wrong"), "left")
     return joined.select(
         *[F.coalesce(F.col("_right"), F.col(c)).alias(c) if c == col else F.col(c)
           for c in df.columns]
@@ -84,10 +91,10 @@ def fix_names(df: DataFrame, corrections: DataFrame, col: str = "customer_name")
 
 def clean(raw: DataFrame, corrections: DataFrame | None = None, pattern: str = DATE_PATTERN,
           pad_postal_code: int | None = None, unicode_spaces: bool = False,
-          strict_dates: bool = False) -> DataFrame:
+          strict_dates: bool = True) -> DataFrame:
     """Raw order lines -> clean order lines (same rows, same order).
 
-    ``strict_dates`` fails on date text that does not parse; by default it
+    Date text that does not parse fails; with ``strict_dates=False`` it
     becomes NULL and ``quality.invalid_dates`` lists those rows."""
     renamed = rename(raw)
     cols = []

@@ -52,8 +52,7 @@ def customer_sales_rank(sl: DataFrame, **kw) -> DataFrame:
 
     Runs as the distributed ordered scan: no single-partition window.
     """
-    ranked = O.rank(customer_totals(sl), [O.desc("total_sales")], out="sales_rank",
-                    **O.bounded(sl, kw))
+    ranked = O.rank(customer_totals(sl), [O.desc("total_sales")], out="sales_rank", **kw)
     return ranked.select(*CUSTOMER, M.money("total_sales").alias("total_sales"), "sales_rank")
 
 
@@ -115,12 +114,11 @@ def _scored(sl: DataFrame, tiles: int, orientation: str, **kw) -> DataFrame:
     """RFM base with r/f/m scores: NTILE over recency ascending, frequency
     and monetary descending, ties broken by the customer key."""
     specs = [
-        ("r_score", tiles, [O.asc("recency_days")]),
-        ("f_score", tiles, [O.desc("frequency")]),
-        ("m_score", tiles, [O.desc("monetary")]),
+        ("r_score", tiles, O.asc("recency_days")),
+        ("f_score", tiles, O.desc("frequency")),
+        ("m_score", tiles, O.desc("monetary")),
     ]
-    # Written once and counted unless the line count proves it small.
-    scored = O.ntiles(rfm_base(sl), specs, tie_break=CUSTOMER, **O.bounded(sl, kw))
+    scored = O.ntiles(rfm_base(sl), specs, CUSTOMER, **kw)
     if orientation == "high_is_best":
         scored = scored.select(
             *[c for c in scored.columns if not c.endswith("_score")],
@@ -182,7 +180,6 @@ def rfm_segment_rank(sl: DataFrame, tiles: int = RFM_TILES, orientation: str = "
     The segment is the prefix of the distributed rank: a segment holding a
     third of all customers is still spread over many tasks.
     """
-    kw = O.bounded(sl, kw)
     s = _segmented(sl, tiles, orientation, **kw)
     ranked = O.rank(s, [O.desc("monetary")], prefix=["customer_segment"], out="segment_rank", **kw)
     return ranked.select(

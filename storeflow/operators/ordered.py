@@ -2,35 +2,36 @@
 
 ``RANK``, ``ROW_NUMBER``, ``NTILE`` and ``SUM() OVER (ORDER BY ...)`` with
 no ``PARTITION BY`` plan in Spark as one window over a single partition.
-Here the same results come from range buckets:
+Here the same results come from range buckets, by one path at every size:
 
 1. The input (one row per entity, e.g. per customer) is written once and
-   counted.  Bucket count B = ceil(n / rows_per_bucket), at most
-   ``max_buckets``.
-2. For B > 1 the table is range-partitioned into B partitions on
-   (prefix, order, tie-break) -- Spark samples the keys and assigns each
-   row by binary search over the bounds -- and written once together with
-   its partition id as the bucket.  From then on the bucket is data:
-   retries, AQE and later reads cannot move a row.  The key includes the
-   tie-break, so a value shared by a third of all rows is still spread
-   over many buckets.
-3. Per (prefix, bucket): count and sums, turned into exclusive offsets by
-   a window over at most B rows per prefix, joined back (broadcast: at
-   most ``max_buckets`` rows per prefix value, checked when a prefix is
-   present).
-4. Inside a bucket: an ordinary window partitioned by (prefix, bucket);
-   global position = bucket offset + local position.
+   counted.  Bucket count B = the larger of the session's parallelism and
+   ceil(n / rows_per_bucket).
+2. The table is range-partitioned into B partitions on (prefix, order,
+   tie-break) -- Spark samples the keys and assigns each row by binary
+   search over the bounds -- sorted inside each, and written once together
+   with its partition id (bucket) and its place in the bucket.  From then
+   on both are data: retries, AQE and later reads cannot move a row.  The
+   key includes the tie-break, so a value shared by a third of all rows is
+   still spread over many buckets.
+3. Per (prefix, bucket): count, first place and sums, turned into exclusive
+   offsets by a window over at most B rows per prefix, written, and joined
+   back (the planner knows the written table's size and picks the join).
+4. Position = offset + place, without a second exchange.  Running sums add
+   an ordinary window partitioned by (prefix, bucket).
 
 ``rank`` and the RANGE running sum depend on peers (rows with equal sort
 values).  They first aggregate to one row per distinct (prefix, value) --
 hot values collapse to one row in the map-side partial aggregate -- scan
-that peer table, and join the result back on the value.
+that peer table, and join the result back on the value (AQE splits a hot
+value's join: the other side has one row per value).
 
-When the input is proven to have at most ``rows_per_bucket`` rows (see
-``bounded``) it is one bucket: the plain window, nothing written.
+``ntiles`` stacks several scores as a prefix, so all of them take one
+range sort over narrow rows.
 
-Sums are exact (decimal), so every path returns exactly what the plain
-single-partition window returns; the tests hold them to equality.
+Sums are exact (decimal), so the results are exactly those of the plain
+single-partition window; the tests hold them to equality.  The functions
+here run jobs (counts and writes) while the frame is built.
 """
 
 from __future__ import annotations
@@ -42,11 +43,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.joins import maybe_broadcast
+from ..session import parallelism
 from ..sources.storage import materialize
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 10_000
 
 
 @dataclass(frozen=True)
@@ -81,28 +81,11 @@ def _keys(order: Sequence[SortKey | str]) -> list[SortKey]:
     return [k if isinstance(k, SortKey) else asc(k) for k in order]
 
 
-# ------------------------------------------------------------------ sizing
+def bucket_count(df: DataFrame, n: int, rows_per_bucket: int) -> int:
+    return max(parallelism(df.sparkSession), math.ceil(n / max(rows_per_bucket, 1)))
 
 
-def bounded(lines: DataFrame, kw: dict) -> dict:
-    """``kw`` with ``max_rows`` set to the known row count of ``lines``:
-    any grouping of ``lines`` has at most that many rows."""
-    from ..sources.storage import known_rows
-
-    out = dict(kw)
-    out.setdefault("max_rows", known_rows(lines))
-    return out
-
-
-def fits_one_bucket(max_rows: int | None, rows_per_bucket: int = ROWS_PER_BUCKET) -> bool:
-    return max_rows is not None and max_rows <= rows_per_bucket
-
-
-def _plan_buckets(n: int, rows_per_bucket: int, max_buckets: int) -> int:
-    return max(1, min(max_buckets, math.ceil(n / max(rows_per_bucket, 1))))
-
-
-def _null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
+def _null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``cols`` treating NULL = NULL; keeps the left copies.
     Never a cross join: at least one key is required."""
     if not cols:
@@ -110,15 +93,21 @@ def _null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> D
     ren = right.select(*[F.col(c).alias(f"__r_{c}") if c in cols else F.col(c)
                          for c in right.columns])
     cond = [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in cols]
-    joined = left.join(ren, cond)
+    joined = left.join(ren, cond, how)
     return joined.drop(*[f"__r_{c}" for c in cols])
 
 
 def range_buckets(df: DataFrame, sort_cols: Sequence[Column], buckets: int) -> DataFrame:
-    """``df`` range-partitioned into ``buckets`` on ``sort_cols``, written
-    with the partition id as column ``_b`` (bucket order = sort order)."""
-    ranged = df.repartitionByRange(buckets, *sort_cols)
-    return materialize(ranged.withColumn("_b", F.spark_partition_id()), "buckets")
+    """``df`` range-partitioned into ``buckets`` on ``sort_cols`` and sorted,
+    written with the bucket ``_b`` (bucket order = sort order) and the
+    0-based place ``_i`` in it."""
+    ranged = df.repartitionByRange(buckets, *sort_cols).sortWithinPartitions(*sort_cols)
+    # The id holds the partition in its upper and the place in its lower bits.
+    tagged = ranged.withColumn("_id", F.monotonically_increasing_id())
+    return materialize(
+        tagged.withColumn("_b", F.shiftright("_id", 33).cast("int"))
+        .withColumn("_i", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id"),
+        "buckets")
 
 
 # ---------------------------------------------------------------- the scan
@@ -132,10 +121,6 @@ def scan(
     sums: Sequence[str] = (),
     with_total: bool = False,
     rows_per_bucket: int = ROWS_PER_BUCKET,
-    max_buckets: int = MAX_BUCKETS,
-    materialized: bool = False,
-    n: int | None = None,
-    max_rows: int | None = None,
 ) -> DataFrame:
     """Add ``_rn`` (1-based position in the order within ``prefix``), for
     every column c in ``sums`` the inclusive running sum ``_run_<c>`` and
@@ -144,42 +129,20 @@ def scan(
 
     The order is ``order`` then ``tie_break`` (ascending); rows equal on
     both are numbered in an arbitrary but consistent way.
-
-    ``max_rows`` is a proven upper bound on the rows of ``df`` (e.g. the
-    row count of the table it aggregates); ``n`` its exact row count when
-    already known.  Within ``rows_per_bucket`` the input is one bucket.
     """
     keys = _keys(order) + [asc(c) for c in tie_break]
     prefix = list(prefix)
-    sort_cols = [k.sort_col() for k in keys]
-    buckets = 1
-    if not fits_one_bucket(max_rows, rows_per_bucket):
-        if n is None:
-            df = df if materialized else materialize(df, "ordered")
-            n = df.count()
-        buckets = _plan_buckets(n, rows_per_bucket, max_buckets)
-
-    if buckets == 1:
-        # At most rows_per_bucket rows: one window partition is bounded.
-        w = Window.partitionBy(*prefix).orderBy(*sort_cols)
-        w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = df.withColumn("_rn", F.row_number().over(w).cast("bigint"))
-        for c in sums:
-            out = out.withColumn(f"_run_{c}", F.sum(c).over(w_run))
-            out = out.withColumn(f"_nn_{c}", F.count(c).over(w_run))
-        if with_total:
-            out = out.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*prefix)))
-        return out
-
-    rows = range_buckets(df, [F.col(p).asc_nulls_first() for p in prefix] + sort_cols, buckets)
-
-    stat_aggs = [F.count(F.lit(1)).alias("_bn")]
+    df = materialize(df, "ordered")
+    sort_cols = [F.col(p).asc_nulls_first() for p in prefix] + [k.sort_col() for k in keys]
+    rows = range_buckets(df, sort_cols, bucket_count(df, df.count(), rows_per_bucket))
+
+    stat_aggs = [F.count(F.lit(1)).alias("_bn"), F.min("_i").alias("_first")]
     for c in sums:
         stat_aggs += [F.sum(c).alias(f"_bs_{c}"), F.count(c).alias(f"_bc_{c}")]
     stats = rows.groupBy(*prefix, "_b").agg(*stat_aggs)
     wb = Window.partitionBy(*prefix).orderBy("_b")
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
-    offs = [F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off_n")]
+    offs = [(F.coalesce(F.sum("_bn").over(before), F.lit(0)) - F.col("_first")).alias("_off_n")]
     for c in sums:
         offs += [
             F.sum(f"_bs_{c}").over(before).alias(f"_off_s_{c}"),
@@ -187,25 +150,20 @@ def scan(
         ]
     if with_total:
         offs.append(F.sum("_bn").over(Window.partitionBy(*prefix)).alias("_n"))
-    stats = stats.select(*prefix, "_b", *offs)
-    # Without a prefix the table has at most B <= max_buckets rows; with
-    # one, broadcast only after a bounded row-count check.
-    small = F.broadcast(stats) if not prefix else maybe_broadcast(stats)
-    rows = _null_safe_join(rows, small, [*prefix, "_b"])
-
-    w = Window.partitionBy(*prefix, "_b").orderBy(*sort_cols)
-    w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.withColumn("_rn", (F.col("_off_n") + F.row_number().over(w)).cast("bigint"))
+    stats = materialize(stats.select(*prefix, "_b", *offs), "bucket-stats")
+    out = _null_safe_join(rows, stats, [*prefix, "_b"])
+    out = out.withColumn("_rn", (F.col("_off_n") + F.col("_i") + 1).cast("bigint"))
+
+    w_run = Window.partitionBy(*prefix, "_b").orderBy("_i").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
     for c in sums:
-        local_s = F.sum(c).over(w_run)
-        local_c = F.count(c).over(w_run)
-        nn = F.col(f"_off_c_{c}") + local_c
-        total = F.coalesce(F.col(f"_off_s_{c}"), F.lit(0)) + F.coalesce(local_s, F.lit(0))
+        nn = F.col(f"_off_c_{c}") + F.count(c).over(w_run)
+        total = F.coalesce(F.col(f"_off_s_{c}"), F.lit(0)) + F.coalesce(F.sum(c).over(w_run), F.lit(0))
         out = out.withColumn(f"_nn_{c}", nn).withColumn(
             f"_run_{c}", F.when(F.col(f"_nn_{c}") > 0, total)
         )
         out = out.drop(f"_off_s_{c}", f"_off_c_{c}")
-    return out.drop("_b", "_off_n")
+    return out.drop("_b", "_i", "_off_n")
 
 
 # ------------------------------------------------------------ public forms
@@ -216,7 +174,7 @@ def row_number(df: DataFrame, order, tie_break=(), prefix=(), out="row_number",
     return res.withColumnRenamed("_rn", out)
 
 
-def ntile_expr(rn: Column, n: Column, k: int) -> Column:
+def ntile_expr(rn: Column, n: Column, k: Column | int) -> Column:
     """NTILE(k) from a 1-based row number and the group size: the first
     ``n mod k`` tiles get one row more."""
     q = F.floor(n / k).cast("bigint")
@@ -232,21 +190,33 @@ def ntile(df: DataFrame, k: int, order, tie_break=(), prefix=(), out="ntile", **
     return res.withColumn(out, ntile_expr(F.col("_rn"), F.col("_n"), k)).drop("_rn", "_n")
 
 
-def ntiles(df: DataFrame, specs, tie_break=(), prefix=(), materialized: bool = False,
-           max_rows: int | None = None, **kw) -> DataFrame:
-    """Several NTILEs over one table: ``specs`` is a list of
-    ``(out, k, order)``.  The table is written and counted once (unless
-    ``max_rows`` proves it fits one bucket); each NTILE then adds one
-    range-bucketed window pass."""
-    n = None
-    if not fits_one_bucket(max_rows, kw.get("rows_per_bucket", ROWS_PER_BUCKET)):
-        df = df if materialized else materialize(df, "ntiles")
-        n = df.count()
-    out = df
-    for name, k, order in specs:
-        res = scan(out, order, tie_break, prefix, with_total=True, n=n, max_rows=max_rows, **kw)
-        out = res.withColumn(name, ntile_expr(F.col("_rn"), F.col("_n"), k)).drop("_rn", "_n")
-    return out
+def ntiles(df: DataFrame, specs: Sequence[tuple[str, int, SortKey]], key: Sequence[str],
+           rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Several NTILEs over one table with the unique key ``key`` (also the
+    tie-break): ``specs`` is a list of ``(out, k, sort key)`` on numeric
+    columns.
+
+    One range sort for all: a narrow row per (score, entity) holds the key
+    and the value, negated for a descending score; the tiles are gathered
+    per entity and joined back on the key once.
+    """
+    key = list(key)
+    df = materialize(df, "ntiles")
+    stacked = None
+    for number, (_, k, sort) in enumerate(specs):
+        value = F.col(sort.col).cast("decimal(38,6)")
+        one = df.select(
+            *key, F.lit(number).alias("_score"), F.lit(k).alias("_k"),
+            F.when(F.col(sort.col).isNull(), 0 if sort.nf else 2).otherwise(1).alias("_nulls"),
+            (-value if sort.descending else value).alias("_value"))
+        stacked = one if stacked is None else stacked.unionByName(one)
+    placed = scan(stacked, [asc("_nulls"), asc("_value")], key, ["_score"], with_total=True,
+                  rows_per_bucket=rows_per_bucket)
+    tile = ntile_expr(F.col("_rn"), F.col("_n"), F.col("_k"))
+    scores = placed.select(*key, "_score", tile.alias("_t")).groupBy(*key).agg(*[
+        F.max(F.when(F.col("_score") == number, F.col("_t"))).alias(name)
+        for number, (name, _, _) in enumerate(specs)])
+    return _null_safe_join(df, scores, key)
 
 
 def peers(
@@ -274,31 +244,22 @@ def peers(
     return res.drop(*drop)
 
 
-def _joined_back(df, keys, prefix, value, col, out, materialized, kw) -> DataFrame:
-    small = fits_one_bucket(kw.get("max_rows"), kw.get("rows_per_bucket", ROWS_PER_BUCKET))
-    if small:
-        # Proven to fit one bucket: the plain window, one pass (default
-        # RANGE frame, so peers share the running sum).
-        w = Window.partitionBy(*prefix).orderBy(*[k.sort_col() for k in keys])
-        if value is None:
-            return df.withColumn(out, F.rank().over(w).cast("bigint"))
-        return df.withColumn(out, F.sum(value).over(w))
+def _joined_back(df, keys, prefix, value, col, out, kw) -> DataFrame:
     # The input is read twice (peer table, join back): write it once.
-    base = df if materialized else materialize(df, "peers_in")
+    base = materialize(df, "peers_in")
     p = peers(base, keys, value, prefix, **kw).select(*prefix, *[k.col for k in keys], col)
     joined = _null_safe_join(base, p, [*prefix, *[k.col for k in keys]])
     return joined.withColumnRenamed(col, out)
 
 
-def rank(df: DataFrame, order, prefix=(), out="rank", materialized: bool = False, **kw) -> DataFrame:
+def rank(df: DataFrame, order, prefix=(), out="rank", **kw) -> DataFrame:
     """``RANK() OVER ([PARTITION BY prefix] ORDER BY order)``."""
-    return _joined_back(df, _keys(order), list(prefix), None, "_rank", out, materialized, kw)
+    return _joined_back(df, _keys(order), list(prefix), None, "_rank", out, kw)
 
 
-def cumulative_sum(df: DataFrame, value: str, order, prefix=(), out="cumulative",
-                   materialized: bool = False, **kw) -> DataFrame:
+def cumulative_sum(df: DataFrame, value: str, order, prefix=(), out="cumulative", **kw) -> DataFrame:
     """``SUM(value) OVER ([PARTITION BY prefix] ORDER BY order)`` (RANGE frame)."""
-    return _joined_back(df, _keys(order), list(prefix), value, "_cum", out, materialized, kw)
+    return _joined_back(df, _keys(order), list(prefix), value, "_cum", out, kw)
 
 
 # ------------------------------------------------- plain forms (reference)

@@ -5,11 +5,11 @@ average, ABC) and by id + name (top lists, ranking, Pareto).  Each
 operator takes ``key=`` with the grain as default.
 
 Class bounds are compared exactly: an item is in class A when its
-cumulative sales *including itself* are within 80 % of the total, tested
-as ``cumulative <= total * 0.80`` on decimals (no division, no rounding).
-A NULL cumulative (items with no sales, sorted first) falls to the last
-class.  A grand total of 0 makes the share undefined: NULL class, or an
-error with ``strict=True``.
+cumulative sales *including itself* are at most 80 % of the total, tested
+on decimals without dividing (``within_share``: the comparison turns round
+for a negative total).  A NULL cumulative (items with no sales, sorted
+first) falls to the last class.  A grand total of 0 makes the share
+undefined: an error, or NULL with ``strict=False``.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import money as M
+from ..sources.storage import materialize
 from . import ordered as O
 from .aggregates import (  # noqa: F401  (product_overview is re-exported)
     asc, desc, loss_groups, performance_by, product_overview, sales_by, top_by,
@@ -65,8 +66,7 @@ def product_totals(sl: DataFrame, key: Sequence[str] = PRODUCT) -> DataFrame:
 
 def product_sales_rank(sl: DataFrame, key: Sequence[str] = PRODUCT, **kw) -> DataFrame:
     """Every product with ``RANK() OVER (ORDER BY total_sales DESC)``."""
-    ranked = O.rank(product_totals(sl, key), [O.desc("total_sales")], out="sales_rank",
-                    **O.bounded(sl, kw))
+    ranked = O.rank(product_totals(sl, key), [O.desc("total_sales")], out="sales_rank", **kw)
     return ranked.select(*key, M.money("total_sales").alias("total_sales"), "sales_rank")
 
 
@@ -108,34 +108,47 @@ def products_above_average(sl: DataFrame, key: Sequence[str] = PRODUCT_NAME) ->
 # ------------------------------------------------------------ ABC / Pareto
 
 
-def grand_total(sl: DataFrame) -> Column:
-    """All sales as a scalar subquery: one scan with a partial sum per task
-    (equal to the sum of the product totals, whose NULLs add nothing)."""
-    return sl.select(M.sum_money("sales")).scalar()
+def _written_totals(sl: DataFrame, key: Sequence[str]) -> tuple[DataFrame, Column]:
+    """Product totals, written once, and their sum as a scalar subquery
+    over that small table (NULL totals add nothing)."""
+    totals = materialize(product_totals(sl, key), "product-totals")
+    return totals, totals.select(F.sum("total_sales")).scalar()
+
+
+def _zero_total(overall: Column, strict: bool, value: Column, kind: str) -> Column:
+    """``value``, or what a grand total of 0 gives: an error, as dividing by
+    it does, or NULL."""
+    if strict:
+        zero = F.raise_error(F.lit("grand total is 0: cumulative share undefined")).cast(kind)
+    else:
+        zero = F.lit(None).cast(kind)
+    return F.when(overall == 0, zero).otherwise(value)
+
+
+def within_share(cum: Column, overall: Column, share: str) -> Column:
+    """``cum / overall <= share`` without dividing: the comparison turns
+    round when the grand total is negative."""
+    bound = overall * F.lit(Decimal(share))
+    return F.when(overall > 0, cum <= bound).otherwise(cum >= bound)
 
 
 def _share_class(cum: Column, overall: Column, bounds, default: str, strict: bool) -> Column:
     expr = None
     for share, label in bounds:
-        cond = cum <= overall * F.lit(Decimal(share))
+        cond = within_share(cum, overall, share)
         expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
-    expr = expr.otherwise(F.lit(default))
-    if strict:
-        zero = F.raise_error(F.lit("grand total is 0: cumulative share undefined"))
-        return F.when(overall == 0, zero.cast("string")).otherwise(expr)
-    return F.when(overall == 0, F.lit(None).cast("string")).otherwise(expr)
+    return _zero_total(overall, strict, expr.otherwise(F.lit(default)), "string")
 
 
 def _ranked_peers(sl: DataFrame, key: Sequence[str], **kw) -> tuple[DataFrame, Column]:
     """Peer groups of product totals (descending) with their cumulative
     sales, and the grand total as a scalar subquery."""
-    totals = product_totals(sl, key)
-    p = O.peers(totals, [O.desc("total_sales")], "total_sales", **O.bounded(sl, kw))
-    return p, grand_total(sl)
+    totals, overall = _written_totals(sl, key)
+    return O.peers(totals, [O.desc("total_sales")], "total_sales", **kw), overall
 
 
 def abc_summary(sl: DataFrame, key: Sequence[str] = PRODUCT_NAME, bounds=ABC_BOUNDS,
-                default: str = ABC_DEFAULT, strict: bool = False, **kw) -> DataFrame:
+                default: str = ABC_DEFAULT, strict: bool = True, **kw) -> DataFrame:
     """Products, sales per ABC class.  Works on peer groups only: every
     product of a peer group shares the cumulative sum and the class."""
     p, overall = _ranked_peers(sl, key, **kw)
@@ -147,43 +160,40 @@ def abc_summary(sl: DataFrame, key: Sequence[str] = PRODUCT_NAME, bounds=ABC_BOU
 
 
 def abc_classes(sl: DataFrame, key: Sequence[str] = PRODUCT_NAME, bounds=ABC_BOUNDS,
-                default: str = ABC_DEFAULT, strict: bool = False, **kw) -> DataFrame:
+                default: str = ABC_DEFAULT, strict: bool = True, **kw) -> DataFrame:
     """ABC class of every product."""
-    totals = product_totals(sl, key)
-    overall = grand_total(sl)
-    cum = O.cumulative_sum(totals, "total_sales", [O.desc("total_sales")], out="_cum",
-                           **O.bounded(sl, kw))
+    totals, overall = _written_totals(sl, key)
+    cum = O.cumulative_sum(totals, "total_sales", [O.desc("total_sales")], out="_cum", **kw)
     return cum.select(
         *key, M.money("total_sales").alias("total_sales"),
         _share_class(F.col("_cum"), overall, bounds, default, strict).alias("abc_category"),
     )
 
 
-def pareto_table(sl: DataFrame, key: Sequence[str] = PRODUCT, **kw) -> DataFrame:
+def pareto_table(sl: DataFrame, key: Sequence[str] = PRODUCT, strict: bool = True, **kw) -> DataFrame:
     """Every product with its cumulative share of sales, in percent."""
-    totals = product_totals(sl, key)
-    overall = grand_total(sl)
-    cum = O.cumulative_sum(totals, "total_sales", [O.desc("total_sales")], out="_cum",
-                           **O.bounded(sl, kw))
+    totals, overall = _written_totals(sl, key)
+    cum = O.cumulative_sum(totals, "total_sales", [O.desc("total_sales")], out="_cum", **kw)
+    pct = _zero_total(overall, strict, M.ratio(F.col("_cum"), overall, factor=100), "double")
     return cum.select(
-        *key, M.money("total_sales").alias("total_sales"),
-        M.ratio(F.col("_cum"), overall, factor=100).alias("cumulative_sales_pct"),
+        *key, M.money("total_sales").alias("total_sales"), pct.alias("cumulative_sales_pct"),
     ).orderBy(desc("total_sales"))
 
 
 def pareto_80_count(sl: DataFrame, key: Sequence[str] = PRODUCT, bound: str = PARETO_BOUND,
-                    **kw) -> DataFrame:
-    """How many products make up the first ``bound`` share of sales."""
+                    strict: bool = True, **kw) -> DataFrame:
+    """How many products make up the first ``bound`` share of sales; without
+    ``strict`` NULL when the grand total is 0."""
     p, overall = _ranked_peers(sl, key, **kw)
-    inside = F.col("_cum") <= overall * F.lit(Decimal(bound))
+    inside = _zero_total(overall, strict, within_share(F.col("_cum"), overall, bound), "boolean")
+    counted = F.coalesce(F.sum(F.when(inside, F.col("_cnt"))), F.lit(0))
+    undefined = F.count_if(inside.isNull() & F.col("_cum").isNotNull()) > 0
     return p.agg(
-        F.coalesce(F.sum(F.when(inside, F.col("_cnt"))), F.lit(0)).cast("bigint")
-        .alias("products_generating_80pct_sales")
-    )
+        F.when(~undefined, counted).cast("bigint").alias("products_generating_80pct_sales"))
 
 
 def pareto_groups(sl: DataFrame, key: Sequence[str] = PRODUCT, bound: str = PARETO_BOUND,
-                  strict: bool = False, **kw) -> DataFrame:
+                  strict: bool = True, **kw) -> DataFrame:
     p, overall = _ranked_peers(sl, key, **kw)
     label = _share_class(F.col("_cum"), overall, ((bound, PARETO_TOP),), PARETO_REST, strict)
     return p.groupBy(label.alias("pareto_group")).agg(

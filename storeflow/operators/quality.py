@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import has_replacement_char
 from ..schema import CRITICAL_RAW_COLUMNS, RAW_TO_CLEAN
+from ..sources.storage import materialize
 from .aggregates import asc, desc, distinct_count, summarize
 from .clean import DATE_PATTERN, parse_date
 
@@ -41,19 +42,28 @@ def null_audit(raw: DataFrame, cols: Sequence[str] = CRITICAL_RAW_COLUMNS) -> Da
     ])
 
 
+# Repeated hashes are told apart by this many remainders before a join.
+HASH_CLASSES = 1 << 16
+
+
 def full_duplicate_count(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Rows beyond the first of every group of identical rows (NULLs equal).
 
-    Grouping on all columns would shuffle whole rows.  Instead: shuffle
-    only a 64-bit hash per row to find hashes seen twice, semi-join the
-    rows back to those candidates, and group the candidates exactly (hash
-    collisions are resolved there).
+    Grouping on all columns would shuffle whole rows.  Instead: shuffle a
+    64-bit hash per row and write the hashes seen twice (the job runs while
+    the frame is built).  Their remainders (at most ``HASH_CLASSES``
+    numbers) filter the rows inside the scan, so only rows that can be
+    repeated reach an exchange; the join with the written hashes and the
+    grouping of what is left are exact (hash collisions are resolved there).
     """
     cols = list(cols or df.columns)
     qc = [_q(c) for c in cols]
     hashed = df.select(*qc, F.xxhash64(*qc).alias("_h"))
-    repeated = hashed.groupBy("_h").count().where(F.col("count") > 1).select("_h")
-    candidates = hashed.join(repeated, "_h", "left_semi")
+    repeated = materialize(
+        hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_h"), "repeated-hashes")
+    remainder = F.pmod(F.col("_h"), F.lit(HASH_CLASSES))
+    classes = [r["r"] for r in repeated.select(remainder.alias("r")).distinct().collect()]
+    candidates = hashed.where(remainder.isin(classes)).join(repeated, "_h", "left_semi")
     groups = candidates.groupBy(*qc).count().where(F.col("count") > 1)
     return groups.agg(
         F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows")
@@ -141,7 +151,7 @@ def invalid_dates(raw: DataFrame, cols=("Order Date", "Ship Date"),
     """Raw rows whose date text is present but does not parse (quarantine)."""
     bad = None
     for c in cols:
-        cond = _q(c).isNotNull() & parse_date(_q(c), pattern).isNull()
+        cond = _q(c).isNotNull() & parse_date(_q(c), pattern, strict=False).isNull()
         bad = cond if bad is None else (bad | cond)
     return raw.where(bad)
 
@@ -162,8 +172,8 @@ def quality_summary(raw: DataFrame, pattern: str = DATE_PATTERN) -> DataFrame:
         any_null.alias("_null"),
         _q("Order Date").isNotNull().alias("_has_od"),
         _q("Ship Date").isNotNull().alias("_has_sd"),
-        parse_date(_q("Order Date"), pattern).alias("_od"),
-        parse_date(_q("Ship Date"), pattern).alias("_sd"),
+        parse_date(_q("Order Date"), pattern, strict=False).alias("_od"),
+        parse_date(_q("Ship Date"), pattern, strict=False).alias("_sd"),
         _q("Sales").cast("decimal(12,2)").alias("_sales"),
         _q("Quantity").alias("_qty"),
     )

@@ -2,9 +2,11 @@
 DataFrame`` and, where SQL can express it, the same query as DuckDB SQL
 over the driver's raw tables (the correctness oracle).
 
-The analyses read the clean order lines (``silver_lines``, written once
-per application); the cleaning queries read the raw-shaped lines
-(``bronze_lines``).  Keys follow the inventory of the source scripts.
+The analyses read the clean order lines (``silver_lines``: the cleaning
+step's output, written once per application); the cleaning queries read the
+raw-shaped lines (``bronze_lines``), and the checks for defects a copy with
+defects at fixed keys (``audit_lines``).  Keys follow the inventory of the
+source scripts.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from ..operators import products as P
 from ..operators import profitability as R
 from ..operators import quality as Qy
 from ..operators import timeseries as TS
-from ..sources.raw import bronze_lines, name_corrections
-from ..sources.tables import silver_lines
+from ..sources.raw import audit_lines, bronze_lines, name_corrections
+from ..sources.silver import audit_clean_lines, silver_lines
 from .sqltext import cnt, mean, money, round_ratio, with_sl
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -38,9 +40,8 @@ def _on_raw(fn) -> Builder:
     return lambda spark, sf: fn(bronze_lines(spark, sf))
 
 
-def _cleaned(spark: SparkSession, sf: str) -> DataFrame:
-    raw = bronze_lines(spark, sf)
-    return C.clean(raw, name_corrections(spark, sf, raw))
+def _on_audit(fn) -> Builder:
+    return lambda spark, sf: fn(audit_lines(spark, sf))
 
 
 def reg(name: str, builder: Builder, sql: str | None) -> None:
@@ -56,7 +57,7 @@ PROD = "product_id, product_name"
 # ----------------------------------------------------------- raw-shaped lines
 
 RAW_CTE = """raw AS (
-  SELECT line_key AS "Row ID", order_id AS "Order ID",
+  SELECT row_id AS "Row ID", line_key, order_id AS "Order ID",
          strftime(order_date, '%m/%d/%Y') AS "Order Date",
          strftime(ship_date, '%m/%d/%Y') AS "Ship Date",
          ship_mode AS "Ship Mode", customer_id AS "Customer ID",
@@ -72,6 +73,32 @@ RAW_CTE = """raw AS (
          CAST(discount AS DOUBLE) AS "Discount", CAST(profit AS DOUBLE) AS "Profit"
   FROM sl_full
 )"""
+# Fixed values, as in sources.raw: the defect of each remainder of 97.
+AUDIT_CTE = """audit_one AS (
+  SELECT line_key AS "Row ID", "Order ID",
+         CASE WHEN "Order ID" % 97 = 1 THEN 'not a date' ELSE "Order Date" END AS "Order Date",
+         "Ship Date", "Ship Mode", CASE WHEN "Order ID" % 97 <> 6 THEN "Customer ID" END AS "Customer ID",
+         "Customer Name", "Segment", "Country", "City", "State", "Postal Code", "Region", "Product ID",
+         "Category", "Sub-Category", "Product Name",
+         CASE WHEN "Order ID" % 97 = 3 THEN -"Sales" ELSE "Sales" END AS "Sales",
+         CASE WHEN "Order ID" % 97 = 4 THEN 0 ELSE "Quantity" END AS "Quantity", "Discount",
+         CASE WHEN "Order ID" % 97 <> 2 THEN "Profit" END AS "Profit"
+  FROM raw
+), audit AS (
+  SELECT * FROM audit_one UNION ALL SELECT * FROM audit_one WHERE "Order ID" % 97 = 5
+)"""
+AUDIT_CLEAN = """audit_clean_one AS (
+  SELECT line_key AS row_id, order_id, CASE WHEN order_id % 97 <> 1 THEN order_date END AS order_date,
+         ship_date, ship_mode, CASE WHEN order_id % 97 <> 6 THEN customer_id END AS customer_id,
+         customer_name, segment, country, city, state, postal_code, region, product_id, category,
+         sub_category, product_name,
+         CAST(CASE WHEN order_id % 97 = 3 THEN -sales ELSE sales END AS DECIMAL(12,2)) AS sales,
+         CAST(CASE WHEN order_id % 97 = 4 THEN 0 ELSE quantity END AS INTEGER) AS quantity, discount,
+         CASE WHEN order_id % 97 <> 2 THEN profit END AS profit
+  FROM sl_full
+), audit_clean AS (
+  SELECT * FROM audit_clean_one UNION ALL SELECT * FROM audit_clean_one WHERE order_id % 97 = 5
+)"""
 SL_FULL = """sl_full AS (
   SELECT b.*, CAST(ROUND(sales * (CAST(0.30 AS DECIMAL(3,2)) - discount), 2) AS DECIMAL(12,2)) AS profit
   FROM sl_base b
@@ -86,6 +113,10 @@ def with_raw(body: str) -> str:
     return with_sl(body, SL_FULL, RAW_CTE)
 
 
+def with_audit(body: str) -> str:
+    return with_sl(body, SL_FULL, RAW_CTE, AUDIT_CTE)
+
+
 def _parse(col: str) -> str:
     return f"CAST(try_strptime({col}, '%m/%d/%Y') AS DATE)"
 
@@ -97,23 +128,23 @@ _BAD_DATE = (f'("Order Date" IS NOT NULL AND {_OD} IS NULL) OR '
 
 reg("raw_snapshot", _on_raw(lambda raw: raw), with_raw(f"SELECT {RAW_COLS} FROM raw"))
 reg("row_count_raw", _on_raw(Qy.row_count), with_raw("SELECT CAST(COUNT(*) AS BIGINT) AS total_rows FROM raw"))
-reg("null_audit", _on_raw(Qy.null_audit), with_raw(
+reg("null_audit", _on_audit(Qy.null_audit), with_audit(
     "SELECT " + ", ".join(
         f'CAST(SUM(CASE WHEN "{c}" IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS {a}_nulls'
         for c, a in [("Order ID", "order_id"), ("Order Date", "order_date"),
                      ("Customer ID", "customer_id"), ("Product ID", "product_id"),
                      ("Sales", "sales"), ("Quantity", "quantity"), ("Profit", "profit")])
-    + " FROM raw"))
-reg("full_duplicate_count", _on_raw(Qy.full_duplicate_count), with_raw(
+    + " FROM audit"))
+reg("full_duplicate_count", _on_audit(Qy.full_duplicate_count), with_audit(
     "SELECT CAST(COALESCE(SUM(c - 1), 0) AS BIGINT) AS duplicate_rows FROM "
-    f"(SELECT COUNT(*) AS c FROM raw GROUP BY {RAW_COLS} HAVING COUNT(*) > 1) d"))
-reg("clean_sales_lines", _cleaned, with_sl(
-    "SELECT line_key AS row_id, order_id, order_date, ship_date, ship_mode, customer_id, "
+    f"(SELECT COUNT(*) AS c FROM audit GROUP BY {RAW_COLS} HAVING COUNT(*) > 1) d"))
+reg("clean_sales_lines", _on_sl(lambda sl: sl), with_sl(
+    "SELECT row_id, order_id, order_date, ship_date, ship_mode, customer_id, "
     "customer_name, segment, country, city, state, postal_code, region, product_id, category, "
     "sub_category, product_name, sales, quantity, discount, profit FROM sl_full", SL_FULL))
-reg("duplicate_keys", _on_raw(lambda raw: Qy.duplicate_keys(C.rename(raw))), with_sl(
-    "SELECT line_key AS row_id, CAST(COUNT(*) AS BIGINT) AS duplicate_count FROM sl_full "
-    "GROUP BY line_key HAVING COUNT(*) > 1", SL_FULL))
+reg("duplicate_keys", _on_audit(lambda raw: Qy.duplicate_keys(C.rename(raw))), with_audit(
+    "SELECT \"Row ID\" AS row_id, CAST(COUNT(*) AS BIGINT) AS duplicate_count FROM audit "
+    "GROUP BY 1 HAVING COUNT(*) > 1"))
 reg("sample_rows", _on_raw(lambda raw: Qy.sample_rows(
     C.rename(raw), order=("row_id", "order_date", "ship_date"))), with_raw(
     'SELECT "Order Date" AS order_date, "Ship Date" AS ship_date FROM raw '
@@ -128,10 +159,12 @@ reg("corrupt_name_report", _on_raw(lambda raw: Qy.corrupt_name_report(C.rename(r
 reg("fix_customer_names",
     lambda spark, sf: C.fixed_customer_names(bronze_lines(spark, sf), name_corrections(spark, sf)),
     with_sl(f"SELECT DISTINCT {CUST} FROM sl"))
-reg("invalid_dates", _on_raw(Qy.invalid_dates), with_raw(f"SELECT {RAW_COLS} FROM raw WHERE {_BAD_DATE}"))
+reg("invalid_dates", _on_audit(Qy.invalid_dates), with_audit(f"SELECT {RAW_COLS} FROM audit WHERE {_BAD_DATE}"))
 reg("bad_ship_dates", _on_sl(Qy.bad_ship_dates), with_sl("SELECT * FROM sl WHERE ship_date < order_date"))
-reg("negative_sales", _on_sl(Qy.negative_sales), with_sl("SELECT * FROM sl WHERE sales < 0"))
-reg("bad_quantity", _on_sl(Qy.bad_quantity), with_sl("SELECT * FROM sl WHERE quantity <= 0"))
+reg("negative_sales", lambda spark, sf: Qy.negative_sales(audit_clean_lines(spark, sf)), with_sl(
+    "SELECT * FROM audit_clean WHERE sales < 0", SL_FULL, AUDIT_CLEAN))
+reg("bad_quantity", lambda spark, sf: Qy.bad_quantity(audit_clean_lines(spark, sf)), with_sl(
+    "SELECT * FROM audit_clean WHERE quantity <= 0", SL_FULL, AUDIT_CLEAN))
 reg("discount_levels", _on_sl(Qy.discount_levels),
     with_sl("SELECT DISTINCT discount FROM sl ORDER BY discount"))
 reg("value_ranges", _on_sl(Qy.value_ranges), with_sl(
@@ -140,7 +173,7 @@ reg("value_ranges", _on_sl(Qy.value_ranges), with_sl(
 reg("loss_lines", _on_sl(Qy.loss_lines), with_sl("SELECT * FROM sl WHERE profit < 0"))
 reg("date_span", _on_sl(Qy.date_span), with_sl(
     "SELECT MIN(order_date) AS first_order_date, MAX(order_date) AS last_order_date FROM sl"))
-reg("row_count_clean", lambda spark, sf: Qy.row_count(_cleaned(spark, sf), "cleaned_rows"),
+reg("row_count_clean", _on_sl(lambda sl: Qy.row_count(sl, "cleaned_rows")),
     with_sl("SELECT CAST(COUNT(*) AS BIGINT) AS cleaned_rows FROM sl"))
 reg("entity_counts", _on_sl(Qy.entity_counts), with_sl(
     f"SELECT {cnt('COUNT(DISTINCT order_id)')} AS total_orders, "
@@ -149,17 +182,17 @@ reg("entity_counts", _on_sl(Qy.entity_counts), with_sl(
 
 _NULLS = " OR ".join(f'"{c}" IS NULL' for c in
                      ["Order ID", "Order Date", "Customer ID", "Product ID", "Sales", "Quantity", "Profit"])
-reg("quality_summary", _on_raw(Qy.quality_summary), with_raw(
+reg("quality_summary", _on_audit(Qy.quality_summary), with_audit(
     "SELECT * FROM (" + " UNION ALL ".join([
-        "SELECT 'rows' AS \"check\", CAST(COUNT(*) AS BIGINT) AS violations FROM raw",
-        f"SELECT 'missing_values', CAST(COUNT(*) FILTER (WHERE {_NULLS}) AS BIGINT) FROM raw",
+        "SELECT 'rows' AS \"check\", CAST(COUNT(*) AS BIGINT) AS violations FROM audit",
+        f"SELECT 'missing_values', CAST(COUNT(*) FILTER (WHERE {_NULLS}) AS BIGINT) FROM audit",
         "SELECT 'duplicate_rows', CAST(COALESCE(SUM(c - 1), 0) AS BIGINT) FROM "
-        f"(SELECT COUNT(*) AS c FROM raw GROUP BY {RAW_COLS} HAVING COUNT(*) > 1) d",
-        f"SELECT 'invalid_dates', CAST(COUNT(*) FILTER (WHERE {_BAD_DATE}) AS BIGINT) FROM raw",
-        f"SELECT 'shipped_before_ordered', CAST(COUNT(*) FILTER (WHERE {_SD} < {_OD}) AS BIGINT) FROM raw",
+        f"(SELECT COUNT(*) AS c FROM audit GROUP BY {RAW_COLS} HAVING COUNT(*) > 1) d",
+        f"SELECT 'invalid_dates', CAST(COUNT(*) FILTER (WHERE {_BAD_DATE}) AS BIGINT) FROM audit",
+        f"SELECT 'shipped_before_ordered', CAST(COUNT(*) FILTER (WHERE {_SD} < {_OD}) AS BIGINT) FROM audit",
         "SELECT 'negative_sales', CAST(COUNT(*) FILTER (WHERE CAST(\"Sales\" AS DECIMAL(12,2)) < 0) "
-        "AS BIGINT) FROM raw",
-        "SELECT 'invalid_quantity', CAST(COUNT(*) FILTER (WHERE \"Quantity\" <= 0) AS BIGINT) FROM raw",
+        "AS BIGINT) FROM audit",
+        "SELECT 'invalid_quantity', CAST(COUNT(*) FILTER (WHERE \"Quantity\" <= 0) AS BIGINT) FROM audit",
     ]) + ") q"))
 
 # ------------------------------------------------------------- exploratory
@@ -278,10 +311,11 @@ CUM = ("cum AS (SELECT *, SUM(ts) OVER (ORDER BY ts DESC NULLS FIRST) AS c, "
 
 
 def _share(bounds: list[tuple[str, str]], default: str) -> str:
-    whens = " ".join(f"WHEN c <= overall * {b} THEN '{label}'" for b, label in bounds)
-    return f"CASE WHEN overall = 0 THEN NULL {whens} ELSE '{default}' END"
+    whens = " ".join(f"WHEN c / overall <= {b} THEN '{label}'" for b, label in bounds)
+    return f"CASE {whens} ELSE '{default}' END"
 
 
+# Class bounds and labels.
 ABC = _share([("0.80", "A"), ("0.95", "B")], "C")
 PARETO = _share([("0.80", "Top 80% Revenue Products")], "Remaining Products")
 
@@ -327,7 +361,7 @@ reg("pareto_table", _on_sl(P.pareto_table), with_sl(
     "AS cumulative_sales_pct FROM cum ORDER BY total_sales DESC NULLS FIRST", PS_ID, CUM))
 reg("pareto_80_count", _on_sl(P.pareto_80_count), with_sl(
     "SELECT CAST(COUNT(*) AS BIGINT) AS products_generating_80pct_sales FROM cum "
-    "WHERE c <= overall * 0.80", PS_ID, CUM))
+    "WHERE c / overall <= 0.80", PS_ID, CUM))
 reg("pareto_groups", _on_sl(P.pareto_groups), with_sl(
     f"SELECT pareto_group, CAST(COUNT(*) AS BIGINT) AS products_count, {money('SUM(ts)')} AS total_sales "
     f"FROM (SELECT ts, {PARETO} AS pareto_group FROM cum) g GROUP BY pareto_group", PS_ID, CUM))

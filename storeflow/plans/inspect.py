@@ -16,6 +16,13 @@ def physical_plan(df: DataFrame, mode: str = "formatted") -> str:
     return buf.getvalue()
 
 
+def executed_plan(df: DataFrame) -> str:
+    """Run ``df`` once and give the plan that ran (AQE's final one)."""
+    execution = df._jdf.queryExecution()
+    execution.toRdd().count()
+    return execution.executedPlan().toString()
+
+
 def single_partition_inputs(plan: str) -> list[list[str]]:
     """Column names entering every ``Exchange SinglePartition`` of a
     formatted plan (one list per exchange)."""

@@ -1,7 +1,7 @@
 """Physical plans of registered queries, for review.
 
 python -m storeflow.plans.report [sf_dir] [key ...]  -> prints, per key,
-the final adaptive plan (``explain("simple")`` after one execution).
+the plan that one execution ended with (AQE's final plan).
 """
 
 from __future__ import annotations
@@ -10,13 +10,11 @@ import sys
 
 from ..session import local_session
 from . import catalog
-from .inspect import physical_plan
+from .inspect import executed_plan
 
 
 def plan_text(spark, sf_dir: str, key: str) -> str:
-    df = catalog.queries()[key](spark, sf_dir)
-    df.write.format("noop").mode("overwrite").save()  # run once: AQE's final plan
-    return physical_plan(df, "simple")
+    return executed_plan(catalog.queries()[key](spark, sf_dir))
 
 
 def main(argv: list[str]) -> None:

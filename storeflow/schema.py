@@ -58,7 +58,6 @@ MONEY = T.DecimalType(12, 2)
 RATE = T.DecimalType(4, 2)
 # Result types shared with the SQL oracle: money totals, counts, ratios.
 MONEY_OUT = "decimal(18,2)"
-COUNT_OUT = "bigint"
 RATIO_OUT = "double"
 
 # Types fixed by the cleaning step; the other columns keep their type.

@@ -8,6 +8,7 @@ and ad-hoc runs; on a cluster the platform's session is used as is.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -28,8 +29,10 @@ def local_session(
     shuffle_partitions: int = 8,
     app_name: str = "storeflow",
     extra: dict[str, str] | None = None,
+    checkpoint_dir: str | None = None,
 ) -> SparkSession:
-    """A local session configured like the tests and the bench expect."""
+    """A local session configured like the tests and the bench expect;
+    ``checkpoint_dir`` is where written tables go."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app_name)
@@ -39,6 +42,7 @@ def local_session(
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", checkpoint_dir or tempfile.mkdtemp(prefix="storeflow-ckpt-"))
         # Small local files: count the cost of opening a file as 1 MB (not
         # 4 MB) so that each few-MB file gets its own scan task.
         .config("spark.sql.files.openCostInBytes", str(1 << 20))
@@ -55,19 +59,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names reliable shared storage and is only
-    read; a cluster session without it is an error.  In a local session
-    without it (as in some tests) a fresh scratch folder is created and
-    set.
+    read; a session of several processes without it is an error.  In a
+    local session (one process) without it a fresh scratch folder is
+    created and set.  Also checks the settings that exact results rest on.
     """
+    check_settings(spark)
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        try:
-            configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        except Exception:  # noqa: BLE001 - no SparkContext on Spark Connect
-            configured = None
     if not configured:
         master = spark.conf.get("spark.master", "") or ""
-        if not master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", master):
             # A machine-local folder is not visible to executors elsewhere.
             raise ValueError("set spark.checkpoint.dir to a shared folder (HDFS, object store)")
         configured = tempfile.mkdtemp(prefix="storeflow-ckpt-")
@@ -75,6 +75,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def check_settings(spark: SparkSession) -> None:
+    """Raise when a setting of ``REQUIRED_CONF`` is off in this session."""
+    off = [k for k, v in REQUIRED_CONF.items() if spark.conf.get(k, v).lower() != v]
+    if off:
+        raise ValueError(f"settings that must be on: {', '.join(off)}")
+
+
 def share_package(spark: SparkSession, root: str) -> None:
     """Let Python workers import this package from ``root`` (a folder that
     they see, as in local sessions; elsewhere ship it with ``--py-files``)."""
@@ -90,10 +97,7 @@ def app_id(spark: SparkSession) -> str:
 
 def parallelism(spark: SparkSession) -> int:
     """Cores the session schedules on (default parallelism)."""
-    try:
-        return spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - no SparkContext on Spark Connect
-        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spark.sparkContext.defaultParallelism
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:

@@ -1,19 +1,21 @@
 """Raw-shaped order lines (the input of the cleaning step) built from the
 driver tables.
 
-Same rows as ``tables.sales_lines`` but in the source's shape: the 21
-display names, dates as ``MM/dd/yyyy`` text, money as double, postal code
-as integer, and text defects a cleaning step must repair:
+The source's shape: the 21 display names, dates as ``MM/dd/yyyy`` text,
+money as double, postal code as integer, and text defects that the cleaning
+step must repair:
 
 * customer names of every 250th customer key carry U+FFFD where the
   clean name has ``#``;
 * product names of every 10th part key have each space replaced by two
-  U+FFFD and a space added at both ends;
-* ``Row ID`` is (order key, line number), which repeats in this data, so
-  the key checks have duplicates to report.
+  U+FFFD and a space added at both ends.
 
-The name-correction dictionary for this data is derived by Spark from the
-raw lines and the customer table.
+``Row ID`` is unique (order, line, part, supplier, ship date).  The name
+corrections for this data are derived by Spark from the raw lines and the
+customer table.
+
+``audit_lines`` is a second raw table for the checks that must find
+something: the same lines with defects at fixed order keys.
 """
 
 from __future__ import annotations
@@ -26,15 +28,22 @@ from pyspark.sql import functions as F
 
 from ..functions.text import REPLACEMENT_CHAR
 from ..schema import RAW_TO_CLEAN
-from ..session import app_id, scratch_path
-from .storage import materialize, read_counted, write_table
+from .storage import named_table
 from .tables import (
-    CITY, COUNTRY, POSTAL_CODE, _discount, _profit, _sales, joined_lines, read_table,
+    CITY, COUNTRY, POSTAL_CODE, _discount, _profit, _sales, joined_lines, read_table, row_id,
 )
 
 # Fixed values of the defect injection (fixture shaping, not filtering).
 CUSTOMER_DEFECT_EVERY = 250
 PRODUCT_DEFECT_EVERY = 10
+# Order keys with remainder r of AUDIT_EVERY carry the defect of r.
+AUDIT_EVERY = 97
+BAD_DATE, NO_PROFIT, NEGATIVE_SALES, NO_QUANTITY, REPEATED, NO_CUSTOMER = 1, 2, 3, 4, 5, 6
+BAD_DATE_TEXT = "not a date"
+
+
+def folder_tag(sf_dir: str) -> str:
+    return hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +61,8 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).otherwise(F.col("p_name"))
     text_date = lambda c: F.date_format(F.col(c).cast("date"), "MM/dd/yyyy")
     cols = {
-        "Row ID": F.concat_ws("-", F.col("l_orderkey").cast("string"),
-                              F.col("l_linenumber").cast("string")),
+        "Row ID": row_id(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"),
+                         F.col("l_suppkey"), F.col("l_shipdate").cast("date")),
         "Order ID": F.col("o_orderkey"),
         "Order Date": text_date("o_orderdate"),
         "Ship Date": text_date("l_shipdate"),
@@ -79,31 +88,41 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(*[expr.alias(name) for name, expr in cols.items()])
 
 
-_BRONZE: dict[tuple[str, str], DataFrame] = {}
-
-
 def bronze_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``raw_lines`` written once per application and folder (the raw
     snapshot every cleaning query reads)."""
-    folder = os.path.abspath(sf_dir)
-    key = (app_id(spark), folder)
-    if key not in _BRONZE:
-        tag = hashlib.sha1(folder.encode()).hexdigest()[:12]
-        path = scratch_path(spark, "bronze", f"raw_lines-{tag}")
-        write_table(raw_lines(spark, sf_dir), path)
-        _BRONZE[key] = read_counted(spark, path)
-    return _BRONZE[key]
+    return named_table(spark, f"bronze/raw_lines-{folder_tag(sf_dir)}", lambda: raw_lines(spark, sf_dir))
+
+
+def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bronze with defects: ``Row ID`` is (order, line), which repeats, and
+    the order keys' remainders give unparseable dates, missing profits and
+    customers, negative sales, zero quantities and rows that repeat."""
+    raw = bronze_lines(spark, sf_dir)
+    kind = F.col("Order ID") % AUDIT_EVERY
+    changed = {
+        "Row ID": F.substring_index("Row ID", "-", 2),
+        "Order Date": F.when(kind == BAD_DATE, F.lit(BAD_DATE_TEXT)).otherwise(F.col("Order Date")),
+        "Profit": F.when(kind != NO_PROFIT, F.col("Profit")),
+        "Sales": F.when(kind == NEGATIVE_SALES, -F.col("Sales")).otherwise(F.col("Sales")),
+        "Quantity": F.when(kind == NO_QUANTITY, 0).otherwise(F.col("Quantity")),
+        "Customer ID": F.when(kind != NO_CUSTOMER, F.col("Customer ID")),
+    }
+    audit = raw.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    return audit.unionByName(audit.where(kind == REPEATED))
 
 
-def name_corrections(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None) -> DataFrame:
+def name_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(wrong, right) pairs: every raw customer name holding U+FFFD next
-    to the customer table's spelling for the same customer key."""
-    raw = raw if raw is not None else bronze_lines(spark, sf_dir)
-    bad = (raw.where(F.col("Customer Name").contains(REPLACEMENT_CHAR))
-           .select(F.col("Customer ID").alias("_id"), F.col("Customer Name").alias("wrong"))
-           .distinct())
-    cust = read_table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("_id"), F.col("c_name").alias("right"))
-    # Derived by a pass over all raw names: written once, so the size check
-    # before the broadcast and the join itself read the small result.
-    return materialize(bad.join(cust, "_id").select("wrong", "right").distinct(), "corrections")
+    to the customer table's spelling for the same customer key.  Written
+    once with bronze, so the planner knows its size."""
+    def build() -> DataFrame:
+        raw = bronze_lines(spark, sf_dir)
+        bad = (raw.where(F.col("Customer Name").contains(REPLACEMENT_CHAR))
+               .select(F.col("Customer ID").alias("_id"), F.col("Customer Name").alias("wrong"))
+               .distinct())
+        cust = read_table(spark, sf_dir, "customer").select(
+            F.col("c_custkey").alias("_id"), F.col("c_name").alias("right"))
+        return bad.join(cust, "_id").select("wrong", "right").distinct()
+
+    return named_table(spark, f"bronze/corrections-{folder_tag(sf_dir)}", build)

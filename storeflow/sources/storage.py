@@ -3,36 +3,28 @@
 A table that several jobs read (the clean order lines, per-entity totals
 feeding ordered scans) is written once as Parquet under the shared folder
 named by ``spark.checkpoint.dir`` and read back.  That cuts the lineage
-(nothing upstream is recomputed after an executor loss) and gives later
-readers column pruning and filter push-down.
+(nothing upstream is recomputed after an executor loss), gives later
+readers column pruning and filter push-down, and the planner exact sizes.
+
+``materialize`` reuses what it wrote: a frame with the same logical plan
+gets the table that the application wrote for it before, so asking for a
+ranking twice writes nothing new.  When a source's files have changed, call
+``refresh``: it forgets and removes the application's written tables.
 """
 
 from __future__ import annotations
 
 import uuid
-import weakref
-
-from pyspark.sql import DataFrame
-
-from ..session import scratch_path
-
-# Exact row counts of written tables, by DataFrame object.  An aggregate
-# of such a table has at most that many rows: a proven bound that lets
-# ordered scans skip counting small inputs.
-_ROWS: "weakref.WeakKeyDictionary[DataFrame, int]" = weakref.WeakKeyDictionary()
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def known_rows(df: DataFrame) -> int | None:
-    """Row count of ``df`` if it is a written table counted earlier."""
-    return _ROWS.get(df)
+from ..session import app_id, scratch_path
 
-
-def read_counted(spark, path: str) -> DataFrame:
-    """Read a written Parquet table and record its row count (a cheap
-    count: Parquet footers hold the row counts)."""
-    df = spark.read.parquet(path)
-    _ROWS[df] = df.count()
-    return df
+# (application, name, plan hash) -> [(frame, written table, its folder)]
+_WRITTEN: dict[tuple[str, str, int], list[tuple[DataFrame, DataFrame, str]]] = {}
+# (application, name) -> (written table, its folder)
+_NAMED: dict[tuple[str, str], tuple[DataFrame, str]] = {}
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -43,6 +35,50 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def materialize(df: DataFrame, name: str = "tmp") -> DataFrame:
     """Write ``df`` once to the shared folder and return the re-read table."""
     spark = df.sparkSession
+    known = _WRITTEN.setdefault((app_id(spark), name, df.semanticHash()), [])
+    for source, table, _ in known:
+        if source.sameSemantics(df):
+            return table
     path = scratch_path(spark, "tables", f"{name}-{uuid.uuid4().hex}")
     write_table(df, path)
-    return spark.read.parquet(path)
+    table = spark.read.parquet(path)
+    known.append((df, table, path))
+    return table
+
+
+def named_table(spark: SparkSession, name: str, build: Callable[[], DataFrame],
+                check: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """The application's table ``name``: written by the first call, read
+    back by the others until ``refresh``.  ``check`` raises when the written
+    table must not be used."""
+    key = (app_id(spark), name)
+    if key not in _NAMED:
+        path = scratch_path(spark, name)
+        write_table(build(), path)
+        table = spark.read.parquet(path)
+        if check is not None:
+            check(table)
+        _NAMED[key] = (table, path)
+    return _NAMED[key][0]
+
+
+def forget_intermediates(spark: SparkSession) -> None:
+    """Forget and remove what ``materialize`` has written for this
+    application; named tables stay."""
+    app = app_id(spark)
+    for key in [k for k in _WRITTEN if k[0] == app]:
+        for _, _, path in _WRITTEN.pop(key):
+            _remove(spark, path)
+
+
+def refresh(spark: SparkSession) -> None:
+    """Forget and remove every table this application has written here."""
+    forget_intermediates(spark)
+    app = app_id(spark)
+    for key in [k for k in _NAMED if k[0] == app]:
+        _remove(spark, _NAMED.pop(key)[1])
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -3,22 +3,17 @@
 ``sales_lines`` joins ``lineitem`` with its order, customer, nation,
 region and part into the clean order-line shape (one row per line).  The
 money factors are fixed so that every threshold of the analyses is
-reached on this data.  ``silver_lines`` writes that table once per
-application and data folder; every analysis reads the written copy.
+reached on this data.  ``sources.raw`` gives those lines the source's raw
+shape, and ``sources.silver`` cleans them: the table that analyses read.
 """
 
 from __future__ import annotations
 
-import hashlib
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.joins import maybe_broadcast
-from ..session import app_id, parallelism, scratch_path
-from .storage import read_counted, write_table
-
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -38,22 +33,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over ``min_partitions`` tasks only when its scan
-    yields fewer splits (e.g. one unsplittable row group).
-
-    The split count comes from planning the file scan (file listing, no
-    job).  A large table already has more splits than cores, so at scale
-    this adds no shuffle.
-    """
-    target = min_partitions or parallelism(df.sparkSession)
-    try:
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD API on Spark Connect: leave as is
-        return df
-    return df.repartition(target) if splits < target else df
-
-
 def _sales(extended_price: Column) -> Column:
     price = extended_price.cast("decimal(12,2)")
     return F.round(price * F.lit(SALES_FACTOR).cast("decimal(4,3)"), 2).cast("decimal(12,2)")
@@ -71,78 +50,27 @@ def _profit(sales: Column, discount: Column) -> Column:
 def joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with order, customer, geography and part attributes.
 
-    Region and nation are broadcast only after a bounded row-count check;
-    the large joins (lines-orders, orders-customers, lines-parts) are left
-    to the planner, which shuffles them on their keys.
+    All joins are left to the planner and AQE: the files' sizes decide what
+    is broadcast, the large ones are shuffled on their keys.
     """
     t = lambda name: read_table(spark, sf_dir, name)
-    lines = spread(t("lineitem").select(
+    lines = t("lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         "l_quantity", "l_extendedprice", "l_discount", "l_shipdate",
-    ))
+    )
     orders = t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     customers = t("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     nations = t("nation").select("n_nationkey", "n_name", "n_regionkey")
     regions = t("region").select("r_regionkey", "r_name")
     parts = t("part").select("p_partkey", "p_name", "p_brand", "p_type")
 
-    geo = nations.join(maybe_broadcast(regions), F.col("n_regionkey") == F.col("r_regionkey"))
-    cust = customers.join(maybe_broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"))
+    geo = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+    cust = customers.join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
     orders = orders.join(cust, F.col("o_custkey") == F.col("c_custkey"))
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
         parts, F.col("l_partkey") == F.col("p_partkey")
     )
 
 
-def _row_id(*parts: Column) -> Column:
+def row_id(*parts: Column) -> Column:
     return F.concat_ws("-", *[p.cast("string") for p in parts])
-
-
-def sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clean order-line table built from the driver tables (lazy)."""
-    j = joined_lines(spark, sf_dir)
-    sales = _sales(F.col("l_extendedprice"))
-    discount = _discount(F.col("l_discount"))
-    ship_date = F.col("l_shipdate").cast("date")
-    return j.select(
-        _row_id(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"),
-                F.col("l_suppkey"), ship_date).alias("row_id"),
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_orderdate").cast("date").alias("order_date"),
-        ship_date.alias("ship_date"),
-        F.col("o_orderpriority").alias("ship_mode"),
-        F.col("c_custkey").alias("customer_id"),
-        F.col("c_name").alias("customer_name"),
-        F.col("c_mktsegment").alias("segment"),
-        F.lit(COUNTRY).alias("country"),
-        F.lit(CITY).alias("city"),
-        F.col("n_name").alias("state"),
-        F.lit(str(POSTAL_CODE)).alias("postal_code"),
-        F.col("r_name").alias("region"),
-        F.col("p_partkey").alias("product_id"),
-        F.col("p_type").alias("category"),
-        F.col("p_brand").alias("sub_category"),
-        F.col("p_name").alias("product_name"),
-        sales.alias("sales"),
-        F.col("l_quantity").cast("int").alias("quantity"),
-        discount.alias("discount"),
-        _profit(sales, discount).alias("profit"),
-    )
-
-
-_SILVER: dict[tuple[str, str], DataFrame] = {}
-
-
-def silver_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``sales_lines`` written once per application and folder, read back."""
-    folder = os.path.abspath(sf_dir)
-    key = (app_id(spark), folder)
-    cached = _SILVER.get(key)
-    if cached is not None:
-        return cached
-    tag = hashlib.sha1(folder.encode()).hexdigest()[:12]
-    path = scratch_path(spark, "silver", f"sales_lines-{tag}")
-    write_table(sales_lines(spark, sf_dir), path)
-    df = read_counted(spark, path)
-    _SILVER[key] = df
-    return df

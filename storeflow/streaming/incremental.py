@@ -3,9 +3,10 @@
 The analyses are batch queries; nothing in them is stream-specific.  When
 clean order lines land as files in a folder, Structured Streaming runs the
 same grouped sums incrementally: each micro-batch adds its partial sums to
-the state store, and the sink receives the updated totals.  State is one
-row per group key, so only low- or mid-cardinality dimensions belong here.
-Exact distinct counts are not available on streams and are not offered.
+the state store, and the updated result is written as a Parquet table.
+State is one row per group key, so only low- or mid-cardinality dimensions
+belong here.  Exact distinct counts are not available on streams and are
+not offered.
 """
 
 from __future__ import annotations
@@ -36,15 +37,16 @@ def running_totals(lines: DataFrame, dim: str) -> DataFrame:
     )
 
 
-def start(totals: DataFrame, name: str, sink: str = "memory", output_mode: str = "complete",
-          checkpoint: str | None = None, **options) -> StreamingQuery:
-    """Start the query.  Its progress is kept in the shared checkpoint
-    folder under the query name (not the application), so a restarted
-    driver resumes where it stopped."""
-    spark = totals.sparkSession
-    location = checkpoint or stable_path(spark, "streams", name)
-    writer = (totals.writeStream.queryName(name).outputMode(output_mode)
-              .format(sink).option("checkpointLocation", location))
-    for k, v in options.items():
-        writer = writer.option(k, v)
-    return writer.start()
+def start(totals: DataFrame, name: str, table: str, checkpoint: str | None = None) -> StreamingQuery:
+    """Keep the totals current as the Parquet table at ``table``: every
+    micro-batch writes the whole result anew, by tasks (nothing reaches the
+    driver).  Progress is kept in the shared checkpoint folder under the
+    query name (not the application), so a restarted driver resumes where
+    it stopped."""
+    location = checkpoint or stable_path(totals.sparkSession, "streams", name)
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(table)
+
+    return (totals.writeStream.queryName(name).outputMode("complete")
+            .option("checkpointLocation", location).foreachBatch(write).start())

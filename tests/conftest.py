@@ -9,7 +9,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from storeflow.session import local_session  # noqa: E402
+from storeflow.session import local_session, share_package  # noqa: E402
 
 SF_SMALL = "/root/testdata/sf0.001"
 SF_ORACLE = "/root/testdata/sf0.01"
@@ -24,8 +24,10 @@ CLEAN_DDL = (
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = local_session("*", shuffle_partitions=8, app_name="storeflow-tests")
+def spark(tmp_path_factory):
+    s = local_session("*", shuffle_partitions=8, app_name="storeflow-tests",
+                      checkpoint_dir=str(tmp_path_factory.mktemp("checkpoint")))
+    share_package(s, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     yield s
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from decimal import ROUND_HALF_UP, Decimal
+from fractions import Fraction
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -48,18 +49,15 @@ def _abc_brute(totals: dict[str, Decimal | None]) -> dict[str, str | None]:
         cum = sum(w for w in totals.values() if w is not None and w >= v)  # peers included
         if overall == 0:
             out[name] = None
-        elif cum <= overall * Decimal("0.80"):
-            out[name] = "A"
-        elif cum <= overall * Decimal("0.95"):
-            out[name] = "B"
-        else:
-            out[name] = "C"
+            continue
+        share = Fraction(cum) / Fraction(overall)
+        out[name] = "A" if share <= Fraction(80, 100) else "B" if share <= Fraction(95, 100) else "C"
     return out
 
 
 @settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.sampled_from("abcdefgh"),
-                          st.one_of(st.none(), st.integers(0, 5000).map(lambda c: Decimal(c) / 100))),
+                          st.one_of(st.none(), st.integers(-2000, 5000).map(lambda c: Decimal(c) / 100))),
                 min_size=1, max_size=24),
        st.sampled_from([10**6, 2]))
 def test_abc_classes_equal_brute_force(spark, lines_in, rpb):
@@ -75,6 +73,6 @@ def test_abc_classes_equal_brute_force(spark, lines_in, rpb):
             totals.setdefault(name, None)
     want = _abc_brute(totals)
     got = {r["product_name"]: r["abc_category"]
-           for r in P.abc_classes(df, rows_per_bucket=rpb).collect()}
+           for r in P.abc_classes(df, rows_per_bucket=rpb, strict=False).collect()}
     assert got == want
     assert df.select(F.count("*")).collect()[0][0] == len(lines_in)

@@ -6,6 +6,7 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from storeflow.operators import clean as C
 from storeflow.operators import quality as Q
@@ -40,7 +41,7 @@ def test_clean_types_dates_money_text(raw):
         raw_row(2, **{"Order Date": "13/40/2016", "Ship Date": "", "Sales": 2.5}),
         raw_row(3, **{"Order Date": None, "Customer Name": "Peter Bühler"}),
     ]
-    out = check_clean(C.clean(raw(rows)))
+    out = check_clean(C.clean(raw(rows), strict_dates=False))
     got = {r["row_id"]: r.asDict() for r in out.collect()}
     assert got["1"]["order_date"] == dt.date(2016, 1, 5)
     assert got["1"]["ship_date"] == dt.date(2016, 11, 8)
@@ -101,18 +102,46 @@ def test_schema_report(raw):
     assert rep["Postal Code"] == "int" and rep["Sales"] == "double" and len(rep) == 21
 
 
-def test_conflicting_corrections_never_duplicate_lines(raw, spark):
+def test_conflicting_corrections_raise_repeated_ones_do_not_duplicate(raw, spark):
     rows = [raw_row(1, **{"Customer Name": f"Jo{FFFD}l"}), raw_row(2)]
-    d = C.corrections_frame(spark, [(f"Jo{FFFD}l", "Joël"), (f"Jo{FFFD}l", "Joel")])
-    out = C.clean(raw(rows), d).collect()
-    assert len(out) == 2
-    assert {r["customer_name"] for r in out} == {"Joel", "Anna"}
+    clash = C.corrections_frame(spark, [(f"Jo{FFFD}l", "Joël"), (f"Jo{FFFD}l", "Joel")])
+    with pytest.raises(Exception, match="two replacements"):
+        C.clean(raw(rows), clash).collect()
+    same = C.corrections_frame(spark, [(f"Jo{FFFD}l", "Joël")] * 2)
+    out = C.clean(raw(rows), same).collect()
+    assert sorted(r["customer_name"] for r in out) == ["Anna", "Joël"]
 
 
-def test_strict_dates_raise(raw):
-    ok = raw([raw_row(1)])
-    assert C.clean(ok, strict_dates=True).count() == 1
+def test_unparseable_dates_raise(raw):
+    assert len(C.clean(raw([raw_row(1)])).collect()) == 1
     bad = raw([raw_row(1), raw_row(2, **{"Order Date": "13/40/2016"})])
     with pytest.raises(Exception, match="unparseable date"):
-        C.clean(bad, strict_dates=True).collect()
-    assert C.clean(bad).where("order_date IS NULL").count() == 1
+        C.clean(bad).collect()
+    assert C.clean(bad, strict_dates=False).where("order_date IS NULL").count() == 1
+
+
+def test_long_postal_codes_raise(raw):
+    df = raw([raw_row(1)]).withColumn("Postal Code", F.lit("12345-678901"))
+    with pytest.raises(Exception, match="postal code too long"):
+        C.clean(df).collect()
+
+
+def test_analyses_see_a_broken_cleaning_step(spark, monkeypatch):
+    """The clean table is the cleaning step's output: a step that loses
+    lines or breaks the key shows in what reads it."""
+    from storeflow.plans import catalog
+    from storeflow.sources import silver
+    from storeflow.sources.storage import refresh
+    from tests.conftest import SF_SMALL
+
+    want = catalog.queries()["row_count_clean"](spark, SF_SMALL).collect()
+    refresh(spark)
+    whole = C.clean
+    monkeypatch.setattr(silver, "clean", lambda *a, **k: whole(*a, **k).where("quantity > 10"))
+    assert catalog.queries()["row_count_clean"](spark, SF_SMALL).collect() != want
+    refresh(spark)
+    monkeypatch.setattr(silver, "clean", lambda *a, **k: whole(*a, **k).withColumn("row_id", F.lit("1")))
+    with pytest.raises(ValueError, match="primary key"):
+        catalog.queries()["row_count_clean"](spark, SF_SMALL)
+    monkeypatch.undo()
+    refresh(spark)

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from storeflow.operators import clean as C
@@ -14,15 +14,27 @@ from storeflow.sources.raw import bronze_lines
 from tests.conftest import SF_SMALL
 
 
-def test_csv_round_trip_cleans_to_the_same_lines(spark):
+def test_csv_round_trip_cleans_to_the_same_lines(spark, tmp_path):
     raw = bronze_lines(spark, SF_SMALL)
     # ids are text in a raw file
     as_text = raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name)
                            for f in RAW_SCHEMA.fields])
-    folder = os.path.join(tempfile.mkdtemp(prefix="storeflow-csv-"), "raw")
+    folder = os.path.join(str(tmp_path), "raw")
     write_raw_csv(as_text, folder)
     back = read_raw(spark, folder)
     assert back.schema == RAW_SCHEMA
     a = C.clean(back).exceptAll(C.clean(as_text)).count()
     b = C.clean(as_text).exceptAll(C.clean(back)).count()
     assert a == 0 and b == 0 and back.count() == raw.count()
+
+
+@pytest.mark.parametrize("bad", ["discount", "short"])
+def test_malformed_lines_fail_or_are_kept(spark, tmp_path, bad):
+    good = "1,O1,1/5/2016,1/6/2016,S,C1,Anna,Seg,US,X,NY,501,East,P1,Cat,Sub,Desk,10.0,2,0.2,1.0"
+    wrong = good.replace(",0.2,", ",abc,") if bad == "discount" else "2,O2,1/5/2016"
+    path = tmp_path / "raw.csv"
+    path.write_text("\n".join([",".join(f.name for f in RAW_SCHEMA.fields), good, wrong]) + "\n")
+    with pytest.raises(Exception):
+        read_raw(spark, str(path)).collect()
+    kept = {r["_line"]: r["Order ID"] for r in read_raw(spark, str(path), corrupt_col="_line").collect()}
+    assert set(kept) == {None, wrong} and kept[None] == "O1"

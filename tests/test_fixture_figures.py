@@ -8,7 +8,7 @@ from storeflow.operators import aggregates as A
 from storeflow.operators import customers as U
 from storeflow.operators import products as P
 from storeflow.operators import profitability as R
-from storeflow.sources.tables import silver_lines
+from storeflow.sources.silver import silver_lines
 from tests.conftest import SF_ORACLE
 
 

@@ -47,9 +47,47 @@ def test_null_totals_fall_to_c_and_zero_total_is_null(lines):
     got = {r["product_name"]: r["abc_category"] for r in _rows(P.abc_classes(lines(rows)))}
     assert got == {"n": "C", "a": "C"}  # a alone is 100 % > 95 %
     zero = [line(1, product_name="z", sales="0.00")]
-    assert [r["abc_category"] for r in _rows(P.abc_classes(lines(zero)))] == [None]
-    with pytest.raises(Exception):
-        P.abc_classes(lines(zero), strict=True).collect()
+    assert [r["abc_category"] for r in _rows(P.abc_classes(lines(zero), strict=False))] == [None]
+
+
+def test_negative_grand_total_keeps_the_quotient(lines):
+    # cumulative shares of 10, -50, -60 in a total of -100: -0.1, 0.4, 1.0
+    rows = [line(i, product_name=f"p{i}", product_id=f"P{i}", sales=s) for i, s in enumerate(["10.00", "-50.00", "-60.00"])]
+    got = {r["product_name"]: r["abc_category"] for r in _rows(P.abc_classes(lines(rows)))}
+    assert got == {"p0": "A", "p1": "A", "p2": "C"}
+    assert _rows(P.pareto_80_count(lines(rows))) == [{"products_generating_80pct_sales": 2}]
+    summary = {r["abc_category"]: r["products_count"] for r in _rows(P.abc_summary(lines(rows)))}
+    assert summary == {"A": 2, "C": 1}
+    groups = {r["pareto_group"]: r["products_count"] for r in _rows(P.pareto_groups(lines(rows)))}
+    assert groups == {P.PARETO_TOP: 2, P.PARETO_REST: 1}
+    shares = {r["product_name"]: r["cumulative_sales_pct"] for r in _rows(P.pareto_table(lines(rows)))}
+    assert shares == {"p0": -10.0, "p1": 40.0, "p2": 100.0}
+
+
+@pytest.mark.parametrize("query", [P.abc_summary, P.abc_classes, P.pareto_table, P.pareto_80_count, P.pareto_groups])
+def test_zero_grand_total_raises_or_is_null(lines, query):
+    rows = [line(1, product_name="a", product_id="a", sales="5.00"), line(2, product_name="b", product_id="b", sales="-5.00")]
+    with pytest.raises(Exception, match="grand total is 0"):
+        query(lines(rows)).collect()
+    got = _rows(query(lines(rows), strict=False))
+    undefined = {"abc_category", "cumulative_sales_pct", "products_generating_80pct_sales", "pareto_group"}
+    assert got and all(r[c] is None for r in got for c in undefined & set(r))
+
+
+def test_average_order_value_without_orders(lines):
+    rows = [line(1, order_id=None, sales="5.00")]
+    with pytest.raises(ArithmeticException):
+        A.average_order_value(lines(rows)).collect()
+    assert _rows(A.average_order_value(lines(rows), strict=False)) == [{"average_order_value": None}]
+
+
+def test_money_sums_are_right_or_raise(spark):
+    doubles = spark.createDataFrame([(0.29,), (1.15,), (None,)], "x double")
+    assert doubles.agg(A.M.sum_money("x").alias("s")).collect()[0]["s"] == Decimal("1.44")
+    places = spark.createDataFrame([(Decimal("0.2949"),), (Decimal("1.1549"),)], "x decimal(12,4)")
+    with pytest.raises(Exception, match="decimal places"):
+        places.agg(A.M.sum_money("x")).collect()
+    assert places.agg(A.M.sum_money("x", scale=4).alias("s")).collect()[0]["s"] == Decimal("1.4498")
 
 
 def test_mean_rounds_once_half_away_from_zero(lines):

@@ -54,8 +54,17 @@ def test_ties_nulls_prefixes_many_buckets(spark):
     _check_all(spark, ROWS, rpb=2)
 
 
-def test_single_bucket_path(spark):
-    _check_all(spark, ROWS, rpb=10**6)
+def test_default_buckets(spark):
+    _check_all(spark, ROWS, rpb=O.ROWS_PER_BUCKET)
+
+
+def test_several_ntiles_in_one_sort(spark):
+    df = _df(spark, ROWS)
+    specs = [("a", 5, O.asc("v")), ("b", 3, O.desc("f")), ("c", 4, O.desc("v")), ("d", 2, O.asc("f"))]
+    want = df
+    for name, k, sort in specs:
+        want = want.withColumn(name, F.ntile(k).over(O.plain_window([sort], ["id"])))
+    assert _same(O.ntiles(df, specs, ["id"], rows_per_bucket=3), want, ["id", "a", "b", "c", "d"])
 
 
 def test_hot_value_is_spread_over_buckets(spark):

@@ -2,37 +2,70 @@
 
 from __future__ import annotations
 
+import glob
+import json
+import os
+import subprocess
+import sys
+
+import pytest
+
 from storeflow.operators import aggregates as A
 from storeflow.operators import customers as U
 from storeflow.operators import products as P
 from storeflow.operators import quality as Q
-from storeflow.plans.inspect import physical_plan, single_partition_inputs
-from storeflow.sources.tables import silver_lines
+from storeflow.plans.inspect import executed_plan, physical_plan, single_partition_inputs
+from storeflow.session import ensure_checkpoint_dir
+from storeflow.sources.silver import silver_lines
+from storeflow.sources.storage import refresh
 from tests.conftest import SF_SMALL
 
 
-def test_global_rank_has_no_single_partition_over_entities(spark):
+ORDERED = {
+    "customer_sales_rank": U.customer_sales_rank, "product_sales_rank": P.product_sales_rank,
+    "rfm_scores": U.rfm_scores, "rfm_segments": U.rfm_segments, "rfm_segment_summary": U.rfm_segment_summary,
+    "rfm_segment_rank": U.rfm_segment_rank, "abc_summary": P.abc_summary, "abc_classes": P.abc_classes,
+    "pareto_table": P.pareto_table, "pareto_80_count": P.pareto_80_count, "pareto_groups": P.pareto_groups,
+}
+
+
+@pytest.mark.parametrize("key", sorted(ORDERED))
+def test_ordered_scans_never_gather_entities(spark, key):
+    """With default arguments, small tables included: no exchange into one
+    partition carries customers or products, and several buckets exist."""
+    sl = silver_lines(spark, SF_SMALL)
+    plan = physical_plan(ORDERED[key](sl))
+    entity = {"customer_id", "customer_name", "product_id", "product_name", "total_sales", "monetary", "_cum", "_rn"}
+    for cols in single_partition_inputs(plan):
+        assert not entity & set(cols), (cols, plan)
+
+
+def test_default_buckets_follow_the_parallelism(spark):
+    df = spark.range(100)
+    from storeflow.operators import ordered as O
+    from storeflow.session import parallelism
+    assert O.bucket_count(df, 100, O.ROWS_PER_BUCKET) == parallelism(spark)
+    assert O.bucket_count(df, 10**12, O.ROWS_PER_BUCKET) == 10**6  # no cap
+
+
+def test_same_call_writes_no_new_table(spark):
     sl = silver_lines(spark, SF_SMALL)
-    plan = physical_plan(U.customer_sales_rank(sl, rows_per_bucket=50))
-    # The only single-partition exchanges allowed carry the bucket stats
-    # (at most one row per bucket), never customer rows.
-    singles = single_partition_inputs(plan)
-    assert singles, plan
-    for cols in singles:
-        assert all(c.startswith("_b") for c in cols), (cols, plan)
-    assert "hashpartitioning" in plan
+    U.rfm_scores(sl).collect()
+    root = os.path.join(ensure_checkpoint_dir(spark), "storeflow")
+    before = {d for d, _, _ in os.walk(root)}
+    U.rfm_scores(sl).collect()
+    assert {d for d, _, _ in os.walk(root)} == before
 
 
-def test_ntile_plan_has_bucketed_windows_only(spark):
+def test_refresh_removes_and_rebuilds(spark):
     sl = silver_lines(spark, SF_SMALL)
-    plan = physical_plan(U.rfm_scores(sl, rows_per_bucket=50))
-    assert "Window" in plan
-    singles = single_partition_inputs(plan)
-    # Earlier NTILEs are written with their bucket ids; what is left in the
-    # plan is the last one's stats window (at most one row per bucket).
-    assert len(singles) >= 1
-    for cols in singles:
-        assert all(c.startswith("_b") for c in cols), (cols, plan)
+    n = sl.count()
+    P.abc_summary(sl).collect()
+    refresh(spark)
+    root = os.path.join(ensure_checkpoint_dir(spark), "storeflow")
+    assert not [f for d, _, fs in os.walk(root) if "/llm/" not in d for f in fs if f.endswith(".parquet")]
+    again = silver_lines(spark, SF_SMALL)
+    assert again is not sl and again.count() == n
 
 
 def test_top_k_is_take_ordered(spark):
@@ -62,12 +95,61 @@ def test_no_python_udfs_anywhere(spark):
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
-def test_spread_only_when_the_scan_has_too_few_splits(spark):
-    from storeflow.sources.tables import read_table, spread
-    one_group = read_table(spark, SF_SMALL, "lineitem")  # one row group: one split
-    assert one_group.rdd.getNumPartitions() == 1
-    spread_out = spread(one_group, 4)
-    assert spread_out.rdd.getNumPartitions() == 4
-    assert "RoundRobinPartitioning" in physical_plan(spread_out)
-    many = read_table(spark, SF_SMALL, "lineitem").repartition(6)
-    assert spread(many, 4) is many  # enough splits: nothing added
+def shuffled_bytes(spark, folder) -> int:
+    """Shuffle bytes written so far by this application (event log)."""
+    total = 0
+    for path in glob.glob(os.path.join(folder, "*")):
+        with open(path) as f:
+            for line in f:
+                if '"SparkListenerTaskEnd"' in line:
+                    metrics = json.loads(line).get("Task Metrics") or {}
+                    total += metrics.get("Shuffle Write Metrics", {}).get("Shuffle Bytes Written", 0)
+    return total
+
+
+DUPLICATES_SCRIPT = """
+import sys
+from pyspark.sql import functions as F
+from storeflow.operators.quality import full_duplicate_count
+from storeflow.session import local_session
+how, log, scratch = sys.argv[1:]
+spark = local_session(4, extra={
+    "spark.eventLog.enabled": "true", "spark.eventLog.dir": log, "spark.eventLog.compress": "false",
+    "spark.eventLog.rolling.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "10"}, checkpoint_dir=scratch)
+rows = spark.range(60000).select(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(str(k))), 256).alias(f"c{k}") for k in range(6)])
+rows = rows.unionByName(rows.where("c0 < '01'")).repartition(4)
+rows.write.parquet(scratch + "/rows")
+rows = spark.read.parquet(scratch + "/rows")
+spark.sparkContext.setLocalProperty("x", "y")
+if how == "plain":
+    n = rows.groupBy(*rows.columns).count().agg(F.sum(F.col("count") - 1)).collect()[0][0]
+else:
+    n = full_duplicate_count(rows).collect()[0][0]
+print("DUPLICATES", n)
+spark.stop()
+"""
+
+
+def test_duplicate_check_shuffles_less_than_grouping_whole_rows(tmp_path):
+    """At the shape of large tables (nothing is broadcast)."""
+    moved, found = {}, {}
+    for how in ("plain", "hashed"):
+        log, scratch = tmp_path / how / "log", tmp_path / how / "scratch"
+        log.mkdir(parents=True)
+        scratch.mkdir()
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        run = subprocess.run(
+            [sys.executable, "-c", DUPLICATES_SCRIPT, how, f"file://{log}", str(scratch)],
+            cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=300)
+        assert run.returncode == 0, run.stderr[-2000:]
+        found[how] = int(run.stdout.split("DUPLICATES")[1])
+        moved[how] = shuffled_bytes(None, str(log))
+    assert found["plain"] == found["hashed"] > 0
+    # Both runs shuffle the fixture once while writing it.
+    assert moved["hashed"] < 0.8 * moved["plain"], moved
+
+
+def test_executed_plan_is_final(spark):
+    sl = silver_lines(spark, SF_SMALL)
+    plan = executed_plan(A.sales_by(sl, "category"))
+    assert "isFinalPlan=true" in plan and "isFinalPlan=false" not in plan

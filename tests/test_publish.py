@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from storeflow.plans import catalog
 from storeflow.plans.publish import publish
 from tests.conftest import SF_SMALL
 
 
-def test_published_tables_equal_queries(spark):
-    out = tempfile.mkdtemp(prefix="storeflow-publish-")
+def test_published_tables_equal_queries(spark, tmp_path):
+    out = str(tmp_path)
     keys = ["business_overview", "abc_summary", "rfm_segment_summary"]
     paths = publish(spark, SF_SMALL, out, keys)
     for key in keys:
