@@ -37,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, empty_if_null, write_table
+from .common import WORD_SPACE, empty_if_null, let, write_table
 
 SYMBOLS = "#*$%&|<>"  # fixed value
 WINDOW = 8
@@ -61,28 +61,32 @@ BINS_PER_OCTAVE = 16
 
 def _repeated_words(words: Column, n: Column) -> Column:
     """Words that lie in a window of ``WINDOW`` words found twice or more."""
-    starts = F.sequence(F.lit(1), n - WINDOW + 1)
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
-
-    def slow(h: Column) -> Column:
+    def places(hashes: Column) -> Column:
         # (hash, place) sorted; a place counts when a neighbour has its hash.
-        pairs = F.array_sort(F.transform(h, lambda x, k: F.struct(x.alias("h"), k.alias("k"))))
-        size = F.size(pairs)
+        pairs = F.array_sort(F.transform(hashes, lambda x, k: F.struct(x.alias("h"), k.alias("k"))))
+        return let(pairs, repeated)
 
-        def mark(p: Column, i: Column) -> Column:
-            same_before = F.when(i > 0, F.get(pairs, i - 1)["h"] == p["h"]).otherwise(F.lit(False))
-            same_after = F.when(i < size - 1, F.get(pairs, i + 1)["h"] == p["h"]).otherwise(F.lit(False))
-            return F.when(same_before | same_after, p["k"]).otherwise(F.lit(-1))
+    def repeated(pairs: Column) -> Column:
+        def place(p: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(pairs, i - 1)["h"] == p["h"])
+            after = F.get(pairs, i + 1)["h"] == p["h"]
+            return F.when(before | after, p["k"])
+        return F.array_sort(F.filter(F.transform(pairs, place), lambda k: k.isNotNull()))
 
-        places = F.array_sort(F.filter(F.transform(pairs, mark), lambda k: k >= 0))
+    def covered(hashes: Column) -> Column:
         total = F.aggregate(
-            places, F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
+            places(hashes), F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
             lambda a, k: F.struct(
-                (a["n"] + F.least(F.lit(WINDOW), k - a["last"])).alias("n"), k.alias("last")))
-        return total["n"]
+                (a["n"] + F.least(F.lit(WINDOW), k - a["last"])).alias("n"), k.alias("last")),
+            lambda a: a["n"])
+        doubled = F.size(F.array_distinct(hashes)) < F.size(hashes)
+        return F.when(doubled, total).otherwise(F.lit(0))
+
+    def windows(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(w) - WINDOW + 1)
+        return let(F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, WINDOW))), covered)
 
-    doubled = F.size(F.array_distinct(hashes)) < F.size(hashes)
-    return F.when(n < WINDOW + 1, F.lit(0)).when(doubled, slow(hashes)).otherwise(F.lit(0))
+    return F.when(n < WINDOW + 1, F.lit(0)).otherwise(let(words, windows))
 
 
 def base_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
