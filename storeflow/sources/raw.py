@@ -97,8 +97,13 @@ def bronze_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bronze with defects: ``Row ID`` is (order, line), which repeats, and
     the order keys' remainders give unparseable dates, missing profits and
-    customers, negative sales, zero quantities and rows that repeat."""
-    raw = bronze_lines(spark, sf_dir)
+    customers, negative sales, zero quantities and rows that repeat.
+    Written once, like bronze."""
+    return named_table(spark, f"bronze/audit_lines-{folder_tag(sf_dir)}",
+                       lambda: with_defects(bronze_lines(spark, sf_dir)))
+
+
+def with_defects(raw: DataFrame) -> DataFrame:
     kind = F.col("Order ID") % AUDIT_EVERY
     changed = {
         "Row ID": F.substring_index("Row ID", "-", 2),
