@@ -24,7 +24,9 @@ prefix tokens.
    verified links give components.  Linear in the postings, so a group of
    copies is never expanded into pairs.
 4. *The rest, exactly.*  Pairs from different components: documents outside
-   a list's largest component against all of the list.
+   a list's largest component against all of the list, at the tokens that
+   stand in the prefixes that the two sizes ask for (shorter than those for
+   unknown partners).
 
 Verification is exact on the full sets.  Sets of step 2 on come from the
 texts of the remaining documents only.
@@ -53,7 +55,7 @@ from .shingles import Shingler, set_key
 
 WATCH = 1.75
 MAX_MATCHES = 4
-VERIFY_COST = 8.0  # of a candidate, in postings
+VERIFY_COST = 4.0  # of a candidate, in postings
 PIVOTS = 3
 
 
@@ -181,8 +183,10 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def _adaptive_postings(full: DataFrame, percent: int) -> DataFrame:
-    """Step 2: ``token, row, n, c, l``: prefixes of the chosen length; ``c``
-    is the number of tokens that other documents have too."""
+    """Step 2: ``token, row, n, c, l, p``: prefixes of the chosen length;
+    ``c`` is the number of tokens that other documents have too, ``p`` the
+    token's place among them.  The cost of a length is estimated for
+    partners of equal size: their postings, and candidates to verify."""
     rows = _shared(full, "toks").join(full.select("row", "n"), "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,23 +199,25 @@ def _adaptive_postings(full: DataFrame, percent: int) -> DataFrame:
                 if c < need:
                     continue
                 order = np.lexsort((tokens, df))
-                tokens, pairs = tokens[order], np.cumsum(df[order] - 1)
+                tokens, met = tokens[order], np.concatenate([[0], np.cumsum(df[order] - 1)])
+                alike = -(-(2 * percent * n) // (100 + percent))  # overlap with a set of equal size
                 best = None
                 for l in range(1, min(MAX_MATCHES, need) + 1):
-                    m = min(c, n - need + l - (n - c))
-                    cost = pairs[m - 1] * (1 + VERIFY_COST / l)
+                    cost = met[min(c, max(0, c - alike + l))] * (1 + VERIFY_COST / l)
                     if best is None or cost < best[0]:
-                        best = (cost, l, m)
-                _, l, m = best
+                        best = (cost, l)
+                l = best[1]
+                m = min(c, c - need + l)
                 parts.append((tokens[:m], row.as_py(), n, c, l))
             if parts:
                 sizes = [len(p[0]) for p in parts]
                 spread = [np.repeat(np.array([p[i] for p in parts], np.int64), sizes) for i in (1, 2, 3, 4)]
+                place = np.concatenate([np.arange(k, dtype=np.int64) for k in sizes])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([p[0] for p in parts])), *map(pa.array, spread)],
-                    ["token", "row", "n", "c", "l"])
+                    [pa.array(np.concatenate([p[0] for p in parts])), *map(pa.array, spread), pa.array(place)],
+                    ["token", "row", "n", "c", "l", "p"])
 
-    return rows.mapInArrow(run, "token long, row long, n long, c long, l long")
+    return rows.mapInArrow(run, "token long, row long, n long, c long, l long, p long")
 
 
 def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -261,11 +267,20 @@ def _cross_pairs(postings: DataFrame, labels: DataFrame, percent: int) -> DataFr
     marked = write_table(
         comp.join(lists.select("token", F.col("b.comp").alias("main")), "token")
         .withColumn("odd", F.col("comp") != F.col("main")).drop("main"), "join-marked")
-    x = marked.where("odd").select("token", *[F.col(c).alias(f"x_{c}") for c in ("row", "n", "c", "l", "comp")])
-    y = marked.select("token", *[F.col(c).alias(f"y_{c}") for c in ("row", "n", "c", "l", "comp", "odd")])
+    x = marked.where("odd").select("token", *[F.col(c).alias(f"x_{c}") for c in ("row", "n", "c", "l", "p", "comp")])
+    y = marked.select("token", *[F.col(c).alias(f"y_{c}") for c in ("row", "n", "c", "l", "p", "comp", "odd")])
+    need = F.least("x_l", "y_l")
+
+    def in_prefix(side: str) -> Column:
+        # Place below c - o + need, o the least overlap of sets of these
+        # sizes: o <= k is percent (nx + ny) <= (100 + percent) k.
+        k = F.col(f"{side}_c") - F.col(f"{side}_p") - 1 + need
+        return percent * (F.col("x_n") + F.col("y_n")) <= (100 + percent) * k
+
     met = x.join(y, "token").where(
         (F.col("x_comp") != F.col("y_comp")) & (~F.col("y_odd") | (F.col("x_row") < F.col("y_row")))
-        & _may_link(F.col("x_n"), F.col("x_c"), F.col("y_n"), F.col("y_c"), percent))
+        & _may_link(F.col("x_n"), F.col("x_c"), F.col("y_n"), F.col("y_c"), percent)
+        & in_prefix("x") & in_prefix("y"))
     return (
         met.groupBy(F.least("x_row", "y_row").alias("x"), F.greatest("x_row", "y_row").alias("y"))
         .agg(F.count(F.lit(1)).alias("m"), F.min(F.least("x_l", "y_l")).alias("l"))
