@@ -51,10 +51,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
         enc = encoder(tokenizer_path)
         for b in batches:
             at, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(b.column("text")):
-                codes = np.empty(0, "<u4")
-                codes = np.frombuffer(enc.encode(text.as_py()), enc.dtype).astype("<u4")
-                codes = np.append(codes, np.uint32(end_id)).astype("<u4")
+            for i, codes in enumerate(enc.arrays(b.column("text"))):
+                codes = np.append(codes.astype("<u4"), np.array([end_id], "<u4"))
                 first = len(codes) % capacity or capacity
                 cuts = [0, *range(min(first, len(codes)), len(codes) + 1, capacity)]
                 for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):

@@ -2,9 +2,11 @@
 
 Merges of both supported kinds of files never cross the place between a
 non-space and a white-space character, so a text's ids are those of its
-chunks in a row.  Chunks repeat, so a worker keeps the ids of recent ones
-(bounded).  A new chunk of plain Latin characters is cut by the file's own
-pattern and each part goes to the library's merge model; any other chunk
+chunks in a row.  A run of texts is cut at white space and its chunks are
+dictionary-encoded by Arrow, so each distinct chunk of the run is looked at
+once; numpy puts the ids of all occurrences together.  A chunk of plain
+Latin characters is cut by the file's own pattern, and each part goes to
+the library's merge model (recent parts are kept, bounded); any other chunk
 goes through the library's whole encoder.  Files of an unknown kind are
 encoded text by text.
 """
@@ -13,90 +15,144 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .cache import TwoGenerations
 
-CACHE_CHUNKS = 250_000
+CACHE_PARTS = 350_000
+RUN_BYTES = 1 << 24  # of text encoded at a time, about
 
 # Unicode white space (the property White_Space).
 _SPACE = "".join(map(chr, [
     9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-_WORDS = re.compile(f"[^{_SPACE}]+")
 _LED_WORDS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-_NOT_SPLIT_SPACE = re.compile("[\x1c-\x1f]")
+# A space that does not stand alone between two other characters.
+_ODD_SPACE = f"[{_SPACE}] | [{_SPACE}]|^[{_SPACE}]|[{_SPACE}]$"
 # Characters whose case, class and normal form are the same in every
 # Unicode version (U+0130 lowers to two characters).
 _PLAIN = re.compile(f"[ -~\n\t\r{chr(0xA1)}-{chr(0x12F)}{chr(0x131)}-{chr(0x24F)}]+")
+_POINTS = ".,!?;:"
 # Fixed value: the pattern that byte-level files split with.
 _BYTE_LEVEL_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 
 
-def _byte_chars() -> list[str]:
+def _byte_chars() -> dict[int, str]:
     """Byte -> character of byte-level vocabularies: printable Latin-1
     characters stand for themselves, the others follow from U+0100 on."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
     chars, extra = {}, 256
     for b in range(256):
-        if b in shown:
+        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
             chars[b] = chr(b)
         else:
             chars[b] = chr(extra)
             extra += 1
-    return [chars[b] for b in range(256)]
+    return chars
 
 
 class SubwordEncoder:
-    """``encode(text)`` gives the ids as little-endian bytes of ``dtype``."""
+    """``arrays(column)`` gives the ids of each text as ``dtype``."""
 
-    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
+    def __init__(self, path: str, cache_parts: int = CACHE_PARTS):
         import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings are ordinary text
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.kind = _kind(spec)
         self.model = self.library.model
-        self.bytes_of = _byte_chars()
+        self.shown = _byte_chars()
         if self.kind == "words":
-            parts = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+            pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         else:
-            parts = _BYTE_LEVEL_PATTERN
-        self.parts = regex.compile(parts)
-        self.by_part = TwoGenerations(self._part, cache_chunks)
-        self.by_chunk = TwoGenerations(self._chunk, cache_chunks)
+            pattern = _BYTE_LEVEL_PATTERN
+        self.pattern = regex.compile(pattern)
+        self.by_part = TwoGenerations(self._part, cache_parts)
 
     def _part(self, part: str) -> bytes:
-        mapped = "".join(map(self.bytes_of.__getitem__, part.encode()))
-        return np.array([t.id for t in self.model.tokenize(mapped)], self.dtype).tobytes()
+        mapped = part.encode().decode("latin-1").translate(self.shown)
+        return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk as bytes (native order, little-endian here)."""
         if not _PLAIN.fullmatch(chunk):
             return self._whole(chunk)
         if self.kind == "words":
             chunk = chunk.lower()
-        return b"".join(map(self.by_part.__getitem__, self.parts.findall(chunk)))
-
-    def encode(self, text: str) -> bytes:
-        if self.kind == "other":
-            return self._whole(text)
-        if self.kind == "led words":
-            chunks = _LED_WORDS.findall(text)
-        elif _NOT_SPLIT_SPACE.search(text):
-            chunks = _WORDS.findall(text)
+            word = chunk
+        else:
+            word = chunk[1:] if chunk[:1] == " " else chunk
+        if word.isalpha():
+            return self.by_part[chunk]
+        if word[-1:] in _POINTS and word[:-1].isalpha():
+            return self.by_part[chunk[:-1]] + self.by_part[chunk[-1]]
+        return b"".join(map(self.by_part.__getitem__, self.pattern.findall(chunk)))
+
+    def _text(self, text: str) -> bytes:
+        """Any text by its chunks, white space before a word with it."""
+        return b"".join(map(self._chunk, _LED_WORDS.findall(text)))
+
+    def _run(self, texts: pa.StringArray) -> Iterator[np.ndarray]:
+        led = self.kind == "led words"
+        if led:
+            odd = pc.match_substring_regex(texts, _ODD_SPACE).to_numpy(zero_copy_only=False)
+            words = pc.split_pattern(texts, " ")
         else:
-            chunks = text.split()
-        return b"".join(map(self.by_chunk.__getitem__, chunks))
+            odd = np.zeros(len(texts), bool)
+            words = pc.ascii_split_whitespace(texts)
+        bounds = words.offsets.to_numpy()
+        coded = words.values.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        distinct = coded.dictionary.to_pylist()
+        if led:
+            ids = [self._chunk(" " + w) if w else b"" for w in distinct]
+            # The first word of a text has no space before it.
+            first = bounds[:-1]
+            ids += [self._chunk(w) if w else b"" for w in words.values.take(pa.array(first)).to_pylist()]
+            codes = codes.copy()
+            codes[first] = len(distinct) + np.arange(len(texts))
+        else:
+            ids = [self._chunk(w) if w else b"" for w in distinct]
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        start = np.cumsum(size) - size
+        count = size[codes]
+        ends = np.cumsum(count)
+        out = flat[np.repeat(start[codes] - (ends - count), count) + np.arange(int(count.sum()))]
+        edge = np.concatenate([[0], ends])[bounds]
+        for i, (lo, hi) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
+            yield np.frombuffer(self._text(texts[i].as_py()), self.dtype) if odd[i] else out[lo:hi]
+
+    def arrays(self, column: pa.StringArray) -> Iterator[np.ndarray]:
+        """Ids of each text, in order."""
+        if self.kind == "other":
+            for text in column:
+                yield np.frombuffer(self._whole(text.as_py()), self.dtype)
+            return
+        ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < len(column):
+            done = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, done + RUN_BYTES, "right")))
+            yield from self._run(column.slice(lo, hi - lo))
+            lo = hi
+
+    def encode(self, text: str) -> np.ndarray:
+        return next(self.arrays(pa.array([text], pa.string())))
 
 
 def _kind(spec: dict) -> str:

@@ -64,7 +64,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int,
         enc = encoder(tokenizer_path)
         end = np.array([end_id], enc.dtype).tobytes()
         for b in batches:
-            ids = [enc.encode(t.as_py()) + end for t in b.column("text")]
+            ids = [a.tobytes() + end for a in enc.arrays(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return rows.mapInArrow(run, "doc_id long, ids binary")
