@@ -34,34 +34,36 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def _without(named: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows whose name is not among ``gone`` (one column)."""
+    """Rows whose name is not among ``gone`` (one column).
+
+    What goes grows with the corpus, so it is never broadcast: the join is
+    the same at every size."""
     keys = write_table(gone.toDF(NAME).distinct(), "pipeline-gone")
-    return named.join(keys, NAME, "left_anti").drop(NAME)
+    return named.join(keys.hint("merge"), NAME, "left_anti")
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = _named(docs)
-    return _without(named, quality_rules(named, id_col=NAME).where(~F.col("kept")).select("doc_id"))
+    return _without(named, quality_rules(named, id_col=NAME).where(~F.col("kept")).select("doc_id")).drop(NAME)
 
 
 def exact_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = _named(docs)
-    verdict = exact_dedup(named, id_col=NAME, keep="largest")
+    verdict = exact_dedup(named, id_col=NAME, keep="largest", merge_join=True)
     kept = _without(named, verdict.where(~F.col("kept")).select("doc_id"))
     # Rows that repeat in full share their name and verdict: one of them stays.
-    again = _named(kept)
     repeated = write_table(
-        again.groupBy(NAME).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(NAME), "pipeline-repeated")
+        named.groupBy(NAME).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(NAME), "pipeline-repeated")
     if repeated.isEmpty():
-        return kept
-    once = again.join(repeated, NAME, "left_semi").dropDuplicates([NAME])
-    return again.join(repeated, NAME, "left_anti").unionByName(once).drop(NAME)
+        return kept.drop(NAME)
+    once = kept.join(repeated, NAME, "left_semi").dropDuplicates([NAME])
+    return kept.join(repeated, NAME, "left_anti").unionByName(once).drop(NAME)
 
 
 def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = _named(docs)
     groups = ngram_jaccard_join(named, k=5, percent=80, id_col=NAME)
-    return _without(named, groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+    return _without(named, groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")).drop(NAME)
 
 
 def pii_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,11 +29,13 @@ COMPARE_ROWS = 500
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                keep: str = "smallest", hash_bits: int = 128) -> DataFrame:
+                keep: str = "smallest", hash_bits: int = 128, merge_join: bool = False) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept,
     text_sha256``.  Texts are equal when identical after lower-casing A-Z.
     ``keep`` names the id that stays: ``smallest`` or ``largest``.
-    ``hash_bits`` below 128 shortens the hash (tests force collisions)."""
+    ``hash_bits`` below 128 shortens the hash (tests force collisions).
+    ``merge_join`` shuffles the texts to the repeated hashes even where those
+    are small enough to broadcast: the same plan at every size."""
     best = {"smallest": F.min, "largest": F.max}[keep]
     text = ascii_lower(empty_if_null(F.col(text_col)))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("norm"))
@@ -46,7 +48,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "dedup-groups")
 
     # Bytes: every copy against the text of the row that its hash keeps.
-    members = write_table(rows.join(groups, "h"), "dedup-members")
+    repeated = groups.hint("merge") if merge_join else groups
+    members = write_table(rows.join(repeated, "h"), "dedup-members")
     salts = F.ceil(F.col("n") / F.lit(COMPARE_ROWS)).cast("int")
     kept_text = (
         members.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
