@@ -12,8 +12,10 @@ All of it is grouped DataFrame work on a written narrow table: sums of four
 values and their products per group (one partial row per group and task),
 and counts per group and distance bin in place of sorting.  The 4 x 4
 covariance is factored in column expressions.  Languages' sources with
-fewer than ``MIN_GROUP`` documents are estimated together per language,
-then together for all languages.
+fewer than ``MIN_GROUP`` documents are estimated together per language.
+Languages too small for that form one pool: it is one group while their
+medians cannot be told apart, else every language has its own word-length
+median and centre (medians) there, and they share the covariance.
 
 The vector: shifted mean word length (characters beyond the group's median
 times the words, over the root of the words: equal spread for short and
@@ -27,6 +29,8 @@ Defined results
 * null language or source is a group value of its own.
 * rows without an id and repeated rows are judged like others; they count
   as often as they occur.
+* documents of a pooled language with fewer than ``MIN_CENTRE`` usable ones
+  are judged by the base limits only (distance null).
 * an empty table gives an empty result; a group without any document that
   passes the base limits has no estimate, its documents are rejected by
   those limits.
@@ -43,6 +47,9 @@ SYMBOLS = "#*$%&|<>"  # fixed value
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 MIN_GROUP = 100
+POOL = "*"
+MIN_CENTRE = 20  # documents of a pooled language that give it a centre
+APART = 2.0  # standard errors of a median
 H_SHARE = 0.75
 STEPS = 3
 DIMS = 4
@@ -121,18 +128,19 @@ def _text_key(c: Column) -> Column:
 
 def group_keys(rows: DataFrame, lang: str, source: str) -> DataFrame:
     """``rows`` with ``grp``: language and source, or the language when too
-    few documents of it pass the base limits, or all."""
+    few documents of it pass the base limits, or the pool of languages (null
+    for a language too small for a centre), and ``tongue``, the language."""
     ok = F.sum(F.when(~F.col("base_failed"), 1).otherwise(0))
     pairs = rows.groupBy(_text_key(F.col(lang)).alias("__l"), _text_key(F.col(source)).alias("__s")).agg(ok.alias("n"))
     small = F.sum(F.when(F.col("n") < MIN_GROUP, F.col("n"))).over(Window.partitionBy("__l"))
     keys = pairs.select(
         "__l", "__s",
         F.when(F.col("n") >= MIN_GROUP, F.concat_ws("/", "__l", "__s"))
-        .when(small >= MIN_GROUP, F.col("__l")).otherwise(F.lit("*")).alias("grp"))
+        .when(small >= MIN_GROUP, F.col("__l")).when(small >= MIN_CENTRE, F.lit(POOL)).alias("grp"))
     keys = write_table(keys, "quality-groups")
     return (
         rows.withColumn("__l", _text_key(F.col(lang))).withColumn("__s", _text_key(F.col(source)))
-        .join(keys, ["__l", "__s"]).drop("__l", "__s"))
+        .join(keys, ["__l", "__s"]).withColumnRenamed("__l", "tongue").drop("__s"))
 
 
 def _quantile_bin(rows: DataFrame, bin_: Column, share: float) -> DataFrame:
@@ -181,23 +189,61 @@ def _distance() -> Column:
     return sum((v * v for v in y[1:]), y[0] * y[0])
 
 
-def outlier_distances(rows: DataFrame) -> DataFrame:
-    """``rows`` (a written table with grp, base statistics) with ``d2``,
-    null for documents that fail the base limits."""
-    ok = rows.where(~F.col("base_failed"))
+def _vectors(ok: DataFrame) -> DataFrame:
+    """The vector of every document, with the word-length median of its
+    ``grp``; written."""
     mean_len = F.col("word_chars") / F.col("n_words")
     medians = _quantile_bin(ok, F.floor(mean_len * 64).cast("int"), 0.5)
     medians = write_table(medians.select("grp", ((F.col("bin") + 0.5) / 64).alias("mid")), "quality-medians")
     n = F.col("n_words").cast("double")
-    vector = write_table(
+    return write_table(
         ok.join(medians, "grp").select(
-            "__row", "grp",
+            "__row", "grp", "tongue",
             ((F.col("word_chars") - F.col("mid") * n) / F.sqrt(n)).alias("x1"),
             F.log1p(F.lit(20.0) * F.col("n_symbols") / n).alias("x2"),
             F.log1p(F.col("n_dup_lines").cast("double")).alias("x3"),
             (F.col("n_repeat_words") / n).alias("x4")),
         "quality-vectors")
 
+
+def _told_apart(pool: DataFrame) -> bool:
+    """Whether a language's medians differ from the pool's by more than
+    ``APART`` standard errors.  A pooled language has fewer than
+    ``MIN_GROUP`` documents, so its exact quartiles hold few values."""
+    x = [f"x{i}" for i in range(1, DIMS + 1)]
+    own = pool.groupBy("grp", "tongue").agg(
+        F.count(F.lit(1)).alias("n"), *[F.percentile(c, [0.25, 0.5, 0.75]).alias(c) for c in x])
+    far = F.lit(False)
+    for c, floor in zip(x, FLOOR):
+        mid = _quantile_bin(pool, F.floor(F.col(c) * 64).cast("int"), 0.5)
+        own = own.join(mid.select("grp", ((F.col("bin") + 0.5) / 64).alias(f"{c}_all")), "grp")
+        low, median, high = (F.get(c, F.lit(k)) for k in range(3))
+        spread = F.sqrt(F.pow((high - low) / 1.349, 2) + F.lit(floor**2))
+        far = far | (F.abs(median - F.col(f"{c}_all")) > APART * 1.2533 * spread / F.sqrt("n"))
+    return not own.where(far).isEmpty()
+
+
+def _centred(ok: DataFrame) -> DataFrame:
+    """Vectors of a pool, each less its language's centre, from that
+    language's own word-length median."""
+    own = _vectors(ok.withColumn("grp", F.col("tongue")))
+    x = [f"x{i}" for i in range(1, DIMS + 1)]
+    centres = write_table(
+        own.groupBy("tongue").agg(*[F.median(c).alias(f"c_{c}") for c in x]), "quality-centres")
+    return own.join(centres, "tongue").select(
+        "__row", F.lit(POOL).alias("grp"), "tongue", *[(F.col(c) - F.col(f"c_{c}")).alias(c) for c in x])
+
+
+def outlier_distances(rows: DataFrame) -> DataFrame:
+    """``rows`` (a written table with grp, tongue, base statistics) with
+    ``d2``, null for documents that fail the base limits or have no grp."""
+    ok = rows.where(~F.col("base_failed"))
+    vector = _vectors(ok)
+    if _told_apart(vector.where(F.col("grp") == POOL)):
+        vector = write_table(
+            vector.where(F.col("grp") != POOL).unionByName(_centred(ok.where(F.col("grp") == POOL))),
+            "quality-vectors")
+
     # Start: coordinate-wise medians and median absolute deviations.
     start = None
     for i in range(1, DIMS + 1):
@@ -233,7 +279,8 @@ def outlier_distances(rows: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per document: ``doc_id``, the base statistics,
-    ``base_failed``, ``distance`` (null when base_failed) and ``kept``."""
+    ``base_failed``, ``distance`` (null when base_failed or in a language too
+    small for a centre) and ``kept``."""
     named = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{lang_col}`").alias("__lang"),
         F.col(f"`{source_col}`").alias("__source"), F.col(f"`{text_col}`").alias("__text"))
@@ -245,4 +292,4 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return base.join(far, "__row", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.col("d2").alias("distance"),
-        (~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(False))).alias("kept"))
+        (~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))).alias("kept"))

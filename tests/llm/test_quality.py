@@ -131,3 +131,27 @@ def test_few_or_no_documents(spark):
     one = rows_of(q.quality_rules(frame(spark, [(1, "word " * 30, "en", "s", 1), (2, " ".join(map(str, range(30))), "en", "s", 1)])))
     assert {r["doc_id"]: r["kept"] for r in one} == {1: False, 2: True}
     assert [r["kept"] for r in rows_of(q.quality_rules(frame(spark, [(1, "too short", "en", "s", 1)])))] == [False]
+
+
+def rare_languages():
+    """Clean documents of rare languages with unlike word lengths, and junk."""
+    rng = random.Random(4)
+
+    def words(low, high, n):
+        return ["".join(rng.choice("abcdefg") for _ in range(rng.randint(low, high))) for _ in range(n)]
+
+    sizes = {"xx": (5, 10, 92), "yy": (2, 5, 20), "zz": (1, 3, 3)}
+    rows = [(f"{lang}{i}", " ".join(words(low, high, rng.randint(60, 400))), lang, f"s{i % 3}", 1)
+            for lang, (low, high, n) in sizes.items() for i in range(n)]
+    junk = [(f"junk {lang}{i}", " ".join(w + "***" for w in words(low, high, 150)), lang, "s0", 1)
+            for lang, (low, high, n) in sizes.items() if n >= q.MIN_CENTRE for i in range(2)]
+    return rows, junk
+
+
+def test_unlike_rare_languages_keep_their_clean_documents(spark):
+    rows, junk = rare_languages()
+    got = rows_of(q.quality_rules(frame(
+        spark, rows + junk, "doc_id string, text string, lang string, source string, n_chars long")))
+    kept = {r["doc_id"] for r in got if r["kept"]}
+    assert kept == {r[0] for r in rows}
+    assert {r["doc_id"][:2] for r in got if r["distance"] is None} == {"zz"}
