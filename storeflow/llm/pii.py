@@ -6,13 +6,15 @@ document and nothing but the key links it to the original:
 
 * card numbers (13-19 digits, Luhn): all digits but the last are permuted,
   the last is recomputed, so a pseudonym is a valid number;
-* IBANs (mod 97): the account part is permuted within digits and letters,
+* IBANs (mod 97, of the country's registered length): the account part is permuted within digits and letters,
   the check digits are recomputed;
 * dates (of 1800 to 2199, year first, or day and month first with ``.`` or
   ``/``): permuted within those 400 years (146,097 = 627 * 233 days);
 * social security numbers (valid areas, groups and serials only), IPv4
   addresses (octets up to 255), phone numbers (10 to 15 digits; a country
-  code after ``+`` stays), local parts of e-mail addresses (the domain
+  code after ``+`` stays; a number with the length of its country, else up to
+  the last group within 15 digits: a short number that follows after a space
+  may be taken for its end), local parts of e-mail addresses (the domain
   stays) and values after ``token =`` and the like (hex stays hex).
 
 Numbers that fail their rule stay as they are.
@@ -50,14 +52,32 @@ PLAIN = [DIGITS, LOWER, UPPER, LATIN_LOWER, LATIN_UPPER]
 # The formats.
 SECRET = r"(?i:token|secret|passw(?:or)?d|api[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9+/_\-]{16,}+"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9.-]{0,250}[A-Za-z0-9])?\.[A-Za-z]{2,24}"
-IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
-DATE_YMD = r"(?<![\p{L}\p{N}.+-])\d{4}([-/.])\d{2}\1\d{2}(?![\p{L}\p{N}])"
+# Registered lengths: a value ends there, whatever follows it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG",
+    25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HU|LB|NI|PL|SV",
+    29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU"}
+IBAN = (r"(?<![\p{L}\p{N}])(?:"
+        + "".join(rf"(?:{c})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}"
+                  + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + r"(?![\p{L}\p{N}])|" for n, c in IBAN_LENGTHS.items())
+        + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}]))")
+DATE_YMD = r"(?<![\p{L}\p{N}.+-])\d{4}([-/.])\d{2}\1\d{2}(?!(?![Tt]\d)[\p{L}\p{N}])"
 DATE_DMY = r"(?<![\p{L}\p{N}.+-])\d{1,2}([./])\d{1,2}\2\d{4}(?![\p{L}\p{N}])"
 SSN = r"(?<![\p{L}\p{N}.+-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)"
 IP = r"(?<![\p{L}\p{N}.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\p{L}\p{N}]|\.\d)"
 CARD = (r"(?<![\p{L}\p{N}.+-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5})"
         r"(?![\p{L}\p{N}])")
-PHONE = (r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}"
+# Digits after the country codes whose numbers have one length; others end
+# with the last group that leaves them 15 digits at most.
+PHONE_DIGITS = {8: "45|47", 9: "31|33|34|41|48|61", 10: "1|7|91"}
+# Written out: a look-behind takes no repeated groups.
+NEXT_DIGIT = r"[ .()-]{0,2}\d"
+PHONE_END = "|".join(f"(?:{c})" + NEXT_DIGIT * n for n, c in PHONE_DIGITS.items())
+PHONE_MOST = r"\d" + f"(?:{NEXT_DIGIT}" * 14 + ")?" * 14
+PHONE_PLUS = r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?![\p{L}\p{N}]|[.-]\d)"
+PHONE = (rf"(?<![\p{{L}}\p{{N}}])(?:{PHONE_PLUS}(?<=\+(?:{PHONE_END}))"
+         rf"|{PHONE_PLUS}(?<=\+{PHONE_MOST})"
          r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}]|[.-]\d)")
 KINDS = {"secret": SECRET, "email": EMAIL, "iban": IBAN, "date_ymd": DATE_YMD, "date_dmy": DATE_DMY,
          "ssn": SSN, "ip": IP, "card": CARD, "phone": PHONE}

@@ -202,3 +202,19 @@ def test_long_text_and_empty(spark):
     got = {r["doc_id"]: r["text"] for r in rows_of(pii.pseudonymise(frame(spark, rows), key=KEY))}
     assert got == {r[0]: r[1] for r in rows}
     assert rows_of(pii.pseudonymise(frame(spark, []))) == []
+
+
+def test_values_end_where_their_rule_ends(spark):
+    values = {
+        "BE68 5390 0754 7034": ["USD", "2023", "AND MORE"], "ES91 2100 0418 4502 0005 1332": ["2024", "EUR"],
+        "AT61 1904 3002 3457 3201": ["PAID", "12"], "+49 30 1234 5678": ["2023", "2023 1999"],
+        "+1 212 555 0199": ["20", "2023", "111 22"], "2021-03-04": ["T10:00:00Z", "t23:59"]}
+    rows = [(100 * i + j, v + ("" if t[0] in "Tt" and v[0] == "2" else " ") + t, v, t, 1)
+            for i, (v, tails) in enumerate(values.items()) for j, t in enumerate(["end", *tails]) if v[0] != "2" or j]
+    got = rows_of(pii.pseudonymise(frame(spark, rows), key=KEY))
+    linked = {}
+    for r in got:
+        assert len(r["pii_found"]) == 1 and r["text"].endswith(r["source"]), r
+        new = r["text"][:-len(r["source"])].rstrip()
+        assert new != r["lang"] and linked.setdefault(r["lang"], new) == new, r
+    assert set(linked) == set(values)
