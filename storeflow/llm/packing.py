@@ -8,8 +8,11 @@ r-th place, pieces that found none open new sequences, the gaps are
 updated, and the next superstep begins.  Equal gaps are interchangeable, so
 gaps are kept as runs ``(gap, first sequence, count)`` and a superstep's
 matches as runs of ranks.  Their number depends on ``capacity`` (lengths
-and gaps are at most that), not on the number of documents: only per-length
-counts reach the driver.  Every piece then finds its run by its rank, in
+and gaps are at most that), not on the number of documents.  Per-length
+counts reach the driver, and the sweeps run there (``best_fit_plan``), one
+loop over at most ``capacity`` lengths: a superstep needs the gaps that the
+one before left, and a Spark job for each would cost more than its few runs.
+The plan goes to the tasks, where every piece finds its run by its rank, in
 parallel.
 
 Defined results
