@@ -1,19 +1,20 @@
 """Sharding by balanced label propagation.
 
 Documents that share a hub (here: equal texts) are linked.  Every document
-starts in the shard its id hashes to.  A round counts each hub's members
-per shard (partial aggregation: at most one row per hub and shard leaves a
-task), lets the members in a smaller shard wish for the largest one before
-it that has room, and joins the granted wishes back.  Room is the shard's
-quota less its linked members; if more wish for a shard than it has room
-for, a hash of the document grants that share.  Rounds end when no wish is
-left.
+starts in the shard its id hashes to, and a hub's members are counted per
+shard.  Hubs move whole.  In a round every hub wishes for a shard that has
+room for all of it: its largest one, in later rounds or where none of its
+shards has room a shard drawn by room.  Wishes are summed per shard, size
+class and lot (a hash of the hub), and lots that fit the room are granted,
+large classes first; when none fits, the largest hubs are granted one by
+one.  Rounds end when no wish is left: then fewer hubs than shards remain,
+each larger than any room.  These, and before all others the hubs larger
+than a shard, are dealt by rank over as few shards as the room allows.
 
 Quotas are exact: counts differ by one at most.  All documents are
 range-sorted once by (shard, linked first, hub); what stands beyond a
 shard's quota (unlinked documents first) fills the shards that have places
-left, found by arithmetic on the place.  Hubs larger than a shard are thus
-spread over as few shards as the quotas allow.
+left, found by arithmetic on the place; linked documents never do.
 
 Defined results
 ---------------
@@ -29,47 +30,108 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import class_offsets, drop_tables, empty_if_null, with_position, write_table
+from .common import class_offsets, empty_if_null, with_position, write_table
 
-MAX_ROUNDS = 8
-GRAIN = 1 << 20  # steps of a granted share
+LOTS = 64
+ONE_BY_ONE = 4096  # hubs that the driver grants at a time when no lot fits
 
 
 def _pick(values: list[int], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), (index + 1).cast("int"))
 
 
-def propagate(linked: DataFrame, quotas: list[int], max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """``linked``: a written table of ``row, hub, shard``.  Moves rows
-    towards their hub's larger shards; same columns, written."""
-    for step in range(max_rounds):
-        tally = linked.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("c"))
-        tally = write_table(tally, "shard-tally")
-        load = {r["shard"]: r["n"] for r in tally.groupBy("shard").agg(F.sum("c").alias("n")).collect()}
-        # A shard that is full but for a sixteenth takes no more.
-        left = [q - load.get(s, 0) for s, q in enumerate(quotas)]
-        room = [r if r * 16 > q else 0 for r, q in zip(left, quotas)]
-        # One window partition holds at most one row per shard.
-        before = (
-            Window.partitionBy("hub").orderBy(F.desc("c"), "shard").rowsBetween(Window.unboundedPreceding, -1))
-        roomy = F.when(_pick(room, F.col("shard")) > 0, F.col("shard"))
-        wishes = (
-            tally.withColumn("to", F.first(roomy, ignorenulls=True).over(before))
-            .where("to IS NOT NULL").select("hub", "shard", "to", "c"))
-        asked = {r["to"]: r["n"] for r in wishes.groupBy("to").agg(F.sum("c").alias("n")).collect()}
+def _spread(n: int, room: list[int]) -> list[tuple[int, int]]:
+    """``(shard, rows)`` for a hub of ``n`` rows, largest rooms first, the
+    rest in the smallest room that holds it; takes the room."""
+    parts = []
+    while n:
+        fit = [s for s, r in enumerate(room) if r >= n]
+        s = min(fit, key=lambda k: room[k]) if fit else max(range(len(room)), key=lambda k: room[k])
+        take = min(n, room[s])
+        room[s] -= take
+        n -= take
+        parts.append((s, take))
+    return parts
+
+
+def _wish(room: list[int], step: int) -> Column:
+    """The shard that a hub asks for, null when none has room for it."""
+    rooms = F.array(*[F.lit(r).cast("long") for r in room])
+    liked = F.get(F.filter("members", lambda m: F.get(rooms, m["shard"]) >= F.col("n")), F.lit(0))["shard"]
+    fits = F.transform(rooms, lambda r: F.when(r >= F.col("n"), r).otherwise(0))
+    total = F.aggregate(fits, F.lit(0).cast("long"), lambda a, r: a + r)
+    # The first shard at which the running room exceeds a hash of the hub.
+    start = F.struct(
+        F.pmod(F.xxhash64("hub", F.lit(step)), F.greatest(total, F.lit(1))).alias("left"),
+        F.lit(-1).alias("at"), F.lit(0).alias("k"))
+    drawn = F.aggregate(fits, start, lambda a, r: F.struct(
+        (a["left"] - r).alias("left"),
+        F.when((a["at"] < 0) & (a["left"] < r), a["k"]).otherwise(a["at"]).alias("at"),
+        (a["k"] + 1).alias("k")), lambda a: a["at"])
+    drawn = F.when(total > 0, drawn)
+    return F.coalesce(liked, drawn) if step < 2 else drawn
+
+
+def settle(hubs: DataFrame, quotas: list[int]) -> tuple[DataFrame, list[tuple]]:
+    """``hubs``: a written table of ``hub, n, members``.  The ``hub, shard``
+    of those that stay whole, and ``(hub, parts)`` of the others (fewer than
+    twice the shards)."""
+    spark = hubs.sparkSession
+    room, most = list(quotas), max(quotas)
+    large = hubs.where(F.col("n") > most).orderBy(F.desc("n"), "hub").collect()
+    split = [(r["hub"], _spread(r["n"], room)) for r in large]
+    rest, step = hubs.where(F.col("n") <= most), 0
+    whole = spark.createDataFrame([], "hub binary, shard int")
+    while True:
+        wishes = write_table(
+            rest.select(
+                "hub", "n", "members", _wish(room, step).alias("to"), F.floor(F.log2("n")).cast("int").alias("class"),
+                F.pmod(F.xxhash64("hub", F.lit(-1 - step)), F.lit(LOTS)).cast("int").alias("lot")), "shard-wishes")
+        asking = wishes.where("to IS NOT NULL")
+        asked = asking.groupBy("to", "class", "lot").agg(F.sum("n").alias("n")).collect()
         if not asked:
             break
-        share = [int(GRAIN * min(1.0, room[s] / asked[s])) if s in asked else 0 for s in range(len(quotas))]
-        lot = F.pmod(F.xxhash64("row", F.lit(step)), F.lit(GRAIN))
-        moved = write_table(
-            linked.join(wishes.drop("c"), ["hub", "shard"], "left").select(
-                "row", "hub",
-                F.when(F.col("to").isNotNull() & (lot < _pick(share, F.col("to"))), F.col("to"))
-                .otherwise(F.col("shard")).alias("shard")),
-            "shard-state")
-        drop_tables(linked, tally)
-        linked = moved
-    return linked
+        granted = []
+        for r in sorted(asked, key=lambda r: (r["to"], -r["class"], r["lot"])):
+            if r["n"] <= room[r["to"]]:
+                room[r["to"]] -= r["n"]
+                granted.append((r["to"], r["class"], r["lot"]))
+        if granted:
+            lots = F.broadcast(spark.createDataFrame(granted, "to int, class int, lot int"))
+            moved = asking.join(lots, ["to", "class", "lot"]).select("hub", F.col("to").alias("shard"))
+            rest = wishes.join(lots, ["to", "class", "lot"], "left_anti")
+        else:
+            given = []
+            for r in asking.orderBy(F.desc("n"), "hub").limit(ONE_BY_ONE).select("hub", "n", "to").collect():
+                s = r["to"] if room[r["to"]] >= r["n"] else max(range(len(room)), key=lambda k: room[k])
+                if room[s] >= r["n"]:
+                    room[s] -= r["n"]
+                    given.append((r["hub"], s))
+            moved = spark.createDataFrame(given, "hub binary, shard int")
+            rest = wishes.join(F.broadcast(moved), "hub", "left_anti")
+        whole = whole.unionByName(moved)
+        step += 1
+    left = wishes.orderBy(F.desc("n"), "hub").select("hub", "n").collect()
+    return whole, split + [(r["hub"], _spread(r["n"], room)) for r in left]
+
+
+def _dealt_by_rank(nodes: DataFrame, split: list[tuple]) -> DataFrame:
+    """``row, shard`` of the split hubs' documents."""
+    spark = nodes.sparkSession
+    keys = F.broadcast(spark.createDataFrame([(h, k) for k, (h, _) in enumerate(split)], "hub binary, k int"))
+    placed = with_position(nodes.join(keys, "hub").select("k", "row"), ["k", "row"], "shard-split")
+    base, seen = [], {}
+    for k, part, lowest, n in class_offsets(placed, "k"):
+        ends, end = [], 0
+        for _, take in split[k][1]:
+            end += take
+            ends.append(end)
+        base.append((k, part, seen.get(k, 0) - lowest, ends, [s for s, _ in split[k][1]]))
+        seen[k] = seen.get(k, 0) + n
+    base = F.broadcast(spark.createDataFrame(base, "k int, _part int, base long, ends array<long>, to array<int>"))
+    rank = F.col("_idx") + F.col("base")
+    return placed.join(base, ["k", "_part"]).select(
+        "row", F.get("to", F.size(F.filter("ends", lambda e: e <= rank))).alias("shard"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,11 +147,17 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     total = nodes.count()
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
 
-    hubs = write_table(
-        nodes.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hub"), "shard-hubs")
     first = F.pmod(F.xxhash64("doc_id", "hub"), F.lit(shards)).cast("int")
-    linked = write_table(nodes.join(hubs, "hub").select("row", "hub", first.alias("shard")), "shard-state")
-    linked = propagate(linked, quotas)
+    # At most one row per hub and shard; the largest shard first.
+    tally = nodes.groupBy("hub", first.alias("shard")).agg(F.count(F.lit(1)).alias("c"))
+    members = F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("less"), "shard")))
+    hubs = write_table(
+        tally.groupBy("hub").agg(F.sum("c").alias("n"), members.alias("members")).where("n > 1"), "shard-hubs")
+    whole, split = settle(hubs, quotas)
+    linked = nodes.join(write_table(whole, "shard-whole"), "hub").select("row", "shard")
+    if split:
+        linked = linked.unionByName(_dealt_by_rank(nodes, split))
+    linked = write_table(linked, "shard-state")
 
     dealt = nodes.join(linked.select("row", F.col("shard").alias("moved")), "row", "left").select(
         "doc_id", "size", "text_crc32", "hub", "row",

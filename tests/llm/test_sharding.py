@@ -59,3 +59,12 @@ def test_fewer_rows_than_shards_and_empty(spark):
 def test_only_repeated_rows(spark):
     rows = [(7, "same", "en", "s", 1)] * 50
     check_law(rows_of(shard_documents(frame(spark, rows), 4)), rows, 4)
+
+
+def test_groups_that_fit_stay_whole_on_a_copy_heavy_table(spark):
+    sizes = [2] * 120 + [5] * 40 + [30] * 8 + [110] * 2 + [1] * 100
+    texts = [f"text {k}" for k, n in enumerate(sizes) for _ in range(n)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    got = rows_of(shard_documents(frame(spark, rows).repartition(5), 8))
+    check_law(got, rows, 8)
+    assert not [h for h, s in homes(got).items() if len(s) > 1]  # quota: 125
