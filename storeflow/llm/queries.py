@@ -19,6 +19,7 @@ from .pieces import encode_decode
 from .pii import pseudonymise
 from .quality import quality_rules
 from .sharding import shard_documents
+from .spelling import spelling_groups, vocabulary
 from .token_files import encode_documents, read_token_files
 from .warc import locate_records, read_records, record_types, write_packages
 
@@ -76,6 +77,10 @@ def op10_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0)
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return spelling_groups(vocabulary(table(spark, sf_dir, "documents"), min_length=6, min_count=5, drop_every=199), ratio=5)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_files": op2_token_files,
@@ -87,6 +92,7 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_pii_pseudonyms": op9_pii_pseudonyms,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 _NORM = ("SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
@@ -126,4 +132,48 @@ ORACLE_SQL = {
             UNION SELECT r.x, l.y FROM reach AS r JOIN links AS l ON r.y = l.x)
         SELECT s.doc_id, len(s.g) AS n_shingles, min(reach.y) AS component_id
         FROM s JOIN reach ON reach.x = s.doc_id GROUP BY s.doc_id, len(s.g)""",
+    # crc32 from its table; a word's deletions meet those of its near words.
+    "op11_spelling_variants": """
+        WITH RECURSIVE crc AS MATERIALIZED (
+            SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+                CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab),
+        runs AS (
+            SELECT doc_id, run, count(*) AS k
+            FROM (SELECT doc_id, unnest(regexp_extract_all(
+                      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents)
+            WHERE length(run) >= 6 GROUP BY doc_id, run),
+        bytes AS (
+            SELECT *, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda ch:
+                CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT]
+                     ELSE [192 | (unicode(ch)::BIGINT >> 6), 128 | (unicode(ch)::BIGINT & 63)] END)) AS b FROM runs),
+        hashed AS (
+            SELECT run, k, xor(list_reduce(b, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS h
+            FROM bytes, crc),
+        v AS MATERIALIZED (
+            SELECT word, sum(k)::BIGINT AS n
+            FROM (SELECT k, CASE WHEN h % 199 = 0
+                                 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+                  FROM hashed)
+            WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+        cut AS MATERIALIZED (
+            SELECT word, i, left(word, i) || substr(word, i + 2) AS rest
+            FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+        near AS (
+            SELECT a.word, b.word AS other FROM cut AS a JOIN cut AS b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT cut.word, v.word FROM cut JOIN v ON cut.rest = v.word
+            UNION SELECT v.word, cut.word FROM cut JOIN v ON cut.rest = v.word),
+        top AS (
+            SELECT near.word, other, v.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+                   row_number() OVER (PARTITION BY near.word ORDER BY v.n DESC, other) AS place
+            FROM near JOIN v ON v.word = near.other),
+        f AS MATERIALIZED (
+            SELECT v.word, v.n, coalesce(top.n_near, 0) AS n_near,
+                   CASE WHEN other_n >= 5 * v.n THEN other END AS form, CASE WHEN other_n >= 5 * v.n THEN other_n END AS form_n
+            FROM v LEFT JOIN top ON top.word = v.word AND place = 1),
+        walk AS (
+            SELECT word, word AS at, 0 AS steps FROM f
+            UNION ALL SELECT walk.word, f.form, steps + 1 FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NOT NULL)
+        SELECT f.word, form, root, n, n_near, form_n
+        FROM f JOIN (SELECT word, arg_max(at, steps) AS root FROM walk GROUP BY word) AS r ON r.word = f.word""",
 }
