@@ -172,8 +172,8 @@ ORACLE_SQL = {
                    CASE WHEN other_n >= 5 * v.n THEN other END AS form, CASE WHEN other_n >= 5 * v.n THEN other_n END AS form_n
             FROM v LEFT JOIN top ON top.word = v.word AND place = 1),
         walk AS (
-            SELECT word, word AS at, 0 AS steps FROM f
-            UNION ALL SELECT walk.word, f.form, steps + 1 FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NOT NULL)
+            SELECT word, word AS here, 0 AS steps FROM f
+            UNION ALL SELECT walk.word, f.form, steps + 1 FROM walk JOIN f ON f.word = walk.here WHERE f.form IS NOT NULL)
         SELECT f.word, form, root, n, n_near, form_n
-        FROM f JOIN (SELECT word, arg_max(at, steps) AS root FROM walk GROUP BY word) AS r ON r.word = f.word""",
+        FROM f JOIN (SELECT word, arg_max(here, steps) AS root FROM walk GROUP BY word) AS r ON r.word = f.word""",
 }
