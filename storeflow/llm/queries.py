@@ -10,9 +10,11 @@ import os
 
 from pyspark.sql import functions as F
 
+from .collocations import collocations
 from .common import table
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
+from .near_dedup import near_duplicates
 from .ngram_join import ngram_jaccard_join
 from .packing import pack_documents
 from .pieces import encode_decode
@@ -81,6 +83,14 @@ def op11_spelling_variants(spark, sf_dir):
     return spelling_groups(vocabulary(table(spark, sf_dir, "documents"), min_length=6, min_count=5, drop_every=199), ratio=5)
 
 
+def op12_minhash_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+def op13_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"), max_words=3, min_count=10, inside_percent=50, top=2000)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_files": op2_token_files,
@@ -93,6 +103,8 @@ QUERIES = {
     "op9_pii_pseudonyms": op9_pii_pseudonyms,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_minhash_dedup": op12_minhash_dedup,
+    "op13_collocations": op13_collocations,
 }
 
 _NORM = ("SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
@@ -176,4 +188,53 @@ ORACLE_SQL = {
             UNION ALL SELECT walk.word, f.form, steps + 1 FROM walk JOIN f ON f.word = walk.here WHERE f.form IS NOT NULL)
         SELECT f.word, form, root, n, n_near, form_n
         FROM f JOIN (SELECT word, arg_max(here, steps) AS root FROM walk GROUP BY word) AS r ON r.word = f.word""",
+    "op12_minhash_dedup": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM ({_NORM})),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) < 2 THEN w
+                ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM d),
+        t AS (SELECT doc_id, len(g) AS n, unnest(g) AS tok FROM s),
+        links AS (
+            SELECT a.doc_id AS x, b.doc_id AS y
+            FROM t AS a JOIN t AS b ON a.tok = b.tok AND a.doc_id <> b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n
+            HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        reach AS (
+            SELECT doc_id AS x, doc_id AS y FROM d
+            UNION SELECT r.x, l.y FROM reach AS r JOIN links AS l ON r.y = l.x)
+        SELECT s.doc_id, len(s.g) AS n_shingles, min(reach.y) AS component_id, s.doc_id = min(reach.y) AS kept
+        FROM s JOIN reach ON reach.x = s.doc_id GROUP BY s.doc_id, len(s.g)""",
+    "op13_collocations": """
+        WITH pieces AS (
+            SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w
+            FROM (SELECT coalesce(lang, 'und') AS lang, translate(
+                      coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)),
+        spans AS (
+            SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+            FROM pieces, (SELECT unnest([1, 2, 3]) AS k)),
+        f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM spans GROUP BY lang, k, phrase),
+        totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        cand AS MATERIALIZED (
+            SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k > 1 AND f >= 10),
+        around AS (
+            SELECT lang, phrase, max(a) AS a
+            FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase
+                  FROM cand WHERE k = 3) GROUP BY lang, phrase),
+        kept AS (
+            SELECT cand.* FROM cand LEFT JOIN around USING (lang, phrase)
+            WHERE cand.k = 3 OR around.a IS NULL OR 100 * around.a < 50 * cand.a),
+        cuts AS (
+            SELECT kept.*, cut, array_to_string(w[1:cut], ' ') AS lo, array_to_string(w[cut + 1:], ' ') AS hi
+            FROM kept JOIN (SELECT unnest([1, 2]) AS cut) ON cut < k),
+        scored AS (
+            SELECT cuts.lang, cuts.phrase, a, cut, x.f AS l, y.f AS r,
+                   (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+            FROM cuts JOIN f AS x ON x.lang = cuts.lang AND x.phrase = lo AND x.k = cut
+                      JOIN f AS y ON y.lang = cuts.lang AND y.phrase = hi AND y.k = cuts.k - cut),
+        lowest AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
 }
