@@ -13,15 +13,20 @@ documents must share.
 
 1. *Signatures* of whole texts, one pass.  Documents with equal sets are one
    vertex.
-2. *Star rounds.*  Per key all members are tried against a pivot: the
-   smallest vertex, then (between components only) a random one.  Pairs
-   beyond the distance go; the others are confirmed on full sets.
-   Confirmed links give components, so a group of copies is never expanded
-   into pairs.
-3. *The rest.*  Pairs of different components that share a key: members
-   outside a key's largest component against all members of a size that
-   can reach the threshold, held to the distance by a sketch of two bits per
-   position while they are formed.  Then as above.
+2. *Star rounds.*  First every vertex is tried against the most central
+   member (the one that shares most with others) of the key that they meet
+   under most often; then, in ``ROUNDS`` rounds, every vertex outside a
+   key's largest component against the closest few of random members of
+   that component.  Pairs beyond the distance go; the others are confirmed
+   on full sets.  Confirmed links give components, so a group of copies is
+   never expanded into pairs.
+3. *The rest.*  Pairs of different components that share a key.  Keys of
+   few members (``SMALL_KEY``) give pairs, held to the distance by a sketch
+   of two bits per position while they are formed, then confirmed as above.
+   Larger keys are not expanded: vertices that such keys connect form a
+   cluster; its members outside its largest component meet all of it in
+   blocks of a bounded number of shingles, whose full sets are compared
+   inside the task, so only links leave it.
 
 Full sets are made again from the texts that a Bloom filter over the wanted
 ids lets through; whole texts are never shuffled.  Sets hold 64-bit hashes
@@ -49,7 +54,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import bloom_filter, may_hold
@@ -60,6 +65,10 @@ from .shingles import Shingler, set_key
 # Odd multipliers of the hash functions.
 ODD_A, ODD_B = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 SEED = 20_231
+ROUNDS = 2
+CLOSEST = 4
+SMALL_KEY = 32
+BLOCK_TOKENS = 1_000_000
 
 
 def least_distance(positions: int, percent: int, miss: float) -> int:
@@ -139,9 +148,11 @@ def _matrix(column: pa.Array, positions: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, positions)
 
 
-def key_table(signatures: DataFrame, positions: int, choices: list[tuple[int, ...]]) -> DataFrame:
-    """``key, row, n, s0, s1``: every key of every vertex with its sketch,
-    the two lowest bits of the first 64 positions."""
+def key_table(signatures: DataFrame, positions: int, choices: list[tuple[int, ...]],
+              only: np.ndarray | None = None) -> DataFrame:
+    """``key, row, n, s0, s1``: every key of every vertex (those that the
+    Bloom filter ``only`` may hold) with its sketch, the two lowest bits of
+    the first 64 positions."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
@@ -159,11 +170,12 @@ def key_table(signatures: DataFrame, positions: int, choices: list[tuple[int, ..
                     lowest = np.zeros((len(sig), 64), np.uint8)
                     lowest[:, :positions] = (sig[:, :64] >> np.uint64(bit)) & np.uint64(1)
                     sketch.append(np.packbits(lowest, axis=1, bitorder="little").view(np.int64).ravel())
-                each = len(choices)
+                keys = keys.ravel().view(np.int64)
+                at = np.flatnonzero(may_hold(only, keys)) if only is not None else np.arange(len(keys))
+                of = at // len(choices)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel().view(np.int64)), *(
-                        pa.array(np.repeat(x, each)) for x in (
-                            part.column("row").to_numpy(), part.column("n").to_numpy(), *sketch))],
+                    [pa.array(keys[at]), *(
+                        pa.array(x[of]) for x in (part.column("row").to_numpy(), part.column("n").to_numpy(), *sketch))],
                     ["key", "row", "n", "s0", "s1"])
 
     return signatures.select("row", "n", "sig").mapInArrow(run, "key long, row long, n long, s0 long, s1 long")
@@ -178,14 +190,15 @@ def _sketches_fit(x: str, y: str, distance: int) -> Column:
     return F.bit_count(differ[0].bitwiseOR(differ[1])) <= distance
 
 
-def _star_pairs(shared: DataFrame, percent: int, distance: int) -> DataFrame:
-    """Each vertex with the pivot (``a``) that it meets under most keys."""
-    tried = shared.where(
+def _star_pairs(tried: DataFrame, percent: int, distance: int, closest: int) -> DataFrame:
+    """Each vertex with the ``closest`` pivots (``a``), those that it meets
+    under most keys."""
+    tried = tried.where(
         (F.col("row") != F.col("a.row")) & _sizes_fit(F.col("n"), F.col("a.n"), percent) & _sketches_fit("", "a.", distance))
     met = tried.groupBy("row", F.col("a.row").alias("pivot")).agg(F.count(F.lit(1)).alias("m"))
-    best = met.groupBy("row").agg(F.max(F.struct("m", (-F.col("pivot")).alias("less"))).alias("b"))
-    return best.select(
-        F.least("row", -F.col("b.less")).alias("x"), F.greatest("row", -F.col("b.less")).alias("y")).distinct()
+    place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("m"), "pivot"))
+    return met.withColumn("place", place).where(F.col("place") <= closest).select(
+        F.least("row", "pivot").alias("x"), F.greatest("row", "pivot").alias("y")).distinct()
 
 
 def _within(pairs: DataFrame, signatures: DataFrame, positions: int, distance: int) -> DataFrame:
@@ -247,34 +260,117 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, vertices: DataFrame, k: int, p
     return links
 
 
-def _cross_pairs(shared: DataFrame, percent: int, distance: int) -> DataFrame:
-    """Pairs of different components under a key: those outside the key's
-    largest component (``odd``) against all, by size class."""
+def _cross_pairs(shared: DataFrame, clusters: DataFrame, percent: int, distance: int) -> DataFrame:
+    """Pairs of different components and clusters under a small key: those
+    outside the key's largest component (``odd``) against all, by size
+    class."""
     width = max(math.log(100 / percent), 1e-6) * (1 + 1e-9)
     size = F.floor(F.log("n") / width)
-    fields = ("row", "n", "s0", "s1", "comp")
-    x = shared.where("odd").select(
+    fields = ("row", "n", "s0", "s1", "comp", "cluster")
+    small = shared.where(F.col("size") <= SMALL_KEY).join(clusters, "row", "left")
+    x = small.where("odd").select(
         "key", F.explode(F.array(size - 1, size, size + 1)).alias("class"), F.struct(*fields).alias("x"))
-    y = shared.select("key", size.alias("class"), F.struct(*fields, "odd").alias("y"))
+    y = small.select("key", size.alias("class"), F.struct(*fields, "odd").alias("y"))
+    apart = F.coalesce(F.col("x.cluster") != F.col("y.cluster"), F.lit(True))
     met = x.join(y, ["key", "class"]).where(
-        (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.odd") | (F.col("x.row") < F.col("y.row")))
+        (F.col("x.comp") != F.col("y.comp")) & apart & (~F.col("y.odd") | (F.col("x.row") < F.col("y.row")))
         & _sizes_fit(F.col("x.n"), F.col("y.n"), percent) & _sketches_fit("x.", "y.", distance))
     return met.select(
         F.least("x.row", "y.row").alias("x"), F.greatest("x.row", "y.row").alias("y")).distinct()
 
 
+def _clusters(shared: DataFrame) -> DataFrame:
+    """``row, cluster``: vertices that keys of many members connect."""
+    hot = shared.where(F.col("size") > SMALL_KEY)
+    first = hot.groupBy("key").agg(F.min("row").alias("first"))
+    links = hot.join(first, "key").where("row != first").select(F.col("row").alias("x"), F.col("first").alias("y")).distinct()
+    return components(links).withColumnRenamed("label", "cluster")
+
+
+def _blocks(shared: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``cluster, bx, by, is_x, row, comp``: which blocks a cluster's members
+    meet in.  Members outside its largest component are dealt over the
+    blocks bx, all members over the blocks by; each bx meets each by."""
+    members = shared.where(F.col("size") > SMALL_KEY).select("row", "n", "comp").distinct().join(clusters, "row")
+    sizes = members.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"))
+    facts = sizes.groupBy("cluster").agg(
+        F.max(F.struct("m", "comp", "t")).alias("main"), F.sum("t").alias("all"), F.count(F.lit(1)).alias("comps"))
+    facts = facts.where("comps > 1").select(
+        "cluster", F.col("main.comp").alias("main"),
+        F.ceil((F.col("all") - F.col("main.t")) / F.lit(BLOCK_TOKENS)).cast("int").alias("nx"),
+        F.ceil(F.col("all") / F.lit(BLOCK_TOKENS)).cast("int").alias("ny"))
+    placed = members.join(facts, "cluster")
+
+    def own(n: str) -> Column:
+        return F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+
+    def each(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    x = placed.where("comp != main").select(
+        "cluster", own("nx").alias("bx"), each("ny").alias("by"), F.lit(True).alias("is_x"), "row", "comp")
+    y = placed.select("cluster", each("nx").alias("bx"), own("ny").alias("by"), F.lit(False).alias("is_x"), "row", "comp")
+    return x.unionByName(y)
+
+
+def _block_links(blocks: DataFrame, docs: DataFrame, vertices: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (``x, y``) between different components within the blocks,
+    written."""
+    wanted = write_table(vertices.join(blocks.select("row").distinct(), "row").select("row", "s", "rep_h"), "near-wanted")
+    full = write_table(_full_sets(docs, wanted, k), "near-full")
+    links = write_table(
+        blocks.join(full, "row").groupBy("cluster", "bx", "by").applyInArrow(
+            lambda t: linked_in_block(t, percent), "x long, y long").distinct(), "near-links")
+    drop_tables(wanted, full)
+    return links
+
+
+def linked_in_block(block: pa.Table, percent: int) -> pa.Table:
+    """Every ``is_x`` set against all others of another component: overlaps
+    are counted over the block's tokens, numbered once."""
+    lists = [np.frombuffer(t.as_buffer(), np.uint64) for t in block.column("toks")]
+    is_x = np.array(block.column("is_x").to_pylist(), bool)
+    row, comp = block.column("row").to_numpy(), block.column("comp").to_numpy()
+    sides = [np.flatnonzero(is_x), np.flatnonzero(~is_x)]
+    out = [(np.empty(0, np.int64),) * 2]
+    if len(sides[0]) and len(sides[1]):
+        tokens, flat = np.unique(np.concatenate([lists[i] for i in sides[1]]), return_inverse=True)
+        sizes = np.array([len(lists[i]) for i in sides[1]])
+        starts = np.cumsum(sizes) - sizes
+        mark = np.zeros(len(tokens), np.int32)
+        row_y, comp_y = row[sides[1]], comp[sides[1]]
+        for i in sides[0]:
+            at = np.flatnonzero(np.isin(tokens, lists[i], assume_unique=True))
+            mark[at] = 1
+            both = np.add.reduceat(mark[flat], starts)
+            mark[at] = 0
+            hit = (comp_y != comp[i]) & (100 * both >= percent * (len(lists[i]) + sizes - both))
+            other = row_y[hit]
+            out.append((np.minimum(other, row[i]), np.maximum(other, row[i])))
+    return pa.table({"x": np.concatenate([o[0] for o in out]), "y": np.concatenate([o[1] for o in out])})
+
+
+def _central(shared: DataFrame) -> DataFrame:
+    """``shared`` with its key's most central member as pivot ``a``."""
+    common = shared.groupBy("row").agg(F.sum("size").alias("common"))
+    ranked = shared.join(common, "row")
+    pivot = ranked.groupBy("key").agg(F.max(F.struct("common", "row", "n", "s0", "s1")).alias("a"))
+    return shared.join(pivot, "key")
+
+
 def _divided(shared: DataFrame, labels: DataFrame, salt: int) -> DataFrame:
     """``shared`` keys that more than one component has, with ``comp``,
-    ``odd`` and a random pivot ``a``."""
+    ``odd`` (outside the key's largest component) and ``a``, a random member
+    of the largest."""
     comp = (
         shared.drop("a", "comp", "odd").join(labels, "row", "left")
         .withColumn("comp", F.coalesce("label", "row")).drop("label"))
     sizes = comp.groupBy("key", "comp").agg(
         F.count(F.lit(1)).alias("m"),
-        F.min(F.struct(F.xxhash64("row", F.lit(salt)).alias("h"), "row", "n", "s0", "s1", "comp")).alias("a"))
+        F.min(F.struct(F.xxhash64("row", "key", F.lit(salt)).alias("h"), "row", "n", "s0", "s1")).alias("a"))
     lists = sizes.groupBy("key").agg(
-        F.count(F.lit(1)).alias("comps"), F.max(F.struct("m", "comp")).alias("b"), F.min("a").alias("a")).where("comps > 1")
-    return comp.join(lists.select("key", "a", F.col("b.comp").alias("main")), "key").withColumn(
+        F.count(F.lit(1)).alias("comps"), F.max(F.struct("m", "comp", "a")).alias("b")).where("comps > 1")
+    return comp.join(lists.select("key", F.col("b.a").alias("a"), F.col("b.comp").alias("main")), "key").withColumn(
         "odd", F.col("comp") != F.col("main")).drop("main")
 
 
@@ -295,25 +391,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, positions: i
     signatures = write_table(
         known.select("row", "n", "sig").join(vertices.select("row"), "row", "left_semi"), "near-signatures")
 
-    postings = key_table(signatures, positions, choices)
-    lists = postings.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.min(F.struct("row", "n", "s0", "s1")).alias("a")).where("size > 1")
-    lists = write_table(lists.select("key", "a"), "near-lists")
-    shared = write_table(postings.join(lists, "key"), "near-shared")
+    lists = write_table(
+        key_table(signatures, positions, choices).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"),
+        "near-lists")
+    common = key_table(signatures, positions, choices, bloom_filter(lists, F.col("key")))
+    shared = write_table(common.join(lists, "key"), "near-shared")
     drop_tables(lists)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         close = write_table(_within(pairs, signatures, positions, distance), "near-pairs")
         return _confirmed(close, docs, vertices, k, percent)
 
-    links = confirmed(_star_pairs(shared, percent, distance))
+    links = confirmed(_star_pairs(_central(shared), percent, distance, 1))
     labels = components(links)
-    for find in (lambda s: _star_pairs(s.where("comp != a.comp"), percent, distance),
-                 lambda s: _cross_pairs(s, percent, distance)):
-        divided = write_table(_divided(shared, labels, 1), "near-shared")
+    for step in range(ROUNDS + 1):
+        divided = write_table(_divided(shared, labels, step), "near-shared")
         drop_tables(shared)
         shared = divided
-        more = confirmed(find(shared))
+        if step < ROUNDS:
+            more = confirmed(_star_pairs(shared.where("odd"), percent, distance, CLOSEST))
+        else:
+            clusters = _clusters(shared)
+            blocks = write_table(_blocks(shared, clusters), "near-blocks")
+            more = _block_links(blocks, docs, vertices, k, percent).unionByName(
+                confirmed(_cross_pairs(shared, clusters, percent, distance)))
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)

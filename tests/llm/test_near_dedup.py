@@ -61,8 +61,11 @@ def test_against_all_pairs(spark, seed, k, percent, errors):
     assert got(near_duplicates(docs, k, percent, errors=errors)) == brute(rows, k, percent)
 
 
-def test_without_star_links_the_cross_pairs_find_all(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "_star_pairs", lambda s, percent, distance: s.select(
+@pytest.mark.parametrize("small,tokens", [(32, 1_000_000), (2, 300), (10**6, 1)])
+def test_without_star_links_pairs_and_blocks_find_all(spark, monkeypatch, small, tokens):
+    monkeypatch.setattr(near_dedup, "SMALL_KEY", small)
+    monkeypatch.setattr(near_dedup, "BLOCK_TOKENS", tokens)
+    monkeypatch.setattr(near_dedup, "_star_pairs", lambda s, percent, distance, closest: s.select(
         s["row"].alias("x"), s["row"].alias("y")).limit(0))
     rows = near_docs(5)
     assert got(near_duplicates(frame(spark, rows), 2, 80)) == brute(rows, 2, 80)
