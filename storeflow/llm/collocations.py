@@ -13,10 +13,10 @@ Counting, one pass per phrase length:
    excess is counted too and sorted out later).  Windows over other words,
    or whose shorter parts are too rare, are never formed.
 2. Windows are counted in a shallow trie of word ids whose leaves are hash
-   containers: under the first word, and where a container grows beyond
-   ``BURST`` entries it bursts into one container per second word.  When the
-   trie holds ``ENTRIES`` entries, the largest whole subtrees leave it as
-   sorted runs.
+   containers.  A container holds a span of first words, or, under one first
+   word, a span of second words; beyond ``BURST`` entries it bursts into two
+   at the middle word.  When the trie holds ``ENTRIES`` entries, the largest
+   whole subtrees leave it as sorted runs.
 3. Runs are merged per prefix partition: a phrase goes to the partition of
    its first word, or, where that word makes more than a ``1 / HOT`` part of
    all words (at most ``HOT`` words of all languages together), to that of
@@ -39,6 +39,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +52,8 @@ from .bloom import bloom_filter, may_hold
 from .common import drop_tables, empty_if_null, write_table
 
 ID_BITS = 21  # of a word id within a task; three make a key
-ENTRIES = 1_000_000
-BURST = 4_096
+ENTRIES = 1_500_000
+BURST = 32_768
 WORDS = 500_000  # words that a task numbers before it begins anew
 RUN_BYTES = 1 << 22
 ROWS_OUT = 100_000
@@ -80,11 +81,6 @@ def tokens_of(text: bytes) -> list[bytes]:
     return text.translate(TABLE).replace(b".", b" . ").split()
 
 
-def word_hash(lang: bytes, word: bytes) -> int:
-    """Spark's ``xxhash64(lang, word)``, unsigned."""
-    return xxhash.xxh64_intdigest(word, xxhash.xxh64_intdigest(lang, 42))
-
-
 def joined_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     h = (first * MIX_A) ^ second
     h = (h ^ (h >> np.uint64(32))) * MIX_B
@@ -93,75 +89,77 @@ def joined_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 class HatTrie:
     """Counts of phrases of ``length`` (2 or 3) word ids, packed into one
-    integer."""
+    integer each, the first word highest.
+
+    Leaves are hash containers over spans of the trie's prefixes: ``starts``
+    holds the first key of each span, which is that of a whole subtree (a
+    first word, or a first and second one).
+    """
 
     def __init__(self, length: int, burst: int):
-        self.length, self.burst = length, burst
-        self.shift = ID_BITS * (length - 1)
-        self.root: dict = {}  # id -> container, or id -> {id -> container} once burst
-        self.is_burst: set = set()
-        self.entries = 0
+        self.shifts = [ID_BITS * (length - 1 - depth) for depth in range(length - 1)]
+        self.burst = burst
+        self.starts, self.containers, self.entries = [0], [{}], 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         """Add sorted distinct keys."""
-        for first, lo, hi in _slices(keys >> self.shift):
-            rest = keys[lo:hi] & ((1 << self.shift) - 1)
-            n = counts[lo:hi]
-            if first in self.is_burst:
-                self._add_below(self.root[first], rest, n)
-                continue
-            own = self.root.setdefault(first, {})
-            self.entries += _update(own, rest.tolist(), n.tolist())
-            if self.length == 3 and len(own) > self.burst:
-                below: dict = {}
-                for key, count in own.items():
-                    below.setdefault(key >> ID_BITS, {})[key & ((1 << ID_BITS) - 1)] = count
-                self.root[first] = below
-                self.is_burst.add(first)
-
-    def _add_below(self, node: dict, rest: np.ndarray, counts: np.ndarray) -> None:
-        low = rest & ((1 << ID_BITS) - 1)
-        for second, lo, hi in _slices(rest >> ID_BITS):
-            self.entries += _update(node.setdefault(second, {}), low[lo:hi].tolist(), counts[lo:hi].tolist())
-
-    def _size(self, first: int) -> int:
-        node = self.root[first]
-        return sum(map(len, node.values())) if first in self.is_burst else len(node)
+        edges = [*np.searchsorted(keys, self.starts[1:]).tolist(), len(keys)]
+        lo = 0
+        full = []
+        for i, hi in enumerate(edges):
+            if hi > lo:
+                own = self.containers[i]
+                before, get = len(own), own.get
+                for key, n in zip(keys[lo:hi].tolist(), counts[lo:hi].tolist()):
+                    own[key] = get(key, 0) + n
+                self.entries += len(own) - before
+                if len(own) > self.burst:
+                    full.append(i)
+            lo = hi
+        for i in reversed(full):
+            self._split(i)
+
+    def _split(self, i: int) -> None:
+        """Burst container ``i`` into parts of about half of ``burst``, each
+        beginning at a word's whole subtree, at the lowest depth that will do;
+        one whose keys share all words but the last stays."""
+        keys, counts = _sorted_entries([self.containers[i]])
+        cuts = [0]
+        for middle in range(self.burst // 2, len(keys), max(1, self.burst // 2)):
+            for shift in self.shifts:
+                at = int(np.searchsorted(keys, keys[middle] >> shift << shift))
+                if at > cuts[-1]:
+                    cuts.append(at)
+                    break
+        starts = [self.starts[i]]
+        for at in cuts[1:]:
+            # The highest subtree that begins between the two keys.
+            starts.append(next(int(keys[at]) >> s << s for s in self.shifts if int(keys[at]) >> s << s > int(keys[at - 1])))
+        self.starts[i:i + 1] = starts
+        self.containers[i:i + 1] = [
+            dict(zip(keys[lo:hi].tolist(), counts[lo:hi].tolist())) for lo, hi in zip(cuts, [*cuts[1:], len(keys)])]
 
     def spill(self, keep: int) -> tuple[np.ndarray, np.ndarray]:
-        """Take out the largest subtrees until ``keep`` entries are left:
+        """Empty the largest containers until ``keep`` entries are left:
         their keys, sorted, and counts."""
-        keys, counts = [], []
-        for size, first in sorted(((self._size(f), f) for f in self.root), reverse=True):
+        taken = []
+        for i in sorted(range(len(self.containers)), key=lambda i: -len(self.containers[i])):
             if self.entries <= keep:
                 break
-            node, top = self.root.pop(first), first << self.shift
-            parts = [(top, node)]
-            if first in self.is_burst:
-                self.is_burst.remove(first)
-                parts = [(top | second << ID_BITS, own) for second, own in node.items()]
-            for above, own in parts:
-                keys.append(np.fromiter(own.keys(), np.int64, len(own)) | above)
-                counts.append(np.fromiter(own.values(), np.int64, len(own)))
-            self.entries -= size
-        if not keys:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        key, count = np.concatenate(keys), np.concatenate(counts)
-        order = np.argsort(key)
-        return key[order], count[order]
-
-
-def _slices(groups: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    heads = np.flatnonzero(np.diff(groups, prepend=-1))
-    return zip(groups[heads].tolist(), heads.tolist(), np.append(heads[1:], len(groups)).tolist())
-
-
-def _update(own: dict, keys: list, counts: list) -> int:
-    before = len(own)
-    get = own.get
-    for k, n in zip(keys, counts):
-        own[k] = get(k, 0) + n
-    return len(own) - before
+            taken.append(self.containers[i])
+            self.entries -= len(self.containers[i])
+            self.containers[i] = {}
+        if not self.entries:
+            self.starts, self.containers = [0], [{}]
+        return _sorted_entries(taken)
+
+
+def _sorted_entries(containers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    size = sum(map(len, containers))
+    key = np.fromiter(chain.from_iterable(containers), np.int64, size)
+    count = np.fromiter(chain.from_iterable(c.values() for c in containers), np.int64, size)
+    order = np.argsort(key)
+    return key[order], count[order]
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes]]:
@@ -235,31 +233,35 @@ class PhraseCounter:
     def _begin(self) -> None:
         self.trie = HatTrie(self.length, self.burst)
         self.ids: dict[bytes, dict[bytes, int]] = {}  # 0: a break or a word that is no part
-        self.names, self.langs, self.hashes = [b""], [b""], [0]
+        self.names, self.langs, self.hashes = [b""], [b""], np.zeros(1, np.uint64)
         self.met = 0
 
-    def _number(self, lang: bytes, own: dict, fresh: list[bytes]) -> None:
-        hashes = np.array([word_hash(lang, w) for w in fresh], np.uint64)
-        for w, h, known in zip(fresh, hashes.tolist(), may_hold(self.filter, hashes.view(np.int64)).tolist()):
-            own[w] = len(self.names) if known else 0
-            if known:
-                self.names.append(w)
-                self.langs.append(lang)
-                self.hashes.append(h)
+    def _number(self, lang: bytes, tokens: set[bytes]) -> dict[bytes, int]:
+        """The word ids of a language, with those of ``tokens``.  A word's
+        hash is Spark's ``xxhash64(lang, word)``, as in ``word_counts``."""
+        own = self.ids.setdefault(lang, {b".": 0})
+        fresh = list(tokens - own.keys())
+        seed = xxhash.xxh64_intdigest(lang, 42)
+        hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in fresh], np.uint64)
+        known = may_hold(self.filter, hashes.view(np.int64))
+        own.update(dict.fromkeys(fresh, 0))
+        for i in np.flatnonzero(known).tolist():
+            own[fresh[i]] = len(self.names)
+            self.names.append(fresh[i])
+            self.langs.append(lang)
+        self.hashes = np.concatenate([self.hashes, hashes[known]])
         self.met += len(fresh)
+        return own
 
     def add(self, run: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        ids = []
+        by_lang: dict[bytes, list[bytes]] = {}
         for lang, text in run:
-            own = self.ids.get(lang)
-            if own is None:
-                own = self.ids[lang] = {b".": 0}
-            tokens = tokens_of(text)
-            fresh = [w for w in set(tokens) if w not in own]
-            if fresh:
-                self._number(lang, own, fresh)
-            ids += map(own.__getitem__, tokens)
-            ids.append(0)
+            tokens = by_lang.setdefault(lang, [])
+            tokens += tokens_of(text)
+            tokens.append(b".")
+        ids: list[int] = []
+        for lang, tokens in by_lang.items():
+            ids += map(self._number(lang, set(tokens)).__getitem__, tokens)
         at = np.array(ids, np.int64)
         if len(at) >= self.length:
             key, ok = at[:len(at) - self.length + 1].copy(), np.ones(len(at) - self.length + 1, bool)
@@ -281,10 +283,9 @@ class PhraseCounter:
             yield from self.rows(self.entries // 2)
 
     def _hash(self, words: list[np.ndarray]) -> np.ndarray:
-        hashes = np.array(self.hashes, np.uint64)
-        out = hashes[words[0]]
+        out = self.hashes[words[0]]
         for w in words[1:]:
-            out = joined_hash(out, hashes[w])
+            out = joined_hash(out, self.hashes[w])
         return out
 
     def rows(self, keep: int) -> Iterator[pa.RecordBatch]:
@@ -293,14 +294,13 @@ class PhraseCounter:
         if not len(keys):
             return
         names, langs = pa.array(self.names, pa.binary()), pa.array(self.langs, pa.binary())
-        hashes = np.array(self.hashes, np.uint64)
-        hot = np.isin(hashes, np.array(sorted(self.hot), np.uint64))
+        hot = np.isin(self.hashes, np.array(sorted(self.hot), np.uint64))
         low = (1 << ID_BITS) - 1
         for lo in range(0, len(keys), ROWS_OUT):
             own, n = keys[lo:lo + ROWS_OUT], counts[lo:lo + ROWS_OUT]
             words = [own >> ID_BITS * j & low for j in range(self.length - 1, -1, -1)]
             h = self._hash(words)
-            part = np.where(hot[words[0]], h, hashes[words[0]]) % np.uint64(PARTS)
+            part = np.where(hot[words[0]], h, self.hashes[words[0]]) % np.uint64(PARTS)
             phrase = pc.binary_join_element_wise(*[names.take(pa.array(w)) for w in words], b" ")
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part.astype(np.int32)), langs.take(pa.array(words[0])).view(pa.string()),

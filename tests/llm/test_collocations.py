@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from storeflow.llm import collocations as module
-from storeflow.llm.collocations import HatTrie, collocations, word_hash
+from storeflow.llm.collocations import HatTrie, PhraseCounter, collocations
 
 from .helpers import clashing, frame, odd_docs, rows_of
 from .test_exact_dedup import norm
@@ -97,15 +97,22 @@ def test_trie_counts_like_a_counter():
                 k, n = trie.spill(20)
                 assert (np.diff(k) > 0).all() and trie.entries <= 20
                 out.update(dict(zip(k.tolist(), n.tolist())))
-        assert trie.entries == sum(trie._size(f) for f in trie.root)
+        assert trie.entries == sum(map(len, trie.containers)) and trie.starts == sorted(trie.starts)
+        if burst == 5:
+            # Spans begin at whole subtrees and are small unless one prefix fills them.
+            assert len(trie.starts) >= 7 and all(s % (1 << module.ID_BITS) == 0 for s in trie.starts)
+            assert all(len(c) <= 10 or len({k >> module.ID_BITS for k in c}) <= 2 for c in trie.containers)
         k, n = trie.spill(0)
         out.update(dict(zip(k.tolist(), n.tolist())))
-        assert out == plain and not trie.root
+        assert out == plain and trie.starts == [0]
 
 
 def test_word_hash_is_sparks(spark):
     row = spark.sql("SELECT xxhash64('dé', 'wörd') AS h").first()
-    assert row["h"] & (1 << 64) - 1 == word_hash("dé".encode(), "wörd".encode())
+    everything = np.full((1 << 26) // 8, 255, np.uint8)
+    counter = PhraseCounter(2, everything, None, frozenset(), 100, 10)
+    assert counter._number("dé".encode(), {"wörd".encode()}) == {b".": 0, "wörd".encode(): 1}
+    assert row["h"] & (1 << 64) - 1 == int(counter.hashes[1])
 
 
 def test_empty(spark):
