@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from ..functions import money as M
 from ..functions.bands import band
+from ..sources.storage import materialize
 from . import ordered as O
+from . import selection as S
 from .aggregates import asc, desc, distinct_count, summarize, top_by, total_profit, total_sales
 
 CUSTOMER = ["customer_id", "customer_name"]
@@ -52,7 +54,7 @@ def customer_sales_rank(sl: DataFrame, **kw) -> DataFrame:
 
     Runs as the distributed ordered scan: no single-partition window.
     """
-    ranked = O.rank(customer_totals(sl), [O.desc("total_sales")], out="sales_rank", **kw)
+    ranked = O.rank(customer_totals(sl), [O.desc("total_sales")], out="sales_rank", tie_break=CUSTOMER, **kw)
     return ranked.select(*CUSTOMER, M.money("total_sales").alias("total_sales"), "sales_rank")
 
 
@@ -110,15 +112,17 @@ def rfm_metrics(sl: DataFrame) -> DataFrame:
     ).orderBy(desc("monetary"))
 
 
-def _scored(sl: DataFrame, tiles: int, orientation: str, **kw) -> DataFrame:
-    """RFM base with r/f/m scores: NTILE over recency ascending, frequency
-    and monetary descending, ties broken by the customer key."""
+def _scored(sl: DataFrame, tiles: int, orientation: str, bins: int) -> DataFrame:
+    """RFM base, written once, with r/f/m scores: NTILE over recency
+    ascending, frequency and monetary descending, ties broken by the
+    customer key.  The limits of all three scores are found in common
+    counting passes; customers are never sorted."""
     specs = [
         ("r_score", tiles, O.asc("recency_days")),
         ("f_score", tiles, O.desc("frequency")),
         ("m_score", tiles, O.desc("monetary")),
     ]
-    scored = O.ntiles(rfm_base(sl), specs, CUSTOMER, **kw)
+    scored = S.ntiles(materialize(rfm_base(sl), "rfm"), specs, CUSTOMER, bins)
     if orientation == "high_is_best":
         scored = scored.select(
             *[c for c in scored.columns if not c.endswith("_score")],
@@ -140,8 +144,8 @@ def rfm_segment_expr(r: Column, f: Column, m: Column, labels: Sequence[str] = RF
     )
 
 
-def _segmented(sl: DataFrame, tiles: int, orientation: str, **kw) -> DataFrame:
-    scored = _scored(sl, tiles, orientation, **kw)
+def _segmented(sl: DataFrame, tiles: int, orientation: str, bins: int) -> DataFrame:
+    scored = _scored(sl, tiles, orientation, bins)
     return scored.withColumn(
         "customer_segment",
         rfm_segment_expr(F.col("r_score"), F.col("f_score"), F.col("m_score")),
@@ -151,21 +155,21 @@ def _segmented(sl: DataFrame, tiles: int, orientation: str, **kw) -> DataFrame:
 _SCORE_COLS = [*CUSTOMER, "recency_days", "frequency"]
 
 
-def rfm_scores(sl: DataFrame, tiles: int = RFM_TILES, orientation: str = "as_written", **kw) -> DataFrame:
-    s = _scored(sl, tiles, orientation, **kw)
+def rfm_scores(sl: DataFrame, tiles: int = RFM_TILES, orientation: str = "as_written", bins: int = S.BINS) -> DataFrame:
+    s = _scored(sl, tiles, orientation, bins)
     return s.select(*_SCORE_COLS, F.col("monetary").cast("decimal(18,2)").alias("monetary"),
                     "r_score", "f_score", "m_score")
 
 
-def rfm_segments(sl: DataFrame, tiles: int = RFM_TILES, orientation: str = "as_written", **kw) -> DataFrame:
-    s = _segmented(sl, tiles, orientation, **kw)
+def rfm_segments(sl: DataFrame, tiles: int = RFM_TILES, orientation: str = "as_written", bins: int = S.BINS) -> DataFrame:
+    s = _segmented(sl, tiles, orientation, bins)
     return s.select(*_SCORE_COLS, M.money("monetary").alias("monetary"),
                     "r_score", "f_score", "m_score", "customer_segment").orderBy(desc("monetary"))
 
 
 def rfm_segment_summary(sl: DataFrame, tiles: int = RFM_TILES, orientation: str = "as_written",
-                        **kw) -> DataFrame:
-    s = _segmented(sl, tiles, orientation, **kw)
+                        bins: int = S.BINS) -> DataFrame:
+    s = _segmented(sl, tiles, orientation, bins)
     return summarize(s, ["customer_segment"], [
         F.count(F.lit(1)).cast("bigint").alias("customers_count"),
         M.money(M.sum_money("monetary")).alias("total_sales"),
@@ -174,14 +178,14 @@ def rfm_segment_summary(sl: DataFrame, tiles: int = RFM_TILES, orientation: str
 
 
 def rfm_segment_rank(sl: DataFrame, tiles: int = RFM_TILES, orientation: str = "as_written",
-                     **kw) -> DataFrame:
+                     bins: int = S.BINS, **kw) -> DataFrame:
     """Customers ranked by sales inside their RFM segment.
 
     The segment is the prefix of the distributed rank: a segment holding a
     third of all customers is still spread over many tasks.
     """
-    s = _segmented(sl, tiles, orientation, **kw)
-    ranked = O.rank(s, [O.desc("monetary")], prefix=["customer_segment"], out="segment_rank", **kw)
+    s = _segmented(sl, tiles, orientation, bins)
+    ranked = O.rank(s, [O.desc("monetary")], prefix=["customer_segment"], out="segment_rank", tie_break=CUSTOMER, **kw)
     return ranked.select(
         "customer_segment", "customer_name", M.money("monetary").alias("total_sales"), "segment_rank",
     ).orderBy(asc("customer_segment"), asc("segment_rank"))

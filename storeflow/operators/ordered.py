@@ -21,13 +21,16 @@ Here the same results come from range buckets, by one path at every size:
    an ordinary window partitioned by (prefix, bucket).
 
 ``rank`` and the RANGE running sum depend on peers (rows with equal sort
-values).  They first aggregate to one row per distinct (prefix, value) --
-hot values collapse to one row in the map-side partial aggregate -- scan
-that peer table, and join the result back on the value (AQE splits a hot
-value's join: the other side has one row per value).
+values), which a bucket edge may cut.  Ranks and sums are first taken inside
+the bucket.  The per-bucket table also holds the values at both ends of each
+bucket; over that small table a peer group that begins in an earlier bucket
+hands its first place on to the next ones, and one that ends in a later
+bucket its sum back.  Only rows of a bucket's first (rank) or last (sum) peer
+group take the corrected figure, so nothing is joined on the sort value, and
+a value held by half of all rows is spread over buckets like any other.
 
-``ntiles`` stacks several scores as a prefix, so all of them take one
-range sort over narrow rows.
+NTILE needs a few positions only: ``selection.ntiles`` finds them by
+counting, without this scan.
 
 Sums are exact (decimal), so the results are exactly those of the plain
 single-partition window; the tests hold them to equality.  The functions
@@ -190,76 +193,78 @@ def ntile(df: DataFrame, k: int, order, tie_break=(), prefix=(), out="ntile", **
     return res.withColumn(out, ntile_expr(F.col("_rn"), F.col("_n"), k)).drop("_rn", "_n")
 
 
-def ntiles(df: DataFrame, specs: Sequence[tuple[str, int, SortKey]], key: Sequence[str],
-           rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Several NTILEs over one table with the unique key ``key`` (also the
-    tie-break): ``specs`` is a list of ``(out, k, sort key)`` on numeric
-    columns.
-
-    One range sort for all: a narrow row per (score, entity) holds the key
-    and the value, negated for a descending score; the tiles are gathered
-    per entity and joined back on the key once.
-    """
-    key = list(key)
-    df = materialize(df, "ntiles")
-    stacked = None
-    for number, (_, k, sort) in enumerate(specs):
-        value = F.col(sort.col).cast("decimal(38,6)")
-        one = df.select(
-            *key, F.lit(number).alias("_score"), F.lit(k).alias("_k"),
-            F.when(F.col(sort.col).isNull(), 0 if sort.nf else 2).otherwise(1).alias("_nulls"),
-            (-value if sort.descending else value).alias("_value"))
-        stacked = one if stacked is None else stacked.unionByName(one)
-    placed = scan(stacked, [asc("_nulls"), asc("_value")], key, ["_score"], with_total=True,
-                  rows_per_bucket=rows_per_bucket)
-    tile = ntile_expr(F.col("_rn"), F.col("_n"), F.col("_k"))
-    scores = placed.select(*key, "_score", tile.alias("_t")).groupBy(*key).agg(*[
-        F.max(F.when(F.col("_score") == number, F.col("_t"))).alias(name)
-        for number, (name, _, _) in enumerate(specs)])
-    return _null_safe_join(df, scores, key)
-
-
-def peers(
-    df: DataFrame, order, value: str | None = None, prefix=(), **kw
-) -> DataFrame:
-    """One row per distinct (prefix, order values) with
-
-    ``_cnt`` rows in the peer group, ``_sum`` the sum of ``value`` over it,
-    ``_rank`` = 1 + rows strictly before the group, and ``_cum`` the sum of
-    ``value`` over all rows up to and including the group (NULL while all
-    of them are NULL) -- the default RANGE frame of ``SUM() OVER (ORDER BY)``.
-    """
-    keys = _keys(order)
-    cols = [k.col for k in keys]
-    aggs = [F.count(F.lit(1)).alias("_cnt")]
-    if value is not None:
-        aggs.append(F.sum(value).alias("_sum"))
-    table = df.groupBy(*prefix, *cols).agg(*aggs)
-    sums = ["_cnt"] + (["_sum"] if value is not None else [])
-    res = scan(table, keys, (), prefix, sums=sums, **kw)
-    res = res.withColumn("_rank", (F.col("_run__cnt") - F.col("_cnt") + 1).cast("bigint"))
-    if value is not None:
-        res = res.withColumnRenamed("_run__sum", "_cum")
-    drop = [c for c in res.columns if c.startswith("_run_") or c.startswith("_nn_")] + ["_rn"]
-    return res.drop(*drop)
+def _tie(df: DataFrame, tie_break: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Rows of one value need an order among themselves to be spread over
+    buckets: that of the given columns, else of a hash of the whole row."""
+    if tie_break:
+        return df, list(tie_break)
+    return df.withColumn("_tie", F.xxhash64(*df.columns)), ["_tie"]
 
 
-def _joined_back(df, keys, prefix, value, col, out, kw) -> DataFrame:
-    # The input is read twice (peer table, join back): write it once.
-    base = materialize(df, "peers_in")
-    p = peers(base, keys, value, prefix, **kw).select(*prefix, *[k.col for k in keys], col)
-    joined = _null_safe_join(base, p, [*prefix, *[k.col for k in keys]])
-    return joined.withColumnRenamed(col, out)
-
-
-def rank(df: DataFrame, order, prefix=(), out="rank", **kw) -> DataFrame:
-    """``RANK() OVER ([PARTITION BY prefix] ORDER BY order)``."""
-    return _joined_back(df, _keys(order), list(prefix), None, "_rank", out, kw)
-
+def _with_peers(df: DataFrame, order, prefix: Sequence[str], value: str | None, tie_break: Sequence[str],
+                rows_per_bucket: int) -> DataFrame:
+    """``df`` with ``_rank``, or with ``value`` its RANGE running sum
+    ``_cum`` (NULL while all values are NULL)."""
+    keys, prefix = _keys(order), list(prefix)
+    df, tie = _tie(materialize(df, "ordered"), tie_break)
+    sort_cols = [F.col(p).asc_nulls_first() for p in prefix] + [k.sort_col() for k in keys]
+    buckets = bucket_count(df, df.count(), rows_per_bucket)
+    rows = range_buckets(df, sort_cols + [F.col(t).asc_nulls_first() for t in tie], buckets)
 
-def cumulative_sum(df: DataFrame, value: str, order, prefix=(), out="cumulative", **kw) -> DataFrame:
+    # Per bucket: its rows, the value at either end, the groups there.
+    cols = [k.col for k in keys]
+    measured = [F.sum(value).alias("s"), F.count(value).alias("c")] if value else []
+    groups = rows.groupBy(*prefix, "_b", *cols).agg(F.count(F.lit(1)).alias("n"), F.min("_i").alias("lo"), *measured)
+    at = F.struct(*cols)
+    ends = [F.sum("n").alias("_bn"), F.min("lo").alias("first"), F.max("lo").alias("tail"), F.count(F.lit(1)).alias("groups"),
+            F.min_by(at, "lo").alias("head_value"), F.max_by(at, "lo").alias("tail_value")]
+    for c in ("s", "c") if value else ():
+        ends += [F.sum(c).alias(f"b{c}"), F.min_by(c, "lo").alias(f"head_{c}")]
+    per = Window.partitionBy(*prefix).orderBy("_b")
+    before, after = per.rowsBetween(Window.unboundedPreceding, -1), per.rowsBetween(1, Window.unboundedFollowing)
+    zero = F.lit(0)
+    stats = groups.groupBy(*prefix, "_b").agg(*ends).select(
+        "*", F.coalesce(F.sum("_bn").over(before), zero).alias("_off_n"),
+        F.col("head_value").eqNullSafe(F.lag("tail_value").over(per)).alias("from_before"),
+        F.coalesce(F.lead("head_value").over(per).eqNullSafe(F.col("tail_value")), F.lit(False)).alias("goes_on"),
+        *[F.coalesce(F.sum(f"b{c}").over(before), zero).alias(f"_off_{c}") for c in (("s", "c") if value else ())])
+    # Where the last group of a bucket begins, and the sum up to the end of
+    # its first; NULL in a bucket that such a group fills from edge to edge.
+    begins = F.when(~((F.col("groups") == 1) & F.col("from_before")), F.col("_off_n") + F.col("tail") - F.col("first"))
+    stats = stats.withColumn("begins", begins)
+    out = [F.when(F.col("from_before"), F.last("begins", ignorenulls=True).over(before)).otherwise(F.col("_off_n")).alias("_head_n")]
+    for c in ("s", "c") if value else ():
+        open_end = (F.col("groups") == 1) & F.col("goes_on")
+        stats = stats.withColumn(f"until_{c}", F.when(~open_end, F.col(f"_off_{c}") + F.coalesce(f"head_{c}", zero)))
+        out.append(F.when(F.col("goes_on"), F.first(f"until_{c}", ignorenulls=True).over(after))
+                   .otherwise(F.col(f"_off_{c}") + F.coalesce(f"b{c}", zero)).alias(f"_tail_{c}"))
+        out.append(F.col(f"_off_{c}"))
+    stats = materialize(stats.select(*prefix, "_b", "_bn", "_off_n", *out), "bucket-stats")
+
+    res = _null_safe_join(rows, stats, [*prefix, "_b"])
+    inside = Window.partitionBy(*prefix, "_b").orderBy(*[k.sort_col() for k in keys])
+    if value is None:
+        local = F.rank().over(inside)
+        res = res.withColumn("_rank", (F.when(local == 1, F.col("_head_n")).otherwise(
+            F.col("_off_n") + local - 1) + 1).cast("bigint"))
+    else:
+        last = F.count(F.lit(1)).over(inside) == F.col("_bn")
+        total = F.when(last, F.col("_tail_s")).otherwise(F.col("_off_s") + F.coalesce(F.sum(value).over(inside), zero))
+        seen = F.when(last, F.col("_tail_c")).otherwise(F.col("_off_c") + F.count(value).over(inside))
+        res = res.withColumn("_cum", F.when(seen > 0, total))
+    return res.drop("_b", "_i", "_bn", "_off_n", "_off_s", "_off_c", "_head_n", "_tail_s", "_tail_c", "_tie")
+
+
+def rank(df: DataFrame, order, prefix=(), out="rank", tie_break=(), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """``RANK() OVER ([PARTITION BY prefix] ORDER BY order)``.
+    ``tie_break`` only spreads rows of one value over buckets."""
+    return _with_peers(df, order, prefix, None, tie_break, rows_per_bucket).withColumnRenamed("_rank", out)
+
+
+def cumulative_sum(df: DataFrame, value: str, order, prefix=(), out="cumulative", tie_break=(),
+                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """``SUM(value) OVER ([PARTITION BY prefix] ORDER BY order)`` (RANGE frame)."""
-    return _joined_back(df, _keys(order), list(prefix), value, "_cum", out, kw)
+    return _with_peers(df, order, prefix, value, tie_break, rows_per_bucket).withColumnRenamed("_cum", out)
 
 
 # ------------------------------------------------- plain forms (reference)

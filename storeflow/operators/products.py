@@ -6,16 +6,16 @@ operator takes ``key=`` with the grain as default.
 
 Class bounds are compared exactly: an item is in class A when its
 cumulative sales *including itself* are at most 80 % of the total, tested
-on decimals without dividing (``within_share``: the comparison turns round
-for a negative total).  A NULL cumulative (items with no sales, sorted
-first) falls to the last class.  A grand total of 0 makes the share
-undefined: an error, or NULL with ``strict=False``.
+without dividing (the comparison turns round for a negative total).  The
+items within a bound are those down to one total, the cut, which
+``selection.share_cuts`` finds by counting: no sort and no cumulative sums.
+Items with no sales (NULL) fall to the last class.  A grand total of 0
+makes the share undefined: an error, or NULL with ``strict=False``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import money as M
 from ..sources.storage import materialize
 from . import ordered as O
+from . import selection as S
 from .aggregates import (  # noqa: F401  (product_overview is re-exported)
     asc, desc, loss_groups, performance_by, product_overview, sales_by, top_by,
 )
@@ -66,7 +67,7 @@ def product_totals(sl: DataFrame, key: Sequence[str] = PRODUCT) -> DataFrame:
 
 def product_sales_rank(sl: DataFrame, key: Sequence[str] = PRODUCT, **kw) -> DataFrame:
     """Every product with ``RANK() OVER (ORDER BY total_sales DESC)``."""
-    ranked = O.rank(product_totals(sl, key), [O.desc("total_sales")], out="sales_rank", **kw)
+    ranked = O.rank(product_totals(sl, key), [O.desc("total_sales")], out="sales_rank", tie_break=key, **kw)
     return ranked.select(*key, M.money("total_sales").alias("total_sales"), "sales_rank")
 
 
@@ -125,55 +126,40 @@ def _zero_total(overall: Column, strict: bool, value: Column, kind: str) -> Colu
     return F.when(overall == 0, zero).otherwise(value)
 
 
-def within_share(cum: Column, overall: Column, share: str) -> Column:
-    """``cum / overall <= share`` without dividing: the comparison turns
-    round when the grand total is negative."""
-    bound = overall * F.lit(Decimal(share))
-    return F.when(overall > 0, cum <= bound).otherwise(cum >= bound)
-
-
-def _share_class(cum: Column, overall: Column, bounds, default: str, strict: bool) -> Column:
-    expr = None
-    for share, label in bounds:
-        cond = within_share(cum, overall, share)
-        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
-    return _zero_total(overall, strict, expr.otherwise(F.lit(default)), "string")
-
-
-def _ranked_peers(sl: DataFrame, key: Sequence[str], **kw) -> tuple[DataFrame, Column]:
-    """Peer groups of product totals (descending) with their cumulative
-    sales, and the grand total as a scalar subquery."""
-    totals, overall = _written_totals(sl, key)
-    return O.peers(totals, [O.desc("total_sales")], "total_sales", **kw), overall
+def _classes(sl: DataFrame, key: Sequence[str], bounds, default: str, strict: bool, bins: int) -> tuple[DataFrame, Column]:
+    """Written product totals, and the class of a row: a product belongs to
+    the first bound whose share the sales down to its own total stay in.
+    That is a comparison with one cut value per bound, found by counting."""
+    totals = materialize(product_totals(sl, key), "product-totals")
+    cuts, grand = S.share_cuts(totals, "total_sales", [share for share, _ in bounds], bins=bins)
+    expr = F.when(F.lit(False), F.lit(default))
+    for (_, label), cut in zip(bounds, cuts):
+        if cut is not None:
+            expr = expr.when(F.col("total_sales") >= F.lit(cut), F.lit(label))
+    return totals, _zero_total(F.lit(grand), strict, expr.otherwise(F.lit(default)), "string")
 
 
 def abc_summary(sl: DataFrame, key: Sequence[str] = PRODUCT_NAME, bounds=ABC_BOUNDS,
-                default: str = ABC_DEFAULT, strict: bool = True, **kw) -> DataFrame:
-    """Products, sales per ABC class.  Works on peer groups only: every
-    product of a peer group shares the cumulative sum and the class."""
-    p, overall = _ranked_peers(sl, key, **kw)
-    classed = p.withColumn("abc_category", _share_class(F.col("_cum"), overall, bounds, default, strict))
-    return classed.groupBy("abc_category").agg(
-        F.sum("_cnt").cast("bigint").alias("products_count"),
-        M.money(M.sum_money("_sum")).alias("total_sales"),
+                default: str = ABC_DEFAULT, strict: bool = True, bins: int = S.BINS) -> DataFrame:
+    """Products, sales per ABC class."""
+    totals, label = _classes(sl, key, bounds, default, strict, bins)
+    return totals.groupBy(label.alias("abc_category")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("products_count"),
+        M.money(M.sum_money("total_sales")).alias("total_sales"),
     ).orderBy(asc("abc_category"))
 
 
 def abc_classes(sl: DataFrame, key: Sequence[str] = PRODUCT_NAME, bounds=ABC_BOUNDS,
-                default: str = ABC_DEFAULT, strict: bool = True, **kw) -> DataFrame:
+                default: str = ABC_DEFAULT, strict: bool = True, bins: int = S.BINS) -> DataFrame:
     """ABC class of every product."""
-    totals, overall = _written_totals(sl, key)
-    cum = O.cumulative_sum(totals, "total_sales", [O.desc("total_sales")], out="_cum", **kw)
-    return cum.select(
-        *key, M.money("total_sales").alias("total_sales"),
-        _share_class(F.col("_cum"), overall, bounds, default, strict).alias("abc_category"),
-    )
+    totals, label = _classes(sl, key, bounds, default, strict, bins)
+    return totals.select(*key, M.money("total_sales").alias("total_sales"), label.alias("abc_category"))
 
 
 def pareto_table(sl: DataFrame, key: Sequence[str] = PRODUCT, strict: bool = True, **kw) -> DataFrame:
     """Every product with its cumulative share of sales, in percent."""
     totals, overall = _written_totals(sl, key)
-    cum = O.cumulative_sum(totals, "total_sales", [O.desc("total_sales")], out="_cum", **kw)
+    cum = O.cumulative_sum(totals, "total_sales", [O.desc("total_sales")], out="_cum", tie_break=key, **kw)
     pct = _zero_total(overall, strict, M.ratio(F.col("_cum"), overall, factor=100), "double")
     return cum.select(
         *key, M.money("total_sales").alias("total_sales"), pct.alias("cumulative_sales_pct"),
@@ -181,22 +167,21 @@ def pareto_table(sl: DataFrame, key: Sequence[str] = PRODUCT, strict: bool = Tru
 
 
 def pareto_80_count(sl: DataFrame, key: Sequence[str] = PRODUCT, bound: str = PARETO_BOUND,
-                    strict: bool = True, **kw) -> DataFrame:
+                    strict: bool = True, bins: int = S.BINS) -> DataFrame:
     """How many products make up the first ``bound`` share of sales; without
     ``strict`` NULL when the grand total is 0."""
-    p, overall = _ranked_peers(sl, key, **kw)
-    inside = _zero_total(overall, strict, within_share(F.col("_cum"), overall, bound), "boolean")
-    counted = F.coalesce(F.sum(F.when(inside, F.col("_cnt"))), F.lit(0))
-    undefined = F.count_if(inside.isNull() & F.col("_cum").isNotNull()) > 0
-    return p.agg(
-        F.when(~undefined, counted).cast("bigint").alias("products_generating_80pct_sales"))
+    totals, label = _classes(sl, key, ((bound, PARETO_TOP),), PARETO_REST, strict, bins)
+    # A label is NULL only where the share is undefined (grand total 0).
+    known = totals.select(label.alias("group"), "total_sales")
+    undefined = F.count_if(F.col("group").isNull() & F.col("total_sales").isNotNull()) > 0
+    return known.agg(F.when(~undefined, F.count_if(F.col("group") == PARETO_TOP)).cast("bigint").alias(
+        "products_generating_80pct_sales"))
 
 
 def pareto_groups(sl: DataFrame, key: Sequence[str] = PRODUCT, bound: str = PARETO_BOUND,
-                  strict: bool = True, **kw) -> DataFrame:
-    p, overall = _ranked_peers(sl, key, **kw)
-    label = _share_class(F.col("_cum"), overall, ((bound, PARETO_TOP),), PARETO_REST, strict)
-    return p.groupBy(label.alias("pareto_group")).agg(
-        F.sum("_cnt").cast("bigint").alias("products_count"),
-        M.money(M.sum_money("_sum")).alias("total_sales"),
+                  strict: bool = True, bins: int = S.BINS) -> DataFrame:
+    totals, label = _classes(sl, key, ((bound, PARETO_TOP),), PARETO_REST, strict, bins)
+    return totals.groupBy(label.alias("pareto_group")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("products_count"),
+        M.money(M.sum_money("total_sales")).alias("total_sales"),
     )

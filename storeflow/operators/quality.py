@@ -8,9 +8,9 @@ summary computes every rule in a single pass.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_replacement_char
@@ -42,32 +42,57 @@ def null_audit(raw: DataFrame, cols: Sequence[str] = CRITICAL_RAW_COLUMNS) -> Da
     ])
 
 
-# Repeated hashes are told apart by this many remainders before a join.
-HASH_CLASSES = 1 << 16
+def row_hash(cols: Sequence[str]) -> Column:
+    """64 bits of a row; which columns are NULL counts too."""
+    nulls = F.concat(*[F.when(_q(c).isNull(), "1").otherwise("0") for c in cols])
+    return F.xxhash64(*[_q(c) for c in cols], nulls)
 
 
-def full_duplicate_count(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def row_digest(cols: Sequence[str]) -> tuple[Column, Column]:
+    """128 bits of a row, independent of ``row_hash``: the halves of the MD5
+    of its JSON (field names keep values and NULLs apart)."""
+    md5 = F.md5(F.to_json(F.struct(*[_q(c) for c in cols])).cast("binary"))
+    return tuple(F.conv(F.substring(md5, start, 16), 16, -10).cast("long") for start in (1, 17))
+
+
+def agreement(df: DataFrame, cols: Sequence[str], hash_of: Callable[[Sequence[str]], Column] = row_hash) -> DataFrame:
+    """What the groups of equal row hashes say about repeated rows, one
+    narrow row (hash and digest) shuffled per input row at most.
+
+    A group whose digests all agree (least = greatest, in both halves) holds
+    copies of one row.  Result: one row with ``h`` NULL and the ``extra`` rows
+    of all such groups, and one row per group that disagrees.
+    """
+    d0, d1 = row_digest(cols)
+    narrow = df.select(hash_of(cols).alias("h"), d0.alias("d0"), d1.alias("d1"))
+    groups = narrow.groupBy("h").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[f(d).alias(f"{name}_{d}") for d in ("d0", "d1") for name, f in (("min", F.min), ("max", F.max))])
+    agree = (F.col("min_d0") == F.col("max_d0")) & (F.col("min_d1") == F.col("max_d1"))
+    return groups.where("n > 1").groupBy(F.when(~agree, F.col("h")).alias("h")).agg(F.sum(F.col("n") - 1).alias("extra"))
+
+
+def full_duplicate_count(df: DataFrame, cols: Sequence[str] | None = None,
+                         hash_of: Callable[[Sequence[str]], Column] = row_hash) -> DataFrame:
     """Rows beyond the first of every group of identical rows (NULLs equal).
 
-    Grouping on all columns would shuffle whole rows.  Instead: shuffle a
-    64-bit hash per row and write the hashes seen twice (the job runs while
-    the frame is built).  Their remainders (at most ``HASH_CLASSES``
-    numbers) filter the rows inside the scan, so only rows that can be
-    repeated reach an exchange; the join with the written hashes and the
-    grouping of what is left are exact (hash collisions are resolved there).
+    Grouping on all columns would shuffle whole rows.  Instead an agreement
+    aggregate (see ``agreement``) shuffles a hash and a digest per row,
+    whatever share of the rows repeats, and is written (the job runs while
+    the frame is built).  Only rows of groups that disagree -- different rows
+    with one 64-bit hash, or rows whose equal values print unlike -- are
+    compared in full.  Rows that agree in all 192 bits count as equal.
     """
     cols = list(cols or df.columns)
-    qc = [_q(c) for c in cols]
-    hashed = df.select(*qc, F.xxhash64(*qc).alias("_h"))
-    repeated = materialize(
-        hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_h"), "repeated-hashes")
-    remainder = F.pmod(F.col("_h"), F.lit(HASH_CLASSES))
-    classes = [r["r"] for r in repeated.select(remainder.alias("r")).distinct().collect()]
-    candidates = hashed.where(remainder.isin(classes)).join(repeated, "_h", "left_semi")
-    groups = candidates.groupBy(*qc).count().where(F.col("count") > 1)
-    return groups.agg(
-        F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows")
-    )
+    found = materialize(agreement(df, cols, hash_of), "agreement")
+    sure = found.where("h IS NULL").select("extra")
+    unlike = found.where("h IS NOT NULL").select("h")
+    if not unlike.isEmpty():
+        qc = [_q(c) for c in cols]
+        rows = df.select(*qc, hash_of(cols).alias("__h")).join(unlike.withColumnRenamed("h", "__h"), "__h", "left_semi")
+        groups = rows.groupBy(*qc).agg(F.count(F.lit(1)).alias("__n"))
+        sure = sure.unionByName(groups.select((F.col("__n") - 1).alias("extra")))
+    return sure.agg(F.coalesce(F.sum("extra"), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
 def duplicate_keys(df: DataFrame, key: Sequence[str] = ("row_id",)) -> DataFrame:

@@ -3,7 +3,8 @@
 ``silver_lines`` is the cleaning step's output over the raw snapshot,
 written once per application and folder and checked for its primary key.
 ``audit_clean_lines`` is the same step over the audit table, where dates
-that do not parse become NULL instead of failing the step.
+that do not parse become NULL instead of failing the step; it is written
+once too, so that filters reach its scan.
 """
 
 from __future__ import annotations
@@ -25,4 +26,7 @@ def silver_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean(audit_lines(spark, sf_dir), name_corrections(spark, sf_dir), strict_dates=False)
+    def build() -> DataFrame:
+        return clean(audit_lines(spark, sf_dir), name_corrections(spark, sf_dir), strict_dates=False)
+
+    return named_table(spark, f"silver/audit_lines-{folder_tag(sf_dir)}", build)

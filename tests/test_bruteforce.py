@@ -73,6 +73,6 @@ def test_abc_classes_equal_brute_force(spark, lines_in, rpb):
             totals.setdefault(name, None)
     want = _abc_brute(totals)
     got = {r["product_name"]: r["abc_category"]
-           for r in P.abc_classes(df, rows_per_bucket=rpb, strict=False).collect()}
+           for r in P.abc_classes(df, bins=rpb, strict=False).collect()}
     assert got == want
     assert df.select(F.count("*")).collect()[0][0] == len(lines_in)

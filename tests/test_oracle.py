@@ -43,14 +43,14 @@ def test_entry_smoke(spark):
 
 DISTRIBUTED = {
     "customer_sales_rank": lambda sl: U.customer_sales_rank(sl, rows_per_bucket=97),
-    "rfm_scores": lambda sl: U.rfm_scores(sl, rows_per_bucket=97),
-    "rfm_segment_summary": lambda sl: U.rfm_segment_summary(sl, rows_per_bucket=97),
+    "rfm_scores": lambda sl: U.rfm_scores(sl, bins=5),
+    "rfm_segment_summary": lambda sl: U.rfm_segment_summary(sl, bins=5),
     "rfm_segment_rank": lambda sl: U.rfm_segment_rank(sl, rows_per_bucket=97),
     "product_sales_rank": lambda sl: P.product_sales_rank(sl, rows_per_bucket=97),
-    "abc_summary": lambda sl: P.abc_summary(sl, rows_per_bucket=7),
-    "abc_classes": lambda sl: P.abc_classes(sl, rows_per_bucket=7),
+    "abc_summary": lambda sl: P.abc_summary(sl, bins=3),
+    "abc_classes": lambda sl: P.abc_classes(sl, bins=3),
     "pareto_table": lambda sl: P.pareto_table(sl, rows_per_bucket=97),
-    "pareto_groups": lambda sl: P.pareto_groups(sl, rows_per_bucket=97),
+    "pareto_groups": lambda sl: P.pareto_groups(sl, bins=16),
 }
 
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import random
 from decimal import Decimal
+from fractions import Fraction
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from storeflow.operators import ordered as O
+from storeflow.operators import selection as S
+from storeflow.plans.inspect import physical_plan
+from storeflow.sources.storage import materialize
 
 DDL = "id long, grp string, v decimal(12,2), f long"
 
@@ -58,13 +64,80 @@ def test_default_buckets(spark):
     _check_all(spark, ROWS, rpb=O.ROWS_PER_BUCKET)
 
 
-def test_several_ntiles_in_one_sort(spark):
-    df = _df(spark, ROWS)
-    specs = [("a", 5, O.asc("v")), ("b", 3, O.desc("f")), ("c", 4, O.desc("v")), ("d", 2, O.asc("f"))]
+def test_several_ntiles_by_counting(spark):
+    df = materialize(_df(spark, ROWS))
+    specs = [("a", 5, O.asc("v")), ("b", 3, O.desc("f")), ("c", 4, O.desc("v")), ("d", 2, O.asc("f")), ("e", 50, O.asc("v"))]
     want = df
     for name, k, sort in specs:
         want = want.withColumn(name, F.ntile(k).over(O.plain_window([sort], ["id"])))
-    assert _same(O.ntiles(df, specs, ["id"], rows_per_bucket=3), want, ["id", "a", "b", "c", "d"])
+    for bins in (2, S.BINS):
+        got = S.ntiles(df, specs, ["id"], bins)
+        assert _same(got, want, ["id", "a", "b", "c", "d", "e"])
+    plan = physical_plan(got)
+    assert "Exchange" not in plan and "Sort" not in plan and "Join" not in plan
+
+
+KEYED = [(i, k, v) for i, (k, v) in enumerate([
+    ("a", 5), ("", 5), (None, 5), ("a\x00", 5), ("ab", 5), ("Customer#000000001", 5), ("Customer#000000010", 5),
+    ("Customer#000000002", None), ("é", 5), ("zz", None), ("customer#1", 7), ("\U0001f600", 5), ("b", -(1 << 40)), ("c", 1 << 40)])]
+
+
+def test_ntiles_with_string_keys_and_one_hot_value(spark):
+    """Ties are cut by the key's bytes; NULL keys come last."""
+    df = materialize(spark.createDataFrame(KEYED, "i long, k string, v long"))
+    for sort in (O.asc("v"), O.desc("v")):
+        w = O.plain_window([sort], ["k"])
+        for tiles in (3, 14):
+            want = df.withColumn("t", F.ntile(tiles).over(w))
+            assert _same(S.ntiles(df, [("t", tiles, sort)], ["k"], 64), want, ["i", "t"])
+
+
+def test_ntiles_of_no_rows_and_of_other_types(spark):
+    none = materialize(spark.createDataFrame([], "k long, v long"))
+    assert S.ntiles(none, [("t", 5, O.asc("v"))], ["k"]).count() == 0
+    days = materialize(spark.range(30).selectExpr("id AS k", "date_add(DATE'2020-01-01', CAST(id % 7 AS INT)) AS v"))
+    want = days.withColumn("t", F.ntile(4).over(O.plain_window([O.desc("v")], ["k"])))
+    assert _same(S.ntiles(days, [("t", 4, O.desc("v"))], ["k"]), want, ["k", "t"])
+    with pytest.raises(TypeError):
+        S.ntiles(materialize(spark.createDataFrame([("a", 1)], "v string, k long")), [("t", 2, O.asc("v"))], ["k"])
+
+
+def test_one_value_in_half_of_all_rows(spark):
+    """The peer group spans many buckets; ranks and sums come out whole and
+    no plan joins on the sort value."""
+    rows = [(i, "a" if i % 3 else "b", Decimal("1.00") if i % 2 else Decimal(i % 11), i) for i in range(400)]
+    df = _df(spark, rows)
+    for prefix in ([], ["grp"]):
+        for order in ([O.desc("v")], [O.asc("v")]):
+            w = O.plain_window(order, prefix=prefix)
+            ranked = O.rank(df, order, prefix, out="r", rows_per_bucket=20)
+            summed = O.cumulative_sum(df, "v", order, prefix, out="c", tie_break=["id"], rows_per_bucket=20)
+            assert _same(ranked, df.withColumn("r", F.rank().over(w)), ["id", "r"])
+            assert _same(summed, df.withColumn("c", F.sum("v").over(w)), ["id", "c"])
+            for frame in (ranked, summed):
+                keys = [x for x in physical_plan(frame).split("\n") if "keys" in x and ("Left" in x or "Right" in x)]
+                assert keys and not any("v#" in k for k in keys), keys
+
+
+def test_share_cuts_against_sorted_sums(spark):
+    rng = random.Random(5)
+    for trial in range(6):
+        values = [None if rng.random() < 0.1 else Decimal(rng.choice([rng.randint(-500, 900), 100, 0, rng.randint(0, 10**9)])) / 100
+                  for _ in range(rng.choice([1, 5, 40]))]
+        if trial % 3 == 0:
+            values = [v and -v for v in values]
+        df = spark.createDataFrame([(v,) for v in values], "v decimal(18,2)")
+        known = sorted((v for v in values if v is not None), reverse=True)
+        total = sum(known)
+        want = []
+        for share in ("0.5", "0.80", "0.95"):
+            inside = [v for v in set(known) if total and Fraction(sum(x for x in known if x >= v)) / Fraction(total) <= Fraction(share)]
+            want.append(min(inside, default=None))
+        for bins in (13, S.BINS):
+            cuts, grand = S.share_cuts(df, "v", ("0.5", "0.80", "0.95"), bins=bins)
+            assert cuts == want and grand == (total if known else None), (values, cuts, want)
+    with pytest.raises(ValueError):
+        S.share_cuts(df, "v", ["1.0"])
 
 
 def test_hot_value_is_spread_over_buckets(spark):

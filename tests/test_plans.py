@@ -9,6 +9,7 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 from storeflow.operators import aggregates as A
 from storeflow.operators import customers as U
@@ -29,6 +30,10 @@ ORDERED = {
 }
 
 
+# Found by counting: no join and no sort of entities at all.
+COUNTED = {"rfm_scores", "rfm_segments", "rfm_segment_summary", "abc_summary", "abc_classes", "pareto_80_count", "pareto_groups"}
+
+
 @pytest.mark.parametrize("key", sorted(ORDERED))
 def test_ordered_scans_never_gather_entities(spark, key):
     """With default arguments, small tables included: no exchange into one
@@ -36,6 +41,7 @@ def test_ordered_scans_never_gather_entities(spark, key):
     sl = silver_lines(spark, SF_SMALL)
     plan = physical_plan(ORDERED[key](sl))
     entity = {"customer_id", "customer_name", "product_id", "product_name", "total_sales", "monetary", "_cum", "_rn"}
+    assert "SortMergeJoin" not in plan or key not in COUNTED
     for cols in single_partition_inputs(plan):
         assert not entity & set(cols), (cols, plan)
 
@@ -89,64 +95,93 @@ def test_best_per_category_limits_before_shuffle(spark):
 
 def test_no_python_udfs_anywhere(spark):
     sl = silver_lines(spark, SF_SMALL)
-    for df in (U.rfm_segments(sl, rows_per_bucket=50), P.pareto_table(sl, rows_per_bucket=50),
+    for df in (U.rfm_segments(sl, bins=50), P.pareto_table(sl, rows_per_bucket=50),
                A.business_overview(sl)):
         plan = physical_plan(df)
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
-def shuffled_bytes(spark, folder) -> int:
-    """Shuffle bytes written so far by this application (event log)."""
+def shuffled_bytes(folder, begin: int, end: int) -> int:
+    """Shuffle bytes written by tasks that began in a span of milliseconds
+    (event log)."""
     total = 0
     for path in glob.glob(os.path.join(folder, "*")):
         with open(path) as f:
             for line in f:
                 if '"SparkListenerTaskEnd"' in line:
-                    metrics = json.loads(line).get("Task Metrics") or {}
+                    event = json.loads(line)
+                    if not begin <= event["Task Info"]["Launch Time"] <= end:
+                        continue
+                    metrics = event.get("Task Metrics") or {}
                     total += metrics.get("Shuffle Write Metrics", {}).get("Shuffle Bytes Written", 0)
     return total
 
 
 DUPLICATES_SCRIPT = """
-import sys
+import sys, time
 from pyspark.sql import functions as F
 from storeflow.operators.quality import full_duplicate_count
 from storeflow.session import local_session
-how, log, scratch = sys.argv[1:]
+log, scratch = sys.argv[1:]
 spark = local_session(4, extra={
     "spark.eventLog.enabled": "true", "spark.eventLog.dir": log, "spark.eventLog.compress": "false",
     "spark.eventLog.rolling.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "10"}, checkpoint_dir=scratch)
-rows = spark.range(60000).select(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(str(k))), 256).alias(f"c{k}") for k in range(6)])
-rows = rows.unionByName(rows.where("c0 < '01'")).repartition(4)
-rows.write.parquet(scratch + "/rows")
-rows = spark.read.parquet(scratch + "/rows")
-spark.sparkContext.setLocalProperty("x", "y")
-if how == "plain":
-    n = rows.groupBy(*rows.columns).count().agg(F.sum(F.col("count") - 1)).collect()[0][0]
-else:
-    n = full_duplicate_count(rows).collect()[0][0]
-print("DUPLICATES", n)
+for share in (0, 1, 90):
+    ids = spark.range(60000).select(F.when(F.col("id") % 100 < share, F.col("id") % 1000).otherwise(F.col("id")).alias("id"))
+    path = f"{scratch}/rows{share}"
+    ids.select(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(str(k))), 256).alias(f"c{k}") for k in range(6)]) \\
+        .write.parquet(path)
+    rows = spark.read.parquet(path)
+    for how in ("plain", "hashed"):
+        begin = time.time()
+        if how == "plain":
+            n = rows.groupBy(*rows.columns).count().agg(F.sum(F.col("count") - 1)).collect()[0][0]
+        else:
+            n = full_duplicate_count(rows).collect()[0][0]
+        print("RUN", share, how, n, int(begin * 1000), int(time.time() * 1000))
 spark.stop()
 """
 
 
-def test_duplicate_check_shuffles_less_than_grouping_whole_rows(tmp_path):
-    """At the shape of large tables (nothing is broadcast)."""
+def test_duplicate_check_shuffles_the_same_whatever_repeats(tmp_path):
+    """At the shape of large tables (nothing is broadcast) the bytes per row
+    do not follow the share of repeated rows, and stay far below those of
+    grouping whole rows."""
+    log, scratch = tmp_path / "log", tmp_path / "scratch"
+    log.mkdir()
+    scratch.mkdir()
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    run = subprocess.run(
+        [sys.executable, "-c", DUPLICATES_SCRIPT, f"file://{log}", str(scratch)],
+        cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-2000:]
+    runs = [line.split()[1:] for line in run.stdout.splitlines() if line.startswith("RUN")]
     moved, found = {}, {}
-    for how in ("plain", "hashed"):
-        log, scratch = tmp_path / how / "log", tmp_path / how / "scratch"
-        log.mkdir(parents=True)
-        scratch.mkdir()
-        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        run = subprocess.run(
-            [sys.executable, "-c", DUPLICATES_SCRIPT, how, f"file://{log}", str(scratch)],
-            cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=300)
-        assert run.returncode == 0, run.stderr[-2000:]
-        found[how] = int(run.stdout.split("DUPLICATES")[1])
-        moved[how] = shuffled_bytes(None, str(log))
-    assert found["plain"] == found["hashed"] > 0
-    # Both runs shuffle the fixture once while writing it.
-    assert moved["hashed"] < 0.8 * moved["plain"], moved
+    for share, how, n, begin, end in runs:
+        moved[share, how] = shuffled_bytes(str(log), int(begin), int(end))
+        found[share, how] = int(n)
+    for share in ("0", "1", "90"):
+        assert found[share, "plain"] == found[share, "hashed"]
+    assert found["0", "hashed"] == 0 < found["1", "hashed"] < found["90", "hashed"]
+    assert moved["1", "hashed"] <= 1.02 * moved["0", "hashed"] and moved["90", "hashed"] <= moved["0", "hashed"], moved
+    assert moved["0", "hashed"] < 0.25 * moved["0", "plain"], moved
+
+
+@pytest.mark.parametrize("bits", [0, 3])
+def test_duplicate_check_is_exact_under_a_short_hash(spark, bits):
+    """With few hash values nearly all groups disagree and rows are compared
+    in full; NULLs that swap columns and values that print unlike count
+    right."""
+    rows = [(None, "x", 1.0), ("x", None, 1.0), ("x", None, 1.0), ("1", "2", 0.0), ("1", "2", -0.0), ("12", "", 0.0),
+            ("1", "2", None), (None, None, None), (None, None, None), ("a", "b", float("nan")), ("a", "b", float("nan"))]
+    df = spark.createDataFrame(rows * 2 + [("only", "once", 2.0)], "a string, b string, c double")
+    want = sum(r["count"] - 1 for r in df.groupBy("a", "b", "c").count().collect())
+
+    def short(cols):
+        return Q.row_hash(cols).bitwiseAND(F.lit((1 << bits) - 1))
+
+    assert Q.full_duplicate_count(df, hash_of=short).first()[0] == want
+    assert Q.full_duplicate_count(df).first()[0] == want
 
 
 def test_executed_plan_is_final(spark):

@@ -88,7 +88,7 @@ def test_rank_is_one_plus_strictly_greater(sl):
 
 
 def test_rfm_tiles_are_balanced(sl):
-    s = U.rfm_scores(sl, rows_per_bucket=40)
+    s = U.rfm_scores(sl, bins=40)
     for col in ("r_score", "f_score", "m_score"):
         counts = sorted(r["count"] for r in s.groupBy(col).count().collect())
         assert len(counts) == 5 and counts[-1] - counts[0] <= 1
