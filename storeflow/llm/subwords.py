@@ -9,6 +9,11 @@ Latin characters is cut by the file's own pattern, and each part goes to
 the library's merge model (recent parts are kept, bounded); any other chunk
 goes through the library's whole encoder.  Files of an unknown kind are
 encoded text by text.
+
+A text that holds the string of an added token (``<|endoftext|>``) goes to
+the library whole, which gives the token's own id, as
+``encode(text, add_special_tokens=False)`` does.  With ``special_as_text``
+such strings are ordinary text.
 """
 
 from __future__ import annotations
@@ -60,17 +65,20 @@ def _byte_chars() -> dict[int, str]:
 class SubwordEncoder:
     """``arrays(column)`` gives the ids of each text as ``dtype``."""
 
-    def __init__(self, path: str, cache_parts: int = CACHE_PARTS):
+    def __init__(self, path: str, special_as_text: bool = False, cache_parts: int = CACHE_PARTS):
         import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings are ordinary text
+        self.library.encode_special_tokens = special_as_text
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.kind = _kind(spec)
+        added = [t["content"] for t in spec.get("added_tokens", []) if not (special_as_text and t["special"])]
+        # Case aside, as some tokens are looked for in lower-cased text.
+        self.added = "|".join(map(re.escape, added))
         self.model = self.library.model
         self.shown = _byte_chars()
         if self.kind == "words":
@@ -114,6 +122,9 @@ class SubwordEncoder:
         else:
             odd = np.zeros(len(texts), bool)
             words = pc.ascii_split_whitespace(texts)
+        whole = np.zeros(len(texts), bool)
+        if self.added:
+            whole = pc.match_substring_regex(texts, self.added, ignore_case=True).to_numpy(zero_copy_only=False)
         bounds = words.offsets.to_numpy()
         coded = words.values.dictionary_encode()
         codes = coded.indices.to_numpy()
@@ -135,7 +146,10 @@ class SubwordEncoder:
         out = flat[np.repeat(start[codes] - (ends - count), count) + np.arange(int(count.sum()))]
         edge = np.concatenate([[0], ends])[bounds]
         for i, (lo, hi) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
-            yield np.frombuffer(self._text(texts[i].as_py()), self.dtype) if odd[i] else out[lo:hi]
+            if whole[i] or odd[i]:
+                yield np.frombuffer((self._whole if whole[i] else self._text)(texts[i].as_py()), self.dtype)
+            else:
+                yield out[lo:hi]
 
     def arrays(self, column: pa.StringArray) -> Iterator[np.ndarray]:
         """Ids of each text, in order."""
@@ -175,6 +189,6 @@ def _kind(spec: dict) -> str:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> SubwordEncoder:
+def encoder(path: str, special_as_text: bool = False) -> SubwordEncoder:
     """One encoder per worker process and file."""
-    return SubwordEncoder(path)
+    return SubwordEncoder(path, special_as_text)

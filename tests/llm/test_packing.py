@@ -60,7 +60,6 @@ def test_documents(spark, capacity):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
-    lib.encode_special_tokens = True
     rows = odd_docs() + [(5000 + i, "equal length", "en", "s", 1) for i in range(300)]
     docs = clashing(frame(spark, rows)).repartition(4)
     got = rows_of(pack_documents(docs, tokenizer("byte_bpe_50k.json"), 0, capacity, with_ids=True))
