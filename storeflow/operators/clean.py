@@ -19,6 +19,8 @@ the caller), so the table is read and written a single time.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,12 +93,13 @@ def fix_names(df: DataFrame, corrections: DataFrame, col: str = "customer_name")
 
 def clean(raw: DataFrame, corrections: DataFrame | None = None, pattern: str = DATE_PATTERN,
           pad_postal_code: int | None = None, unicode_spaces: bool = False,
-          strict_dates: bool = True) -> DataFrame:
-    """Raw order lines -> clean order lines (same rows, same order).
+          strict_dates: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+    """Raw order lines -> clean order lines (same rows, same order), with
+    the further columns ``keep`` as they are.
 
     Date text that does not parse fails; with ``strict_dates=False`` it
     becomes NULL and ``quality.invalid_dates`` lists those rows."""
-    renamed = rename(raw)
+    renamed = raw.select(*[F.col(f"`{src}`").alias(dst) for src, dst in RAW_TO_CLEAN.items()], *keep)
     cols = []
     for name in renamed.columns:
         c = F.col(name)

@@ -104,8 +104,10 @@ def rfm_base(sl: DataFrame) -> DataFrame:
     )
 
 
-def rfm_metrics(sl: DataFrame) -> DataFrame:
-    base = rfm_base(sl)
+def rfm_metrics(sl: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Recency, frequency and monetary value per customer; ``base`` is
+    ``rfm_base(sl)`` where it is known already (``customer_state``)."""
+    base = rfm_base(sl) if base is None else base
     return base.select(
         *CUSTOMER, "last_order_date", "recency_days", "frequency",
         M.money("monetary").alias("monetary"),

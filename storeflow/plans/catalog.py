@@ -25,7 +25,8 @@ from ..operators import profitability as R
 from ..operators import quality as Qy
 from ..operators import timeseries as TS
 from ..sources.raw import audit_lines, bronze_lines, name_corrections
-from ..sources.silver import audit_clean_lines, silver_lines
+from ..sources.silver import audit_clean_lines, load_figures, silver_lines
+from .loads import clean_lines_by_loads, rfm_metrics_by_loads
 from .sqltext import cnt, mean, money, round_ratio, with_sl
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -195,6 +196,16 @@ reg("quality_summary", _on_audit(Qy.quality_summary), with_audit(
         "SELECT 'invalid_quantity', CAST(COUNT(*) FILTER (WHERE \"Quantity\" <= 0) AS BIGINT) FROM audit",
     ]) + ") q"))
 
+reg("load_figures", load_figures, with_sl(
+    "SELECT * FROM (" + " UNION ALL ".join([
+        "SELECT 'raw_rows' AS figure, CAST(COUNT(*) AS BIGINT) AS rows FROM audit",
+        f"SELECT 'missing_values', CAST(COUNT(*) FILTER (WHERE {_NULLS}) AS BIGINT) FROM audit",
+        *[f"SELECT '{name}', CAST(COUNT(*) FILTER (WHERE {rule}) AS BIGINT) FROM audit_clean" for name, rule in [
+            ("clean_rows", "TRUE"), ("shipped_before_ordered", "ship_date < order_date"), ("negative_sales", "sales < 0"),
+            ("invalid_quantity", "quantity <= 0"), ("loss_lines", "profit < 0"),
+            ("missing_dates", "order_date IS NULL OR ship_date IS NULL")]],
+    ]) + ") f", SL_FULL, RAW_CTE, AUDIT_CTE, AUDIT_CLEAN))
+
 # ------------------------------------------------------------- exploratory
 
 reg("business_overview", _on_sl(A.business_overview), with_sl(
@@ -410,6 +421,14 @@ reg("high_discount_products", _on_sl(R.high_discount_products), with_sl(
     "ORDER BY avg_discount DESC NULLS FIRST"))
 
 
+# ----------------------------------------------------------- load by load
+
+# These build tables anew on every call: not part of the bench's sum.
+LOAD_KEYS = ("clean_lines_by_loads", "rfm_metrics_by_loads", "load_figures")
+reg("clean_lines_by_loads", clean_lines_by_loads, REGISTRY["clean_sales_lines"][1])
+reg("rfm_metrics_by_loads", rfm_metrics_by_loads, REGISTRY["rfm_metrics"][1])
+
+
 def queries() -> dict[str, Builder]:
     return {k: b for k, (b, _) in REGISTRY.items()}
 

@@ -30,7 +30,7 @@ from ..functions.text import REPLACEMENT_CHAR
 from ..schema import RAW_TO_CLEAN
 from .storage import named_table
 from .tables import (
-    CITY, COUNTRY, POSTAL_CODE, _discount, _profit, _sales, joined_lines, read_table, row_id,
+    CITY, COUNTRY, POSTAL_CODE, _discount, _profit, _sales, joined_lines, line_sources, read_table, row_id,
 )
 
 # Fixed values of the defect injection (fixture shaping, not filtering).
@@ -91,7 +91,8 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bronze_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``raw_lines`` written once per application and folder (the raw
     snapshot every cleaning query reads)."""
-    return named_table(spark, f"bronze/raw_lines-{folder_tag(sf_dir)}", lambda: raw_lines(spark, sf_dir))
+    return named_table(spark, f"bronze/raw_lines-{folder_tag(sf_dir)}", lambda: raw_lines(spark, sf_dir),
+                       sources=line_sources(sf_dir))
 
 
 def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +101,7 @@ def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers, negative sales, zero quantities and rows that repeat.
     Written once, like bronze."""
     return named_table(spark, f"bronze/audit_lines-{folder_tag(sf_dir)}",
-                       lambda: with_defects(bronze_lines(spark, sf_dir)))
+                       lambda: with_defects(bronze_lines(spark, sf_dir)), sources=line_sources(sf_dir))
 
 
 def with_defects(raw: DataFrame) -> DataFrame:
@@ -130,4 +131,4 @@ def name_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("c_custkey").alias("_id"), F.col("c_name").alias("right"))
         return bad.join(cust, "_id").select("wrong", "right").distinct()
 
-    return named_table(spark, f"bronze/corrections-{folder_tag(sf_dir)}", build)
+    return named_table(spark, f"bronze/corrections-{folder_tag(sf_dir)}", build, sources=line_sources(sf_dir))

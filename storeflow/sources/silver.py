@@ -1,7 +1,9 @@
 """The clean order lines: what every analysis reads.
 
 ``silver_lines`` is the cleaning step's output over the raw snapshot,
-written once per application and folder and checked for its primary key.
+written once per application and folder and again when a source file has
+changed.  It is published only after the load's checks (``load_checks``:
+the figures are collected while it is written) and its primary key.
 ``audit_clean_lines`` is the same step over the audit table, where dates
 that do not parse become NULL instead of failing the step; it is written
 once too, so that filters reach its scan.
@@ -9,24 +11,52 @@ once too, so that filters reach its scan.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.clean import clean
 from ..operators.quality import assert_key
+from .load_checks import Load, figures_table
 from .raw import audit_lines, bronze_lines, folder_tag, name_corrections
-from .storage import named_table
+from .storage import Version, named_version
+from .tables import line_sources
 
 
-def silver_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cleaned(spark: SparkSession, sf_dir: str, name: str, raw: DataFrame, limits: Mapping[str, int],
+             key: list[str] | None, **options) -> Version:
+    load = Load(raw, limits)
+
     def build() -> DataFrame:
-        return clean(bronze_lines(spark, sf_dir), name_corrections(spark, sf_dir))
+        return load.written(clean(load.observed(), name_corrections(spark, sf_dir), **options))
+
+    def check(table: DataFrame) -> dict[str, int]:
+        figures = load.check(table)
+        if key:
+            assert_key(table, key)
+        return figures
 
-    name = f"silver/sales_lines-{folder_tag(sf_dir)}"
-    return named_table(spark, name, build, check=lambda table: assert_key(table, ["row_id"]))
+    return named_version(spark, f"{name}-{folder_tag(sf_dir)}", build, check, line_sources(sf_dir))
+
+
+def silver_version(spark: SparkSession, sf_dir: str, limits: Mapping[str, int] | None = None) -> Version:
+    """The published table with its figures; ``limits`` are the most rows
+    that may break a rule, by figure."""
+    return _cleaned(spark, sf_dir, "silver/sales_lines", bronze_lines(spark, sf_dir), limits or {}, ["row_id"])
+
+
+def silver_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return silver_version(spark, sf_dir).table
+
+
+def audit_version(spark: SparkSession, sf_dir: str) -> Version:
+    return _cleaned(spark, sf_dir, "silver/audit_lines", audit_lines(spark, sf_dir), {}, None, strict_dates=False)
 
 
 def audit_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def build() -> DataFrame:
-        return clean(audit_lines(spark, sf_dir), name_corrections(spark, sf_dir), strict_dates=False)
+    return audit_version(spark, sf_dir).table
+
 
-    return named_table(spark, f"silver/audit_lines-{folder_tag(sf_dir)}", build)
+def load_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures that were taken while the audit lines were cleaned."""
+    return figures_table(spark, audit_version(spark, sf_dir).facts)

@@ -8,14 +8,21 @@ readers column pruning and filter push-down, and the planner exact sizes.
 
 ``materialize`` reuses what it wrote: a frame with the same logical plan
 gets the table that the application wrote for it before, so asking for a
-ranking twice writes nothing new.  When a source's files have changed, call
-``refresh``: it forgets and removes the application's written tables.
+ranking twice writes nothing new.
+
+``named_table`` keeps one published version per name.  It notices that a
+source's files have changed (paths, sizes, times; see ``fingerprint``) and
+builds a new version then; a version is published only after its checks
+have passed, else it is removed and the one before stays.  Tables written
+from a replaced version are forgotten with it.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +30,16 @@ from ..session import app_id, scratch_path
 
 # (application, name, plan hash) -> [(frame, written table, its folder)]
 _WRITTEN: dict[tuple[str, str, int], list[tuple[DataFrame, DataFrame, str]]] = {}
-# (application, name) -> (written table, its folder)
-_NAMED: dict[tuple[str, str], tuple[DataFrame, str]] = {}
+# (application, name) -> published version
+_NAMED: dict[tuple[str, str], Version] = {}
+
+
+@dataclass(frozen=True)
+class Version:
+    table: DataFrame
+    path: str
+    sources: tuple
+    facts: Any
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -46,20 +61,66 @@ def materialize(df: DataFrame, name: str = "tmp") -> DataFrame:
     return table
 
 
+def fingerprint(spark: SparkSession, paths: Sequence[str]) -> tuple:
+    """What tells whether the files below ``paths`` have changed, by a few
+    calls to the file system: path, size and time of a file; path, total
+    size, file count and time of a folder."""
+    out = []
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        status = fs.getFileStatus(p)
+        if status.isFile():
+            out.append((path, status.getLen(), 1, status.getModificationTime()))
+        else:
+            below = fs.getContentSummary(p)
+            out.append((path, below.getLength(), below.getFileCount(), status.getModificationTime()))
+    return tuple(out)
+
+
 def named_table(spark: SparkSession, name: str, build: Callable[[], DataFrame],
-                check: Callable[[DataFrame], None] | None = None) -> DataFrame:
+                check: Callable[[DataFrame], Any] | None = None, sources: Sequence[str] = ()) -> DataFrame:
     """The application's table ``name``: written by the first call, read
-    back by the others until ``refresh``.  ``check`` raises when the written
-    table must not be used."""
-    key = (app_id(spark), name)
-    if key not in _NAMED:
-        path = scratch_path(spark, name)
+    back by the others until a file of ``sources`` changes (or ``refresh``).
+    ``check`` raises when the written table must not be published; what it
+    returns is kept as the version's facts."""
+    return named_version(spark, name, build, check, sources).table
+
+
+def named_version(spark: SparkSession, name: str, build: Callable[[], DataFrame],
+                  check: Callable[[DataFrame], Any] | None = None, sources: Sequence[str] = ()) -> Version:
+    key, now = (app_id(spark), name), fingerprint(spark, sources)
+    known = _NAMED.get(key)
+    if known is not None and known.sources == now:
+        return known
+    path = scratch_path(spark, name, uuid.uuid4().hex)
+    try:
         write_table(build(), path)
         table = spark.read.parquet(path)
-        if check is not None:
-            check(table)
-        _NAMED[key] = (table, path)
-    return _NAMED[key][0]
+        facts = check(table) if check is not None else None
+    except Exception:
+        _remove(spark, path)
+        raise
+    _NAMED[key] = Version(table, path, now, facts)
+    if known is not None:
+        _forget_readers(spark, known.path)
+        _remove(spark, known.path)
+    return _NAMED[key]
+
+
+def _forget_readers(spark: SparkSession, path: str) -> None:
+    """Forget and remove what ``materialize`` wrote from the table at
+    ``path``."""
+    app = app_id(spark)
+    for key in [k for k in _WRITTEN if k[0] == app]:
+        keep = []
+        for entry in _WRITTEN[key]:
+            if any(path in f for f in entry[0].inputFiles()):
+                _forget_readers(spark, entry[2])
+                _remove(spark, entry[2])
+            else:
+                keep.append(entry)
+        _WRITTEN[key] = keep
 
 
 def forget_intermediates(spark: SparkSession) -> None:
@@ -76,7 +137,7 @@ def refresh(spark: SparkSession) -> None:
     forget_intermediates(spark)
     app = app_id(spark)
     for key in [k for k in _NAMED if k[0] == app]:
-        _remove(spark, _NAMED.pop(key)[1])
+        _remove(spark, _NAMED.pop(key).path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

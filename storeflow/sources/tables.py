@@ -29,6 +29,14 @@ CITY = "Springfield"
 POSTAL_CODE = 10001
 
 
+# The tables that an order line is made of.
+LINE_TABLES = ("lineitem", "orders", "customer", "nation", "region", "part")
+
+
+def line_sources(sf_dir: str) -> list[str]:
+    return [os.path.join(sf_dir, f"{name}.parquet") for name in LINE_TABLES]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

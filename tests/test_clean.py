@@ -134,11 +134,16 @@ def test_analyses_see_a_broken_cleaning_step(spark, monkeypatch):
     from storeflow.sources.storage import refresh
     from tests.conftest import SF_SMALL
 
-    want = catalog.queries()["row_count_clean"](spark, SF_SMALL).collect()
+    from storeflow.sources.load_checks import LoadRefused
+
     refresh(spark)
     whole = C.clean
     monkeypatch.setattr(silver, "clean", lambda *a, **k: whole(*a, **k).where("quantity > 10"))
-    assert catalog.queries()["row_count_clean"](spark, SF_SMALL).collect() != want
+    with pytest.raises(LoadRefused, match="raw rows became"):
+        catalog.queries()["row_count_clean"](spark, SF_SMALL)
+    monkeypatch.setattr(silver, "clean", lambda *a, **k: whole(*a, **k).withColumn("sales", F.lit(1).cast("decimal(12,2)")))
+    broken = catalog.queries()["value_ranges"](spark, SF_SMALL).first()
+    assert broken["max_sales"] == 1
     refresh(spark)
     monkeypatch.setattr(silver, "clean", lambda *a, **k: whole(*a, **k).withColumn("row_id", F.lit("1")))
     with pytest.raises(ValueError, match="primary key"):
