@@ -58,25 +58,29 @@ class Page(HTMLParser):
         self.segments: list[tuple[int, int, str]] = []
         self.link_chars: dict[int, int] = {}
         self.open: list[tuple[str, int]] = [("#page", 0)]  # element, its node
+        # Where elements of a name, and limits, stand among the open ones.
+        self.at: dict[str, list[int]] = {}
+        self.limits = [0]
         self.block = self.hidden = self.in_link = 0
         self.feed(html)
+        if self.rawdata.startswith("<!--"):
+            self.rawdata = ""  # a comment that is not closed goes on to the end
         self.close()
 
     def _pop_to(self, k: int) -> None:
         for name, _ in self.open[k:]:
+            self.at[name].pop()
+            if name in LIMITS:
+                self.limits.pop()
             self.hidden -= name in HIDDEN
             self.in_link -= name == "a"
             self.block += name not in INLINE
         del self.open[k:]
 
     def _close_open(self, names: tuple) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            name = self.open[k][0]
-            if name in names:
-                self._pop_to(k)
-                return
-            if name in LIMITS:
-                return
+        k = max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+        if k >= self.limits[-1]:
+            self._pop_to(k)
 
     def handle_starttag(self, tag, attrs):
         if tag not in INLINE:
@@ -99,6 +103,9 @@ class Page(HTMLParser):
             self.parent.append(node)
             self.words.append(marks)
             node = len(self.tag) - 1
+        self.at.setdefault(tag, []).append(len(self.open))
+        if tag in LIMITS:
+            self.limits.append(len(self.open))
         self.open.append((tag, node))
         self.hidden += tag in HIDDEN
         self.in_link += tag == "a"
@@ -109,10 +116,8 @@ class Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] == tag:
-                self._pop_to(k)
-                return
+        if self.at.get(tag):
+            self._pop_to(self.at[tag][-1])
 
     def handle_data(self, data):
         if self.hidden:
@@ -122,6 +127,11 @@ class Page(HTMLParser):
         if self.in_link:
             self.link_chars[node] = self.link_chars.get(node, 0) + len(data)
 
+    def bare_share(self) -> float:
+        """The share of the text that lies outside of all elements."""
+        sizes = [(node, len(text.strip())) for _, node, text in self.segments]
+        return sum(n for node, n in sizes if node == 0) / max(1, sum(n for _, n in sizes))
+
     def text(self, chosen) -> str:
         """Text of the chosen nodes: blocks in page order joined by one
         space, white space inside a block turned into one space."""

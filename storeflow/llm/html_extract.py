@@ -240,7 +240,8 @@ def log_odds(trees: list[tuple], x: np.ndarray) -> np.ndarray:
 
 
 def decode(page: Page, odds: np.ndarray) -> np.ndarray:
-    """Which nodes are inside: the best consistent choice over the tree."""
+    """Which nodes are inside: the best consistent choice over the tree.  The
+    page itself is a wrapper, or inside where most text lies on it bare."""
     n = len(page.tag)
     out = -odds.copy()  # the whole subtree outside
     inside, wrapper = odds.copy(), np.zeros(n)
@@ -250,7 +251,7 @@ def decode(page: Page, odds: np.ndarray) -> np.ndarray:
         inside[p] += max(inside[i], out[i])
         wrapper[p] += max(wrapper[i], inside[i], out[i])
     state = np.zeros(n, np.int8)  # 0 outside, 1 inside, 2 wrapper
-    state[0] = 2
+    state[0] = 1 if page.bare_share() >= 0.5 else 2
     for i in range(1, n):
         above = state[page.parent[i]]
         if above == 1:

@@ -57,6 +57,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import parallelism
 from .bloom import bloom_filter, may_hold
 from .common import drop_tables, empty_if_null, write_table
 from .components import components
@@ -65,10 +66,10 @@ from .shingles import Shingler, set_key
 # Odd multipliers of the hash functions.
 ODD_A, ODD_B = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 SEED = 20_231
-ROUNDS = 2
+ROUNDS = 1
 CLOSEST = 4
 SMALL_KEY = 32
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 400_000
 
 
 def least_distance(positions: int, percent: int, miss: float) -> int:
@@ -318,9 +319,11 @@ def _block_links(blocks: DataFrame, docs: DataFrame, vertices: DataFrame, k: int
     written."""
     wanted = write_table(vertices.join(blocks.select("row").distinct(), "row").select("row", "s", "rep_h"), "near-wanted")
     full = write_table(_full_sets(docs, wanted, k), "near-full")
+    group = ["cluster", "bx", "by"]
+    # Small in bytes and long in work: more tasks than the bytes ask for.
+    met = blocks.join(full, "row").repartition(4 * parallelism(docs.sparkSession), *group)
     links = write_table(
-        blocks.join(full, "row").groupBy("cluster", "bx", "by").applyInArrow(
-            lambda t: linked_in_block(t, percent), "x long, y long").distinct(), "near-links")
+        met.groupBy(*group).applyInArrow(lambda t: linked_in_block(t, percent), "x long, y long").distinct(), "near-links")
     drop_tables(wanted, full)
     return links
 

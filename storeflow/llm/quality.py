@@ -1,21 +1,28 @@
 """Quality rules: base limits, then robust multivariate outliers.
 
 Every document gets base statistics of its whole text and a vector of
-transformed ones.  Per language and source, a minimum-covariance-
-determinant estimate (centre and covariance of the ``H_SHARE`` of documents
-that lie closest) is found by concentration steps: distances under the
-present estimate, the distance below which the share lies, moments of the
-documents within.  A last step reweights with all documents that are no
+transformed ones.  A minimum-covariance-determinant estimate (centre and
+covariance of the ``H_SHARE`` of documents that lie closest) is found by
+concentration steps from several starts: distances under the present
+estimate, the distance below which the share lies, moments of the documents
+within, until no determinant falls any more.  The start with the least
+determinant counts; a last step reweights with all documents that are no
 outliers.  Documents beyond ``CUTOFF`` (Mahalanobis, squared) are rejected.
 
+Estimates are made at three levels alike, whatever their size: all
+documents, each language, each language's source.  A group's estimate is
+shrunk towards that of the level above by its count, weight n / (n +
+``SHRINK``) for the centre and n / (n + ``SHRINK_COV``) for the covariance
+(that of very few documents is not robust): a source of few documents is judged by its language's centre
+and covariance over all sources, a large one by its own.  Languages may
+have unlike centres, so the spread between languages is added to the
+covariance of a language, with the weight that its own estimate lacks.
+
 All of it is grouped DataFrame work on a written narrow table: sums of four
 values and their products per group (one partial row per group and task),
-and counts per group and distance bin in place of sorting.  The 4 x 4
-covariance is factored in column expressions.  Languages' sources with
-fewer than ``MIN_GROUP`` documents are estimated together per language.
-Languages too small for that form one pool: it is one group while their
-medians cannot be told apart, else every language has its own word-length
-median and centre (medians) there, and they share the covariance.
+and counts per group and distance bin in place of sorting; bins are
+logarithmic, so their number is bounded by the range of doubles.  The 4 x 4
+covariance is factored in column expressions.
 
 The vector: shifted mean word length (characters beyond the group's median
 times the words, over the root of the words: equal spread for short and
@@ -29,8 +36,8 @@ Defined results
 * null language or source is a group value of its own.
 * rows without an id and repeated rows are judged like others; they count
   as often as they occur.
-* documents of a pooled language with fewer than ``MIN_CENTRE`` usable ones
-  are judged by the base limits only (distance null).
+* repeated words are found by equal 64-bit hashes of word windows; the words
+  themselves are not compared.
 * an empty table gives an empty result; a group without any document that
   passes the base limits has no estimate, its documents are rejected by
   those limits.
@@ -46,12 +53,10 @@ from .common import WORD_SPACE, empty_if_null, let, write_table
 SYMBOLS = "#*$%&|<>"  # fixed value
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-MIN_GROUP = 100
-POOL = "*"
-MIN_CENTRE = 20  # documents of a pooled language that give it a centre
-APART = 2.0  # standard errors of a median
+SHRINK = 20  # documents that the level above counts for in a centre
+SHRINK_COV = 200  # in a covariance, which has ten entries
 H_SHARE = 0.75
-STEPS = 3
+STEPS = 10  # concentration steps at most; they end when no determinant falls
 DIMS = 4
 # Smallest standard deviation that a statistic is given.
 FLOOR = (1.0, 0.1, 0.5, 0.1)
@@ -61,6 +66,7 @@ CONSISTENCY = 2.71
 REWEIGHT = 11.143  # chi-square of four values, 0.975
 CUTOFF = 33.377  # chi-square of four values, 1 - 10^-6
 BINS_PER_OCTAVE = 16
+STARTS = ("median", "all", "half")
 
 
 # --------------------------------------------------------- base statistics
@@ -126,63 +132,74 @@ def _text_key(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
 
 
-def group_keys(rows: DataFrame, lang: str, source: str) -> DataFrame:
-    """``rows`` with ``grp``: language and source, or the language when too
-    few documents of it pass the base limits, or the pool of languages (null
-    for a language too small for a centre), and ``tongue``, the language."""
-    ok = F.sum(F.when(~F.col("base_failed"), 1).otherwise(0))
-    pairs = rows.groupBy(_text_key(F.col(lang)).alias("__l"), _text_key(F.col(source)).alias("__s")).agg(ok.alias("n"))
-    small = F.sum(F.when(F.col("n") < MIN_GROUP, F.col("n"))).over(Window.partitionBy("__l"))
-    keys = pairs.select(
-        "__l", "__s",
-        F.when(F.col("n") >= MIN_GROUP, F.concat_ws("/", "__l", "__s"))
-        .when(small >= MIN_GROUP, F.col("__l")).when(small >= MIN_CENTRE, F.lit(POOL)).alias("grp"))
-    keys = write_table(keys, "quality-groups")
-    return (
-        rows.withColumn("__l", _text_key(F.col(lang))).withColumn("__s", _text_key(F.col(source)))
-        .join(keys, ["__l", "__s"]).withColumnRenamed("__l", "tongue").drop("__s"))
-
-
-def _quantile_bin(rows: DataFrame, bin_: Column, share: float) -> DataFrame:
+def _quantile_bin(rows: DataFrame, by: list[str], bin_: Column, share: float) -> DataFrame:
     """Per group the lowest bin up to which ``share`` of the rows lie; the
-    window orders one row per bin, bounded by the range of doubles."""
-    counts = rows.groupBy("grp", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    up_to = Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("cum", F.sum("n").over(up_to)).withColumn("all", F.sum("n").over(Window.partitionBy("grp")))
-    return counts.where(F.col("cum") >= F.ceil(F.lit(share) * F.col("all"))).groupBy("grp").agg(F.min("bin").alias("bin"))
+    window orders one row per bin."""
+    counts = rows.groupBy(*by, bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    up_to = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("cum", F.sum("n").over(up_to)).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
+    return counts.where(F.col("cum") >= F.ceil(F.lit(share) * F.col("all"))).groupBy(*by).agg(F.min("bin").alias("bin"))
 
 
 def _log_bin(c: Column) -> Column:
     return F.floor(F.log2(c + F.lit(1e-9)) * BINS_PER_OCTAVE).cast("int")
 
 
-def _moments(rows: DataFrame, factor: float) -> DataFrame:
-    """Centre ``m1..`` and the factor ``l11, l21, ..`` (Cholesky) of the
-    covariance times ``factor`` plus the floors, per group."""
-    x = [F.col(f"x{i}") for i in range(1, DIMS + 1)]
-    aggs = [F.avg(c).alias(f"m{i + 1}") for i, c in enumerate(x)]
-    aggs += [F.avg(x[i] * x[j]).alias(f"p{i}{j}") for i in range(DIMS) for j in range(i + 1)]
-    out = rows.groupBy("grp").agg(*aggs)
-    low: dict[tuple[int, int], str] = {}
+def _signed_bin(c: Column) -> Column:
+    """Logarithmic to both sides of 0, in steps of 1/64 near it."""
+    return (F.signum(c) * F.floor(F.log2(1 + 64 * F.abs(c)) * BINS_PER_OCTAVE)).cast("int")
+
+
+def _bin_value(b: Column) -> Column:
+    """The middle of a signed bin."""
+    size = (F.pow(F.lit(2.0), (F.abs(b) + 0.5) / BINS_PER_OCTAVE) - 1) / 64
+    return F.when(b == 0, F.lit(0.0)).otherwise(F.signum(b.cast("double")) * size)
+
+
+X = [f"x{i}" for i in range(1, DIMS + 1)]
+PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
+CENTRE = [f"m{i + 1}" for i in range(DIMS)]
+COV = [f"c{i}{j}" for i, j in PAIRS]
+
+
+def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Count ``n``, centre and covariance (without floors) per group."""
+    x = [F.col(c) for c in X]
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(c).alias(m) for c, m in zip(x, CENTRE)]
+    aggs += [F.avg(x[i] * x[j]).alias(f"p{i}{j}") for i, j in PAIRS]
+    return rows.groupBy(*by).agg(*aggs).select(
+        *by, "n", *CENTRE,
+        *[(F.col(f"p{i}{j}") - F.col(CENTRE[i]) * F.col(CENTRE[j])).alias(f"c{i}{j}") for i, j in PAIRS])
+
+
+def _with_floors(estimates: DataFrame, factor: float = 1.0) -> DataFrame:
+    return estimates.withColumns({
+        f"c{i}{j}": factor * F.col(f"c{i}{j}") + F.lit(FLOOR[i] ** 2 if i == j else 0.0) for i, j in PAIRS})
+
+
+def _factored(estimates: DataFrame) -> DataFrame:
+    """``estimates`` with the Cholesky factor ``l00, l10, ..`` of the
+    covariance in place of it, and the log-determinant ``det``."""
+    out = estimates
     for j in range(DIMS):
         for i in range(j, DIMS):
-            cov = factor * (F.col(f"p{i}{j}") - F.col(f"m{i + 1}") * F.col(f"m{j + 1}"))
+            cov = F.col(f"c{i}{j}")
             for k in range(j):
-                cov = cov - F.col(low[i, k]) * F.col(low[j, k])
+                cov = cov - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             if i == j:
-                cov = F.sqrt(F.greatest(cov + F.lit(FLOOR[i] ** 2), F.lit(FLOOR[i] ** 2)))
+                cov = F.sqrt(F.greatest(cov, F.lit(FLOOR[i] ** 2)))
             else:
-                cov = cov / F.col(low[j, j])
-            low[i, j] = f"l{i}{j}"
-            out = out.withColumn(low[i, j], cov)
-    return out.select("grp", *[f"m{i + 1}" for i in range(DIMS)], *low.values())
+                cov = cov / F.col(f"l{j}{j}")
+            out = out.withColumn(f"l{i}{j}", cov)
+    det = sum((F.log(F.col(f"l{i}{i}")) for i in range(1, DIMS)), F.log("l00"))
+    return out.withColumn("det", det).drop(*COV)
 
 
 def _distance() -> Column:
     """Squared Mahalanobis distance by forward substitution."""
     y: list[Column] = []
     for i in range(DIMS):
-        d = F.col(f"x{i + 1}") - F.col(f"m{i + 1}")
+        d = F.col(X[i]) - F.col(CENTRE[i])
         for k in range(i):
             d = d - F.col(f"l{i}{k}") * y[k]
         y.append(d / F.col(f"l{i}{i}"))
@@ -190,15 +207,21 @@ def _distance() -> Column:
 
 
 def _vectors(ok: DataFrame) -> DataFrame:
-    """The vector of every document, with the word-length median of its
-    ``grp``; written."""
-    mean_len = F.col("word_chars") / F.col("n_words")
-    medians = _quantile_bin(ok, F.floor(mean_len * 64).cast("int"), 0.5)
-    medians = write_table(medians.select("grp", ((F.col("bin") + 0.5) / 64).alias("mid")), "quality-medians")
+    """The vector of every document, written.  Its word length is measured
+    from the median of its source, shrunk towards its language's."""
+    length = ok.withColumn("bin", F.floor(F.log2(F.col("word_chars") / F.col("n_words")) * 64).cast("int"))
+    middle = F.pow(F.lit(2.0), (F.col("bin") + 0.5) / 64)
+    of_lang = _quantile_bin(length, ["lang"], F.col("bin"), 0.5).select("lang", middle.alias("lang_mid"))
+    of_source = _quantile_bin(length, ["lang", "source"], F.col("bin"), 0.5).select("lang", "source", middle.alias("own_mid"))
+    sizes = ok.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("size"))
+    own = F.col("size") / (F.col("size") + SHRINK)
+    mids = write_table(
+        of_source.join(of_lang, "lang").join(sizes, ["lang", "source"])
+        .select("lang", "source", (own * F.col("own_mid") + (1 - own) * F.col("lang_mid")).alias("mid")), "quality-medians")
     n = F.col("n_words").cast("double")
     return write_table(
-        ok.join(medians, "grp").select(
-            "__row", "grp", "tongue",
+        ok.join(mids, ["lang", "source"]).select(
+            "__row", "lang", "source",
             ((F.col("word_chars") - F.col("mid") * n) / F.sqrt(n)).alias("x1"),
             F.log1p(F.lit(20.0) * F.col("n_symbols") / n).alias("x2"),
             F.log1p(F.col("n_dup_lines").cast("double")).alias("x3"),
@@ -206,90 +229,124 @@ def _vectors(ok: DataFrame) -> DataFrame:
         "quality-vectors")
 
 
-def _told_apart(pool: DataFrame) -> bool:
-    """Whether a language's medians differ from the pool's by more than
-    ``APART`` standard errors.  A pooled language has fewer than
-    ``MIN_GROUP`` documents, so its exact quartiles hold few values."""
-    x = [f"x{i}" for i in range(1, DIMS + 1)]
-    own = pool.groupBy("grp", "tongue").agg(
-        F.count(F.lit(1)).alias("n"), *[F.percentile(c, [0.25, 0.5, 0.75]).alias(c) for c in x])
-    far = F.lit(False)
-    for c, floor in zip(x, FLOOR):
-        mid = _quantile_bin(pool, F.floor(F.col(c) * 64).cast("int"), 0.5)
-        own = own.join(mid.select("grp", ((F.col("bin") + 0.5) / 64).alias(f"{c}_all")), "grp")
-        low, median, high = (F.get(c, F.lit(k)) for k in range(3))
-        spread = F.sqrt(F.pow((high - low) / 1.349, 2) + F.lit(floor**2))
-        far = far | (F.abs(median - F.col(f"{c}_all")) > APART * 1.2533 * spread / F.sqrt("n"))
-    return not own.where(far).isEmpty()
-
-
-def _centred(ok: DataFrame) -> DataFrame:
-    """Vectors of a pool, each less its language's centre, from that
-    language's own word-length median."""
-    own = _vectors(ok.withColumn("grp", F.col("tongue")))
-    x = [f"x{i}" for i in range(1, DIMS + 1)]
-    centres = write_table(
-        own.groupBy("tongue").agg(*[F.median(c).alias(f"c_{c}") for c in x]), "quality-centres")
-    return own.join(centres, "tongue").select(
-        "__row", F.lit(POOL).alias("grp"), "tongue", *[(F.col(c) - F.col(f"c_{c}")).alias(c) for c in x])
-
-
-def outlier_distances(rows: DataFrame) -> DataFrame:
-    """``rows`` (a written table with grp, tongue, base statistics) with
-    ``d2``, null for documents that fail the base limits or have no grp."""
-    ok = rows.where(~F.col("base_failed"))
-    vector = _vectors(ok)
-    if _told_apart(vector.where(F.col("grp") == POOL)):
-        vector = write_table(
-            vector.where(F.col("grp") != POOL).unionByName(_centred(ok.where(F.col("grp") == POOL))),
-            "quality-vectors")
-
-    # Start: coordinate-wise medians and median absolute deviations.
-    start = None
-    for i in range(1, DIMS + 1):
-        x = F.col(f"x{i}")
-        mid = _quantile_bin(vector, F.floor(x * 64).cast("int"), 0.5).select(
-            "grp", ((F.col("bin") + 0.5) / 64).alias(f"m{i}"))
-        start = mid if start is None else start.join(mid, "grp")
-    start = write_table(start, "quality-start")
-    spread = start
-    for i in range(1, DIMS + 1):
-        dev = _quantile_bin(
-            vector.join(start, "grp"), F.floor(F.abs(F.col(f"x{i}") - F.col(f"m{i}")) * 64).cast("int"), 0.5)
-        dev = dev.select("grp", F.sqrt(
-            F.pow(1.4826 * (F.col("bin") + 1) / 64, 2) + F.lit(FLOOR[i - 1] ** 2)).alias(f"l{i - 1}{i - 1}"))
-        spread = spread.join(dev, "grp")
-    for i in range(DIMS):
-        for k in range(i):
-            spread = spread.withColumn(f"l{i}{k}", F.lit(0.0))
-    estimate = write_table(spread, "quality-estimate")
-
-    for step in range(STEPS):
-        near = vector.join(estimate, "grp").withColumn("d2", _distance())
+def _half() -> Column:
+    return F.pmod(F.xxhash64("__row"), F.lit(2)) == 0
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """First estimates per ``grp`` and ``start``: coordinate-wise medians
+    with median absolute deviations; moments of all rows; of half of them
+    by hash (a group that has none there lacks this start)."""
+    middle = None
+    for x, m in zip(X, CENTRE):
+        mid = _quantile_bin(rows, ["grp"], _signed_bin(F.col(x)), 0.5).select("grp", _bin_value(F.col("bin")).alias(m))
+        middle = mid if middle is None else middle.join(mid, "grp")
+    middle = write_table(middle, "quality-start")
+    median = middle
+    for i, (x, m) in enumerate(zip(X, CENTRE)):
+        dev = _quantile_bin(rows.join(middle, "grp"), ["grp"], _signed_bin(F.abs(F.col(x) - F.col(m))), 0.5)
+        median = median.join(dev.select("grp", F.pow(1.4826 * _bin_value(F.col("bin")), 2).alias(f"c{i}{i}")), "grp")
+    for i, j in PAIRS:
+        if i != j:
+            median = median.withColumn(f"c{i}{j}", F.lit(0.0))
+    everything = write_table(_moments(rows, ["grp"]), "quality-start")
+    half = _moments(rows.where(_half()), ["grp"])
+    columns = ["grp", *CENTRE, *COV]
+    starts = median.select(F.lit("median").alias("start"), *columns)
+    for name, estimate in (("all", everything), ("half", half)):
+        starts = starts.unionByName(estimate.select(F.lit(name).alias("start"), *columns))
+    return write_table(_with_floors(starts), "quality-estimate")
+
+
+def robust_estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+    """``rows``: ``__row, grp, x1..``.  Per ``grp`` the count ``n``, centre
+    and covariance (floors included) of the estimate, written."""
+    by = ["grp", "start"]
+    estimate = _starts(rows)
+    for _ in range(steps):
+        before = _factored(estimate)
+        near = rows.join(before, "grp").withColumn("d2", _distance())
         limit = write_table(
-            _quantile_bin(near, _log_bin(F.col("d2")), H_SHARE).withColumnRenamed("bin", "most"), "quality-limit")
-        inner = near.join(limit, "grp").where(_log_bin(F.col("d2")) <= F.col("most"))
-        factor = CONSISTENCY if step == STEPS - 1 else 1.0
-        estimate = write_table(_moments(inner, factor), "quality-estimate")
-    within = vector.join(estimate, "grp").where(_distance() <= REWEIGHT)
-    estimate = write_table(_moments(within, 1.0), "quality-estimate")
-    return vector.join(estimate, "grp").select("__row", _distance().alias("d2"))
+            _quantile_bin(near, by, _log_bin(F.col("d2")), H_SHARE).withColumnRenamed("bin", "most"), "quality-limit")
+        inner = near.join(limit, by).where(_log_bin(F.col("d2")) <= F.col("most"))
+        after = write_table(_with_floors(_moments(inner, by)), "quality-estimate")
+        fallen = _factored(after).join(before.select(*by, F.col("det").alias("was")), by).where(F.col("det") < F.col("was") - 1e-6)
+        estimate = after
+        if fallen.isEmpty():
+            break
+    # The least determinant; of equal ones the first start.
+    best = _factored(estimate).groupBy("grp").agg(F.min(F.struct(
+        F.round("det", 9).alias("det"), *[(F.col("start") != s).alias(f"not_{s}") for s in STARTS], "start")).alias("b"))
+    chosen = estimate.join(best.select("grp", F.col("b.start").alias("start")), by).drop("start")
+    wide = chosen.withColumns({
+        f"c{i}{j}": CONSISTENCY * (F.col(f"c{i}{j}") - F.lit(FLOOR[i] ** 2 if i == j else 0.0))
+        + F.lit(FLOOR[i] ** 2 if i == j else 0.0) for i, j in PAIRS})
+    within = rows.join(_factored(wide), "grp").where(_distance() <= REWEIGHT)
+    sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    return write_table(
+        _with_floors(_moments(within, ["grp"])).drop("n").join(sizes, "grp"), "quality-estimate")
+
+
+def _level(tag: str, *keys: str) -> Column:
+    """Name of a group: the level and its keys, told apart by length."""
+    parts = [F.concat(F.length(k).cast("string"), F.lit(":"), F.col(k)) for k in keys]
+    return F.concat(F.lit(tag), *parts)
+
+
+def _shrunk(own: str, above: str, n: str, more: list[Column] | None = None) -> list[Column]:
+    """Centre and covariance of ``own`` shrunk towards ``above`` by the
+    count ``n``; ``more`` is added to the variances with the weight of
+    ``above``."""
+    out = []
+    for c in CENTRE + COV:
+        w = F.col(n) / (F.col(n) + (SHRINK if c in CENTRE else SHRINK_COV))
+        value = w * F.col(f"{own}{c}") + (1 - w) * F.col(f"{above}{c}")
+        if more is not None and c in (f"c{i}{i}" for i in range(DIMS)):
+            value = value + (1 - w) * more[int(c[1])]
+        out.append(value)
+    return out
+
+
+def outlier_distances(ok: DataFrame, steps: int = STEPS) -> DataFrame:
+    """``__row, d2`` of documents that pass the base limits (a written table
+    with ``lang``, ``source`` and the base statistics)."""
+    vector = _vectors(ok)
+    levels = F.array(F.lit("G"), _level("L", "lang"), _level("S", "lang", "source"))
+    found = robust_estimates(vector.select("__row", *X, F.explode(levels).alias("grp")), steps)
+
+    def at(prefix: str) -> DataFrame:
+        return found.select(*[F.col(c).alias(f"{prefix}{c}") for c in ("grp", "n", *CENTRE, *COV)])
+
+    keys = vector.select("lang", "source").distinct().withColumns(
+        {"G_grp": F.lit("G"), "L_grp": _level("L", "lang"), "S_grp": _level("S", "lang", "source")})
+    joined = keys
+    for prefix in ("G_", "L_", "S_"):
+        joined = joined.join(at(prefix), f"{prefix}grp")
+    joined = write_table(joined, "quality-levels")
+    # The spread between languages, each with the weight of its own estimate.
+    w = F.col("L_n") / (F.col("L_n") + SHRINK)
+    between = joined.dropDuplicates(["lang"]).groupBy("G_grp").agg(*[
+        (F.sum(w * F.pow(F.col(f"L_{m}") - F.col(f"G_{m}"), 2)) / F.sum(w)).alias(f"b{i}") for i, m in enumerate(CENTRE)])
+    names = CENTRE + COV
+    of_lang = _shrunk("L_", "G_", "L_n", [F.col(f"b{i}") for i in range(DIMS)])
+    joined = joined.join(between, "G_grp").withColumns({f"T_{c}": v for c, v in zip(names, of_lang)})
+    final = joined.select("lang", "source", *[v.alias(c) for c, v in zip(names, _shrunk("S_", "T_", "S_n"))])
+    final = write_table(_factored(final), "quality-final")
+    return vector.join(final, ["lang", "source"]).select("__row", _distance().alias("d2"))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+                  lang_col: str = "lang", source_col: str = "source", steps: int = STEPS) -> DataFrame:
     """One row per document: ``doc_id``, the base statistics,
-    ``base_failed``, ``distance`` (null when base_failed or in a language too
-    small for a centre) and ``kept``."""
+    ``base_failed``, ``distance`` (null when base_failed) and ``kept``."""
     named = docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{lang_col}`").alias("__lang"),
-        F.col(f"`{source_col}`").alias("__source"), F.col(f"`{text_col}`").alias("__text"))
+        F.col(f"`{id_col}`").alias("doc_id"), _text_key(F.col(f"`{lang_col}`")).alias("lang"),
+        _text_key(F.col(f"`{source_col}`")).alias("source"), F.col(f"`{text_col}`").alias("__text"))
     base = write_table(
-        base_statistics(named, ["doc_id", "__lang", "__source"], "__text")
+        base_statistics(named, ["doc_id", "lang", "source"], "__text")
         .withColumn("__row", F.monotonically_increasing_id()), "quality-base")
-    rows = group_keys(base, "__lang", "__source")
-    far = outlier_distances(rows)
+    far = outlier_distances(base.where(~F.col("base_failed")), steps)
     return base.join(far, "__row", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.col("d2").alias("distance"),
-        (~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))).alias("kept"))
+        (~F.col("base_failed") & (F.col("d2") <= CUTOFF)).alias("kept"))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -118,3 +119,24 @@ def test_hazards(spark, trees):
     assert by[7] == " ".join(["long text here."] * 30000)
     assert by[10] == "Title of it Some real text, long enough."
     assert rows_of(extract_main_text(frame(spark, [], DDL))) == []
+
+
+def test_long_pages_take_linear_time():
+    for piece in ("<i></b>", "<i><h1>", "<p><select><i><h1>", "</div>", "<li><b>"):
+        pages = [piece * (n // len(piece)) for n in (100_000, 1_000_000)]
+        took = []
+        for page in pages:
+            begin = time.process_time()
+            Page(page)
+            took.append(time.process_time() - begin)
+        assert took[1] < 25 * max(took[0], 0.05), (piece, took)
+
+
+def test_bare_text_is_kept_and_open_comments_go(spark, trees):
+    pages = ["Just some text without any markup at all.", "Text <b>bold</b> and more of it <br> here.", "before <!-- never closed <p>x</p>",
+             "<div><p>A page.</p></div><!--", "", "<!-- only -->"]
+    rows = [(i, f"u{i}", p) for i, p in enumerate(pages)]
+    out = {r["page_id"]: r["text"] for r in rows_of(extract_main_text(
+        frame(spark, rows, DDL), trees=trees))}
+    assert out[0] == pages[0] and out[1] == "Text bold and more of it here." and out[2] == "before"
+    assert "<!--" not in out[3] and out[4] == out[5] == ""
