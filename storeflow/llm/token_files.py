@@ -136,10 +136,11 @@ def write_token_files(tokens: DataFrame, dtype: str = "<u2") -> TokenFiles:
                 [pa.array([path]), pa.array([part], pa.int32()), pa.array([n_docs]), pa.array([n_tokens])],
                 ["path", "part", "n_docs", "n_tokens"])
 
-    by_id = F.col("doc_id").asc_nulls_last()
+    # Rows that share an id, or have none, are spread by their ids' hash.
+    order = [F.col("doc_id").asc_nulls_last(), F.col("spread")]
     files = (
-        tokens.repartitionByRange(by_id).sortWithinPartitions(by_id, "ids")
-        .withColumn("part", F.spark_partition_id())
+        tokens.withColumn("spread", F.xxhash64("ids")).repartitionByRange(*order).sortWithinPartitions(*order, "ids")
+        .drop("spread").withColumn("part", F.spark_partition_id())
         .mapInArrow(write, "path string, part int, n_docs long, n_tokens long")
     )
     return TokenFiles(write_table(files, "token-index"), dictionary)

@@ -131,3 +131,20 @@ def test_pieces_query_columns(spark):
                    hashlib.sha256(r["decoded"].encode()).hexdigest()) for r in full)
     assert sorted((repr(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in short) == want
     assert rows_of(encode_decode(frame(spark, []), tokenizer("piece_bpe_32k.model"))) == []
+
+
+def test_rows_without_an_id_are_spread_over_files(spark):
+    rows = [(None if i % 3 else i, f"text {i} " * (i % 7), "en", "s", 1) for i in range(600)]
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")  # as ranges of a large table stay apart
+    try:
+        stored = encode_documents(frame(spark, rows).repartition(4), tokenizer("byte_bpe_50k.json"), 2)
+    finally:
+        spark.conf.set(coalesce, "true")
+    sizes = [r["n_docs"] for r in stored.files.collect()]
+    assert len(sizes) > 3 and max(sizes) < 250 and sum(sizes) == 600
+    got = rows_of(read_token_files(spark, stored, with_ids=False))
+    known = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"]) if r["doc_id"] is not None]
+    assert known == sorted(known) and len(got) == 600
+    ends = sorted((r["start"], r["start"] + r["n_tokens"]) for r in got)
+    assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
