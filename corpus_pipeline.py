@@ -24,46 +24,47 @@ from storeflow.llm.pii import pseudonymise
 from storeflow.llm.quality import quality_rules
 from storeflow.llm.queries import tokenizer
 
-NAME = "__name"
-
-
-def _named(docs: DataFrame) -> DataFrame:
-    """``docs`` with a row name: its id, then 128 bits of all columns."""
+def _named(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a row name: its id, then 128 bits of all columns; and
+    that column's name, which no other column has."""
+    name = "__name"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
     every = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    return docs.withColumn(NAME, F.struct(F.col("doc_id").alias("id"), F.unhex(F.md5(every)).alias("row")))
+    return docs.withColumn(name, F.struct(F.col("doc_id").alias("id"), F.unhex(F.md5(every)).alias("row"))), name
 
 
-def _without(named: DataFrame, gone: DataFrame) -> DataFrame:
+def _without(named: DataFrame, name: str, gone: DataFrame) -> DataFrame:
     """Rows whose name is not among ``gone`` (one column).
 
     What goes grows with the corpus, so it is never broadcast: the join is
     the same at every size."""
-    keys = write_table(gone.toDF(NAME).distinct(), "pipeline-gone")
-    return named.join(keys.hint("merge"), NAME, "left_anti")
+    keys = write_table(gone.toDF(name).distinct(), "pipeline-gone")
+    return named.join(keys.hint("merge"), name, "left_anti")
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named = _named(docs)
-    return _without(named, quality_rules(named, id_col=NAME).where(~F.col("kept")).select("doc_id")).drop(NAME)
+    named, name = _named(docs)
+    return _without(named, name, quality_rules(named, id_col=name).where(~F.col("kept")).select("doc_id")).drop(name)
 
 
 def exact_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named = _named(docs)
-    verdict = exact_dedup(named, id_col=NAME, keep="largest", merge_join=True)
-    kept = _without(named, verdict.where(~F.col("kept")).select("doc_id"))
+    named, name = _named(docs)
+    verdict = exact_dedup(named, id_col=name, keep="largest", merge_join=True)
+    kept = _without(named, name, verdict.where(~F.col("kept")).select("doc_id"))
     # Rows that repeat in full share their name and verdict: one of them stays.
     repeated = write_table(
-        named.groupBy(NAME).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(NAME), "pipeline-repeated")
+        named.groupBy(name).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(name), "pipeline-repeated")
     if repeated.isEmpty():
-        return kept.drop(NAME)
-    once = kept.join(repeated, NAME, "left_semi").dropDuplicates([NAME])
-    return kept.join(repeated, NAME, "left_anti").unionByName(once).drop(NAME)
+        return kept.drop(name)
+    once = kept.join(repeated, name, "left_semi").dropDuplicates([name])
+    return kept.join(repeated, name, "left_anti").unionByName(once).drop(name)
 
 
 def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named = _named(docs)
-    groups = ngram_jaccard_join(named, k=5, percent=80, id_col=NAME)
-    return _without(named, groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")).drop(NAME)
+    named, name = _named(docs)
+    groups = ngram_jaccard_join(named, k=5, percent=80, id_col=name)
+    return _without(named, name, groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")).drop(name)
 
 
 def pii_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +73,8 @@ def pii_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, tokenizer("byte_bpe_50k.json"), end_id=0)
+    """Training sequences: every piece with its ids and its place."""
+    return pack_documents(docs, tokenizer("byte_bpe_50k.json"), end_id=0, with_ids=True)
 
 
 STAGES = [
