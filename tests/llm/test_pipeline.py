@@ -6,6 +6,8 @@ import importlib
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from storeflow.llm import pii, quality
 
@@ -81,7 +83,7 @@ def test_stages(spark, tmp_path):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     packed = rows_of(cp.STAGES[4][1](spark, docs, ""))
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in got}
-    assert sum(r["length"] for r in packed) > 0
+    assert sum(r["length"] for r in packed) > 0 and all(len(r["ids"]) == r["length"] for r in packed)
 
 
 def test_empty_table(spark):
@@ -92,6 +94,14 @@ def test_empty_table(spark):
         docs = out if "text" in out.columns else docs
 
 
+def test_a_column_of_the_row_names_own_name_is_carried_along(spark):
+    docs = frame(spark, corpus()[:60]).withColumn("__name", F.lit("x")).withColumn("__name_", F.lit("y"))
+    for _, stage in cp.STAGES[:3]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        assert {(r["__name"], r["__name_"]) for r in rows_of(out)} <= {("x", "y")}
+
+
 def test_run_is_registered():
     entry = importlib.import_module("__spark_entry__")
     assert "pipeline" in entry.queries()
