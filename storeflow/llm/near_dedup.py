@@ -281,11 +281,14 @@ def _cross_pairs(shared: DataFrame, clusters: DataFrame, percent: int, distance:
 
 
 def _clusters(shared: DataFrame) -> DataFrame:
-    """``row, cluster``: vertices that keys of many members connect."""
-    hot = shared.where(F.col("size") > SMALL_KEY)
-    first = hot.groupBy("key").agg(F.min("row").alias("first"))
-    links = hot.join(first, "key").where("row != first").select(F.col("row").alias("x"), F.col("first").alias("y")).distinct()
-    return components(links).withColumnRenamed("label", "cluster")
+    """``row, cluster``: vertices that keys of many members connect, their
+    components taken as a whole."""
+    hot = shared.where(F.col("size") > SMALL_KEY).select("key", "row", "comp")
+    comps = hot.select("key", "comp").distinct()
+    first = comps.groupBy("key").agg(F.min("comp").alias("first"))
+    links = comps.join(first, "key").where("comp != first").select(F.col("comp").alias("x"), F.col("first").alias("y"))
+    clusters = components(links.distinct()).withColumnsRenamed({"row": "comp", "label": "cluster"})
+    return hot.select("row", "comp").distinct().join(clusters, "comp").select("row", "cluster")
 
 
 def _blocks(shared: DataFrame, clusters: DataFrame) -> DataFrame:
