@@ -14,9 +14,14 @@ def repair_text(c: Column, unicode_spaces: bool = False) -> Column:
     ``\\s`` is ASCII whitespace; ``unicode_spaces=True`` also folds Unicode
     spaces such as the no-break space.
     """
-    pattern = r"(?U)\s+" if unicode_spaces else r"\s+"
     spaced = F.replace(c, F.lit(REPLACEMENT_CHAR), F.lit(" "))
-    return F.trim(F.regexp_replace(spaced, pattern, " "))
+    if unicode_spaces:
+        return F.trim(F.regexp_replace(spaced, r"(?U)\s+", " "))
+    # Most texts have single spaces only; the pattern would leave them alone.
+    wide = spaced.contains("  ")
+    for space in "\t\n\v\f\r":
+        wide = wide | spaced.contains(space)
+    return F.trim(F.when(wide, F.regexp_replace(spaced, r"\s+", " ")).otherwise(spaced))
 
 
 def has_replacement_char(c: Column) -> Column:

@@ -50,9 +50,8 @@ def parse_date(c: Column, pattern: str = DATE_PATTERN, strict: bool = True) -> C
     parsed = F.try_to_date(c.cast("string"), pattern)
     if not strict:
         return parsed
-    bad = c.isNotNull() & parsed.isNull()
-    return F.when(bad, F.raise_error(F.concat(F.lit("unparseable date: "), c.cast("string")))
-                  .cast("date")).otherwise(parsed)
+    bad = F.raise_error(F.concat(F.lit("unparseable date: "), c.cast("string"))).cast("date")
+    return F.coalesce(parsed, F.when(c.isNotNull(), bad))  # the text is parsed once
 
 
 def _typed(name: str, c: Column, dtype, pattern: str, pad_postal_code: int | None,

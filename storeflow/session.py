@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -24,6 +26,14 @@ REQUIRED_CONF = {
 }
 
 
+# Bytes of source files (Parquet: about 280,000 order lines) a shuffle
+# partition stands for, the most partitions of a shuffle, and the bytes of
+# written tables a scan task reads where shuffles are spread.
+PARTITION_SOURCE_BYTES = 4 << 20
+MOST_PARTITIONS = 4096
+SCAN_BYTES = 16 << 20
+
+
 def local_session(
     cores: int | str = "*",
     shuffle_partitions: int = 8,
@@ -101,6 +111,30 @@ def parallelism(spark: SparkSession) -> int:
     return spark.sparkContext.defaultParallelism
 
 
+@contextmanager
+def spread_shuffles(spark: SparkSession, source_bytes: int) -> Iterator[None]:
+    """For the jobs run inside: shuffle partitions in proportion to the
+    files they start from, where the session's number is less.  With a fixed
+    number partitions grow with the input until their sorts and aggregates
+    spill.  AQE then keeps that many, and written tables are scanned in
+    tasks of like size, so that no few long tasks end a stage."""
+    wanted = min(-(-source_bytes // PARTITION_SOURCE_BYTES), MOST_PARTITIONS)
+    shuffles = "spark.sql.shuffle.partitions"
+    if int(spark.conf.get(shuffles)) >= wanted:
+        yield
+        return
+    inside = {shuffles: wanted, "spark.sql.adaptive.coalescePartitions.minPartitionNum": wanted,
+              "spark.sql.files.maxPartitionBytes": SCAN_BYTES}
+    before = {name: spark.conf.get(name, None) for name in inside}
+    for name, value in inside.items():
+        spark.conf.set(name, str(value))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path for written intermediate tables, under the checkpoint folder.
 

@@ -26,7 +26,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import app_id, scratch_path
+from ..session import app_id, scratch_path, spread_shuffles
 
 # (application, name, plan hash) -> [(frame, written table, its folder)]
 _WRITTEN: dict[tuple[str, str, int], list[tuple[DataFrame, DataFrame, str]]] = {}
@@ -44,7 +44,7 @@ class Version:
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write ``df`` as Parquet (``mode("overwrite")`` = drop-if-exists)."""
-    df.write.mode(mode).parquet(path)
+    df.write.mode(mode).option("compression", "zstd").parquet(path)
 
 
 def materialize(df: DataFrame, name: str = "tmp") -> DataFrame:
@@ -78,6 +78,11 @@ def fingerprint(spark: SparkSession, paths: Sequence[str]) -> tuple:
     return tuple(out)
 
 
+def size_of(found: tuple) -> int:
+    """The bytes of the files of a ``fingerprint``."""
+    return sum(size for _, size, _, _ in found)
+
+
 def named_table(spark: SparkSession, name: str, build: Callable[[], DataFrame],
                 check: Callable[[DataFrame], Any] | None = None, sources: Sequence[str] = ()) -> DataFrame:
     """The application's table ``name``: written by the first call, read
@@ -95,9 +100,10 @@ def named_version(spark: SparkSession, name: str, build: Callable[[], DataFrame]
         return known
     path = scratch_path(spark, name, uuid.uuid4().hex)
     try:
-        write_table(build(), path)
-        table = spark.read.parquet(path)
-        facts = check(table) if check is not None else None
+        with spread_shuffles(spark, size_of(now)):
+            write_table(build(), path)
+            table = spark.read.parquet(path)
+            facts = check(table) if check is not None else None
     except Exception:
         _remove(spark, path)
         raise

@@ -8,9 +8,12 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from storeflow.functions.text import repair_text
 from storeflow.operators import clean as C
 from storeflow.operators import quality as Q
+from storeflow.plans.inspect import physical_plan
 from storeflow.schema import RAW_COLUMNS, check_clean
+from storeflow.sources.raw import with_defects
 
 FFFD = "�"
 RAW_DDL = ", ".join(
@@ -150,3 +153,33 @@ def test_analyses_see_a_broken_cleaning_step(spark, monkeypatch):
         catalog.queries()["row_count_clean"](spark, SF_SMALL)
     monkeypatch.undo()
     refresh(spark)
+
+
+def test_a_key_is_cleared_by_one_shuffle_of_hashes(raw, spark, monkeypatch):
+    counted = []
+    monkeypatch.setattr(Q, "duplicate_keys", lambda *a: counted.append(a))
+    Q.assert_key(C.rename(raw([raw_row(1), raw_row(2)])))
+    Q.assert_key(spark.range(1000).selectExpr("id % 10 AS a", "id DIV 10 AS b"), ["a", "b"])
+    assert not counted
+
+
+def test_hashes_that_meet_are_told_apart_by_their_keys(spark, monkeypatch):
+    monkeypatch.setattr(Q.F, "xxhash64", lambda *key: F.lit(1))  # all collide
+    Q.assert_key(spark.range(10), ["id"])
+    with pytest.raises(ValueError, match="nulls=False duplicates=True"):
+        Q.assert_key(spark.range(10).unionByName(spark.range(3)), ["id"])
+
+
+@pytest.mark.parametrize("space", [" ", "\t", "\n", "\v", "\f", "\r"])
+def test_every_run_of_spaces_is_one_space(spark, space):
+    texts = [f"{space}a{space}b", f"a{space}{space}b{space}", "a b", FFFD + "a" + FFFD + FFFD + "b", f"a{FFFD}{space}b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r[0] for r in df.select(repair_text(F.col("t"))).collect()} == {"a b"}
+
+
+def test_audit_lines_come_from_one_scan_with_their_repeats(raw, tmp_path, spark):
+    raw([raw_row(i, **{"Order ID": str(i), "Customer ID": "c"}) for i in (1, 5, 96, 102)]
+        + [raw_row(7, **{"Order ID": None})]).write.parquet(str(tmp_path / "raw"))
+    audit = with_defects(spark.read.parquet(str(tmp_path / "raw")))
+    assert sorted(str(r["Order ID"]) for r in audit.collect()) == ["1", "102", "102", "5", "5", "96", "None"]
+    assert physical_plan(audit, "simple").count("FileScan parquet") == 1

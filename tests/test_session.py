@@ -8,7 +8,12 @@ import sys
 
 import pytest
 
-from storeflow.session import check_settings, ensure_checkpoint_dir
+from pyspark.sql import functions as F
+
+from storeflow import session
+from storeflow.plans.inspect import physical_plan
+from storeflow.session import PARTITION_SOURCE_BYTES, check_settings, ensure_checkpoint_dir, spread_shuffles
+from storeflow.sources.storage import named_table
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -69,3 +74,30 @@ def test_entry_works_without_the_optional_subpackage():
     from storeflow.plans import catalog
 
     assert int(run.stdout) == len(catalog.queries())
+
+
+def test_shuffles_are_spread_with_the_files_and_settings_come_back(spark):
+    shuffles, scans = "spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes"
+    before = {name: spark.conf.get(name) for name in (shuffles, scans)}
+    with pytest.raises(KeyError), spread_shuffles(spark, 100 * PARTITION_SOURCE_BYTES + 1):
+        assert spark.conf.get(shuffles) == "101"
+        keys = spark.range(10_000).groupBy((F.col("id") % 5000).alias("k")).count()
+        assert ", 101)" in physical_plan(keys, "simple")
+        raise KeyError
+    assert {name: spark.conf.get(name) for name in before} == before
+    with spread_shuffles(spark, 10):  # small files leave the session's number
+        assert {name: spark.conf.get(name) for name in before} == before
+
+
+def test_named_tables_are_written_with_spread_shuffles(spark, tmp_path, monkeypatch):
+    source = str(tmp_path / "source")
+    spark.range(1000).write.parquet(source)
+    monkeypatch.setattr(session, "PARTITION_SOURCE_BYTES", 100)
+    seen = []
+
+    def build():
+        seen.append(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return spark.read.parquet(source).groupBy("id").count()
+
+    assert named_table(spark, "test/spread", build, sources=[source]).count() == 1000
+    assert seen[0] > 8 == int(spark.conf.get("spark.sql.shuffle.partitions"))
