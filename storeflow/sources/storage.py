@@ -144,6 +144,7 @@ def refresh(spark: SparkSession) -> None:
     app = app_id(spark)
     for key in [k for k in _NAMED if k[0] == app]:
         _remove(spark, _NAMED.pop(key).path)
+    _remove(spark, scratch_path(spark, "loads"))  # of the queries that build tables load by load
 
 
 def _remove(spark: SparkSession, path: str) -> None:
