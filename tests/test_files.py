@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,8 @@ from storeflow.operators import clean as C
 from storeflow.schema import RAW_SCHEMA
 from storeflow.sources.files import read_raw, write_raw_csv
 from storeflow.sources.raw import bronze_lines
-from tests.conftest import SF_SMALL
+from storeflow.sources.storage import write_table
+from tests.conftest import SF_SMALL, line
 
 
 def test_csv_round_trip_cleans_to_the_same_lines(spark, tmp_path):
@@ -38,3 +40,21 @@ def test_malformed_lines_fail_or_are_kept(spark, tmp_path, bad):
         read_raw(spark, str(path)).collect()
     kept = {r["_line"]: r["Order ID"] for r in read_raw(spark, str(path), corrupt_col="_line").collect()}
     assert set(kept) == {None, wrong} and kept[None] == "O1"
+
+
+def test_written_lines_hold_no_dictionary_of_ids_and_no_range_of_texts(spark, tmp_path, lines):
+    made = [line(i, customer_name=None if i == 3 else "Anna") for i in range(200)]
+    write_table(lines(made), str(tmp_path / "t"))
+    assert sorted(r.asDict()["row_id"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == sorted(
+        r["row_id"] for r in made)
+    columns = {}
+    for file in (tmp_path / "t").glob("*.parquet"):
+        group = pq.ParquetFile(file).metadata.row_group(0)
+        columns = {c.path_in_schema: c for c in map(group.column, range(group.num_columns))}
+        dictionaries = {name for name, c in columns.items() if c.has_dictionary_page}
+        assert not dictionaries & {"row_id", "order_id", "customer_id", "product_id", "sales", "profit"}
+        ranges = {name for name, c in columns.items() if c.statistics and c.statistics.has_min_max}
+        assert {"sales", "profit", "quantity", "order_date", "ship_date"} <= ranges
+        assert not ranges & {"row_id", "customer_name", "product_name", "segment"}
+        assert {c.compression for c in columns.values()} == {"ZSTD"}
+    assert columns
