@@ -47,7 +47,8 @@ def folder_tag(sf_dir: str) -> str:
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = joined_lines(spark, sf_dir)
+    text_date = lambda c: F.date_format(F.col(c).cast("date"), "MM/dd/yyyy")
+    j = joined_lines(spark, sf_dir, [text_date("o_orderdate").alias("order_date_text")])
     sales = _sales(F.col("l_extendedprice"))
     discount = _discount(F.col("l_discount"))
     fffd = F.lit(REPLACEMENT_CHAR)
@@ -59,12 +60,11 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(" "), F.replace(F.col("p_name"), F.lit(" "), F.lit(REPLACEMENT_CHAR * 2)),
                  F.lit(" ")),
     ).otherwise(F.col("p_name"))
-    text_date = lambda c: F.date_format(F.col(c).cast("date"), "MM/dd/yyyy")
     cols = {
         "Row ID": row_id(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"),
                          F.col("l_suppkey"), F.col("l_shipdate").cast("date")),
         "Order ID": F.col("o_orderkey"),
-        "Order Date": text_date("o_orderdate"),
+        "Order Date": F.col("order_date_text"),
         "Ship Date": text_date("l_shipdate"),
         "Ship Mode": F.col("o_orderpriority"),
         "Customer ID": F.col("c_custkey"),

@@ -3,7 +3,7 @@
 ``silver_lines`` is the cleaning step's output over the raw snapshot,
 written once per application and folder and again when a source file has
 changed.  It is published only after the load's checks (``load_checks``:
-the figures are collected while it is written) and its primary key.
+the figures are counted in the raw and the written lines) and its primary key.
 ``audit_clean_lines`` is the same step over the audit table, where dates
 that do not parse become NULL instead of failing the step; it is written
 once too, so that filters reach its scan.
@@ -28,10 +28,10 @@ def _cleaned(spark: SparkSession, sf_dir: str, name: str, raw: DataFrame, limits
     load = Load(raw, limits)
 
     def build() -> DataFrame:
-        return load.written(clean(load.observed(), name_corrections(spark, sf_dir), **options))
+        return clean(raw, name_corrections(spark, sf_dir), **options)
 
     def check(table: DataFrame) -> dict[str, int]:
-        figures = load.check(table)
+        figures = load.count(table)
         if key:
             assert_key(table, key)
         return figures
@@ -58,5 +58,5 @@ def audit_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The figures that were taken while the audit lines were cleaned."""
+    """The figures of the load that cleaned the audit lines."""
     return figures_table(spark, audit_version(spark, sf_dir).facts)

@@ -10,6 +10,7 @@ shape, and ``sources.silver`` cleans them: the table that analyses read.
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,8 +56,9 @@ def _profit(sales: Column, discount: Column) -> Column:
     return F.round(sales * rate, 2).cast("decimal(12,2)")
 
 
-def joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with order, customer, geography and part attributes.
+def joined_lines(spark: SparkSession, sf_dir: str, of_orders: Sequence[Column] = ()) -> DataFrame:
+    """Line items with order, customer, geography and part attributes, and
+    the columns ``of_orders``, worked out once per order, not per line.
 
     All joins are left to the planner and AQE: the files' sizes decide what
     is broadcast, the large ones are shuffled on their keys.  Lines meet
@@ -70,7 +72,7 @@ def joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         "l_quantity", "l_extendedprice", "l_discount", "l_shipdate",
     )
-    orders = t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    orders = t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", *of_orders)
     customers = t("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     nations = t("nation").select("n_nationkey", "n_name", "n_regionkey")
     regions = t("region").select("r_regionkey", "r_name")

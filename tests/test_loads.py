@@ -14,11 +14,12 @@ from storeflow.operators import customers as U
 from storeflow.operators.clean import clean
 from storeflow.operators.customer_state import customer_state, merge_states, rfm_base_of
 from storeflow.plans.inspect import physical_plan
+from storeflow.schema import CRITICAL_RAW_COLUMNS
 from storeflow.sources import silver
 from storeflow.sources.files import read_raw, write_raw_csv
 from storeflow.sources.key_index import KeyIndex
 from storeflow.sources.load_checks import Load, LoadRefused
-from storeflow.sources.raw import bronze_lines
+from storeflow.sources.raw import audit_lines, bronze_lines, raw_lines
 from storeflow.sources.silver import silver_lines, silver_version
 from storeflow.sources.snapshot import Snapshot
 from storeflow.sources.storage import materialize, named_table, named_version
@@ -103,6 +104,32 @@ def test_a_figure_that_breaks_a_rule_is_counted_again(spark, monkeypatch):
         Load(raw, {"nothing": 0})
 
 
+def test_clean_lines_are_written_unobserved_and_counted_in_columns(spark, own_tables, monkeypatch):
+    """An observation sees every column of every row; the figures need few."""
+    plans, named = [], silver.named_version
+
+    def seen(spark, name, build, *rest):
+        return named(spark, name, lambda: plans.append(physical_plan(build(), "simple")) or build(), *rest)
+
+    monkeypatch.setattr(silver, "named_version", seen)
+    facts, table = (v := silver.audit_version(spark, own_tables)).facts, v.table
+    assert len(plans) == 1 and "CollectMetrics" not in plans[0] and "FileScan" in plans[0]
+    raw = audit_lines(spark, own_tables)
+    assert facts["raw_rows"] == raw.count() == facts["clean_rows"] == table.count()
+    missing = " or ".join(f"`{c}` is null" for c in CRITICAL_RAW_COLUMNS)
+    rules = {"missing_values": (raw, missing), "shipped_before_ordered": (table, "ship_date < order_date"),
+             "negative_sales": (table, "sales < 0"), "invalid_quantity": (table, "quantity <= 0"),
+             "loss_lines": (table, "profit < 0"), "missing_dates": (table, "order_date is null or ship_date is null")}
+    assert facts == {"raw_rows": raw.count(), "clean_rows": table.count(),
+                     **{name: df.where(rule).count() for name, (df, rule) in rules.items()}}
+    assert all(facts.values())
+
+
+def test_order_dates_become_text_per_order(spark):
+    above_the_joins = physical_plan(raw_lines(spark, SF_SMALL), "simple").split("Join")[0]
+    assert "l_shipdate" in above_the_joins and "o_orderdate" not in above_the_joins
+
+
 def test_named_tables_without_sources_stay(spark):
     calls = []
 
