@@ -23,10 +23,11 @@ documents must share.
 3. *The rest.*  Pairs of different components that share a key.  Keys of
    few members (``SMALL_KEY``) give pairs, held to the distance by a sketch
    of two bits per position while they are formed, then confirmed as above.
-   Larger keys are not expanded: vertices that such keys connect form a
-   cluster; its members outside its largest component meet all of it in
-   blocks of a bounded number of shingles, whose full sets are compared
-   inside the task, so only links leave it.
+   Larger keys are not expanded: their members meet in blocks of a bounded
+   number, and vertices that close sketches (the test of the small keys)
+   connect there form a cluster; its members outside its largest component
+   meet all of it in blocks of a bounded number of shingles, whose full sets
+   are compared inside the task, so only links leave it.
 
 Full sets are made again from the texts that a Bloom filter over the wanted
 ids lets through; whole texts are never shuffled.  Sets hold 64-bit hashes
@@ -54,10 +55,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import parallelism
+from ..session import parallelism, small_batches
 from .bloom import bloom_filter, may_hold
 from .common import drop_tables, empty_if_null, write_table
 from .components import components
@@ -69,6 +70,7 @@ SEED = 20_231
 ROUNDS = 1
 CLOSEST = 4
 SMALL_KEY = 32
+BLOCK_MEMBERS = 4096
 BLOCK_TOKENS = 400_000
 
 
@@ -149,6 +151,33 @@ def _matrix(column: pa.Array, positions: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, positions)
 
 
+def _keys(sig: np.ndarray, choices: list[tuple[int, ...]]) -> np.ndarray:
+    """The keys (int64) of the rows of ``sig`` (uint64), those of a row
+    together."""
+    keys = np.empty((len(sig), len(choices)), np.uint64)
+    for c, chosen in enumerate(choices):
+        h = np.full(len(sig), (c + 1) * ODD_A & (1 << 64) - 1, np.uint64)
+        for p in chosen:
+            h = (h ^ sig[:, p]) * np.uint64(ODD_B)
+            h ^= h >> np.uint64(31)
+        keys[:, c] = h
+    return keys.ravel().view(np.int64)
+
+
+def key_sizes(signatures: DataFrame, positions: int, choices: list[tuple[int, ...]]) -> DataFrame:
+    """``key, size``: the vertices of each key.  Most keys are of one vertex,
+    so a partial sum per task would hold nearly all of its keys and save
+    nothing: counted are the repeats within a batch, and the rest after the
+    exchange."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, n = np.unique(_keys(_matrix(b.column("sig"), positions).astype(np.uint64), choices), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    counted = signatures.select("sig").mapInArrow(run, "key long, n long")
+    return counted.repartition("key").groupBy("key").agg(F.sum("n").alias("size"))
+
+
 def key_table(signatures: DataFrame, positions: int, choices: list[tuple[int, ...]],
               only: np.ndarray | None = None) -> DataFrame:
     """``key, row, n, s0, s1``: every key of every vertex (those that the
@@ -159,19 +188,12 @@ def key_table(signatures: DataFrame, positions: int, choices: list[tuple[int, ..
             for lo in range(0, b.num_rows, 2000):
                 part = b.slice(lo, 2000)
                 sig = _matrix(part.column("sig"), positions).astype(np.uint64)
-                keys = np.empty((len(sig), len(choices)), np.uint64)
-                for c, chosen in enumerate(choices):
-                    h = np.full(len(sig), (c + 1) * ODD_A & (1 << 64) - 1, np.uint64)
-                    for p in chosen:
-                        h = (h ^ sig[:, p]) * np.uint64(ODD_B)
-                        h ^= h >> np.uint64(31)
-                    keys[:, c] = h
+                keys = _keys(sig, choices)
                 sketch = []
                 for bit in (0, 1):
                     lowest = np.zeros((len(sig), 64), np.uint8)
                     lowest[:, :positions] = (sig[:, :64] >> np.uint64(bit)) & np.uint64(1)
                     sketch.append(np.packbits(lowest, axis=1, bitorder="little").view(np.int64).ravel())
-                keys = keys.ravel().view(np.int64)
                 at = np.flatnonzero(may_hold(only, keys)) if only is not None else np.arange(len(keys))
                 of = at // len(choices)
                 yield pa.RecordBatch.from_arrays(
@@ -280,15 +302,66 @@ def _cross_pairs(shared: DataFrame, clusters: DataFrame, percent: int, distance:
         F.least("x.row", "y.row").alias("x"), F.greatest("x.row", "y.row").alias("y")).distinct()
 
 
-def _clusters(shared: DataFrame) -> DataFrame:
-    """``row, cluster``: vertices that keys of many members connect, their
-    components taken as a whole."""
-    hot = shared.where(F.col("size") > SMALL_KEY).select("key", "row", "comp")
-    comps = hot.select("key", "comp").distinct()
-    first = comps.groupBy("key").agg(F.min("comp").alias("first"))
-    links = comps.join(first, "key").where("comp != first").select(F.col("comp").alias("x"), F.col("first").alias("y"))
-    clusters = components(links.distinct()).withColumnsRenamed({"row": "comp", "label": "cluster"})
-    return hot.select("row", "comp").distinct().join(clusters, "comp").select("row", "cluster")
+def _own(n: str) -> Column:
+    return F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+
+
+def _each(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def _tasks(spark: SparkSession) -> int:
+    """For what is small in bytes and long in work: more tasks than the bytes
+    ask for."""
+    return max(4 * parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _clusters(shared: DataFrame, percent: int, distance: int) -> DataFrame:
+    """``row, cluster``: vertices of different components that keys of many
+    members bring together and whose sketches are close, with all that are
+    connected so.  Within a key those outside its largest component (dealt
+    over the blocks bx) meet all (dealt over the blocks by)."""
+    def blocks(members: str) -> Column:
+        return F.ceil(F.col(members) / F.lit(BLOCK_MEMBERS)).cast("int")
+
+    fields = ("row", "n", "s0", "s1", "comp")
+    hot = shared.where(F.col("size") > SMALL_KEY).select(
+        "key", *fields, "odd", blocks("others").alias("nx"), blocks("size").alias("ny"))
+    x = hot.where("odd").select("key", _own("nx").alias("bx"), _each("ny").alias("by"), F.lit(True).alias("is_x"), *fields)
+    y = hot.select("key", _each("nx").alias("bx"), _own("ny").alias("by"), F.lit(False).alias("is_x"), *fields)
+    group = ["key", "bx", "by"]
+    met = x.unionByName(y).repartition(_tasks(shared.sparkSession), *group)
+    close = met.groupBy(*group).applyInArrow(lambda t: close_in_block(t, percent, distance), "x long, y long")
+    return components(close).withColumnRenamed("label", "cluster")
+
+
+def close_in_block(block: pa.Table, percent: int, distance: int) -> pa.Table:
+    """Links that connect what the close pairs of the block connect, one at
+    most for each of its vertices: an ``is_x`` and another vertex of another
+    component, sizes and sketches fitting, are a close pair."""
+    rows, at = np.unique(block.column("row").to_numpy(), return_inverse=True)
+    n, comp = block.column("n").to_numpy(), block.column("comp").to_numpy()
+    sketch = [block.column(c).to_numpy().view(np.uint64) for c in ("s0", "s1")]
+    is_x = np.array(block.column("is_x").to_pylist(), bool)
+    xs, ys = np.flatnonzero(is_x), np.flatnonzero(~is_x)
+    up = np.arange(len(rows))  # the first vertex of one's part, as far as known
+    touched = np.zeros(len(rows), bool)
+    for lo in range(0, len(xs), 64):
+        i = xs[lo:lo + 64, None]
+        differ = np.bitwise_count((sketch[0][i] ^ sketch[0][ys]) | (sketch[1][i] ^ sketch[1][ys]))
+        fit = 100 * np.minimum(n[i], n[ys]) >= percent * np.maximum(n[i], n[ys])
+        p, q = np.nonzero((differ <= distance) & fit & (comp[i] != comp[ys]))
+        p, q = at[i[p, 0]], at[ys[q]]
+        touched[p] = touched[q] = True
+        while len(p):
+            p, q = up[p], up[q]
+            apart = p != q
+            p, q = p[apart], q[apart]
+            np.minimum.at(up, np.maximum(p, q), np.minimum(p, q))
+            while (up != up[up]).any():
+                up = up[up]
+    out = touched & (up != np.arange(len(rows)))
+    return pa.table({"x": rows[out], "y": rows[up[out]]})
 
 
 def _blocks(shared: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -304,16 +377,9 @@ def _blocks(shared: DataFrame, clusters: DataFrame) -> DataFrame:
         F.ceil((F.col("all") - F.col("main.t")) / F.lit(BLOCK_TOKENS)).cast("int").alias("nx"),
         F.ceil(F.col("all") / F.lit(BLOCK_TOKENS)).cast("int").alias("ny"))
     placed = members.join(facts, "cluster")
-
-    def own(n: str) -> Column:
-        return F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
-
-    def each(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
     x = placed.where("comp != main").select(
-        "cluster", own("nx").alias("bx"), each("ny").alias("by"), F.lit(True).alias("is_x"), "row", "comp")
-    y = placed.select("cluster", each("nx").alias("bx"), own("ny").alias("by"), F.lit(False).alias("is_x"), "row", "comp")
+        "cluster", _own("nx").alias("bx"), _each("ny").alias("by"), F.lit(True).alias("is_x"), "row", "comp")
+    y = placed.select("cluster", _each("nx").alias("bx"), _own("ny").alias("by"), F.lit(False).alias("is_x"), "row", "comp")
     return x.unionByName(y)
 
 
@@ -323,8 +389,7 @@ def _block_links(blocks: DataFrame, docs: DataFrame, vertices: DataFrame, k: int
     wanted = write_table(vertices.join(blocks.select("row").distinct(), "row").select("row", "s", "rep_h"), "near-wanted")
     full = write_table(_full_sets(docs, wanted, k), "near-full")
     group = ["cluster", "bx", "by"]
-    # Small in bytes and long in work: more tasks than the bytes ask for.
-    met = blocks.join(full, "row").repartition(4 * parallelism(docs.sparkSession), *group)
+    met = blocks.join(full, "row").repartition(_tasks(docs.sparkSession), *group)
     links = write_table(
         met.groupBy(*group).applyInArrow(lambda t: linked_in_block(t, percent), "x long, y long").distinct(), "near-links")
     drop_tables(wanted, full)
@@ -366,23 +431,31 @@ def _central(shared: DataFrame) -> DataFrame:
 
 def _divided(shared: DataFrame, labels: DataFrame, salt: int) -> DataFrame:
     """``shared`` keys that more than one component has, with ``comp``,
-    ``odd`` (outside the key's largest component) and ``a``, a random member
-    of the largest."""
+    ``odd`` (outside the key's largest component), ``others`` (how many of
+    the key are odd) and ``a``, a random member of the largest."""
     comp = (
-        shared.drop("a", "comp", "odd").join(labels, "row", "left")
+        shared.drop("a", "comp", "odd", "others").join(labels, "row", "left")
         .withColumn("comp", F.coalesce("label", "row")).drop("label"))
     sizes = comp.groupBy("key", "comp").agg(
         F.count(F.lit(1)).alias("m"),
         F.min(F.struct(F.xxhash64("row", "key", F.lit(salt)).alias("h"), "row", "n", "s0", "s1")).alias("a"))
     lists = sizes.groupBy("key").agg(
-        F.count(F.lit(1)).alias("comps"), F.max(F.struct("m", "comp", "a")).alias("b")).where("comps > 1")
-    return comp.join(lists.select("key", F.col("b.a").alias("a"), F.col("b.comp").alias("main")), "key").withColumn(
-        "odd", F.col("comp") != F.col("main")).drop("main")
+        F.count(F.lit(1)).alias("comps"), F.max(F.struct("m", "comp", "a")).alias("b"),
+        F.sum("m").alias("all")).where("comps > 1")
+    return comp.join(
+        lists.select("key", F.col("b.a").alias("a"), F.col("b.comp").alias("main"), (F.col("all") - F.col("b.m")).alias("others")),
+        "key").withColumn("odd", F.col("comp") != F.col("main")).drop("main")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, positions: int = 64, bits: int = 16,
                     errors: int = 1, miss: float = 1e-5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, k, percent, positions, bits, errors, miss, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int, positions: int, bits: int, errors: int, miss: float,
+                     id_col: str, text_col: str) -> DataFrame:
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{id_col}`")).alias("h"),
                        empty_if_null(F.col(f"`{text_col}`")).alias("text"))
     distance = least_distance(positions, percent, miss)
@@ -397,9 +470,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, positions: i
     signatures = write_table(
         known.select("row", "n", "sig").join(vertices.select("row"), "row", "left_semi"), "near-signatures")
 
-    lists = write_table(
-        key_table(signatures, positions, choices).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"),
-        "near-lists")
+    lists = write_table(key_sizes(signatures, positions, choices).where("size > 1"), "near-lists")
     common = key_table(signatures, positions, choices, bloom_filter(lists, F.col("key")))
     shared = write_table(common.join(lists, "key"), "near-shared")
     drop_tables(lists)
@@ -417,7 +488,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, positions: i
         if step < ROUNDS:
             more = confirmed(_star_pairs(shared.where("odd"), percent, distance, CLOSEST))
         else:
-            clusters = _clusters(shared)
+            clusters = _clusters(shared, percent, distance)
             blocks = write_table(_blocks(shared, clusters), "near-blocks")
             more = _block_links(blocks, docs, vertices, k, percent).unionByName(
                 confirmed(_cross_pairs(shared, clusters, percent, distance)))

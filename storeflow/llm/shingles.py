@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-RUN_BYTES = 1 << 21  # bytes hashed at a time, about
+RUN_BYTES = 1 << 18  # bytes hashed at a time, about (some 40 bytes of work space each)
 # Odd multipliers and the shifts of a 64-bit finaliser.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

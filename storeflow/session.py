@@ -32,6 +32,8 @@ REQUIRED_CONF = {
 PARTITION_SOURCE_BYTES = 4 << 20
 MOST_PARTITIONS = 4096
 SCAN_BYTES = 16 << 20
+# Bytes of a batch between the JVM and a Python worker where rows are long.
+BATCH_BYTES = 4 << 20
 
 
 def local_session(
@@ -135,6 +137,20 @@ def spread_shuffles(spark: SparkSession, source_bytes: int) -> Iterator[None]:
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """For the jobs run inside: batches to Python workers of ``BATCH_BYTES``
+    at most (a longer row is a batch of its own).  Both sides hold a batch
+    several times over, outside the heap, in every task that runs."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path for written intermediate tables, under the checkpoint folder.
 

@@ -4,11 +4,12 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from storeflow.llm import near_dedup
 from storeflow.llm.bloom import bloom_filter, may_hold
-from storeflow.llm.near_dedup import Signer, chunk_choices, least_distance, near_duplicates
+from storeflow.llm.near_dedup import Signer, chunk_choices, close_in_block, key_sizes, least_distance, near_duplicates
 
 from .helpers import clashing, frame, odd_docs, rows_of
 from .test_ngram_join import brute, near_docs
@@ -80,3 +81,67 @@ def test_kept_is_one_row_per_component(spark):
 
 def test_empty(spark):
     assert rows_of(near_duplicates(frame(spark, []))) == []
+
+
+def _members(seed, n):
+    rng = random.Random(seed)
+    base = [(rng.getrandbits(63), rng.getrandbits(63)) for _ in range(5)]
+    out = []
+    for row in range(n):
+        s0, s1 = base[rng.randrange(5)] if rng.random() < 0.6 else (rng.getrandbits(63), rng.getrandbits(63))
+        out.append((row * 7, rng.choice([50, 60, 100]), s0 ^ 1 << rng.randrange(62), s1, rng.randrange(n // 2)))
+    return out
+
+
+def _parts(links):
+    label = {}
+    for x, y in links:
+        x, y = label.setdefault(x, x), label.setdefault(y, y)
+        for k in [k for k, v in label.items() if v == max(x, y)]:
+            label[k] = min(x, y)
+    return label
+
+
+def _close(members, percent, distance):
+    return [(x[0], y[0]) for x, y in combinations(members, 2)
+            if x[4] != y[4] and 100 * min(x[1], y[1]) >= percent * max(x[1], y[1])
+            and (x[2] ^ y[2] | x[3] ^ y[3]).bit_count() <= distance]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_a_block_connects_what_its_close_pairs_connect(seed):
+    members = _members(seed, 150)
+    table = pa.table({c: [m[i] for m in members * 2] for i, c in enumerate(("row", "n", "s0", "s1", "comp"))})
+    got_links = close_in_block(table.append_column("is_x", pa.array([True] * 150 + [False] * 150)), 80, 20)
+    pairs = list(zip(got_links["x"].to_pylist(), got_links["y"].to_pylist()))
+    assert len(pairs) < 150 and _parts(pairs) == _parts(_close(members, 80, 20)) != {}
+
+
+def test_only_close_members_of_a_large_key_make_a_cluster(spark, monkeypatch):
+    # One key that all share by chance: as one cluster all would meet all by
+    # their full sets, which grows with the square of the rows.
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 16)
+    members = _members(3, 120)
+    rows = [(1, *m, 120, m[4] != 0, sum(m[4] != 0 for m in members)) for m in members]
+    shared = spark.createDataFrame(
+        rows, "key long, row long, n long, s0 long, s1 long, comp long, size long, odd boolean, others long")
+    clusters = {r["row"]: r["cluster"] for r in near_dedup._clusters(shared, 80, 20).collect()}
+    assert clusters == _parts(_close(members, 80, 20)) and len(clusters) < 120
+
+
+def test_key_sizes_count_each_vertex(spark):
+    rng = np.random.default_rng(4)
+    sig = rng.integers(0, 3, (300, 6)).astype(np.uint16)
+    choices = [(0, 1), (2, 3), (4, 5)]
+    docs = spark.createDataFrame([(r.tobytes(),) for r in sig], "sig binary").repartition(5)
+    sizes = sorted(r["size"] for r in key_sizes(docs, 6, choices).collect())
+    assert sizes == sorted(n for c in choices for n in np.unique(sig[:, c], axis=0, return_counts=True)[1])
+
+
+def test_long_texts_reach_the_workers_in_small_batches(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(name), []
+    table = near_dedup.write_table
+    monkeypatch.setattr(near_dedup, "write_table", lambda df, of: seen.append(spark.conf.get(name)) or table(df, of))
+    rows_of(near_duplicates(frame(spark, near_docs(6)[:20]), 2, 80))
+    assert {int(x) for x in seen} == {4 << 20} and spark.conf.get(name) == before
