@@ -24,7 +24,7 @@ documents must share.
    few members (``SMALL_KEY``) give pairs, held to the distance by a sketch
    of two bits per position while they are formed, then confirmed as above.
    Larger keys are not expanded: their members meet in blocks of a bounded
-   number, and vertices that close sketches (the test of the small keys)
+   number, and components that close sketches (the test of the small keys)
    connect there form a cluster; its members outside its largest component
    meet all of it in blocks of a bounded number of shingles, whose full sets
    are compared inside the task, so only links leave it.
@@ -317,10 +317,10 @@ def _tasks(spark: SparkSession) -> int:
 
 
 def _clusters(shared: DataFrame, percent: int, distance: int) -> DataFrame:
-    """``row, cluster``: vertices of different components that keys of many
-    members bring together and whose sketches are close, with all that are
-    connected so.  Within a key those outside its largest component (dealt
-    over the blocks bx) meet all (dealt over the blocks by)."""
+    """``row, cluster``: the members of large keys by components that such
+    keys bring together with close sketches, and all that are connected so.
+    Within a key those outside its largest component (dealt over the blocks
+    bx) meet all (dealt over the blocks by)."""
     def blocks(members: str) -> Column:
         return F.ceil(F.col(members) / F.lit(BLOCK_MEMBERS)).cast("int")
 
@@ -332,27 +332,26 @@ def _clusters(shared: DataFrame, percent: int, distance: int) -> DataFrame:
     group = ["key", "bx", "by"]
     met = x.unionByName(y).repartition(_tasks(shared.sparkSession), *group)
     close = met.groupBy(*group).applyInArrow(lambda t: close_in_block(t, percent, distance), "x long, y long")
-    return components(close).withColumnRenamed("label", "cluster")
+    clusters = components(close.distinct()).withColumnsRenamed({"row": "comp", "label": "cluster"})
+    return hot.select("row", "comp").distinct().join(clusters, "comp").select("row", "cluster")
 
 
 def close_in_block(block: pa.Table, percent: int, distance: int) -> pa.Table:
-    """Links that connect what the close pairs of the block connect, one at
-    most for each of its vertices: an ``is_x`` and another vertex of another
-    component, sizes and sketches fitting, are a close pair."""
-    rows, at = np.unique(block.column("row").to_numpy(), return_inverse=True)
-    n, comp = block.column("n").to_numpy(), block.column("comp").to_numpy()
+    """Links between components that connect what the close pairs of the
+    block connect, one at most for each: an ``is_x`` and another vertex of
+    another component, sizes and sketches fitting, are a close pair."""
+    comps, at = np.unique(block.column("comp").to_numpy(), return_inverse=True)
+    n = block.column("n").to_numpy()
     sketch = [block.column(c).to_numpy().view(np.uint64) for c in ("s0", "s1")]
     is_x = np.array(block.column("is_x").to_pylist(), bool)
     xs, ys = np.flatnonzero(is_x), np.flatnonzero(~is_x)
-    up = np.arange(len(rows))  # the first vertex of one's part, as far as known
-    touched = np.zeros(len(rows), bool)
+    up = np.arange(len(comps))  # the first component of one's part, as far as known
     for lo in range(0, len(xs), 64):
         i = xs[lo:lo + 64, None]
         differ = np.bitwise_count((sketch[0][i] ^ sketch[0][ys]) | (sketch[1][i] ^ sketch[1][ys]))
         fit = 100 * np.minimum(n[i], n[ys]) >= percent * np.maximum(n[i], n[ys])
-        p, q = np.nonzero((differ <= distance) & fit & (comp[i] != comp[ys]))
+        p, q = np.nonzero((differ <= distance) & fit & (at[i] != at[ys]))
         p, q = at[i[p, 0]], at[ys[q]]
-        touched[p] = touched[q] = True
         while len(p):
             p, q = up[p], up[q]
             apart = p != q
@@ -360,8 +359,8 @@ def close_in_block(block: pa.Table, percent: int, distance: int) -> pa.Table:
             np.minimum.at(up, np.maximum(p, q), np.minimum(p, q))
             while (up != up[up]).any():
                 up = up[up]
-    out = touched & (up != np.arange(len(rows)))
-    return pa.table({"x": rows[out], "y": rows[up[out]]})
+    out = up != np.arange(len(comps))
+    return pa.table({"x": comps[out], "y": comps[up[out]]})
 
 
 def _blocks(shared: DataFrame, clusters: DataFrame) -> DataFrame:
